@@ -16,6 +16,13 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+}
+
+# Local runs only: the driver is the whole cluster, so it gets the heap.
+LOCAL_CONF = {
+    "spark.driver.memory": "16g",
+    "spark.driver.maxResultSize": "4g",
 }
 
 
@@ -23,6 +30,8 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
               app_name: str = "blockwatch", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(BASE_CONF)
+    if master.startswith("local"):
+        conf.update(LOCAL_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for key, value in conf.items():

@@ -74,17 +74,25 @@ def dotted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                        time.alias("time"), "label", "template_id")
 
 
+def blocks20_lines(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
+    """Lines of V_lines with their fixed-count block id."""
+    return fixed_count_blocks(lines(spark, sf_dir), size)
+
+
 def blocks20(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
     """V_blocks20: fixed-count blocks of ``size`` lines with fine templates."""
-    ln = fixed_count_blocks(lines(spark, sf_dir), size)
-    return summarize_blocks(ln, F.col("label") == "-")
+    return summarize_blocks(blocks20_lines(spark, sf_dir, size), F.col("label") == "-")
+
+
+def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of V_lines with their (user_id, date) session block id (ordered by first line)."""
+    ln = lines(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    return key_blocks(ln, ["user_id", "day"])
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V_sessions: one block per (user_id, date) with coarse templates, ids by first line."""
-    ln = lines(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    blocked = key_blocks(ln, ["user_id", "day"])
-    return summarize_blocks(blocked, F.col("label") == "-", template_col="coarse")
+    return summarize_blocks(session_lines(spark, sf_dir), F.col("label") == "-", template_col="coarse")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
