@@ -64,3 +64,84 @@ def minmax_scale(df: DataFrame, value_col: str, group_col: str | None = None,
 def max_list_length(df: DataFrame, list_col: str) -> Column:
     """longest list over all rows (scalar subquery)."""
     return df.select(F.max(F.size(list_col))).scalar()
+
+
+# ---- F1-F4: TF-IDF as scikit-learn defines it, in long form --------------------------------
+
+TOKEN_PATTERN = r"\b\w\w+\b"  # fixed value: tokens of two or more word characters
+DEFAULT_VOCAB = 400
+
+
+def block_terms(blocks: DataFrame, id_col: str = "block_id", list_col: str = "event_list") -> DataFrame:
+    """F1 + C10: (block, term) rows: the event list joined by spaces, lower-cased,
+    tokens of >= 2 word characters (single-character ids vanish, as in the reference)."""
+    sentence = F.lower(F.array_join(F.col(list_col), " "))
+    return blocks.select(id_col, F.explode(F.regexp_extract_all(sentence, F.lit(TOKEN_PATTERN), 0))
+                         .alias("term"))
+
+
+def fit_tfidf(terms: DataFrame, fit_ids: DataFrame, id_col: str = "block_id",
+              max_features: int = DEFAULT_VOCAB) -> DataFrame:
+    """F2 + F3 fit: vocabulary (top ``max_features`` by corpus count, ties by term) with
+    idf = ln((1 + n) / (1 + df)) + 1, n = number of fit documents.
+
+    Returns the model: (term, idx, idf) with at most ``max_features`` rows.
+    """
+    fit_terms = terms.join(fit_ids.select(id_col), id_col, "left_semi")
+    n_docs = fit_ids.select(F.count(F.lit(1))).scalar()
+    stats = fit_terms.groupBy("term").agg(F.count(F.lit(1)).alias("cnt"),
+                                          F.count_distinct(id_col).alias("df"))
+    vocab = stats.orderBy(F.col("cnt").desc(), F.col("term")).limit(max_features)
+    from blockwatch.operators.position import with_position
+    vocab = with_position(vocab.withColumn("_bw_neg", -F.col("cnt")), ["_bw_neg", "term"], name="idx")
+    idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    return vocab.select("term", "idx", idf.alias("idf"))
+
+
+def apply_tfidf(terms: DataFrame, model: DataFrame, id_col: str = "block_id") -> DataFrame:
+    """F3 transform: (block, term, idx, weight), L2-normalised per block over vocabulary terms.
+
+    The model has at most ``max_features`` rows and is broadcast.
+    """
+    tf = terms.join(F.broadcast(model), "term").groupBy(id_col, "term", "idx", "idf") \
+        .agg(F.count(F.lit(1)).alias("tf"))
+    w = tf.withColumn("w", F.col("tf") * F.col("idf"))
+    norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_bw_norm"))
+    return (w.join(norms, id_col)
+            .select(id_col, "term", "idx", (F.col("w") / F.col("_bw_norm")).alias("weight")))
+
+
+def densify(weights: DataFrame, ids: DataFrame, vocab_size: Column | int, id_col: str = "block_id",
+            out_col: str = "x") -> DataFrame:
+    """Dense vector of length V per block (V = vocabulary size, at most max_features);
+    blocks without vocabulary terms get the zero vector."""
+    v = F.lit(vocab_size) if isinstance(vocab_size, int) else vocab_size
+    m = weights.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("_bw_m"))
+    dense = ids.select(id_col).join(m, id_col, "left").select(
+        id_col, F.transform(F.sequence(F.lit(0), v - 1),
+                            lambda i: F.coalesce(F.col("_bw_m")[i.cast("bigint")], F.lit(0.0))).alias(out_col))
+    return dense
+
+
+# ---- F10 / F11: reconstruction error, mean form ------------------------------------------------
+
+def fit_mean_vector(weights: DataFrame, fit_ids: DataFrame, model: DataFrame,
+                    id_col: str = "block_id") -> DataFrame:
+    """F10 (rank 0): the mean TF-IDF vector of the fit rows, as (term, mu); absent = 0."""
+    n = fit_ids.select(F.count(F.lit(1))).scalar()
+    sums = weights.join(fit_ids.select(id_col), id_col, "left_semi").groupBy("term") \
+        .agg(F.sum("weight").alias("_bw_s"))
+    return model.select("term").join(sums, "term", "left") \
+        .select("term", (F.coalesce(F.col("_bw_s"), F.lit(0.0)) / n).alias("mu"))
+
+
+def mean_reconstruction_error(weights: DataFrame, ids: DataFrame, mu: DataFrame,
+                              id_col: str = "block_id") -> DataFrame:
+    """mean over the V vocabulary terms of (x - mu)^2, in long form:
+    (sum_present((w - mu)^2 - mu^2) + sum_all mu^2) / V. ``mu`` is vocabulary-sized."""
+    tot = mu.select(F.sum(F.col("mu") * F.col("mu"))).scalar()
+    v = mu.select(F.count(F.lit(1))).scalar()
+    part = (weights.join(F.broadcast(mu), "term")
+            .groupBy(id_col).agg(F.sum((F.col("weight") - F.col("mu")) ** 2 - F.col("mu") ** 2).alias("_bw_p")))
+    return (ids.select(id_col).join(part, id_col, "left")
+            .select(id_col, ((F.coalesce(F.col("_bw_p"), F.lit(0.0)) + tot) / v).alias("recon_error")))

@@ -89,3 +89,64 @@ def cascade_detector(blocks: DataFrame, block_lines: DataFrame, *, ratio: float
     test = parts["test"].join(scores, "block_id", "left")
     return R.verdict_cascade(test, parts["normal"], parts["abnormal"], parts["bad_sequences"],
                              threshold, inclusive=inclusive)
+
+
+# ---- P1: fusion detector --------------------------------------------------------------------
+
+from blockwatch.operators import evaluate as EV  # noqa: E402
+from blockwatch.operators import fusion as FU  # noqa: E402
+
+FUSION_CAPS = {1: 1000, 0: 1000}
+FUSION_K = 20
+
+
+def fusion_features(blocks: DataFrame, block_lines: DataFrame, *, ratio: float = 0.8,
+                    caps: dict[int, int] | None = None, seed: int = 42, k: int = FUSION_K,
+                    fit_scope: str = "train", max_features: int = FT.DEFAULT_VOCAB) -> DataFrame:
+    """Per block (block_id, split, label, prob, recon_error, e).
+
+    prob = G3 neighbour probability (k neighbours in a capped train container, all
+    blocks queried); e = F11 mean-form reconstruction error min-max scaled per split.
+    """
+    caps = caps or FUSION_CAPS
+    split = label_and_split(blocks, ratio).checkpoint(eager=True)
+    train = split.filter(F.col("split") == "train")
+    terms = FT.block_terms(split)
+    model = FT.fit_tfidf(terms, train if fit_scope == "train" else split, max_features=max_features)
+    weights = FT.apply_tfidf(terms, model)
+    mu = FT.fit_mean_vector(weights, train, model)
+    err = FT.mean_reconstruction_error(weights, split, mu)
+    err = FT.minmax_scale(split.select("block_id", "split", "label").join(err, "block_id"),
+                          "recon_error", group_col="split", out_col="e")
+    container = S.stratified_sample(train, "block_id", "label", caps, seed).checkpoint(eager=True)
+    _, nbrs = neighbor_scores(block_lines, split, container, k, sum(caps.values()))
+    prob = NB.normal_probability(nbrs).withColumnRenamed("query_id", "block_id")
+    return err.join(prob, "block_id").checkpoint(eager=True)
+
+
+def fit_fusion(features: DataFrame, sigmoid: bool = False) -> tuple[DataFrame, DataFrame]:
+    """T3 + T5/T6 on the train split: (weight row, threshold row)."""
+    train = features.filter(F.col("split") == "train")
+    wrow = FU.fit_fusion_weight(train, "prob", "e", "label", sigmoid=sigmoid)
+    w = wrow.select("w").scalar()
+    scored = train.withColumn("score", FU.fused_score(F.col("prob"), F.col("e"), w))
+    return wrow, FU.threshold_grid_search(scored, "score", "label")
+
+
+def fusion_predictions(features: DataFrame, sigmoid: bool = False) -> DataFrame:
+    """T7 on the test split: (block_id, label, score, pred)."""
+    wrow, trow = fit_fusion(features, sigmoid)
+    w, t = wrow.select("w").scalar(), trow.select("threshold").scalar()
+    test = features.filter(F.col("split") == "test")
+    scored = test.withColumn("score", FU.fused_score(F.col("prob"), F.col("e"), w))
+    return FU.predict(scored, "score", t).select("block_id", "label", "score", "pred")
+
+
+def fusion_detector(blocks: DataFrame, block_lines: DataFrame, **kw) -> DataFrame:
+    """Test-split metrics of the fused detector, with the fitted weight and threshold."""
+    feats = fusion_features(blocks, block_lines, **kw)
+    wrow, trow = fit_fusion(feats)
+    preds = fusion_predictions(feats)
+    return (EV.binary_metrics(preds, "label", "pred")
+            .withColumn("w", wrow.select("w").scalar())
+            .withColumn("threshold", trow.select("threshold").scalar()))
