@@ -150,3 +150,72 @@ def fusion_detector(blocks: DataFrame, block_lines: DataFrame, **kw) -> DataFram
     return (EV.binary_metrics(preds, "label", "pred")
             .withColumn("w", wrow.select("w").scalar())
             .withColumn("threshold", trow.select("threshold").scalar()))
+
+
+# ---- P2 / P4: pseudo-label detectors -------------------------------------------------------------
+
+from blockwatch.operators import pseudo as PS  # noqa: E402
+
+PSEUDO_SAMPLE = 10000
+PSEUDO_SAMPLE_SEED = 21
+PSEUDO_PERCENTILE = 70.0
+
+
+def pseudo_label_setup(blocks: DataFrame, block_lines: DataFrame, *, ratio: float = 0.8,
+                       k: int = FUSION_K, sample: int = PSEUDO_SAMPLE) -> dict[str, DataFrame]:
+    """K-means pseudo labels on a capped train sample, filtered by distance,
+    majority relabelled, halved per class into a container and a tuning set; then
+    neighbour probabilities (against the pseudo-labelled container) for every block.
+    """
+    split = label_and_split(blocks, ratio).checkpoint(eager=True)
+    emb = FT.embed_lines_to_blocks(block_lines)
+    train = split.filter(F.col("split") == "train").select("block_id").join(emb, "block_id")
+    picked = S.capped_sample(train, "block_id", sample, PSEUDO_SAMPLE_SEED)
+    clustered, centres = PS.kmeans_clusters(picked, k=2, seed=42)
+    dist = PS.centre_distance(clustered, centres)
+    kept = PS.percentile_filter(dist, "distance", PSEUDO_PERCENTILE)
+    labelled = PS.majority_relabel(kept)
+    roles = PS.half_split_by_class(labelled.select("block_id", "pseudo_label"), "block_id",
+                                   "pseudo_label").checkpoint(eager=True)
+    container = roles.filter(F.col("role") == "container").select(
+        "block_id", F.col("pseudo_label").alias("label"))
+    nbrs = NB.top_k_neighbors(split.select("block_id").join(emb, "block_id"),
+                              container.join(emb, "block_id"), k, max_rows=sample)
+    prob = NB.normal_probability(nbrs).withColumnRenamed("query_id", "block_id")
+    return {"split": split, "roles": roles, "prob": prob}
+
+
+def neighbor_only_detector(blocks: DataFrame, block_lines: DataFrame, **kw) -> DataFrame:
+    """Threshold search directly on the neighbour probability of the tuning half
+    (pseudo labels), applied to the test split (true labels)."""
+    parts = pseudo_label_setup(blocks, block_lines, **kw)
+    tuning = parts["roles"].filter(F.col("role") == "tuning").join(parts["prob"], "block_id")
+    trow = FU.threshold_grid_search(tuning, "prob", "pseudo_label")
+    t = trow.select("threshold").scalar()
+    test = parts["split"].filter(F.col("split") == "test").join(parts["prob"], "block_id")
+    preds = FU.predict(test, "prob", t)
+    return EV.binary_metrics(preds, "label", "pred").withColumn("threshold", t)
+
+
+def pseudo_label_detector(blocks: DataFrame, block_lines: DataFrame, **kw) -> DataFrame:
+    """Fusion with pseudo labels: sigmoid-BCE weight fit (T4) and threshold search on
+    the tuning half, evaluation on the test split with the true labels."""
+    parts = pseudo_label_setup(blocks, block_lines, **kw)
+    split = parts["split"]
+    train = split.filter(F.col("split") == "train")
+    terms = FT.block_terms(split)
+    model = FT.fit_tfidf(terms, train)
+    weights = FT.apply_tfidf(terms, model)
+    err = FT.mean_reconstruction_error(weights, split, FT.fit_mean_vector(weights, train, model))
+    err = FT.minmax_scale(split.select("block_id", "split", "label").join(err, "block_id"),
+                          "recon_error", group_col="split", out_col="e")
+    feats = err.join(parts["prob"], "block_id").checkpoint(eager=True)
+    tuning = parts["roles"].filter(F.col("role") == "tuning").select("block_id", "pseudo_label") \
+        .join(feats, "block_id")
+    w = FU.fit_fusion_weight(tuning, "prob", "e", "pseudo_label", sigmoid=True).select("w").scalar()
+    scored = tuning.withColumn("score", FU.fused_score(F.col("prob"), F.col("e"), w))
+    t = FU.threshold_grid_search(scored, "score", "pseudo_label").select("threshold").scalar()
+    test = feats.filter(F.col("split") == "test").withColumn(
+        "score", FU.fused_score(F.col("prob"), F.col("e"), w))
+    preds = FU.predict(test, "score", t)
+    return EV.binary_metrics(preds, "label", "pred").withColumn("w", w).withColumn("threshold", t)
