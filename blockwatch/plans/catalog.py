@@ -69,4 +69,4 @@ def sql(body: str, *ctes: str) -> str:
 
 
 # Import the modules that register queries (side effect: fills QUERIES/ORACLES).
-from blockwatch.plans import q_blocks, q_fusion, q_misc, q_rules, q_templates  # noqa: E402,F401
+from blockwatch.plans import q_blocks, q_fusion, q_misc, q_rules, q_stream, q_templates  # noqa: E402,F401
