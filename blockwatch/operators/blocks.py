@@ -10,11 +10,11 @@ bounded by the block size for fixed-count blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockwatch.functions.timefmt import micros
-from blockwatch.operators.position import ranged_partitions, with_position
+from blockwatch.operators.position import forward_fill, with_position
 
 CONTENT_SEP = " | "
 
@@ -168,31 +168,12 @@ def idle_gap_sessions(lines: DataFrame, key: str, ts_col: str, gap_s: float,
     # each line joins to the start with the largest start position <= its own;
     # equality on the start position after a per-key running max keeps it an equi-join
     marked = starts.withColumn("_bw_spos", F.when(F.col("_bw_start"), F.col("_bw_kpos")))
-    marked = _forward_fill(marked, "_bw_spos", "_bw_kpos")
+    marked = forward_fill(marked, "_bw_spos", "_bw_kpos")
     out = marked.join(start_rank.select("_bw_spos", "_bw_snum"), "_bw_spos")
     ids = dense_ids(out, ["_bw_snum"], [pos_col], id_col=id_col)
     return ids.drop("_bw_kpos", "_bw_pk", "_bw_pus", "_bw_start", "_bw_spos", "_bw_snum")
 
 
-def _forward_fill(df: DataFrame, value_col: str, order_col: str) -> DataFrame:
-    """Carry the last non-null ``value_col`` forward in global ``order_col`` order.
-
-    ``value_col`` must be non-decreasing where set. Range-partition on the order
-    column (checkpointed), fill inside each partition, then fill each partition's
-    leading gap from the largest value of earlier partitions (one row per partition).
-    """
-    ranged = ranged_partitions(df, [order_col])
-    w_local = (Window.partitionBy("_bw_part").orderBy("_bw_local")
-               .rowsBetween(Window.unboundedPreceding, 0))
-    local = ranged.withColumn("_bw_ff", F.last(value_col, ignorenulls=True).over(w_local))
-    tails = ranged.groupBy("_bw_part").agg(F.max(value_col).alias("_bw_tail"))
-    carry = tails.select("_bw_part", F.max("_bw_tail").over(
-        Window.orderBy("_bw_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_bw_carry"))
-    return (local.join(F.broadcast(carry), "_bw_part")
-            .withColumn(value_col, F.coalesce("_bw_ff", "_bw_carry"))
-            .drop("_bw_part", "_bw_local", "_bw_ff", "_bw_carry"))
-
-
 def gap_to_previous_in_block(rows: DataFrame, block_col: str = "block_id", pos_col: str = "pos",
                              ts_col: str = "ts", out: str = "interval_s") -> DataFrame:
     """C4 per row: seconds since the previous row of the same block (0.0 for the first

@@ -145,3 +145,54 @@ def mean_reconstruction_error(weights: DataFrame, ids: DataFrame, mu: DataFrame,
             .groupBy(id_col).agg(F.sum((F.col("weight") - F.col("mu")) ** 2 - F.col("mu") ** 2).alias("_bw_p")))
     return (ids.select(id_col).join(part, id_col, "left")
             .select(id_col, ((F.coalesce(F.col("_bw_p"), F.lit(0.0)) + tot) / v).alias("recon_error")))
+
+
+# ---- F10 (PCA form) and F7 (Word2Vec option): Spark ML ----------------------------------------
+
+def pca_reconstruction_error(dense: DataFrame, fit_ids: DataFrame, k: int = 32, id_col: str = "block_id",
+                             x_col: str = "x") -> DataFrame:
+    """F10/F11, PCA form: components from the fit rows (Spark ML PCA; the covariance is
+    d x d with d = vocabulary size <= max_features), mu = mean of the fit rows, and
+    error = mean((x - (mu + V V^T (x - mu)))^2) per row.
+
+    Spark's PCA ``transform`` does not centre, so centring is done here. The model
+    (d x k plus d values) is broadcast into one ``mapInPandas`` pass over the rows.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import types as T
+
+    fit = dense.join(fit_ids.select(id_col), id_col, "left_semi")
+    dim = len(dense.select(x_col).first()[0])
+    kk = max(1, min(k, dim))
+    model = PCA(k=kk, inputCol="_bw_v", outputCol="_bw_p").fit(fit.select(array_to_vector(x_col).alias("_bw_v")))
+    comps = model.pc.toArray()  # d x k
+    mu = np.array(fit.agg(*[F.avg(F.col(x_col)[j]) for j in range(dim)]).first(), dtype=np.float64)
+    bc = dense.sparkSession.sparkContext.broadcast((comps, mu))
+
+    def err(batches):
+        v, m = bc.value
+        for pdf in batches:
+            x = np.stack([np.asarray(a, dtype=np.float64) for a in pdf[x_col]]) if len(pdf) else np.zeros((0, len(m)))
+            c = x - m
+            xhat = m + (c @ v) @ v.T
+            yield pd.DataFrame({id_col: pdf[id_col].values, "recon_error": ((x - xhat) ** 2).mean(axis=1)})
+
+    schema = T.StructType([dense.schema[id_col], T.StructField("recon_error", T.DoubleType())])
+    return dense.select(id_col, x_col).mapInPandas(err, schema)
+
+
+def word2vec_block_embeddings(blocks: DataFrame, fit_ids: DataFrame, id_col: str = "block_id",
+                              content_col: str = "content", dim: int = 32, seed: int = 42,
+                              out_col: str = "embedding") -> DataFrame:
+    """F7, trained option: Spark ML Word2Vec fitted on the fit blocks' tokens; a block
+    vector is the mean of its token vectors (Word2Vec's transform)."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+    from blockwatch.functions.text import tokens as tok
+    docs = blocks.select(id_col, tok(content_col).alias("_bw_tok"))
+    w2v = Word2Vec(vectorSize=dim, minCount=1, seed=seed, inputCol="_bw_tok", outputCol="_bw_vec")
+    model = w2v.fit(docs.join(fit_ids.select(id_col), id_col, "left_semi"))
+    return model.transform(docs).select(id_col, vector_to_array("_bw_vec").alias(out_col))

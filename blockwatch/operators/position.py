@@ -3,71 +3,129 @@
 A DataFrame has no order, so every positional operation of the log model
 (fixed-count blocks, head/tail splits) goes through an explicit order key.
 
-``with_position`` numbers rows 0..n-1 by a total order without moving all rows
-to one task: the rows are range-partitioned on the (unique) order key, sorted
-inside each partition, numbered locally, and shifted by the row count of all
-earlier partitions. Because the order key is unique, range partitioning splits
-even a single hot timestamp or user across tasks. The partition-count table is
-as small as the number of partitions and is the only thing broadcast.
+``with_position`` numbers rows 0..n-1 by a total (unique) order without moving
+all rows to one task and without materialising anything:
+
+1. range bounds for the order key come from one seeded sample and are embedded
+   in the plan as literals; each row's bucket is a pure function of its key
+   (a binary-search ``CASE`` tree, log2(buckets) comparisons per row);
+2. rows are numbered inside their bucket (``row_number`` over a window
+   partitioned by bucket: sort-based, spills, one bucket per task);
+3. each bucket is shifted by the row count of all earlier buckets, from a count
+   table with one row per bucket (the only thing broadcast).
+
+Because the bucket is a function of the key, every branch of the plan and every
+re-execution after a lost executor agrees on it. Because the key is unique,
+quantile buckets are balanced even when one timestamp, user, or session holds a
+large share of the rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blockwatch.session import ensure_checkpoint_dir
 
-_LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
+SAMPLES_PER_BUCKET = 64
+SINGLE_BUCKET_ROWS = 1_000_000  # at or below this, one sorted bucket is cheaper than sampling
+_LOCAL_BITS = 33
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def single_bucket_rows() -> int:
+    """Row count up to which a single sorted bucket is used (overridable for tests)."""
+    return SINGLE_BUCKET_ROWS
 
 
-def ranged_partitions(df: DataFrame, order_cols: list[str | Column],
-                      num_partitions: int | None = None) -> DataFrame:
-    """Range-partition on ``order_cols``, sort inside partitions, and tag each row with
-    its partition (``_bw_part``) and index inside it (``_bw_local``).
+def _buckets(df: DataFrame, num_buckets: int | None) -> int:
+    if num_buckets:
+        return int(num_buckets)
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    Range bounds are sampled, so two evaluations of the same plan may cut the data
-    differently. The result is therefore checkpointed (reliable, in the shared
-    ``spark.checkpoint.dir``): every later branch reads one fixed partitioning, and
-    a lost executor re-reads it instead of re-sampling.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    n = _partitions(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *order_cols)
-              .sortWithinPartitions(*order_cols)
-              .withColumn("_bw_mid", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True)
-    return (ranged
-            .withColumn("_bw_part", F.shiftright("_bw_mid", _LOCAL_BITS))
-            .withColumn("_bw_local", F.col("_bw_mid").bitwiseAND((1 << _LOCAL_BITS) - 1))
-            .drop("_bw_mid"))
-
-
-def partition_offsets(counts: DataFrame, value: str, out: str) -> DataFrame:
-    """Exclusive prefix sum of ``value`` over ``_bw_part`` (one row per partition)."""
-    return counts.select(
-        "_bw_part",
-        F.coalesce(F.sum(value).over(
-            Window.orderBy("_bw_part").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0)).alias(out))
-
-
-def with_position(df: DataFrame, order_cols: list[str | Column], name: str = "pos",
+
+def _sortable(df: DataFrame, name: str) -> Column:
+    """An expression that orders like ``name`` and has a plain literal type."""
+    dtype = df.schema[name].dataType
+    col = F.col(name)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(col.cast("timestamp"))
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(col)
+    return col
+
+
+def _le(bound: tuple, keys: list[Column]) -> Column:
+    """bound <= keys, lexicographically."""
+    expr = F.lit(bound[-1]) <= keys[-1]
+    for b, k in zip(reversed(bound[:-1]), reversed(keys[:-1])):
+        expr = (F.lit(b) < k) | ((F.lit(b) == k) & expr)
+    return expr
+
+
+def _bucket_tree(bounds: list[tuple], keys: list[Column], lo: int, hi: int) -> Column:
+    """Number of bounds <= keys, for bounds[lo:hi] (binary search as nested CASE)."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(_le(bounds[mid], keys), _bucket_tree(bounds, keys, mid + 1, hi)) \
+        .otherwise(_bucket_tree(bounds, keys, lo, mid))
+
+
+def bucketed(df: DataFrame, order_cols: list[str], num_buckets: int | None = None,
+             seed: int = 7) -> DataFrame:
+    """Add ``_bw_bucket``: a range bucket of the (unique, non-null) order key that
+    is a deterministic function of the key."""
+    keys = [_sortable(df, c) for c in order_cols]
+    key_df = df.select(*[k.alias(f"_bw_k{i}") for i, k in enumerate(keys)])
+    n_rows = key_df.count()
+    n = _buckets(df, num_buckets)
+    if n <= 1 or n_rows <= single_bucket_rows():
+        return df.withColumn("_bw_bucket", F.lit(0))
+    fraction = min(1.0, n * SAMPLES_PER_BUCKET / max(n_rows, 1))
+    sample = sorted(tuple(r) for r in key_df.sample(False, fraction, seed).collect())
+    if not sample:
+        return df.withColumn("_bw_bucket", F.lit(0))
+    bounds = []
+    for i in range(1, n):
+        b = sample[min(len(sample) - 1, (i * len(sample)) // n)]
+        if not bounds or b > bounds[-1]:
+            bounds.append(b)
+    return df.withColumn("_bw_bucket", _bucket_tree(bounds, keys, 0, len(bounds)))
+
+
+def _offsets(counts: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Exclusive prefix sum of ``value`` over ``key`` (a table with one row per bucket)."""
+    return counts.select(key, F.coalesce(F.sum(value).over(
+        Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(out))
+
+
+def with_position(df: DataFrame, order_cols: list[str], name: str = "pos",
                   num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 0-based rank of each row under ``order_cols`` (must be unique)."""
-    ranged = ranged_partitions(df, order_cols, num_partitions)
-    counts = ranged.groupBy("_bw_part").agg(F.count(F.lit(1)).alias("_bw_n"))
-    # One row per partition: the unpartitioned window and the broadcast are bounded by n.
-    offsets = partition_offsets(counts, "_bw_n", "_bw_off")
-    return (ranged.join(F.broadcast(offsets), "_bw_part")
-            .withColumn(name, (F.col("_bw_off") + F.col("_bw_local")).cast("bigint"))
-            .drop("_bw_part", "_bw_local", "_bw_off"))
+    """Add ``name`` = 0-based rank of each row under ``order_cols`` (unique, non-null)."""
+    b = bucketed(df, order_cols, num_partitions)
+    counts = b.groupBy("_bw_bucket").agg(F.count(F.lit(1)).alias("_bw_n"))
+    offsets = _offsets(counts, "_bw_bucket", "_bw_n", "_bw_off")
+    w = Window.partitionBy("_bw_bucket").orderBy(*order_cols)
+    numbered = b.withColumn("_bw_rn", F.row_number().over(w))
+    return (numbered.join(F.broadcast(offsets), "_bw_bucket")
+            .withColumn(name, (F.col("_bw_off") + F.col("_bw_rn") - 1).cast("bigint"))
+            .drop("_bw_bucket", "_bw_rn", "_bw_off"))
+
+
+def forward_fill(df: DataFrame, value_col: str, order_col: str) -> DataFrame:
+    """Carry the last non-null ``value_col`` forward in global ``order_col`` order
+    (``value_col`` non-decreasing where set): filled inside each bucket, and each
+    bucket's leading gap filled from the largest value of earlier buckets."""
+    b = bucketed(df, [order_col])
+    w = Window.partitionBy("_bw_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = b.withColumn("_bw_ff", F.last(value_col, ignorenulls=True).over(w))
+    tails = b.groupBy("_bw_bucket").agg(F.max(value_col).alias("_bw_tail"))
+    carry = tails.select("_bw_bucket", F.max("_bw_tail").over(
+        Window.orderBy("_bw_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_bw_carry"))
+    return (local.join(F.broadcast(carry), "_bw_bucket")
+            .withColumn(value_col, F.coalesce("_bw_ff", "_bw_carry"))
+            .drop("_bw_bucket", "_bw_ff", "_bw_carry"))
 
 
 def row_count(df: DataFrame) -> Column:
@@ -104,3 +162,7 @@ def split_hash(df: DataFrame, id_col: str, ratio: float, seed: int = 42,
     return (ranked.withColumn(split_col, F.when(F.col("_bw_hpos") < cut, F.lit("train"))
                               .otherwise(F.lit("test")))
             .drop("_bw_h", "_bw_hpos"))
+
+
+__all__ = ["bucketed", "ensure_checkpoint_dir", "forward_fill", "row_count", "split_hash",
+           "split_positional", "tail_slice", "with_position"]

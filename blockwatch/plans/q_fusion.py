@@ -280,3 +280,22 @@ def l2_normalize(spark, sf):
     n = lists.l2_normalize("embedding")
     return v.select("vec_id", r6(F.aggregate(n, F.lit(0.0), lambda a, x: a + x)).alias("sum_unit"),
                     r6(lists.l2_norm(n)).alias("norm"))
+
+
+@register("recon_error_pca")
+def recon_error_pca(spark, sf):
+    split, train, terms, model = _tfidf(spark, sf)
+    w = FT.apply_tfidf(terms, model)
+    x = FT.densify(w, split, model.count())
+    err = FT.pca_reconstruction_error(x, train, k=32)
+    return split.select("block_id", "split").join(err, "block_id").select(
+        F.col("block_id").cast("bigint"), "split", r6("recon_error").alias("recon_error"))
+
+
+@register("embed_blocks_w2v")
+def embed_blocks_w2v(spark, sf):
+    split, _ = _fine(spark, sf)
+    train = split.filter(F.col("split") == "train")
+    emb = FT.word2vec_block_embeddings(split, train)
+    return emb.select(F.col("block_id").cast("bigint"), F.size("embedding").cast("bigint").alias("dim"),
+                      r6(lists.l2_norm("embedding")).alias("norm"))

@@ -253,9 +253,34 @@ def test_hashed_vector(spark):
 
 
 @pytest.mark.parametrize("parts", [1, 4, 37])
-def test_position_partition_independent(spark, parts):
-    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), F.col("id"))
+def test_position_partition_independent(spark, parts, monkeypatch):
+    from blockwatch.operators import position as P
+    monkeypatch.setattr(P, "SINGLE_BUCKET_ROWS", 10)  # force the sampled multi-bucket path
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), F.col("id")).repartition(7)
     pos = with_position(df, ["k", "id"], num_partitions=parts)
     rows = pos.select("k", "pos").collect()
     assert sorted(r.pos for r in rows) == list(range(1000))
     assert all(r.pos == r.k for r in rows)
+
+
+def test_position_with_hot_key_and_timestamps(spark, monkeypatch):
+    from blockwatch.operators import position as P
+    monkeypatch.setattr(P, "SINGLE_BUCKET_ROWS", 10)
+    base = dt.datetime(2024, 1, 1)
+    # a third of the rows share one timestamp: the unique (ts, id) key still splits them
+    rows = [(i, base if i % 3 == 0 else base + dt.timedelta(seconds=i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz")
+    got = {r.id: r.pos for r in with_position(df, ["ts", "id"], num_partitions=16).collect()}
+    want = {i: p for p, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert got == want
+    b = P.bucketed(df, ["ts", "id"], 16)
+    sizes = [r["count"] for r in b.groupBy("_bw_bucket").count().collect()]
+    assert max(sizes) < 200
+
+
+def test_forward_fill(spark, monkeypatch):
+    from blockwatch.operators import position as P
+    monkeypatch.setattr(P, "SINGLE_BUCKET_ROWS", 10)
+    df = spark.range(300).select("id", F.when(F.col("id") % 50 == 0, F.col("id")).alias("v"))
+    got = {r.id: r.v for r in P.forward_fill(df, "v", "id").collect()}
+    assert all(got[i] == (i // 50) * 50 for i in range(300))
