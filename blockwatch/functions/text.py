@@ -15,7 +15,7 @@ def _c(x: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Whitespace tokens of the lower-cased text, empty strings removed. Whole text, no cap."""
-    return F.filter(F.split(F.lower(_c(text)), WHITESPACE), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_c(text)), WHITESPACE), "")
 
 
 def hashed_sum(tok: Column) -> Column:

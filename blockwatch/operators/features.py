@@ -10,33 +10,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockwatch.functions.text import HASH_DIM, hashed_sum, tokens
+from blockwatch.functions.text import HASH_DIM, tokens
 
 # ---- F7: hashed block embedding ------------------------------------------------------
 
 
+def _hash_chunks(tok_col: str) -> list[Column]:
+    """The md5 hex digest of a token as four 32-bit integers (projected once per token)."""
+    h = F.md5(F.col(tok_col))
+    return [F.conv(F.substring(h, 8 * c + 1, 8), 16, 10).cast("long").alias(f"_bw_c{c}") for c in range(4)]
+
+
+def _digit_sums(tok_col: str) -> list[Column]:
+    """32 codegen-friendly sums of hashed token dimensions over rows carrying
+    ``_hash_chunks``: hex digit j is ``(chunk >> 4 * (7 - j % 8)) & 15``; rows
+    without a token add nothing."""
+    out = []
+    for j in range(HASH_DIM):
+        digit = F.shiftright(F.col(f"_bw_c{j // 8}"), 4 * (7 - j % 8)).bitwiseAND(15).cast("double")
+        out.append(F.coalesce(F.sum((digit - 7.5) / 7.5), F.lit(0.0)).alias(f"_bw_d{j}"))
+    return out
+
+
+def _mean_vector(n: Column) -> Column:
+    return F.array(*[F.when(n > 0, F.col(f"_bw_d{j}") / n).otherwise(F.lit(0.0)) for j in range(HASH_DIM)])
+
+
 def embed_lines_to_blocks(lines: DataFrame, block_col: str = "block_id", content_col: str = "content",
                           out_col: str = "embedding") -> DataFrame:
     """mean hashed token vector over all tokens of all member lines (whole texts).
 
-    Lines are reduced to (block, 32 partial sums, token count) and summed per block
-    with partial aggregation; a block with no tokens gets the zero vector.
+    Tokens are exploded inside the scan stage and reduced per block by 32 sums and
+    a count with partial aggregation: a block of any size is never gathered into
+    one row, and every expression stays in whole-stage codegen. A block with no
+    tokens gets the zero vector.
     """
-    tok = lines.select(block_col, tokens(content_col).alias("_bw_tok"))
-    per_line = tok.select(block_col, hashed_sum(F.col("_bw_tok")).alias("_bw_s"),
-                          F.size("_bw_tok").alias("_bw_n"))
-    aggs = [F.sum(F.col("_bw_s")[j]).alias(f"_bw_d{j}") for j in range(HASH_DIM)]
-    summed = per_line.groupBy(block_col).agg(*aggs, F.sum("_bw_n").alias("_bw_n"))
-    n = F.col("_bw_n")
-    vec = F.array(*[F.when(n > 0, F.col(f"_bw_d{j}") / n).otherwise(F.lit(0.0)) for j in range(HASH_DIM)])
-    return summed.select(block_col, vec.alias(out_col))
+    tok = lines.select(block_col, F.explode_outer(tokens(content_col)).alias("_bw_t"))
+    tok = tok.select(block_col, "_bw_t", *_hash_chunks("_bw_t"))
+    summed = tok.groupBy(block_col).agg(*_digit_sums("_bw_t"), F.count("_bw_t").alias("_bw_n"))
+    return summed.select(block_col, _mean_vector(F.col("_bw_n")).alias(out_col))
 
 
 def embed_texts(df: DataFrame, id_col: str, text_col: str, out_col: str = "embedding") -> DataFrame:
-    """F7 for whole documents. Equal texts are embedded once and joined back."""
-    from blockwatch.functions.text import hashed_vector
-    distinct = df.select(text_col).distinct().withColumn(out_col, hashed_vector(text_col))
-    return df.select(id_col, text_col).join(distinct, text_col).select(id_col, out_col)
+    """F7 for whole documents: mean hashed token vector of each text, all tokens."""
+    tok = df.select(id_col, F.explode_outer(tokens(text_col)).alias("_bw_t"))
+    tok = tok.select(id_col, "_bw_t", *_hash_chunks("_bw_t"))
+    summed = tok.groupBy(id_col).agg(*_digit_sums("_bw_t"), F.count("_bw_t").alias("_bw_n"))
+    return summed.select(id_col, _mean_vector(F.col("_bw_n")).alias(out_col))
 
 
 # ---- F13 ----------------------------------------------------------------------------------
@@ -196,3 +216,10 @@ def word2vec_block_embeddings(blocks: DataFrame, fit_ids: DataFrame, id_col: str
     w2v = Word2Vec(vectorSize=dim, minCount=1, seed=seed, inputCol="_bw_tok", outputCol="_bw_vec")
     model = w2v.fit(docs.join(fit_ids.select(id_col), id_col, "left_semi"))
     return model.transform(docs).select(id_col, vector_to_array("_bw_vec").alias(out_col))
+
+
+# Python task bodies in this module travel with the task (see session.ship_by_value).
+from blockwatch.session import ship_by_value  # noqa: E402
+
+ship_by_value(__name__)
+

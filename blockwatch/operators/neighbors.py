@@ -150,3 +150,10 @@ def anomaly_percent(nbrs: DataFrame) -> DataFrame:
 def similarity_profile(nbrs: DataFrame) -> DataFrame:
     """Neighbour similarities sorted ascending."""
     return nbrs.select("query_id", F.sort_array("nbr_sims").alias("similarities"))
+
+
+# Python task bodies in this module travel with the task (see session.ship_by_value).
+from blockwatch.session import ship_by_value  # noqa: E402
+
+ship_by_value(__name__)
+

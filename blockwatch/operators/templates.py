@@ -28,9 +28,14 @@ DEFAULT_ST = 0.8
 DEFAULT_DEPTH = 4  # tree depth 4 -> depth - 2 = 2 leading tokens in the group key
 
 
+# A token (maximal run of non-whitespace) that contains a digit.
+DIGIT_TOKEN = r"[^ \t\n\r\f]*[0-9][^ \t\n\r\f]*"
+
+
 def masked_tokens(content_col: str) -> F.Column:
-    toks = F.filter(F.split(mask_variables(content_col), WHITESPACE), lambda t: t != "")
-    return F.transform(toks, lambda t: F.when(t.rlike("[0-9]"), F.lit(MASK_TOKEN)).otherwise(t))
+    """Steps 1-3: IP masks, then every digit-bearing token -> '<*>', then whitespace split."""
+    masked = F.regexp_replace(mask_variables(content_col), DIGIT_TOKEN, MASK_TOKEN)
+    return F.array_remove(F.split(masked, WHITESPACE), "")
 
 
 def _group_key(n_lead: int) -> F.Column:
@@ -42,10 +47,15 @@ def _group_key(n_lead: int) -> F.Column:
 
 def mine_templates(lines: DataFrame, content_col: str = "content", st: float = DEFAULT_ST,
                    depth: int = DEFAULT_DEPTH, out_col: str = "template") -> DataFrame:
-    """Add ``template`` to every line."""
+    """Add ``template`` to every line.
+
+    Masking and tokenising are plain expressions in the scan stage. Position
+    statistics are computed on distinct masked lines (logs repeat heavily after
+    masking), and lines meet the result through a table with one row per group,
+    which AQE broadcasts when it is small.
+    """
     n_lead = max(depth - 2, 0)
     tok = (lines.withColumn("_bw_toks", masked_tokens(content_col))
-           .withColumn("_bw_masked", F.array_join("_bw_toks", " "))
            .withColumn("_bw_g", _group_key(n_lead)))
     distinct_lines = tok.select("_bw_g", "_bw_toks").distinct()
     pos_stats = (distinct_lines.select("_bw_g", F.posexplode("_bw_toks").alias("_bw_i", "_bw_t"))
@@ -61,8 +71,8 @@ def mine_templates(lines: DataFrame, content_col: str = "content", st: float = D
     n = F.size("_bw_toks")
     template = (F.when(n == 0, F.lit(""))
                 .when(F.col("_bw_kept") / n >= F.lit(float(st)), F.col("_bw_gtpl"))
-                .otherwise(F.col("_bw_masked")))
-    return out.withColumn(out_col, template).drop("_bw_toks", "_bw_masked", "_bw_g", "_bw_kept", "_bw_gtpl")
+                .otherwise(F.array_join("_bw_toks", " ")))
+    return out.withColumn(out_col, template).drop("_bw_toks", "_bw_g", "_bw_kept", "_bw_gtpl")
 
 
 def event_id(template_col: str = "template") -> F.Column:

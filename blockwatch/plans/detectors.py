@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,8 @@ def preprocess(raw: DataFrame, block_size: int = 20, st: float = TP.DEFAULT_ST,
     parsed = (raw.filter(parsing.is_log_line("value"))
               .select("line_no", parsing.parse_log_line("value").alias("p"))
               .select("line_no", "p.ts", "p.level", "p.content", "p.status"))
-    mined = TP.mine_templates(parsed)
+    # Read by the dictionary and by the join below; deterministic, so a cached copy is safe.
+    mined = TP.mine_templates(parsed).persist(StorageLevel.MEMORY_AND_DISK)
     ids = TP.number_templates(TP.template_dictionary(mined)).select("template", "template_id")
     lines = mined.join(ids, "template")
     lines = with_position(lines, ["line_no"])

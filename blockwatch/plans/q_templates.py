@@ -51,7 +51,8 @@ def _parsed(spark, sf):
 
 
 def _mined(spark, sf):
-    return TP.mine_templates(_parsed(spark, sf))
+    from pyspark import StorageLevel
+    return TP.mine_templates(_parsed(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @register("mine_templates", sql("SELECT line_no, template FROM v_mined", "v_mined"))

@@ -62,3 +62,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/blockwatch/{name}-{uuid.uuid4().hex}"
+
+
+def ship_by_value(module_name: str) -> None:
+    """Pickle the named module's functions by value, so Python tasks that use them
+    (``mapInPandas`` bodies) run on executors that do not have this package installed."""
+    import importlib
+
+    from pyspark import cloudpickle
+
+    try:
+        cloudpickle.register_pickle_by_value(importlib.import_module(module_name))
+    except ValueError:  # already registered
+        pass

@@ -7,6 +7,7 @@ grows with the input and keeps pushdown/pruning.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,11 @@ def lines(spark: SparkSession, sf_dir: str, with_pos: bool = True) -> DataFrame:
                F.concat_ws(":", "event_type", (F.col("k") / 25).cast("int").cast("string")).alias("coarse"),
                F.concat_ws(" ", "event_type", F.lit("user"), F.col("user_id").cast("string"),
                            F.lit("k"), F.col("k").cast("string")).alias("content")))
-    return with_position(out, ["ts", "line_no"]) if with_pos else out
+    if not with_pos:
+        return out
+    # Positions are a deterministic function of the data, so a cached copy that
+    # loses a partition recomputes to the same rows; several branches read it.
+    return with_position(out, ["ts", "line_no"]).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 # Fixed mapping used to render events as log levels.
@@ -87,7 +92,7 @@ def blocks20(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
 def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of V_lines with their (user_id, date) session block id (ordered by first line)."""
     ln = lines(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    return key_blocks(ln, ["user_id", "day"])
+    return key_blocks(ln, ["user_id", "day"]).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,3 +141,8 @@ def stream_of(spark: SparkSession, path: str, schema: T.StructType | None = None
     return spark.readStream.schema(schema).parquet(path)
 
 
+# Python task bodies in this module travel with the task (see session.ship_by_value).
+from blockwatch.session import ship_by_value  # noqa: E402
+
+ship_by_value(__name__)
+
