@@ -197,3 +197,19 @@ def annotate_rows(rows: DataFrame, blocks: DataFrame, block_col: str = "block_id
                   attrs: tuple[str, ...] = ("status",)) -> DataFrame:
     """Copy block attributes back onto each member row (join on the block id)."""
     return rows.join(blocks.select(block_col, *attrs), block_col)
+
+
+def block_status(rows: DataFrame, normal: Column, block_col: str = "block_id",
+                 pos_col: str = "pos") -> DataFrame:
+    """B5 without the list columns: (block, status, n_lines, first_pos), all decomposable."""
+    return rows.groupBy(block_col).agg(all_normal(normal).alias("status"),
+                                       F.count(F.lit(1)).alias("n_lines"),
+                                       F.min(pos_col).alias("first_pos"))
+
+
+def ordered_lists(rows: DataFrame, block_col: str = "block_id", pos_col: str = "pos",
+                  template_col: str = "template") -> DataFrame:
+    """B6 for a chosen set of blocks: the ordered template list of each block."""
+    return rows.groupBy(block_col).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(template_col).alias("t"))))
+        ["t"].alias("event_list"))

@@ -223,3 +223,10 @@ from blockwatch.session import ship_by_value  # noqa: E402
 
 ship_by_value(__name__)
 
+
+
+def terms_from_lines(lines: DataFrame, block_col: str = "block_id", template_col: str = "template") -> DataFrame:
+    """F1 from lines: the same (block, term) rows as ``block_terms`` on the joined event
+    list (a space separates templates, so no token spans two), without gathering a block."""
+    return lines.select(block_col, F.explode(F.regexp_extract_all(F.lower(F.col(template_col)),
+                                                                  F.lit(TOKEN_PATTERN), 0)).alias("term"))

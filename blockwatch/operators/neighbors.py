@@ -94,12 +94,13 @@ def top_k_neighbors(queries: DataFrame, container: DataFrame, k: int, *, id_col:
     """
     spark = queries.sparkSession
     cid = container_id_col or id_col
-    n_rows = container.count()
+    # One small job: row count and vector width, to check the bound and pick the path.
+    stats = container.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+    n_rows, dim = int(stats["n"]), int(stats["d"] or 0)
     if n_rows > max_rows:
         raise ValueError(f"container has {n_rows} rows, above its bound {max_rows}")
     if n_rows == 0:
         return spark.createDataFrame([], NEIGHBOR_SCHEMA)
-    dim = container.select(F.max(F.size(vec_col))).first()[0] or 0
     row_bytes = max(dim, 1) * 8 + 16
     chunk_rows = max(1, max_broadcast_bytes // row_bytes)
     q = queries.select(id_col, vec_col)

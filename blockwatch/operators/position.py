@@ -72,26 +72,35 @@ def _bucket_tree(bounds: list[tuple], keys: list[Column], lo: int, hi: int) -> C
         .otherwise(_bucket_tree(bounds, keys, lo, mid))
 
 
-def bucketed(df: DataFrame, order_cols: list[str], num_buckets: int | None = None,
-             seed: int = 7) -> DataFrame:
-    """Add ``_bw_bucket``: a range bucket of the (unique, non-null) order key that
-    is a deterministic function of the key."""
+def plan_buckets(df: DataFrame, order_cols: list[str], num_buckets: int | None = None,
+                 seed: int = 7) -> Column | None:
+    """A range-bucket expression for the (unique) order key, a deterministic function of
+    the key built from one seeded sample; ``None`` when one bucket suffices (at most
+    ``single_bucket_rows()`` rows, checked by the count)."""
     keys = [_sortable(df, c) for c in order_cols]
     key_df = df.select(*[k.alias(f"_bw_k{i}") for i, k in enumerate(keys)])
     n_rows = key_df.count()
     n = _buckets(df, num_buckets)
     if n <= 1 or n_rows <= single_bucket_rows():
-        return df.withColumn("_bw_bucket", F.lit(0))
+        return None
     fraction = min(1.0, n * SAMPLES_PER_BUCKET / max(n_rows, 1))
     sample = sorted(tuple(r) for r in key_df.sample(False, fraction, seed).collect())
-    if not sample:
-        return df.withColumn("_bw_bucket", F.lit(0))
     bounds = []
     for i in range(1, n):
+        if not sample:
+            break
         b = sample[min(len(sample) - 1, (i * len(sample)) // n)]
         if not bounds or b > bounds[-1]:
             bounds.append(b)
-    return df.withColumn("_bw_bucket", _bucket_tree(bounds, keys, 0, len(bounds)))
+    if not bounds:
+        return None
+    return _bucket_tree(bounds, keys, 0, len(bounds))
+
+
+def bucketed(df: DataFrame, order_cols: list[str], num_buckets: int | None = None) -> DataFrame:
+    """Add ``_bw_bucket`` (0 for every row when one bucket suffices)."""
+    expr = plan_buckets(df, order_cols, num_buckets)
+    return df.withColumn("_bw_bucket", expr if expr is not None else F.lit(0))
 
 
 def _offsets(counts: DataFrame, key: str, value: str, out: str) -> DataFrame:
@@ -103,7 +112,11 @@ def _offsets(counts: DataFrame, key: str, value: str, out: str) -> DataFrame:
 def with_position(df: DataFrame, order_cols: list[str], name: str = "pos",
                   num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based rank of each row under ``order_cols`` (unique, non-null)."""
-    b = bucketed(df, order_cols, num_partitions)
+    expr = plan_buckets(df, order_cols, num_partitions)
+    if expr is None:
+        # At most single_bucket_rows() rows (checked): one sorted window, no offsets.
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order_cols)) - 1).cast("bigint"))
+    b = df.withColumn("_bw_bucket", expr)
     counts = b.groupBy("_bw_bucket").agg(F.count(F.lit(1)).alias("_bw_n"))
     offsets = _offsets(counts, "_bw_bucket", "_bw_n", "_bw_off")
     w = Window.partitionBy("_bw_bucket").orderBy(*order_cols)
@@ -117,7 +130,11 @@ def forward_fill(df: DataFrame, value_col: str, order_col: str) -> DataFrame:
     """Carry the last non-null ``value_col`` forward in global ``order_col`` order
     (``value_col`` non-decreasing where set): filled inside each bucket, and each
     bucket's leading gap filled from the largest value of earlier buckets."""
-    b = bucketed(df, [order_col])
+    expr = plan_buckets(df, [order_col])
+    if expr is None:
+        w1 = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(value_col, F.last(value_col, ignorenulls=True).over(w1))
+    b = df.withColumn("_bw_bucket", expr)
     w = Window.partitionBy("_bw_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     local = b.withColumn("_bw_ff", F.last(value_col, ignorenulls=True).over(w))
     tails = b.groupBy("_bw_bucket").agg(F.max(value_col).alias("_bw_tail"))
@@ -164,5 +181,5 @@ def split_hash(df: DataFrame, id_col: str, ratio: float, seed: int = 42,
             .drop("_bw_h", "_bw_hpos"))
 
 
-__all__ = ["bucketed", "ensure_checkpoint_dir", "forward_fill", "row_count", "split_hash",
+__all__ = ["bucketed", "ensure_checkpoint_dir", "forward_fill", "plan_buckets", "row_count", "split_hash",
            "split_positional", "tail_slice", "with_position"]

@@ -100,3 +100,97 @@ def verdict_cascade(blocks: DataFrame, normal_set: DataFrame, abnormal_set: Data
                .otherwise(F.lit(1)))
     return (b.withColumn("reason", reason).withColumn("verdict", verdict)
             .drop("_bw_seq", "_bw_bad_seq", "_bw_bad_tpl", "_bw_unknown"))
+
+
+# ---- line-level forms: no block is ever gathered into one row ---------------------------------
+
+_MASK32 = 0xFFFFFFFF
+
+
+def block_signatures(lines: DataFrame, block_col: str = "block_id", pos_col: str = "pos",
+                     template_col: str = "template") -> DataFrame:
+    """An order-sensitive identity of each block's template sequence, from its lines.
+
+    Lines are numbered in (block, pos) order (``with_position``: range buckets, no
+    task holds a whole block); a line's offset in its block is its number minus the
+    block's first number; the signature is (length, sum of the low and of the high
+    32 bits of xxhash64(template, offset)) - decomposable sums, reduced map-side.
+    """
+    from blockwatch.operators.position import with_position
+    numbered = with_position(lines.select(block_col, pos_col, template_col), [block_col, pos_col], name="_bw_bp")
+    starts = numbered.groupBy(block_col).agg(F.min("_bw_bp").alias("_bw_b0"))
+    off = numbered.join(starts, block_col).withColumn("_bw_off", F.col("_bw_bp") - F.col("_bw_b0"))
+    h = F.xxhash64(F.col(template_col), F.col("_bw_off"))
+    return off.groupBy(block_col).agg(
+        F.count(F.lit(1)).alias("sig_n"),
+        F.sum(h.bitwiseAND(_MASK32)).alias("sig_lo"),
+        F.sum(F.shiftright(h, 32).bitwiseAND(_MASK32)).alias("sig_hi"))
+
+
+def _member_lines(lines: DataFrame, blocks: DataFrame, block_col: str) -> DataFrame:
+    """Lines of a bounded set of blocks (the capped container): broadcast semi join."""
+    return lines.join(F.broadcast(blocks.select(block_col)), block_col, "left_semi")
+
+
+def normal_set_from_lines(container: DataFrame, lines: DataFrame, block_col: str = "block_id",
+                          label_col: str = "label", template_col: str = "template") -> DataFrame:
+    """R1 from lines: distinct templates of the normal container blocks."""
+    normal_blocks = container.filter(F.col(label_col) == 1)
+    return (_member_lines(lines, normal_blocks, block_col)
+            .select(F.col(template_col).alias("template")).distinct())
+
+
+def _remainders_from_lines(container: DataFrame, lines: DataFrame, normal_set: DataFrame,
+                           block_col: str, label_col: str, template_col: str) -> DataFrame:
+    anomalous = container.filter(F.col(label_col) == 0)
+    return (_member_lines(lines, anomalous, block_col)
+            .select(block_col, F.col(template_col).alias("template")).distinct()
+            .join(normal_set, "template", "left_anti"))
+
+
+def abnormal_set_from_lines(container: DataFrame, lines: DataFrame, normal_set: DataFrame,
+                            block_col: str = "block_id", label_col: str = "label",
+                            template_col: str = "template") -> DataFrame:
+    """R2 from lines: a template is abnormal when it is the only non-normal template
+    of an anomalous container block."""
+    rem = _remainders_from_lines(container, lines, normal_set, block_col, label_col, template_col)
+    single = (rem.groupBy(block_col).agg(F.count(F.lit(1)).alias("_bw_n"), F.min("template").alias("template"))
+              .filter(F.col("_bw_n") == 1))
+    return single.select("template").distinct()
+
+
+def bad_blocks_from_lines(container: DataFrame, lines: DataFrame, normal_set: DataFrame,
+                          block_col: str = "block_id", label_col: str = "label",
+                          template_col: str = "template") -> DataFrame:
+    """R3 from lines: anomalous container blocks whose templates are all normal."""
+    rem = _remainders_from_lines(container, lines, normal_set, block_col, label_col, template_col)
+    anomalous = container.filter(F.col(label_col) == 0).select(block_col)
+    return anomalous.join(rem.select(block_col).distinct(), block_col, "left_anti")
+
+
+def verdicts_from_lines(blocks: DataFrame, lines: DataFrame, signatures: DataFrame,
+                        normal_set: DataFrame, abnormal_set: DataFrame, bad_signatures: DataFrame,
+                        threshold: Column, *, block_col: str = "block_id", template_col: str = "template",
+                        score_col: str = "score", inclusive: bool = True) -> DataFrame:
+    """R4, R5, R8, R9 with every test computed from lines: same first-match-wins
+    cascade as ``verdict_cascade``; sequence equality is signature equality."""
+    tl = lines.join(blocks.select(block_col), block_col, "left_semi") \
+        .select(block_col, F.col(template_col).alias("template"))
+    bad_tpl = (tl.join(abnormal_set, "template", "left_semi").select(block_col).distinct()
+               .withColumn("_bw_bad_tpl", F.lit(True)))
+    unknown = (tl.join(normal_set, "template", "left_anti").select(block_col).distinct()
+               .withColumn("_bw_unknown", F.lit(True)))
+    sig_cols = ["sig_n", "sig_lo", "sig_hi"]
+    bad_seq = (signatures.join(bad_signatures.select(*sig_cols).distinct(), sig_cols, "left_semi")
+               .select(block_col).withColumn("_bw_bad_seq", F.lit(True)))
+    b = (blocks.join(bad_seq, block_col, "left").join(bad_tpl, block_col, "left")
+         .join(unknown, block_col, "left"))
+    passes = F.coalesce(score_flag(F.col(score_col), threshold, inclusive), F.lit(False))
+    reason = (F.when(F.coalesce("_bw_bad_seq", F.lit(False)), F.lit("bad_sequence"))
+              .when(F.coalesce("_bw_bad_tpl", F.lit(False)), F.lit("bad_template"))
+              .when(passes, F.lit("score"))
+              .when(~F.coalesce("_bw_unknown", F.lit(False)), F.lit("all_normal"))
+              .otherwise(F.lit("default")))
+    verdict = F.when(F.col("reason").isin("bad_sequence", "bad_template", "score"), F.lit(0)).otherwise(F.lit(1))
+    return (b.withColumn("reason", reason).withColumn("verdict", verdict)
+            .drop("_bw_bad_seq", "_bw_bad_tpl", "_bw_unknown"))

@@ -52,21 +52,27 @@ def label_and_split(blocks: DataFrame, ratio: float = 0.8) -> DataFrame:
     return split_positional(labeled, "_bw_bpos", ratio).drop("_bw_bpos")
 
 
-def cascade_parts(blocks: DataFrame, *, ratio: float = 0.8, caps: dict[int, int] | None = None,
-                  seed: int = 42) -> dict[str, DataFrame]:
-    """Split, container sample, and the three template sets."""
+def cascade_parts(blocks: DataFrame, lines: DataFrame, *, ratio: float = 0.8,
+                  caps: dict[int, int] | None = None, seed: int = 42) -> dict[str, DataFrame]:
+    """Split, container sample, the three template sets (R1-R3) and block signatures.
+
+    ``blocks`` needs (block_id, status); ``lines`` needs (block_id, pos, template).
+    Everything is computed from lines: no block is gathered into one row.
+    """
     caps = caps or CASCADE_CAPS
     # Many branches below read the block table; one reliable checkpoint keeps the
     # plan small and means a lost executor never recomputes blocks from raw lines.
-    split = label_and_split(blocks, ratio).checkpoint(eager=True)
+    split = label_and_split(blocks.select("block_id", "status"), ratio).checkpoint(eager=True)
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
     # The container is bounded by sum(caps) rows; materialise it once for all three sets.
     container = S.stratified_sample(train, "block_id", "label", caps, seed).checkpoint(eager=True)
-    normal = R.normal_template_set(container)
+    tl = lines.select("block_id", "pos", "template")
+    normal = R.normal_set_from_lines(container, tl)
+    bad_blocks = R.bad_blocks_from_lines(container, tl, normal)
     return {"split": split, "train": train, "test": test, "container": container, "normal": normal,
-            "abnormal": R.abnormal_template_set(container, normal),
-            "bad_sequences": R.known_bad_sequences(container, normal)}
+            "abnormal": R.abnormal_set_from_lines(container, tl, normal),
+            "bad_blocks": bad_blocks, "lines": tl}
 
 
 def neighbor_scores(block_lines: DataFrame, queries: DataFrame, container: DataFrame, k: int,
@@ -84,13 +90,17 @@ def cascade_detector(blocks: DataFrame, block_lines: DataFrame, *, ratio: float
                      percentile: float = CASCADE_PERCENTILE, inclusive: bool = True) -> DataFrame:
     """Verdicts for the test blocks (block_id, label, score, verdict, reason)."""
     caps = caps or CASCADE_CAPS
-    parts = cascade_parts(blocks, ratio=ratio, caps=caps, seed=seed)
+    parts = cascade_parts(blocks, block_lines, ratio=ratio, caps=caps, seed=seed)
     _, nbrs = neighbor_scores(block_lines, parts["test"], parts["container"], k, sum(caps.values()))
     scores = NB.anomaly_percent(nbrs).withColumnRenamed("query_id", "block_id")
     threshold = R.percentile_threshold(scores, "score", percentile)
     test = parts["test"].join(scores, "block_id", "left")
-    return R.verdict_cascade(test, parts["normal"], parts["abnormal"], parts["bad_sequences"],
-                             threshold, inclusive=inclusive)
+    tl = parts["lines"].join(parts["test"].select("block_id").unionByName(parts["bad_blocks"]),
+                             "block_id", "left_semi")
+    sigs = R.block_signatures(tl)
+    bad_sigs = sigs.join(F.broadcast(parts["bad_blocks"]), "block_id", "left_semi")
+    return R.verdicts_from_lines(test, tl, sigs, parts["normal"], parts["abnormal"], bad_sigs,
+                                 threshold, inclusive=inclusive)
 
 
 # ---- P1: fusion detector --------------------------------------------------------------------
@@ -111,9 +121,9 @@ def fusion_features(blocks: DataFrame, block_lines: DataFrame, *, ratio: float =
     blocks queried); e = F11 mean-form reconstruction error min-max scaled per split.
     """
     caps = caps or FUSION_CAPS
-    split = label_and_split(blocks, ratio).checkpoint(eager=True)
+    split = label_and_split(blocks.select("block_id", "status"), ratio).checkpoint(eager=True)
     train = split.filter(F.col("split") == "train")
-    terms = FT.block_terms(split)
+    terms = FT.terms_from_lines(block_lines)
     model = FT.fit_tfidf(terms, train if fit_scope == "train" else split, max_features=max_features)
     weights = FT.apply_tfidf(terms, model)
     mu = FT.fit_mean_vector(weights, train, model)
@@ -135,9 +145,10 @@ def fit_fusion(features: DataFrame, sigmoid: bool = False) -> tuple[DataFrame, D
     return wrow, FU.threshold_grid_search(scored, "score", "label")
 
 
-def fusion_predictions(features: DataFrame, sigmoid: bool = False) -> DataFrame:
+def fusion_predictions(features: DataFrame, sigmoid: bool = False,
+                       fitted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """T7 on the test split: (block_id, label, score, pred)."""
-    wrow, trow = fit_fusion(features, sigmoid)
+    wrow, trow = fitted or fit_fusion(features, sigmoid)
     w, t = wrow.select("w").scalar(), trow.select("threshold").scalar()
     test = features.filter(F.col("split") == "test")
     scored = test.withColumn("score", FU.fused_score(F.col("prob"), F.col("e"), w))
@@ -147,8 +158,9 @@ def fusion_predictions(features: DataFrame, sigmoid: bool = False) -> DataFrame:
 def fusion_detector(blocks: DataFrame, block_lines: DataFrame, **kw) -> DataFrame:
     """Test-split metrics of the fused detector, with the fitted weight and threshold."""
     feats = fusion_features(blocks, block_lines, **kw)
-    wrow, trow = fit_fusion(feats)
-    preds = fusion_predictions(feats)
+    # One-row results, used by both the prediction and the report.
+    wrow, trow = (x.checkpoint(eager=True) for x in fit_fusion(feats))
+    preds = fusion_predictions(feats, fitted=(wrow, trow))
     return (EV.binary_metrics(preds, "label", "pred")
             .withColumn("w", wrow.select("w").scalar())
             .withColumn("threshold", trow.select("threshold").scalar()))
@@ -169,7 +181,7 @@ def pseudo_label_setup(blocks: DataFrame, block_lines: DataFrame, *, ratio: floa
     majority relabelled, halved per class into a container and a tuning set; then
     neighbour probabilities (against the pseudo-labelled container) for every block.
     """
-    split = label_and_split(blocks, ratio).checkpoint(eager=True)
+    split = label_and_split(blocks.select("block_id", "status"), ratio).checkpoint(eager=True)
     emb = FT.embed_lines_to_blocks(block_lines)
     train = split.filter(F.col("split") == "train").select("block_id").join(emb, "block_id")
     picked = S.capped_sample(train, "block_id", sample, PSEUDO_SAMPLE_SEED)
@@ -205,7 +217,7 @@ def pseudo_label_detector(blocks: DataFrame, block_lines: DataFrame, **kw) -> Da
     parts = pseudo_label_setup(blocks, block_lines, **kw)
     split = parts["split"]
     train = split.filter(F.col("split") == "train")
-    terms = FT.block_terms(split)
+    terms = FT.terms_from_lines(block_lines)
     model = FT.fit_tfidf(terms, train)
     weights = FT.apply_tfidf(terms, model)
     err = FT.mean_reconstruction_error(weights, split, FT.fit_mean_vector(weights, train, model))

@@ -112,9 +112,9 @@ def _fine(spark, sf):
 
 
 def _tfidf(spark, sf, scope="train"):
-    split, _ = _fine(spark, sf)
+    split, lines = _fine(spark, sf)
     train = split.filter(F.col("split") == "train")
-    terms = FT.block_terms(split)
+    terms = FT.terms_from_lines(lines)
     model = FT.fit_tfidf(terms, train if scope == "train" else split)
     return split, train, terms, model
 
@@ -296,6 +296,6 @@ def recon_error_pca(spark, sf):
 def embed_blocks_w2v(spark, sf):
     split, _ = _fine(spark, sf)
     train = split.filter(F.col("split") == "train")
-    emb = FT.word2vec_block_embeddings(split, train)
+    emb = FT.word2vec_block_embeddings(views.blocks20(spark, sf), train)
     return emb.select(F.col("block_id").cast("bigint"), F.size("embedding").cast("bigint").alias("dim"),
                       r6(lists.l2_norm("embedding")).alias("norm"))

@@ -128,13 +128,13 @@ def report_out(df):
 
 
 def _view(spark, sf, tag):
-    """(blocks, block-assigned lines) sharing one computation of the lines."""
-    from blockwatch.operators.blocks import summarize_blocks
+    """(block status table, block-assigned lines with a ``template`` column); no lists."""
+    from blockwatch.operators.blocks import block_status
     if tag == "fine":
-        lines = views.blocks20_lines(spark, sf)
-        return summarize_blocks(lines, F.col("label") == "-"), lines
-    lines = views.session_lines(spark, sf)
-    return summarize_blocks(lines, F.col("label") == "-", template_col="coarse"), lines
+        lines = views.blocks20_lines(spark, sf).withColumn("template", F.col("template_id"))
+    else:
+        lines = views.session_lines(spark, sf).withColumn("template", F.col("coarse"))
+    return block_status(lines, F.col("label") == "-"), lines
 
 
 @register("split_positional", sql("SELECT block_id::BIGINT AS block_id, split FROM sess_blocks", "sess_blocks"))
@@ -155,7 +155,7 @@ def split_hash_q(spark, sf):
 @register("container_sample", sql("""
 SELECT block_id::BIGINT AS block_id, label FROM sess_container""", "sess_container"))
 def container_sample(spark, sf):
-    return D.cascade_parts(views.sessions(spark, sf))["container"].select(
+    return D.cascade_parts(*_view(spark, sf, "sess"))["container"].select(
         F.col("block_id").cast("bigint"), "label")
 
 
@@ -188,7 +188,7 @@ def embed_blocks_hashed(spark, sf):
 
 def _nbrs(spark, sf, tag, k):
     blocks, lines = _view(spark, sf, tag)
-    parts = D.cascade_parts(blocks)
+    parts = D.cascade_parts(blocks, lines)
     _, nbrs = D.neighbor_scores(lines, parts["test"], parts["container"], k, sum(D.CASCADE_CAPS.values()))
     return nbrs
 
@@ -233,19 +233,22 @@ def knn_similarity_profile(spark, sf):
 
 @register("normal_template_set", sql("SELECT template FROM fine_normal", "fine_normal"))
 def normal_template_set(spark, sf):
-    return D.cascade_parts(views.blocks20(spark, sf))["normal"]
+    return D.cascade_parts(*_view(spark, sf, "fine"))["normal"]
 
 
 @register("abnormal_template_set", sql("SELECT template FROM fine_abnormal", "fine_abnormal"))
 def abnormal_template_set(spark, sf):
-    return D.cascade_parts(views.blocks20(spark, sf))["abnormal"]
+    return D.cascade_parts(*_view(spark, sf, "fine"))["abnormal"]
 
 
 @register("known_bad_sequences", sql("""
 SELECT array_to_string(event_list, ' ') AS event_list FROM sess_badseq""", "sess_badseq"))
 def known_bad_sequences(spark, sf):
-    bad = D.cascade_parts(views.sessions(spark, sf))["bad_sequences"]
-    return bad.select(F.array_join("event_list", " ").alias("event_list"))
+    from blockwatch.operators.blocks import ordered_lists
+    parts = D.cascade_parts(*_view(spark, sf, "sess"))
+    # Lists are gathered only for the bad blocks: at most the anomalous cap of the container.
+    bad_lines = parts["lines"].join(F.broadcast(parts["bad_blocks"]), "block_id", "left_semi")
+    return ordered_lists(bad_lines).select(F.array_join("event_list", " ").alias("event_list")).distinct()
 
 
 @register("percentile_threshold", sql("""

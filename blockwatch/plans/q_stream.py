@@ -56,7 +56,7 @@ SELECT block_id::BIGINT AS block_id, label, round(score, 6) AS score, reason, ve
                                         "sess_verdicts"))
 def stream_verdict_cascade(spark, sf):
     blocks, lines = _view(spark, sf, "sess")
-    parts = D.cascade_parts(blocks)
+    parts = D.cascade_parts(blocks, lines)
     bound = sum(D.CASCADE_CAPS.values())
     emb = FT.embed_lines_to_blocks(lines)
     container = parts["container"].select("block_id", "label").join(emb, "block_id")
@@ -66,10 +66,13 @@ def stream_verdict_cascade(spark, sf):
     threshold = NB.anomaly_percent(nbrs).select(F.percentile("score", F.lit(D.CASCADE_PERCENTILE / 100))).first()[0]
     normal = X.collect_small(parts["normal"], "template", 1_000_000)
     abnormal = X.collect_small(parts["abnormal"], "template", 1_000_000)
-    bad = X.collect_small(parts["bad_sequences"].select(R.sequence_key("event_list").alias("k")), "k", bound)
-    # The test blocks arrive as a file stream.
+    from blockwatch.operators.blocks import ordered_lists
+    bad_lists = ordered_lists(parts["lines"].join(F.broadcast(parts["bad_blocks"]), "block_id", "left_semi"))
+    bad = X.collect_small(bad_lists.select(R.sequence_key("event_list").alias("k")), "k", bound)
+    # The test blocks arrive as a file stream of (block, label, event list, embedding) records.
     base = scratch_path(spark, "blocks-stream")
-    parts["test"].select("block_id", "label", "event_list").join(emb, "block_id") \
+    test_lists = ordered_lists(parts["lines"].join(parts["test"].select("block_id"), "block_id", "left_semi"))
+    parts["test"].select("block_id", "label").join(test_lists, "block_id").join(emb, "block_id") \
         .write.mode("overwrite").parquet(f"{base}/in")
     stream = X.stream_of(spark, f"{base}/in")
     scored = X.score_stream(stream, container, D.CASCADE_K, bound)
