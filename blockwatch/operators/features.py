@@ -109,8 +109,10 @@ def fit_tfidf(terms: DataFrame, fit_ids: DataFrame, id_col: str = "block_id",
     """
     fit_terms = terms.join(fit_ids.select(id_col), id_col, "left_semi")
     n_docs = fit_ids.select(F.count(F.lit(1))).scalar()
-    stats = fit_terms.groupBy("term").agg(F.count(F.lit(1)).alias("cnt"),
-                                          F.count_distinct(id_col).alias("df"))
+    # (block, term) counts first, then per-term sums: both combine map-side, so a term
+    # present in every block never sends one row per block to a single task.
+    per_block = fit_terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("_bw_tf"))
+    stats = per_block.groupBy("term").agg(F.sum("_bw_tf").alias("cnt"), F.count(F.lit(1)).alias("df"))
     vocab = stats.orderBy(F.col("cnt").desc(), F.col("term")).limit(max_features)
     from blockwatch.operators.position import with_position
     vocab = with_position(vocab.withColumn("_bw_neg", -F.col("cnt")), ["_bw_neg", "term"], name="idx")

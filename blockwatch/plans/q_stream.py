@@ -80,3 +80,28 @@ def stream_verdict_cascade(spark, sf):
     X.run_available_now(verdicts.drop("event_list"), f"{base}/out", f"{base}/cp")
     out = spark.read.parquet(f"{base}/out")
     return out.select(F.col("block_id").cast("bigint"), "label", r6("score").alias("score"), "reason", "verdict")
+
+
+@register("stream_sessions_idle_gap", sql("""
+WITH l AS (SELECT line_no, ts, user_id, label FROM v_lines),
+g AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, line_no) IS NULL
+                       OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, line_no) + INTERVAL 6 HOUR
+                     THEN 1 ELSE 0 END AS is_start FROM l),
+s AS (SELECT *, sum(is_start) OVER (PARTITION BY user_id ORDER BY ts, line_no ROWS UNBOUNDED PRECEDING) AS sess
+      FROM g),
+a AS (SELECT user_id, sess, min(ts) AS s_start, max(ts) + INTERVAL 6 HOUR AS s_end, count(*) AS n_lines,
+             CASE WHEN bool_and(coalesce(label = '-', false)) THEN 'success' ELSE 'fail' END AS status,
+             min(line_no) AS first_line, max(line_no) AS last_line
+      FROM s GROUP BY 1, 2)
+SELECT user_id, strftime(s_start, '%Y-%m-%d %H:%M:%S.%f') AS session_start, n_lines::BIGINT AS n_lines, status,
+       first_line, last_line
+FROM a WHERE s_end <= (SELECT max(ts) FROM l) - INTERVAL 1 HOUR""", "v_lines"))
+def stream_sessions_idle_gap(spark, sf):
+    base = scratch_path(spark, "session-stream")
+    schema = read_table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    sessions = X.session_blocks(X.stream_lines(events), "user_id", "6 hours", "1 hour")
+    X.run_available_now(sessions, f"{base}/out", f"{base}/cp")
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("user_id", F.date_format("session.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"),
+                      "n_lines", "status", "first_line", "last_line")

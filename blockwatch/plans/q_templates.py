@@ -109,3 +109,41 @@ def preprocess_end_to_end(spark, sf):
     blocks = preprocess(views.raw_lines(spark, sf), block_size=20)
     return blocks.select(F.col("block_id").cast("bigint"), "status", F.col("n_lines").cast("bigint"),
                          F.array_join("event_list", " ").alias("event_list"))
+
+
+# ---- L6 over whole document texts: every line of every document is a message -----------------
+
+cte("v_doc_lines", """
+SELECT doc_id, i - 1 AS line_idx, split_part_list[i] AS content
+FROM (SELECT doc_id, string_split(text, chr(10)) AS split_part_list FROM documents),
+     LATERAL (SELECT unnest(generate_series(1, len(split_part_list))) AS i)""")
+
+cte("v_doc_mined", f"""
+WITH m AS (SELECT doc_id, line_idx,
+                  list_filter(regexp_split_to_array(
+                      regexp_replace(regexp_replace(content, '{_IP_RE}', '<*>', 'g'),
+                                     '[^ \\t\\n\\r\\f]*[0-9][^ \\t\\n\\r\\f]*', '<*>', 'g'),
+                      '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS toks
+           FROM v_doc_lines),
+g AS (SELECT doc_id, line_idx, toks, len(toks) AS n, array_to_string(toks, ' ') AS masked,
+             len(toks)::VARCHAR || chr(1) || coalesce(toks[1], '') || chr(1) || coalesce(toks[2], '') AS gk
+      FROM m),
+dl AS (SELECT DISTINCT gk, toks FROM g),
+ps AS (SELECT gk, i, count(DISTINCT tok) AS nd, min(tok) AS tok
+       FROM (SELECT gk, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM dl) GROUP BY gk, i),
+gs AS (SELECT gk, sum(CASE WHEN nd = 1 THEN 1 ELSE 0 END) AS kept,
+              string_agg(CASE WHEN nd = 1 THEN tok ELSE '<*>' END, ' ' ORDER BY i) AS gtpl
+       FROM ps GROUP BY gk)
+SELECT g.doc_id, g.line_idx,
+       CASE WHEN g.n = 0 THEN '' WHEN gs.kept::DOUBLE / g.n >= 0.8 THEN gs.gtpl ELSE g.masked END AS template
+FROM g LEFT JOIN gs USING (gk)""", "v_doc_lines")
+
+
+@register("mine_templates_text", sql("""
+SELECT doc_id, line_idx::BIGINT AS line_idx, template FROM v_doc_mined""", "v_doc_mined"))
+def mine_templates_text(spark, sf):
+    from blockwatch.sources.tables import read_table
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    doc_lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_idx", "content"))
+    mined = TP.mine_templates(doc_lines)
+    return mined.select("doc_id", F.col("line_idx").cast("bigint"), "template")
