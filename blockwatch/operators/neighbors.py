@@ -39,20 +39,23 @@ def _normalize_rows(m: np.ndarray) -> np.ndarray:
 
 
 def _topk_rows(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the top-k per row by (rounded sim desc, id asc)."""
+    """Indices of the top-k per row by (similarity rounded to 9 digits desc, id asc).
+
+    ``ids`` must be ascending (the container is collected sorted by id), so a column's
+    index is its id rank. Each (rounded similarity, id rank) pair becomes one exact
+    int64 key, ``-round(sim * 1e9) * n + rank``; the k smallest keys are found with
+    ``argpartition`` and ordered with a sort of k values: vectorised, ties exact.
+    """
     n = sims.shape[1]
     k = min(k, n)
-    r = np.round(sims, SIM_DIGITS)
+    r = np.rint(sims * 10.0 ** SIM_DIGITS).astype(np.int64)
+    key = -r * np.int64(n) + np.arange(n, dtype=np.int64)[None, :]
     if k < n:
-        kth = -np.partition(-r, k - 1, axis=1)[:, k - 1:k]
+        part = np.argpartition(key, k - 1, axis=1)[:, :k]
     else:
-        kth = np.full((r.shape[0], 1), -np.inf)
-    out = np.empty((r.shape[0], k), dtype=np.int64)
-    for i in range(r.shape[0]):
-        cand = np.nonzero(r[i] >= kth[i, 0])[0]
-        order = np.lexsort((ids[cand], -r[i, cand]))
-        out[i] = cand[order[:k]]
-    return out
+        part = np.broadcast_to(np.arange(n), key.shape).copy()
+    order = np.argsort(np.take_along_axis(key, part, axis=1), axis=1)
+    return np.take_along_axis(part, order, axis=1)
 
 
 def _score_fn(bc, k: int, vec_col: str, id_col: str):
@@ -76,7 +79,8 @@ def _score_fn(bc, k: int, vec_col: str, id_col: str):
 
 
 def _collect_container(container: DataFrame, id_col: str, vec_col: str, label_col: str):
-    pdf = container.select(id_col, vec_col, label_col).toPandas()
+    """The bounded container as numpy arrays, sorted by id (see ``_topk_rows``)."""
+    pdf = container.select(id_col, vec_col, label_col).toPandas().sort_values(id_col, kind="stable")
     ids = pdf[id_col].astype("int64").to_numpy()
     labels = pdf[label_col].astype("int64").to_numpy()
     mat = (np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])

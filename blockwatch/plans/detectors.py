@@ -77,8 +77,15 @@ def cascade_parts(blocks: DataFrame, lines: DataFrame, *, ratio: float = 0.8,
 
 def neighbor_scores(block_lines: DataFrame, queries: DataFrame, container: DataFrame, k: int,
                     max_rows: int) -> tuple[DataFrame, DataFrame]:
-    """F7 + G1/G2: hashed block embeddings and top-k neighbours of ``queries`` in ``container``."""
-    emb = FT.embed_lines_to_blocks(block_lines)
+    """F7 + G1/G2: hashed block embeddings and top-k neighbours of ``queries`` in ``container``.
+
+    Only the blocks that are queried or stored are embedded; the embeddings are read
+    by three jobs (container check, container collect, scoring) and are a
+    deterministic function of the lines, so they are cached once.
+    """
+    needed = queries.select("block_id").unionByName(container.select("block_id")).distinct()
+    emb = FT.embed_lines_to_blocks(block_lines.join(needed, "block_id", "left_semi")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     q = queries.select("block_id").join(emb, "block_id")
     c = container.select("block_id", "label").join(emb, "block_id")
     nbrs = NB.top_k_neighbors(q, c, k, max_rows=max_rows)
