@@ -22,6 +22,8 @@ large share of the rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,3 +185,24 @@ def split_hash(df: DataFrame, id_col: str, ratio: float, seed: int = 42,
 
 __all__ = ["bucketed", "ensure_checkpoint_dir", "forward_fill", "plan_buckets", "row_count", "split_hash",
            "split_positional", "tail_slice", "with_position"]
+
+
+def exact_percentile(df: DataFrame, value_col: str, id_col: str, p: float) -> float:
+    """Exact percentile with linear interpolation (numpy's default), p in [0, 100], for
+    values with any number of distinct values.
+
+    The values are numbered in (value, id) order with ``with_position`` (range buckets,
+    no single task), and only the two order statistics around p * (n - 1) are read back.
+    The built-in ``percentile`` aggregate keeps every distinct value in one buffer, so it
+    is used only where the values are known to take few distinct values.
+    """
+    vals = df.select(F.col(value_col).cast("double").alias("_bw_v"), F.col(id_col).alias("_bw_id")) \
+        .filter(F.col("_bw_v").isNotNull())
+    n = vals.count()
+    if n == 0:
+        return None
+    rank = (p / 100.0) * (n - 1)
+    lo, hi = int(math.floor(rank)), int(math.ceil(rank))
+    ranked = with_position(vals, ["_bw_v", "_bw_id"], name="_bw_r")
+    got = {r["_bw_r"]: r["_bw_v"] for r in ranked.filter(F.col("_bw_r").isin(lo, hi)).collect()}
+    return got[lo] + (got[hi] - got[lo]) * (rank - lo)

@@ -59,8 +59,16 @@ def centre_distance(df: DataFrame, centres: list[list[float]], vec_col: str = "e
     return df.withColumn(out_col, d)
 
 
-def percentile_filter(df: DataFrame, col: str, p: float = 70.0) -> DataFrame:
-    """U4: keep rows strictly below the p-th percentile (exact, linear interpolation)."""
+def percentile_filter(df: DataFrame, col: str, p: float = 70.0, id_col: str | None = None) -> DataFrame:
+    """U4: keep rows strictly below the p-th percentile (exact, linear interpolation).
+
+    With ``id_col`` the percentile is rank-based and distributed (any number of
+    distinct distances); without it the built-in aggregate is used (small inputs).
+    """
+    if id_col is not None:
+        from blockwatch.operators.position import exact_percentile
+        t = exact_percentile(df, col, id_col, p)
+        return df.filter(F.col(col) < F.lit(t))
     t = df.select(F.percentile(F.col(col), F.lit(p / 100.0))).scalar()
     return df.filter(F.col(col) < t)
 

@@ -57,7 +57,12 @@ def sequence_key(list_col: str | Column) -> Column:
 
 
 def percentile_threshold(scores: DataFrame, score_col: str, p: float) -> Column:
-    """Exact percentile with linear interpolation (numpy's default), p in [0, 100]."""
+    """Exact percentile with linear interpolation (numpy's default), p in [0, 100].
+
+    Neighbour scores take at most k + 1 distinct values (multiples of 100 / k), so the
+    built-in aggregate's value map is bounded; for continuous values use
+    ``position.exact_percentile`` (rank-based, distributed).
+    """
     return scores.select(F.percentile(F.col(score_col), F.lit(p / 100.0))).scalar()
 
 

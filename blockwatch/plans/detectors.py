@@ -194,7 +194,7 @@ def pseudo_label_setup(blocks: DataFrame, block_lines: DataFrame, *, ratio: floa
     picked = S.capped_sample(train, "block_id", sample, PSEUDO_SAMPLE_SEED)
     clustered, centres = PS.kmeans_clusters(picked, k=2, seed=42)
     dist = PS.centre_distance(clustered, centres)
-    kept = PS.percentile_filter(dist, "distance", PSEUDO_PERCENTILE)
+    kept = PS.percentile_filter(dist, "distance", PSEUDO_PERCENTILE, id_col="block_id")
     labelled = PS.majority_relabel(kept)
     roles = PS.half_split_by_class(labelled.select("block_id", "pseudo_label"), "block_id",
                                    "pseudo_label").checkpoint(eager=True)

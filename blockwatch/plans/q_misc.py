@@ -121,12 +121,12 @@ def centroid_distance(spark, sf):
 @register("distance_percentile_filter", sql("SELECT vec_id, round(distance, 6) AS distance FROM ps_kept", "ps_kept"))
 def distance_percentile_filter(spark, sf):
     _, _, own = _ps(spark, sf)
-    return PS.percentile_filter(own, "distance", 70.0).select("vec_id", r6("distance").alias("distance"))
+    return PS.percentile_filter(own, "distance", 70.0, id_col="vec_id").select("vec_id", r6("distance").alias("distance"))
 
 
 def _major(spark, sf):
     _, centres, own = _ps(spark, sf)
-    kept = PS.percentile_filter(own, "distance", 70.0).drop("cluster")
+    kept = PS.percentile_filter(own, "distance", 70.0, id_col="vec_id").drop("cluster")
     return PS.majority_relabel(PS.nearest_centre(kept, centres))
 
 

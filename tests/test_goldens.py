@@ -163,10 +163,18 @@ def test_knn_chunked_equals_single(spark):
     assert one == many
 
 
-def test_percentile_filter(spark):
-    df = spark.range(10).select(F.col("id").cast("double").alias("d"))
+def test_percentile_filter(spark, monkeypatch):
+    df = spark.range(10).select("id", F.col("id").cast("double").alias("d"))
     kept = sorted(r.d for r in PS.percentile_filter(df, "d", 70.0).collect())
     assert kept == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
+    from blockwatch.operators import position as P
+    monkeypatch.setattr(P, "SINGLE_BUCKET_ROWS", 3)
+    assert P.exact_percentile(df, "d", "id", 70.0) == pytest.approx(6.3)
+    assert P.exact_percentile(df, "d", "id", 100.0) == 9.0
+    many = spark.range(1000).select("id", ((F.col("id") * 7919) % 1000 / 7.0).alias("d"))
+    import numpy as np
+    want = float(np.percentile([((i * 7919) % 1000) / 7.0 for i in range(1000)], 99.3))
+    assert P.exact_percentile(many, "d", "id", 99.3) == pytest.approx(want, abs=1e-9)
 
 
 def test_keywords(spark):
