@@ -8,6 +8,7 @@ shapes (arrays rendered as joined strings, floats rounded), match one to one.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,15 @@ def register(name: str, sql: str | None = None):
     def deco(fn: Builder) -> Builder:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Event times are TIMESTAMP_NTZ; epoch arithmetic and window rendering must
+            # not depend on the caller's session zone.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = build
         if sql is not None:
             ORACLES[name] = sql
         return fn
