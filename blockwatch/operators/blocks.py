@@ -10,11 +10,11 @@ bounded by the block size for fixed-count blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockwatch.functions.timefmt import micros
-from blockwatch.operators.position import forward_fill, with_position
+from blockwatch.operators.position import plan_buckets, with_position
 
 CONTENT_SEP = " | "
 
@@ -146,32 +146,41 @@ def idle_gap_sessions(lines: DataFrame, key: str, ts_col: str, gap_s: float,
                       pos_col: str = "pos", id_col: str = "block_id") -> DataFrame:
     """B4 (idle-gap form): a new session starts after more than ``gap_s`` of silence per key.
 
-    The previous line of the same key is found by numbering the lines in
-    (key, ts, pos) order with ``with_position`` (range partitioned, so a hot key
-    is split across tasks) and joining each line to position - 1 on that key.
-    The session of a line is the last session start at or before it, again via
-    a global order, so no task ever holds a whole key.
+    One pass over range buckets of the (key, ts, pos) order (see ``position``): inside a
+    bucket, ``lag`` gives each line's predecessor and a running sum of session starts
+    gives its session number. Only bucket edges need outside information: the last line
+    of the previous bucket and the number of starts in earlier buckets, both from tables
+    with one row per bucket. A hot key spans many buckets, so no task holds it whole.
+    Block ids are then dense in order of each session's first line.
     """
     order = [key, ts_col, pos_col]
-    kp = with_position(lines, order, name="_bw_kpos")
-    prev = kp.select(F.col(key).alias("_bw_pk"), (F.col("_bw_kpos") + 1).alias("_bw_kpos"),
-                     micros(ts_col).alias("_bw_pus"))
-    joined = kp.join(prev, "_bw_kpos", "left")
-    starts = joined.withColumn(
-        "_bw_start",
-        F.col("_bw_pk").isNull() | (F.col("_bw_pk") != F.col(key))
-        | ((micros(ts_col) - F.col("_bw_pus")) > F.lit(int(round(gap_s * 1e6)))))
-    # session number = running count of starts in (key, ts, pos) order
-    session_start = starts.filter("_bw_start").select(
-        key, F.col("_bw_kpos").alias("_bw_spos"))
-    start_rank = with_position(session_start, ["_bw_spos"], name="_bw_snum")
-    # each line joins to the start with the largest start position <= its own;
-    # equality on the start position after a per-key running max keeps it an equi-join
-    marked = starts.withColumn("_bw_spos", F.when(F.col("_bw_start"), F.col("_bw_kpos")))
-    marked = forward_fill(marked, "_bw_spos", "_bw_kpos")
-    out = marked.join(start_rank.select("_bw_spos", "_bw_snum"), "_bw_spos")
-    ids = dense_ids(out, ["_bw_snum"], [pos_col], id_col=id_col)
-    return ids.drop("_bw_kpos", "_bw_pk", "_bw_pus", "_bw_start", "_bw_spos", "_bw_snum")
+    expr = plan_buckets(lines, order)
+    single = expr is None
+    b = lines.withColumn("_bw_bucket", F.lit(0) if single else expr).withColumn("_bw_us", micros(ts_col))
+    w = Window.partitionBy("_bw_bucket").orderBy(*order)
+    b = b.withColumn("_bw_pk", F.lag(key).over(w)).withColumn("_bw_pus", F.lag("_bw_us").over(w))
+    if not single:
+        last = b.groupBy("_bw_bucket").agg(
+            F.max_by(F.struct(F.col(key).alias("k"), F.col("_bw_us").alias("u")), F.struct(*order)).alias("_bw_last"))
+        prev_last = last.select("_bw_bucket", F.lag("_bw_last").over(Window.orderBy("_bw_bucket")).alias("_bw_pl"))
+        b = (b.join(F.broadcast(prev_last), "_bw_bucket")
+             .withColumn("_bw_pk", F.coalesce("_bw_pk", F.col("_bw_pl.k")))
+             .withColumn("_bw_pus", F.coalesce("_bw_pus", F.col("_bw_pl.u")))
+             .drop("_bw_pl"))
+    start = (F.col("_bw_pk").isNull() | (F.col("_bw_pk") != F.col(key))
+             | ((F.col("_bw_us") - F.col("_bw_pus")) > F.lit(int(round(gap_s * 1e6))))).cast("int")
+    b = b.withColumn("_bw_start", start)
+    b = b.withColumn("_bw_local", F.sum("_bw_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if single:
+        b = b.withColumn("_bw_snum", F.col("_bw_local"))
+    else:
+        starts = b.groupBy("_bw_bucket").agg(F.sum("_bw_start").alias("_bw_ns"))
+        offsets = starts.select("_bw_bucket", F.coalesce(F.sum("_bw_ns").over(
+            Window.orderBy("_bw_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_bw_soff"))
+        b = (b.join(F.broadcast(offsets), "_bw_bucket")
+             .withColumn("_bw_snum", F.col("_bw_soff") + F.col("_bw_local")).drop("_bw_soff"))
+    b = b.drop("_bw_bucket", "_bw_us", "_bw_pk", "_bw_pus", "_bw_start", "_bw_local")
+    return dense_ids(b, ["_bw_snum"], [pos_col], id_col=id_col).drop("_bw_snum")
 
 
 def gap_to_previous_in_block(rows: DataFrame, block_col: str = "block_id", pos_col: str = "pos",
