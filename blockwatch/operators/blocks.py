@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockwatch.functions.timefmt import micros
-from blockwatch.operators.position import plan_buckets, with_position
+from blockwatch.operators.position import plan_buckets, previous_values, with_position
 
 CONTENT_SEP = " | "
 
@@ -188,18 +188,16 @@ def gap_to_previous_in_block(rows: DataFrame, block_col: str = "block_id", pos_c
     """C4 per row: seconds since the previous row of the same block (0.0 for the first
     row of a block, or when either time is NULL).
 
-    Rows are numbered in (block, pos) order with ``with_position`` and joined to the
-    row numbered one less; an equi-join on a unique number, so no block, however
-    large, lands in a single task.
+    The previous row in (block, pos) order comes from ``previous_values`` (range buckets,
+    ``lag`` inside a bucket): no block, however large, lands in a single task, and no
+    line-sized join is needed.
     """
-    numbered = with_position(rows, [block_col, pos_col], name="_bw_bp")
-    prev = numbered.select((F.col("_bw_bp") + 1).alias("_bw_bp"), F.col(block_col).alias("_bw_pb"),
-                           micros(ts_col).alias("_bw_pus"))
-    joined = numbered.join(prev, "_bw_bp", "left")
-    gap = F.when(F.col("_bw_pb") == F.col(block_col),
-                 (micros(ts_col) - F.col("_bw_pus")) / F.lit(1e6))
-    return (joined.withColumn(out, F.coalesce(gap, F.lit(0.0)))
-            .drop("_bw_bp", "_bw_pb", "_bw_pus"))
+    b = previous_values(rows.withColumn("_bw_us", micros(ts_col)), [block_col, pos_col],
+                        [block_col, "_bw_us"], prefix="_bw_p_")
+    gap = F.when(F.col(f"_bw_p_{block_col}") == F.col(block_col),
+                 (F.col("_bw_us") - F.col("_bw_p__bw_us")) / F.lit(1e6))
+    return (b.withColumn(out, F.coalesce(gap, F.lit(0.0)))
+            .drop("_bw_us", f"_bw_p_{block_col}", "_bw_p__bw_us"))
 
 
 def annotate_rows(rows: DataFrame, blocks: DataFrame, block_col: str = "block_id",

@@ -206,3 +206,34 @@ def exact_percentile(df: DataFrame, value_col: str, id_col: str, p: float) -> fl
     ranked = with_position(vals, ["_bw_v", "_bw_id"], name="_bw_r")
     got = {r["_bw_r"]: r["_bw_v"] for r in ranked.filter(F.col("_bw_r").isin(lo, hi)).collect()}
     return got[lo] + (got[hi] - got[lo]) * (rank - lo)
+
+
+def previous_values(df: DataFrame, order_cols: list[str], value_cols: list[str],
+                    prefix: str = "prev_") -> DataFrame:
+    """Add ``prefix + c`` = value of ``c`` on the previous row in the global (unique)
+    ``order_cols`` order (NULL for the first row).
+
+    Inside each range bucket this is ``lag``; the first row of a bucket takes the last
+    row of the previous non-empty bucket, from a table with one row per bucket.
+    """
+    expr = plan_buckets(df, order_cols)
+    if expr is None:
+        w1 = Window.orderBy(*order_cols)  # at most single_bucket_rows() rows (checked)
+        out = df
+        for c in value_cols:
+            out = out.withColumn(prefix + c, F.lag(c).over(w1))
+        return out
+    b = df.withColumn("_bw_bucket", expr)
+    w = Window.partitionBy("_bw_bucket").orderBy(*order_cols)
+    for c in value_cols:
+        b = b.withColumn(prefix + c, F.lag(c).over(w))
+    last = b.groupBy("_bw_bucket").agg(
+        F.max_by(F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(value_cols)]),
+                 F.struct(*order_cols)).alias("_bw_last"))
+    prev_last = last.select("_bw_bucket", F.lag("_bw_last").over(Window.orderBy("_bw_bucket")).alias("_bw_pl"))
+    b = b.join(F.broadcast(prev_last), "_bw_bucket")
+    for i, c in enumerate(value_cols):
+        # the first row of a bucket has no in-bucket predecessor: use the carried row
+        first = F.row_number().over(w) == 1
+        b = b.withColumn(prefix + c, F.when(first, F.col(f"_bw_pl.v{i}")).otherwise(F.col(prefix + c)))
+    return b.drop("_bw_bucket", "_bw_pl")
