@@ -94,7 +94,7 @@ DEFAULT_VOCAB = 400
 
 def block_terms(blocks: DataFrame, id_col: str = "block_id", list_col: str = "event_list") -> DataFrame:
     """F1 + C10: (block, term) rows: the event list joined by spaces, lower-cased,
-    tokens of >= 2 word characters (single-character ids vanish, as in the reference)."""
+    tokens of >= 2 word characters (single-character ids vanish, as surveyed)."""
     sentence = F.lower(F.array_join(F.col(list_col), " "))
     return blocks.select(id_col, F.explode(F.regexp_extract_all(sentence, F.lit(TOKEN_PATTERN), 0))
                          .alias("term"))

@@ -60,7 +60,7 @@ def stream_verdict_cascade(spark, sf):
     bound = sum(D.CASCADE_CAPS.values())
     emb = FT.embed_lines_to_blocks(lines)
     container = parts["container"].select("block_id", "label").join(emb, "block_id")
-    # The threshold is fitted on the batch of test scores (as the reference does), then fixed.
+    # The threshold is fitted once on the batch of test scores (the surveyed behaviour), then fixed.
     nbrs = NB.top_k_neighbors(parts["test"].select("block_id").join(emb, "block_id"), container,
                               D.CASCADE_K, max_rows=bound)
     threshold = NB.anomaly_percent(nbrs).select(F.percentile("score", F.lit(D.CASCADE_PERCENTILE / 100))).first()[0]
