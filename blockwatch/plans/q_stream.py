@@ -105,3 +105,21 @@ def stream_sessions_idle_gap(spark, sf):
     out = spark.read.parquet(f"{base}/out")
     return out.select("user_id", F.date_format("session.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"),
                       "n_lines", "status", "first_line", "last_line")
+
+
+@register("stream_keyed_count_blocks", sql("""
+WITH r AS (SELECT user_id, line_no, label,
+                  (row_number() OVER (PARTITION BY user_id ORDER BY ts, line_no) - 1) // 5 AS block_no
+           FROM v_lines)
+SELECT user_id, block_no::BIGINT AS block_no, count(*)::BIGINT AS n_lines,
+       arg_min(line_no, line_no) AS first_line, arg_max(line_no, line_no) AS last_line,
+       CASE WHEN bool_and(label = '-') THEN 'success' ELSE 'fail' END AS status
+FROM r GROUP BY user_id, block_no HAVING count(*) = 5""", "v_lines"))
+def stream_keyed_count_blocks(spark, sf):
+    base = scratch_path(spark, "keyed-blocks-stream")
+    schema = read_table(spark, sf, "events").schema
+    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf))
+    blocks = X.keyed_count_blocks(X.stream_lines(events), 5)
+    X.run_available_now(blocks, f"{base}/out", f"{base}/cp")
+    return spark.read.parquet(f"{base}/out")

@@ -146,3 +146,52 @@ from blockwatch.session import ship_by_value  # noqa: E402
 
 ship_by_value(__name__)
 
+
+
+# ---- B1 per key on a stream: custom state (applyInPandasWithState) ------------------------------
+
+KEYED_BLOCK_SCHEMA = ("user_id long, block_no long, n_lines long, first_line long, last_line long, "
+                      "status string")
+KEYED_STATE_SCHEMA = "next_block long, n long, first_line long, last_line long, ok boolean"
+
+
+def _keyed_blocks_fn(size: int):
+    def fn(key, batches, state):
+        if state.exists:
+            next_block, n, first, last, ok = state.get
+        else:
+            next_block, n, first, last, ok = 0, 0, None, None, True
+        # One micro-batch of one key (bounded by the trigger's maxFilesPerTrigger/maxBytes).
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "line_no"], kind="stable")
+        lines = pdf["line_no"].to_numpy()
+        normal = (pdf["label"] == "-").to_numpy()
+        out = []
+        for i in range(len(lines)):
+            if n == 0:
+                first, ok = int(lines[i]), True
+            n += 1
+            last = int(lines[i])
+            ok = ok and bool(normal[i])
+            if n == size:
+                out.append((key[0], next_block, n, first, last, "success" if ok else "fail"))
+                next_block, n, first, last, ok = next_block + 1, 0, None, None, True
+        state.update((next_block, n, first, last, ok))
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "block_no", "n_lines", "first_line", "last_line",
+                                             "status"])
+    return fn
+
+
+def keyed_count_blocks(lines: DataFrame, size: int, key: str = "user_id") -> DataFrame:
+    """B1 per key on a stream: every ``size`` consecutive lines of a key, in event-time
+    order, form one block, emitted (append) as soon as it is complete.
+
+    The state per key is the pending partial block only (count, first and last line,
+    all-normal flag): bounded by ``size``, not by the stream. A key's lines within one
+    micro-batch meet in one task, so micro-batches are bounded with
+    ``maxFilesPerTrigger``/``maxBytesPerTrigger`` on the source.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    return (lines.select(key, "ts", "line_no", "label").groupBy(key)
+            .applyInPandasWithState(_keyed_blocks_fn(size), KEYED_BLOCK_SCHEMA, KEYED_STATE_SCHEMA,
+                                    "append", GroupStateTimeout.NoTimeout))
