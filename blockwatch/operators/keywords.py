@@ -51,3 +51,21 @@ def keyword_labelling(blocks: DataFrame, tail_ratio: float = 0.8, negative=NEGAT
     return label_agreement(lab, "kw_label", "label")
 
 
+
+
+def keyword_labels_from_lines(lines: DataFrame, block_col: str = "block_id", content_col: str = "content",
+                              negative=NEGATIVE_WORDS, good=GOOD_WORDS) -> DataFrame:
+    """K1 + K2 from lines: a block's content is its lines joined by ' | ', and '|' splits
+    segments, so the block score is the sum of per-line scores - a partial aggregate,
+    with no block gathered into one string."""
+    per_line = lines.select(block_col, keyword_score(content_col, negative, good).alias("_bw_k"))
+    return (per_line.groupBy(block_col).agg(F.sum("_bw_k").cast("int").alias("kw_score"))
+            .withColumn("kw_label", F.when(F.col("kw_score") == 0, F.lit(1)).otherwise(F.lit(0))))
+
+
+def keyword_labelling_blocks(scored: DataFrame, tail_ratio: float = 0.8) -> DataFrame:
+    """P5 on blocks already scored (block_id, status, kw_label): tail slice and agreement."""
+    from blockwatch.operators.position import tail_slice
+    from blockwatch.operators.sampling import status_to_label
+    tail = tail_slice(scored.withColumn("_bw_bpos", F.col("block_id") - 1), "_bw_bpos", tail_ratio)
+    return label_agreement(tail.withColumn("label", status_to_label("status")), "kw_label", "label")

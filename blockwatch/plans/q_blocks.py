@@ -38,8 +38,9 @@ UNION ALL
 SELECT 'sessions' AS view, status, count(*)::BIGINT AS n_blocks FROM v_sessions GROUP BY status""",
                                "v_blocks20", "v_sessions"))
 def class_balance(spark, sf):
-    a = views.blocks20(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n_blocks"))
-    b = views.sessions(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n_blocks"))
+    a = B.block_status(views.blocks20_lines(spark, sf), F.col("label") == "-").groupBy("status").agg(F.count(F.lit(1)).alias("n_blocks"))
+    b = B.block_status(views.session_lines(spark, sf), F.col("label") == "-").groupBy("status") \
+        .agg(F.count(F.lit(1)).alias("n_blocks"))
     return (a.select(F.lit("fixed20").alias("view"), "status", "n_blocks")
             .unionByName(b.select(F.lit("sessions").alias("view"), "status", "n_blocks")))
 
@@ -49,7 +50,8 @@ SELECT block_id::BIGINT AS block_id, CASE WHEN lower(status) = 'success' THEN 1
 FROM v_blocks20""", "v_blocks20"))
 def status_to_label(spark, sf):
     from blockwatch.operators.sampling import status_to_label as s2l
-    return views.blocks20(spark, sf).select("block_id", s2l("status").alias("label"))
+    blocks = B.block_status(views.blocks20_lines(spark, sf), F.col("label") == "-")
+    return blocks.select("block_id", s2l("status").alias("label"))
 
 
 @register("label_flip", sql("""
@@ -58,7 +60,7 @@ FROM (SELECT block_id, CASE WHEN status = 'success' THEN 0 ELSE 1 END AS hadoop_
                             "v_blocks20"))
 def label_flip(spark, sf):
     from blockwatch.operators.sampling import flip_label
-    b = views.blocks20(spark, sf).select(
+    b = B.block_status(views.blocks20_lines(spark, sf), F.col("label") == "-").select(
         "block_id", F.when(F.col("status") == "success", 0).otherwise(1).alias("hadoop_status"))
     return b.withColumn("label", flip_label("hadoop_status"))
 

@@ -266,9 +266,10 @@ def pad_or_truncate(spark, sf):
 SELECT max(len(event_list))::BIGINT AS max_len, min(len(event_list))::BIGINT AS min_len FROM v_sessions""",
                                   "v_sessions"))
 def max_block_length(spark, sf):
-    s = views.sessions(spark, sf)
-    return s.agg(F.max(F.size("event_list")).cast("bigint").alias("max_len"),
-                 F.min(F.size("event_list")).cast("bigint").alias("min_len"))
+    # a block's event-list length is its line count, a decomposable aggregate.
+    s, _ = _view(spark, sf, "sess")
+    return s.agg(F.max("n_lines").cast("bigint").alias("max_len"),
+                 F.min("n_lines").cast("bigint").alias("min_len"))
 
 
 @register("l2_normalize", sql("""

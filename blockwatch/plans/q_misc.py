@@ -33,17 +33,23 @@ FROM (SELECT block_id, status,
       FROM v_blocks20)""", "v_blocks20")
 
 
+def _kw_blocks(spark, sf):
+    """(block_id, status, kw_score, kw_label) for the 20-line blocks, computed from lines."""
+    from blockwatch.operators.blocks import block_status
+    lines = views.blocks20_lines(spark, sf)
+    status = block_status(lines, F.col("label") == "-").select("block_id", "status")
+    return status.join(KW.keyword_labels_from_lines(lines, good=QUERY_GOOD_WORDS), "block_id")
+
+
 @register("keyword_score", sql("SELECT block_id::BIGINT AS block_id, score::INT AS kw_score FROM kw_scored",
                                "kw_scored"))
 def keyword_score(spark, sf):
-    k = KW.keyword_labels(views.blocks20(spark, sf), good=QUERY_GOOD_WORDS)
-    return k.select(F.col("block_id").cast("bigint"), F.col("kw_score").cast("int"))
+    return _kw_blocks(spark, sf).select(F.col("block_id").cast("bigint"), F.col("kw_score").cast("int"))
 
 
 @register("keyword_label", sql("SELECT block_id::BIGINT AS block_id, kw_label FROM kw_scored", "kw_scored"))
 def keyword_label(spark, sf):
-    k = KW.keyword_labels(views.blocks20(spark, sf), good=QUERY_GOOD_WORDS)
-    return k.select(F.col("block_id").cast("bigint"), "kw_label")
+    return _kw_blocks(spark, sf).select(F.col("block_id").cast("bigint"), "kw_label")
 
 
 @register("dedupe_last_wins", """
@@ -64,8 +70,7 @@ FROM {src}, (VALUES (1), (0)) cs(c) GROUP BY c"""
 @register("label_agreement", sql(_AGREE_SQL.format(src="kw_scored"), "kw_scored"))
 def label_agreement(spark, sf):
     from blockwatch.operators.sampling import status_to_label
-    k = KW.keyword_labels(views.blocks20(spark, sf), good=QUERY_GOOD_WORDS) \
-        .withColumn("label", status_to_label("status"))
+    k = _kw_blocks(spark, sf).withColumn("label", status_to_label("status"))
     return KW.label_agreement(k, "kw_label", "label").select("class", "n_real", "n_agree",
                                                              r6("accuracy").alias("accuracy"))
 
@@ -74,7 +79,7 @@ def label_agreement(spark, sf):
     src="(SELECT * FROM kw_scored WHERE block_id - 1 >= floor((SELECT count(*) FROM kw_scored) * 0.8::DOUBLE))"),
     "kw_scored"))
 def keyword_labelling(spark, sf):
-    out = KW.keyword_labelling(views.blocks20(spark, sf), good=QUERY_GOOD_WORDS)
+    out = KW.keyword_labelling_blocks(_kw_blocks(spark, sf))
     return out.select("class", "n_real", "n_agree", r6("accuracy").alias("accuracy"))
 
 

@@ -139,7 +139,8 @@ def _view(spark, sf, tag):
 
 @register("split_positional", sql("SELECT block_id::BIGINT AS block_id, split FROM sess_blocks", "sess_blocks"))
 def split_positional_q(spark, sf):
-    return D.label_and_split(views.sessions(spark, sf)).select(F.col("block_id").cast("bigint"), "split")
+    blocks, _ = _view(spark, sf, "sess")
+    return D.label_and_split(blocks).select(F.col("block_id").cast("bigint"), "split")
 
 
 @register("split_hash", sql("""
@@ -148,7 +149,7 @@ SELECT block_id::BIGINT AS block_id,
                  < floor(count(*) OVER () * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split
 FROM v_sessions""", "v_sessions"))
 def split_hash_q(spark, sf):
-    return split_hash(views.sessions(spark, sf).select("block_id"), "block_id", 0.8, seed=42) \
+    return split_hash(_view(spark, sf, "sess")[0].select("block_id"), "block_id", 0.8, seed=42) \
         .select(F.col("block_id").cast("bigint"), "split")
 
 
