@@ -10,6 +10,7 @@ from blockwatch.operators import keywords as KW
 from blockwatch.operators import neighbors as NB
 from blockwatch.operators import pseudo as PS
 from blockwatch.operators.position import split_positional
+from blockwatch.operators.sampling import capped_sample
 from blockwatch.plans import detectors as D
 from blockwatch.plans.catalog import block_columns, BLOCK_SQL_COLS, r6, register, sql
 from blockwatch.plans.q_rules import _view
@@ -163,8 +164,7 @@ def half_split_by_class(spark, sf):
 def kmeans_pseudo_labels(spark, sf):
     vec = views.vectors(spark, sf)
     train = split_positional(vec, "vec_id", 0.8).filter(F.col("split") == "train")
-    picked = __import__("blockwatch.operators.sampling", fromlist=["x"]).capped_sample(
-        train, "vec_id", D.PSEUDO_SAMPLE, D.PSEUDO_SAMPLE_SEED)
+    picked = capped_sample(train, "vec_id", D.PSEUDO_SAMPLE, D.PSEUDO_SAMPLE_SEED)
     clustered, centres = PS.kmeans_clusters(picked, k=2, seed=42)
     dist = PS.centre_distance(clustered, centres)
     return PS.majority_relabel(dist).select("vec_id", "cluster", "pseudo_label", r6("distance").alias("distance"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from blockwatch.functions.parsing import LOG_LINE_PATTERN
 from blockwatch.operators import features as FT
 from blockwatch.operators import neighbors as NB
 from blockwatch.operators import rules as R
@@ -16,7 +17,7 @@ from blockwatch.sources import views
 from blockwatch.sources.tables import read_table
 from blockwatch.streaming import ingest as X
 
-LOG_RE = __import__("blockwatch.functions.parsing", fromlist=["x"]).LOG_LINE_PATTERN.replace("'", "''")
+LOG_RE = LOG_LINE_PATTERN.replace("'", "''")
 
 
 @register("stream_parse_log_lines", sql(f"""
