@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockwatch.functions import parsing
-from blockwatch.operators import neighbors as NB
+from blockwatch.operators.neighbors import _collect_container, _normalize_rows, _topk_rows
 from blockwatch.operators.blocks import all_normal
 from blockwatch.operators.rules import sequence_key
 
@@ -73,15 +73,17 @@ def session_blocks(lines: DataFrame, key: str, gap: str, watermark: str,
 # ---- X3: stream-static scoring ----------------------------------------------------------------------
 
 def _score_stream_fn(bc, k: int, vec_col: str):
+    # Task bodies refer to helper functions, never to module objects: a module pickled by
+    # value would carry its whole namespace to the executors.
     def score(batches):
         ids, labels, cmat = bc.value
-        cnorm = NB._normalize_rows(cmat)
+        cnorm = _normalize_rows(cmat)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            sims = NB._normalize_rows(q) @ cnorm.T
-            top = NB._topk_rows(sims, ids, k)
+            sims = _normalize_rows(q) @ cnorm.T
+            top = _topk_rows(sims, ids, k)
             out = pdf.drop(columns=[vec_col]).copy()
             out["score"] = 100.0 * (1.0 - labels[top].mean(axis=1))
             yield out
@@ -97,7 +99,7 @@ def score_stream(blocks: DataFrame, container: DataFrame, k: int, max_rows: int,
     n = container.count()
     if n > max_rows:
         raise ValueError(f"container has {n} rows, above its bound {max_rows}")
-    bc = blocks.sparkSession.sparkContext.broadcast(NB._collect_container(container, id_col, vec_col, "label"))
+    bc = blocks.sparkSession.sparkContext.broadcast(_collect_container(container, id_col, vec_col, "label"))
     fields = [f for f in blocks.schema.fields if f.name != vec_col] + [T.StructField("score", T.DoubleType())]
     return blocks.mapInPandas(_score_stream_fn(bc, k, vec_col), T.StructType(fields))
 
