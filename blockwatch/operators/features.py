@@ -114,8 +114,10 @@ def fit_tfidf(terms: DataFrame, fit_ids: DataFrame, id_col: str = "block_id",
     per_block = fit_terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("_bw_tf"))
     stats = per_block.groupBy("term").agg(F.sum("_bw_tf").alias("cnt"), F.count(F.lit(1)).alias("df"))
     vocab = stats.orderBy(F.col("cnt").desc(), F.col("term")).limit(max_features)
-    from blockwatch.operators.position import with_position
-    vocab = with_position(vocab.withColumn("_bw_neg", -F.col("cnt")), ["_bw_neg", "term"], name="idx")
+    # At most max_features rows (the limit above): one small window numbers them.
+    from pyspark.sql import Window
+    vocab = vocab.withColumn("idx", (F.row_number().over(
+        Window.orderBy(F.col("cnt").desc(), F.col("term"))) - 1).cast("bigint"))
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     return vocab.select("term", "idx", idf.alias("idf"))
 
