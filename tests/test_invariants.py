@@ -85,3 +85,19 @@ def test_streaming_windows_equal_batch_on_closed_windows(spark):
              .agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("label") == "-").alias("ok")))
     want = {r.w.start.strftime("%Y-%m-%d %H:%M:%S"): (r.n, "success" if r.ok else "fail") for r in batch.collect()}
     assert stream and all(want[k] == v for k, v in stream.items())
+
+
+def test_feature_cache_reuses_only_matching_fingerprint(spark):
+    from blockwatch.session import scratch_path
+    from blockwatch.sources import files
+    base = scratch_path(spark, "cache-test")
+    a = spark.range(5).withColumn("v", F.col("id") * 2)
+    k1 = files.fingerprint("double", 5)
+    first = files.materialize(a, base, k1)
+    # same key: the written copy is read back even if the producing frame changes
+    again = files.materialize(spark.range(3), base, k1)
+    assert sorted(r.v for r in again.collect()) == [0, 2, 4, 6, 8] == sorted(r.v for r in first.collect())
+    # a different fingerprint never reuses it
+    k2 = files.fingerprint("double", 3)
+    other = files.materialize(spark.range(3).withColumn("v", F.col("id") * 2), base, k2)
+    assert sorted(r.v for r in other.collect()) == [0, 2, 4]
