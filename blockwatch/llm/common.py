@@ -18,8 +18,8 @@ from blockwatch.session import ensure_checkpoint_dir
 NULL_ID = np.iinfo(np.int64).max
 #: Text bytes that one numpy pass handles at a time (its 8-byte arrays then stay small).
 SLICE_BYTES = 1 << 20
-#: Rows of one Arrow batch between the JVM and a Python task.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch between the JVM and a Python task.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,8 +41,9 @@ def query(name: str, sql: str | None = None):
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch: texts are long, and a batch is held whole by a task."""
+    """Bound an Arrow batch: texts are long, and a batch is held whole by a task."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
