@@ -1,4 +1,4 @@
 """All registered queries of this subpackage (importing the modules fills the registries)."""
 
-from blockwatch.llm import fingerprint, pii, quality  # noqa: F401
+from blockwatch.llm import decontaminate, fingerprint, pii, quality, substring  # noqa: F401
 from blockwatch.llm.common import ORACLES, QUERIES  # noqa: F401
