@@ -1,4 +1,4 @@
 """All registered queries of this subpackage (importing the modules fills the registries)."""
 
-from blockwatch.llm import bpe, decontaminate, fingerprint, near, pii, quality, substring, suffix  # noqa: F401
+from blockwatch.llm import bpe, decontaminate, fingerprint, html, near, pii, quality, substring, suffix  # noqa: F401
 from blockwatch.llm.common import ORACLES, QUERIES  # noqa: F401
