@@ -38,6 +38,8 @@ def pack(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Written to the shared folder: a block's name is the partition that made it and a number.
     """
+    limit = BLOCK_BYTES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Level 1 of zstd; the parts are doc ids, offsets and bytes.
         press = zstandard.ZstdCompressor(level=1)
@@ -56,14 +58,14 @@ def pack(docs: DataFrame, text: str = "text") -> DataFrame:
             every = ids_of(b.column(0))
             i = 0
             while i < b.num_rows:
-                j = int(np.searchsorted(off, off[i] + max(BLOCK_BYTES - held, 0), side="right")) - 1
+                j = int(np.searchsorted(off, off[i] + max(limit - held, 0), side="right")) - 1
                 j = min(max(j, i + 1), b.num_rows)
                 ids.append(every[i:j])
                 sizes.append(np.diff(off[i:j + 1]))
                 texts.append(data[off[i]:off[j]].tobytes())
                 held += len(texts[-1])
                 i = j
-                if held >= BLOCK_BYTES or i < b.num_rows:
+                if held >= limit or i < b.num_rows:
                     yield block()
                     number += 1
                     ids, sizes, texts, held = [], [], [], 0

@@ -163,6 +163,8 @@ def _first_documents(text: np.ndarray, size: np.ndarray, least: np.ndarray) -> t
 
 def _marked(candidates: DataFrame) -> DataFrame:
     """For each window of a block's segments: whether a document smaller than the segment's has it."""
+    limit = INDEX_BYTES
+
     def run(group: pa.Table) -> pa.Table:
         sizes, raw = group.column("n").to_pylist(), group.column("body").to_pylist()
         col = lambda kind, width, skip: np.concatenate(
@@ -175,7 +177,7 @@ def _marked(candidates: DataFrame) -> DataFrame:
         w_at = np.concatenate([[0], np.cumsum(size - LENGTH + 1)])
         marks = np.zeros(w_at[-1], bool)
         # Indexes of a bounded size: equal windows have equal anchors, so they stay together.
-        part = (anchor % np.uint64(-(-len(text) // INDEX_BYTES))).astype(np.int64)
+        part = (anchor % np.uint64(-(-len(text) // limit))).astype(np.int64)
         order = np.argsort(part, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
             first, _ = _first_documents(_gather(text, at[own], size[own]), size[own], least[own])
