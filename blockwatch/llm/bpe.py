@@ -8,6 +8,10 @@ the ids of the chunks end and begin with those of the words, the join is exact;
 don't agree, their joint encoding replaces theirs; where a chunk doesn't end or begin with the ids
 of its words, more of its text is taken, up to the whole chunk, until it does.
 
+Where the tokenizer's own rules keep words apart (``words_apart``), the words are the smallest chunks:
+a chunk seen for the first time is put together from its distinct words, each encoded once. The
+joins of chunks are still checked against the tokenizer's encoding of both sides together.
+
 Reuse is within a task: sharing chunks between tasks would shuffle every text once more (README).
 Null and empty texts have no ids and decode to the empty text. Repeated rows are each encoded; no
 text is cut short. The vocabulary is a file whose text is broadcast (its size is fixed).
@@ -15,6 +19,8 @@ text is cut short. The vocabulary is a file whose text is broadcast (its size is
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 from collections.abc import Iterator
 
@@ -29,6 +35,8 @@ from blockwatch.llm.common import byte_table, byte_view, mix, query, row_slices,
 CHUNK_WORDS = 128
 #: Bytes of chunk texts and ids that a task keeps for reuse; older chunks go first.
 CACHE_BYTES = 48 << 20
+#: Distinct words that a task keeps; beyond it they are learnt anew.
+WORDS = 1_000_000
 
 _SPACE = byte_table(lambda b: b in (9, 10, 13, 32))
 
@@ -49,24 +57,79 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return at[mix(before[at]) % np.uint64(CHUNK_WORDS) == 0] + 8
 
 
+def words_apart(tokenizer) -> bool:
+    """Whether the tokenizer's own rules never join what white space parts: its first rule removes all
+    but runs without white space, and its normalisers look at one character or at white space only."""
+    spec = json.loads(tokenizer.to_str())
+    normal, split = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+    normal = normal.get("normalizers", [normal] if normal else [])
+    split = split.get("pretokenizers", [split])[0]
+    if split.get("type") != "Split" or split.get("behavior") != "Removed" or not split.get("invert"):
+        return False
+    if any(n["type"] not in ("NFC", "Lowercase") and n.get("pattern") != {"Regex": r"\s+"} for n in normal):
+        return False
+    if any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        return False
+    probe = " ".join(f"{x} {y}" for x in "a1.'\u00e9\u65e5-" for y in "a1.'\u00e9\u65e5-")
+    at = [span for _, span in tokenizer.pre_tokenizer.pre_tokenize_str(probe)]
+    return not any(" " in probe[i:j] for i, j in at)
+
+
+class WordEncoder:
+    """Encodes chunks whose words the tokenizer keeps apart: each distinct word once."""
+
+    def __init__(self, tokenizer, limit: int = WORDS):
+        self.tokenizer, self.limit = tokenizer, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def encode(self, chunks: list[bytes]) -> list[np.ndarray]:
+        if len(self.number) > self.limit:
+            self._clear()
+        each = [c.split() for c in chunks]
+        words = list(itertools.chain.from_iterable(each))
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        if new:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(got), np.uint32, size.sum())])
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        size = self.size[at]
+        before = np.concatenate([[0], np.cumsum(size)])
+        flat = self.ids[np.repeat(self.start[at] - before[:-1], size) + np.arange(before[-1])]
+        edge = before[np.concatenate([[0], np.cumsum([len(w) for w in each], dtype=np.int64)])]
+        return [flat[edge[i]:edge[i + 1]] for i in range(len(chunks))]
+
+
 class ChunkEncoder:
     """Encodes texts by chunks; keeps the ids of chunks and of the words at joins."""
 
     def __init__(self, tokenizer, cache_bytes: int = CACHE_BYTES):
         self.tokenizer = tokenizer
         self.limit = cache_bytes
+        self.by_word = WordEncoder(tokenizer) if words_apart(tokenizer) else None
         self.chunks: dict[bytes, np.ndarray] = {}
         self.words: dict[bytes, np.ndarray] = {}
         self.held = 0
         self.encoded = self.reused = self.repaired = 0
 
-    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+    def _ids(self, texts: list[bytes], whole: bool = False) -> list[np.ndarray]:
+        """``whole``: each text in one call of the tokenizer, not from its words."""
+        if self.by_word is not None and not whole:
+            return self.by_word.encode(texts)
         got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in got]
 
-    def _learn(self, wanted: dict[bytes, np.ndarray], texts: set[bytes]) -> None:
+    def _learn(self, wanted: dict[bytes, np.ndarray], texts: set[bytes], whole: bool = False) -> None:
         new = [t for t in texts if t not in wanted]
-        for t, ids in zip(new, self._ids(new), strict=True):
+        for t, ids in zip(new, self._ids(new, whole), strict=True):
             wanted[t] = ids
             self.held += 2 * len(t) + ids.nbytes + 200
 
@@ -87,14 +150,14 @@ class ChunkEncoder:
         self.encoded += len(every - self.chunks.keys())
         self._learn(self.chunks, every)
         ends = [[(_tail(a), _head(b)) for a, b in zip(t, t[1:], strict=False)] for t in texts]
-        self._learn(self.words, {w for t in ends for x, y in t for w in (x, y, x + y)})
+        self._learn(self.words, {w for t in ends for x, y in t for w in (x, y, x + y)}, whole=True)
         return [self._joined(t, e) for t, e in zip(texts, ends, strict=True)]
 
     def _of(self, text: bytes) -> np.ndarray:
         got = self.chunks.get(text)
         if got is None:
             got = self.words.get(text)
-        return self._ids([text])[0] if got is None else got
+        return self._ids([text], whole=True)[0] if got is None else got
 
     def _joined(self, chunks: list[bytes], ends: list[tuple[bytes, bytes]]) -> np.ndarray:
         if not chunks:
