@@ -89,34 +89,30 @@ def slices_for(windows: int) -> int:
     return max(8, -(-windows // SLICE_WINDOWS))
 
 
-def slice_of(h: np.ndarray, slices: int) -> np.ndarray:
-    """Slice by the leading 32 bits."""
-    return ((h >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
-
+def _scaled(h: np.ndarray, slices: int) -> np.ndarray:
+    """Hash times slices, over 2**32: the slice above 32 bits, the place in the slice below."""
+    n, low = np.uint64(slices), np.uint64(32)
+    return (h >> low) * n + (((h & np.uint64(0xFFFFFFFF)) * n) >> low)
 
-def cell_of(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
 
+def slice_of(h: np.ndarray, slices: int) -> np.ndarray:
+    return (_scaled(h, slices) >> np.uint64(32)).astype(np.int64)
 
-def in_order(h: np.ndarray, slices: int) -> np.ndarray:
-    """Order of distinct hashes by slice, then cell (ties by the hash): the order of a block's cells."""
-    return np.lexsort((h, cell_of(h), slice_of(h, slices)))
 
+def cell_of(h: np.ndarray, slices: int) -> np.ndarray:
+    """Cell in its slice. Slices and cells ascend with the hash, so hashes in order are cells in order."""
+    return ((_scaled(h, slices) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CELL_BITS)).astype(np.int64)
 
-def distinct_windows(h: np.ndarray, doc: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes of a block in its order, and whether several of its documents hold each.
 
-    ``doc`` are places of documents in the block, ascending.
-    """
-    order = np.argsort(h, kind="stable")
+def distinct_windows(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of a block, ascending; whether several of its documents (``doc``, places
+    in the block) hold each; where the windows of each begin in ``order``; and that order."""
+    order = np.argsort(h)
     hs, ds = h[order], doc[order]
-    new = np.ones(len(hs), bool)
-    new[1:] = hs[1:] != hs[:-1]
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(hs)) - 1
-    u, several = hs[first], ds[first] != ds[last] if len(first) else np.zeros(0, bool)
-    order = in_order(u, slices)
-    return u[order], several[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(hs), 1), bool), hs[1:] != hs[:-1]]))
+    if len(first) == 0:
+        return hs, np.zeros(0, bool), first, order
+    return hs[first], np.minimum.reduceat(ds, first) != np.maximum.reduceat(ds, first), first, order
 
 
 def _encode(cells: np.ndarray, several: np.ndarray) -> bytes:
@@ -137,17 +133,17 @@ Windows = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def repeated_windows(blocks: DataFrame, windows: Windows, slices: int) -> DataFrame:
-    """block, slice, n, bits: of the block's distinct windows in that slice, in the block's order,
+    """block, slice, n, bits: of the block's distinct windows in that slice, ascending,
     whether the merged sketch counts at least two. ``windows(data, off)`` gives hash and place of
     the document of each window of a block."""
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, n_docs, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 _, data, off = unpack(n_docs, blob)
-                u, several = distinct_windows(*windows(data, off), slices)
+                u, several, _, _ = distinct_windows(*windows(data, off))
                 cuts = np.searchsorted(slice_of(u, slices), np.arange(slices + 1))
                 some = [s for s in range(slices) if cuts[s] < cuts[s + 1]]
-                cells = cell_of(u)
+                cells = cell_of(u, slices)
                 yield pa.RecordBatch.from_pydict({
                     "slice": pa.array(some, pa.int64()), "block": pa.array([block] * len(some), pa.int64()),
                     "n": pa.array([int(cuts[s + 1] - cuts[s]) for s in some], pa.int64()),

@@ -96,16 +96,19 @@ class RunIndex:
         count = np.maximum(size - self.length + 1, 0)
         offset = np.concatenate([[0], np.cumsum(count)])
         out = np.full(offset[-1], NULL_ID)
+        # Rank directories: the run, and the group, of each row.
+        rows = np.arange(int(size.sum()) + len(size))
+        run_of = np.searchsorted(self.run_start, rows, side="right").astype(np.int32) - 1
+        first_of = self.group_first[np.searchsorted(self.group_start, rows, side="right") - 1]
+        shift = self.run_next - self.run_start
         longest = np.argsort(-size, kind="stable")
         row = longest.copy()                               # a terminator's row is its string's number
         sizes = size[longest]
         for t in range(1, int(size.max(initial=0)) + 1):
             alive = int(np.searchsorted(-sizes, -t, side="right"))
             row = row[:alive]
-            run = np.searchsorted(self.run_start, row, side="right") - 1
-            row = self.run_next[run] + row - self.run_start[run]
+            row = row + shift[run_of[row]]
             if t >= self.length:
-                group = np.searchsorted(self.group_start, row, side="right") - 1
                 own = longest[:alive]
-                out[offset[own] + size[own] - t] = self.group_first[group]
+                out[offset[own] + size[own] - t] = first_of[row]
         return out, offset

@@ -63,15 +63,14 @@ def _windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return _over_windows(h, first), row[first]
 
 
-def _grouped(h: np.ndarray, ids: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each of the distinct hashes ``u``: one of its windows, its smallest id; of each window, its u."""
-    by_hash = np.argsort(u)
-    which = by_hash[np.searchsorted(u[by_hash], h)] if len(u) else np.zeros(0, np.int64)
-    one = np.zeros(len(u), np.int64)
-    one[which] = np.arange(len(h))
-    least = np.full(len(u), NULL_ID)
-    np.minimum.at(least, which, ids)
-    return one, least, which
+def _windows_of(ids: np.ndarray, data: np.ndarray, off: np.ndarray):
+    """Words and windows of a block; its distinct windows: hash, smallest id, where each one's
+    windows begin in their order, and that order."""
+    start, end, row, h = _block_words(data, off)
+    first = _starts(row)
+    u, _, at, order = distinct_windows(_over_windows(h, first), row[first])
+    least = np.minimum.reduceat(ids[row[first]][order], at) if len(at) else np.zeros(0, np.int64)
+    return start, end, row, h, first, u, least, at, order
 
 
 def _answers(table_: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
@@ -84,13 +83,9 @@ def _candidates(blocks: DataFrame, bits: DataFrame, slices: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block, out = left.column("block")[0].as_py(), []
         ids, data, off = unpack(left.column("n_docs")[0].as_py(), left.column("blob")[0].as_py())
-        _, _, row, h = _block_words(data, off)
-        first = _starts(row)
-        w, doc = _over_windows(h, first), row[first]
-        u, _ = distinct_windows(w, doc, slices)
+        _, _, _, h, first, u, least, at, order = _windows_of(ids, data, off)
         some = flags_of(_answers(right, 0), len(u))
-        one, least, _ = _grouped(w, ids[doc], u)
-        u, least, one = u[some], least[some], one[some]
+        u, least, one = u[some], least[some], order[at[some]]
         second = _over_windows(mix(h ^ _SECOND), first[one])
         cuts = np.searchsorted(slice_of(u, slices), np.arange(slices + 1))
         for s in range(slices):
@@ -148,15 +143,13 @@ def _kept_text(data: np.ndarray, off: np.ndarray, start, end, row, removed) -> t
 def _applied(blocks: DataFrame, answers: DataFrame, slices: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, data, off = unpack(left.column("n_docs")[0].as_py(), left.column("blob")[0].as_py())
-        start, end, row, h = _block_words(data, off)
-        first = _starts(row)
-        w, doc = _over_windows(h, first), row[first]
-        u, _ = distinct_windows(w, doc, slices)
+        start, end, row, _, first, u, least, at, order = _windows_of(ids, data, off)
         some = flags_of(_answers(right, 0), len(u))
         elsewhere = np.zeros(len(u), bool)
         elsewhere[some] = flags_of(_answers(right, 1), int(some.sum()))
-        _, least, which = _grouped(w, ids[doc], u)
-        hit = first[elsewhere[which] | (ids[doc] > least[which])]
+        sizes = np.diff(np.append(at, len(order)))
+        by_window = first[order]
+        hit = by_window[np.repeat(elsewhere, sizes) | (ids[row[by_window]] > np.repeat(least, sizes))]
         step = np.zeros(len(row) + 1, np.int64)
         np.add.at(step, hit, 1)
         np.add.at(step, hit + WINDOW, -1)

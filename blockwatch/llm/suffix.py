@@ -29,18 +29,19 @@ from blockwatch.llm.rindex import RunIndex
 
 LENGTH, ANCHOR = 50, 16
 #: Bytes on one side of an anchor, with the anchor, that are in every window that has as many there.
-SIDE = ANCHOR + (LENGTH - ANCHOR) // 2
+REACH = (LENGTH - ANCHOR) // 2
+SIDE = ANCHOR + REACH
 #: Bytes of documents behind one slice, and of segments behind one index.
-SLICE_BYTES, INDEX_BYTES = 8 << 20, 5 << 18
+SLICE_BYTES, INDEX_BYTES = 8 << 20, 3 << 18
 
-_RIGHT = np.uint64(0x2545F4914F6CDD1D)
+_SALT = np.uint64(0x2545F4914F6CDD1D)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
 def _anchored(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """Segments of a block: start, windows, row, hash of the anchor, of each side (has_left and
-    has_right say whether it lies inside the document), and of the segment."""
-    names = ("start", "windows", "row", "anchor", "left", "has_left", "right", "has_right", "segment")
+    """Segments of a block: start, windows, row, place and hash of the anchor, and hash of each side
+    (has_left and has_right say whether it lies inside the document)."""
+    names = ("start", "windows", "row", "place", "anchor", "left", "has_left", "right", "has_right")
     parts = []
     for i, j in row_slices(off):
         own, at = data[off[i]:off[j]], off[i:j + 1] - off[i]
@@ -68,14 +69,14 @@ def _anchored(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         start, windows = change[keep], windows[keep]
         p = place[start]
         row = np.searchsorted(at, start, side="right") - 1
-        has_left, has_right = p + ANCHOR - SIDE >= at[row], p + SIDE <= at[row + 1]
-        left = span_hash(prefix, np.maximum(p + ANCHOR - SIDE, 0), p + ANCHOR)
-        right = mix(span_hash(prefix, p, np.minimum(p + SIDE, n)) ^ _RIGHT)
-        segment = mix(span_hash(prefix, start, start + windows + LENGTH - 1) + windows.astype(np.uint64))
-        parts.append((start + off[i], windows, row + i, kmer[p], left, has_left, right, has_right, segment))
+        has_left, has_right = p - REACH >= at[row], p + SIDE <= at[row + 1]
+        left = span_hash(prefix, np.maximum(p - REACH, 0), p + ANCHOR)
+        right = mix(span_hash(prefix, p, np.minimum(p + SIDE, n)) ^ _SALT)
+        # Anchors are small hashes; hashed anew they spread over the slices.
+        parts.append((start + off[i], windows, row + i, p + off[i], mix(kmer[p] ^ _SALT), left, has_left, right, has_right))
     if not parts:
-        none = {"has_left": bool, "has_right": bool, "start": np.int64, "windows": np.int64, "row": np.int64}
-        return {k: np.zeros(0, none.get(k, np.uint64)) for k in names}
+        none = {"anchor": np.uint64, "left": np.uint64, "right": np.uint64, "has_left": bool, "has_right": bool}
+        return {k: np.zeros(0, none.get(k, np.int64)) for k in names}
     return dict(zip(names, (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True))
 
 
@@ -88,29 +89,38 @@ def _windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return _sides(_anchored(data, off))
 
 
-def _segments(ids: np.ndarray, data: np.ndarray, off: np.ndarray, bits, sketch_slices: int, slices: int):
-    """Segments near a side estimated repeated; the first of each distinct one, in the order of their
-    slices, its smallest document, and of every segment its distinct one."""
+def _segments(ids: np.ndarray, data: np.ndarray, off: np.ndarray, bits, slices: int):
+    """Start, windows and row of the segments near a side estimated repeated, cut to the windows that
+    hold such a side; the first of each distinct one, in the order of their slices, its anchor and
+    smallest document; and of every segment its distinct one."""
     s = _anchored(data, off)
-    u, _ = distinct_windows(*_sides(s), sketch_slices)
-    repeated = np.sort(u[flags_of(bits, len(u))])
-
-    def within(h: np.ndarray) -> np.ndarray:
-        if len(repeated) == 0:
-            return np.zeros(len(h), bool)
-        return repeated[np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)] == h
-
-    keep = (s["has_left"] & within(s["left"])) | (s["has_right"] & within(s["right"]))
-    s = {k: v[keep] for k, v in s.items()}
-    _, one, which = np.unique(s["segment"], return_index=True, return_inverse=True)
-    place = slice_of(s["anchor"][one], slices)
-    order = np.argsort(place, kind="stable")
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    which = back[which] if len(order) else which
-    least = np.full(len(one), NULL_ID)
-    np.minimum.at(least, which, ids[s["row"]])
-    return s, one[order], which, least, place[order]
+    u, _, first, order = distinct_windows(*_sides(s))
+    found = np.empty(len(order), bool)
+    found[order] = np.repeat(flags_of(bits, len(u)), np.diff(np.append(first, len(order))))
+    n = int(s["has_left"].sum())
+    left, right = np.zeros(len(s["start"]), bool), np.zeros(len(s["start"]), bool)
+    left[s["has_left"]], right[s["has_right"]] = found[:n], found[n:]
+    # A window holds the left side if it begins REACH bytes before the anchor or sooner, the right
+    # side if it begins there or later.
+    turn = s["place"] - REACH
+    start = np.where(left, s["start"], np.maximum(s["start"], turn))
+    end = s["start"] + s["windows"]
+    end = np.where(right, end, np.minimum(end, turn + 1))
+    keep = (left | right) & (end > start)
+    start, windows, row, anchor = start[keep], (end - start)[keep], s["row"][keep], s["anchor"][keep]
+    size = windows + LENGTH - 1
+    at = np.concatenate([[0], np.cumsum(size)])
+    h = mix(span_hash(prefix_hash(_gather(data, start, size)), at[:-1], at[1:]) + size.astype(np.uint64))
+    u, _, first, order = distinct_windows(h, row)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.repeat(np.arange(len(u)), np.diff(np.append(first, len(order))))
+    one = order[first]
+    least = np.minimum.reduceat(ids[row][order], first) if len(first) else np.zeros(0, np.int64)
+    place = slice_of(anchor[one], slices)
+    by_slice = np.argsort(place, kind="stable")
+    back = np.empty(len(by_slice), np.int64)
+    back[by_slice] = np.arange(len(by_slice))
+    return (start, windows, row), one[by_slice], anchor[one][by_slice], least[by_slice], place[by_slice], back[group]
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -124,19 +134,20 @@ def _of_kind(rows: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
     return [(s, n, b) for k, s, n, b in every if k == kind]
 
 
-def _candidates(blocks: DataFrame, sketch: DataFrame, sketch_slices: int, slices: int) -> DataFrame:
+def _candidates(blocks: DataFrame, sketch: DataFrame, slices: int) -> DataFrame:
     """slice, block, n (segments), body: windows, smallest documents, anchors and bytes of a block's segments."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = left.column("block")[0].as_py()
         ids, data, off = unpack(left.column("n_docs")[0].as_py(), left.column("blob")[0].as_py())
-        s, one, _, least, place = _segments(ids, data, off, _of_kind(right, 0), sketch_slices, slices)
-        start, windows, anchor = s["start"][one], s["windows"][one], s["anchor"][one]
+        (start, windows, _), one, anchor, least, place, _ = _segments(ids, data, off, _of_kind(right, 0), slices)
+        start, windows = start[one], windows[one]
         cuts, out = np.searchsorted(place, np.arange(slices + 1)), []
         for k in range(slices):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
                 text = _gather(data, start[a:b], windows[a:b] + LENGTH - 1)
-                out.append((k, block, int(b - a), least[a:b].tobytes() + anchor[a:b].tobytes()
+                low = (anchor[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                out.append((k, block, int(b - a), least[a:b].tobytes() + low.tobytes()
                             + windows[a:b].astype(np.uint8).tobytes() + text.tobytes()))
         return pa.table({"slice": pa.array([x[0] for x in out], pa.int64()),
                          "block": pa.array([x[1] for x in out], pa.int64()),
@@ -151,9 +162,10 @@ def _first_documents(text: np.ndarray, size: np.ndarray, least: np.ndarray) -> t
     """For each window of each segment the smallest document that has it, and the segments' offsets."""
     at = np.concatenate([[0], np.cumsum(size)])
     h = mix(span_hash(prefix_hash(text), at[:-1], at[1:]) + size.astype(np.uint64))
-    _, one, which = np.unique(h, return_index=True, return_inverse=True)
-    doc = np.full(len(one), NULL_ID)
-    np.minimum.at(doc, which, least)
+    _, _, first, order = distinct_windows(h, least)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    one, doc = order[first], np.minimum.reduceat(least[order], first)
     own = size[one]
     index = RunIndex.of(_gather(text, at[one], own), own, doc, LENGTH)
     found, offset = index.matches(own)
@@ -167,17 +179,17 @@ def _marked(candidates: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         sizes, raw = group.column("n").to_pylist(), group.column("body").to_pylist()
-        col = lambda kind, width, skip: np.concatenate(
+        col = lambda kind, skip: np.concatenate(
             [np.frombuffer(r, kind, n, skip * n) for n, r in zip(sizes, raw, strict=True)])
-        least, anchor = col(np.int64, 8, 0), col(np.uint64, 8, 8)
-        size = col(np.uint8, 1, 16).astype(np.int64) + LENGTH - 1
-        text = np.concatenate([np.frombuffer(r, np.uint8, offset=17 * n) for n, r in zip(sizes, raw, strict=True)])
+        least, anchor = col(np.int64, 0), col(np.uint32, 8)
+        size = col(np.uint8, 12).astype(np.int64) + LENGTH - 1
+        text = np.concatenate([np.frombuffer(r, np.uint8, offset=13 * n) for n, r in zip(sizes, raw, strict=True)])
         del raw
         at = np.concatenate([[0], np.cumsum(size)])
         w_at = np.concatenate([[0], np.cumsum(size - LENGTH + 1)])
         marks = np.zeros(w_at[-1], bool)
         # Indexes of a bounded size: equal windows have equal anchors, so they stay together.
-        part = (anchor % np.uint64(-(-len(text) // limit))).astype(np.int64)
+        part = (anchor % np.uint32(-(-len(text) // limit))).astype(np.int64)
         order = np.argsort(part, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
             first, _ = _first_documents(_gather(text, at[own], size[own]), size[own], least[own])
@@ -193,17 +205,16 @@ def _marked(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("slice").applyInArrow(run, "block bigint, slice bigint, n bigint, bits binary")
 
 
-def _applied(blocks: DataFrame, answers: DataFrame, sketch_slices: int, slices: int) -> DataFrame:
+def _applied(blocks: DataFrame, answers: DataFrame, slices: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, data, off = unpack(left.column("n_docs")[0].as_py(), left.column("blob")[0].as_py())
-        s, one, which, least, _ = _segments(ids, data, off, _of_kind(right, 0), sketch_slices, slices)
-        windows = s["windows"][one]
+        (start, n, row), one, _, least, _, which = _segments(ids, data, off, _of_kind(right, 0), slices)
+        windows = n[one]
         at = np.cumsum(windows) - windows
         marks = flags_of(_of_kind(right, 1), int(windows.sum()))
         # Every place of a segment: its own marks, or all of it if the block has a smaller document.
-        n = s["windows"]
-        hit = _gather(marks, at[which], n) | np.repeat(ids[s["row"]] > least[which], n)
-        begin = (np.repeat(s["start"] - (np.cumsum(n) - n), n) + np.arange(n.sum()))[hit]
+        hit = _gather(marks, at[which], n) | np.repeat(ids[row] > least[which], n)
+        begin = (np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum()))[hit]
         step = np.zeros(len(data) + 1, np.int32)
         step[:len(data)] += np.bincount(begin, minlength=len(data))[:len(data)].astype(np.int32)
         step -= np.bincount(begin + LENGTH, minlength=len(data) + 1).astype(np.int32)
@@ -233,8 +244,8 @@ def remove_long_matches(docs: DataFrame, text: str = "text") -> DataFrame:
     # About one anchor, so two sides, in 18 bytes; the estimate only sets the number of slices.
     sketch_slices, slices = slices_for(total // 9), max(8, -(-total // SLICE_BYTES))
     sketch = written(repeated_windows(blocks, _windows, sketch_slices), "sides").withColumn("kind", F.lit(0))
-    marked = _marked(_candidates(blocks, sketch, sketch_slices, slices)).withColumn("kind", F.lit(1))
-    return _applied(blocks, sketch.unionByName(marked), sketch_slices, slices)
+    marked = _marked(_candidates(blocks, sketch, slices)).withColumn("kind", F.lit(1))
+    return _applied(blocks, sketch.unionByName(marked), slices)
 
 
 _SQL = """
