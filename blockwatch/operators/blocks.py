@@ -10,11 +10,14 @@ bounded by the block size for fixed-count blocks.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockwatch.functions.timefmt import micros
-from blockwatch.operators.position import plan_buckets, previous_values, with_position
+from blockwatch.operators.position import bucketed, previous_values, with_position
 
 CONTENT_SEP = " | "
 
@@ -115,8 +118,11 @@ def dense_ids(rows: DataFrame, key_cols: list[str], order_cols: list[str],
     keys = rows.groupBy(*key_cols).agg(*[F.min(c).alias(f"_bw_o{i}") for i, c in enumerate(order_cols)])
     order = [f"_bw_o{i}" for i in range(len(order_cols))] + list(key_cols)
     numbered = with_position(keys, order, name="_bw_pos")
-    numbered = numbered.select(*key_cols, (F.col("_bw_pos") + 1).alias(id_col))
-    return rows.join(numbered, key_cols)
+    numbered = numbered.select(*[F.col(c).alias(f"_bw_j{i}") for i, c in enumerate(key_cols)],
+                               (F.col("_bw_pos") + 1).alias(id_col))
+    # Rows whose key is NULL form a block of their own: the join compares NULL with NULL.
+    same = [F.col(c).eqNullSafe(F.col(f"_bw_j{i}")) for i, c in enumerate(key_cols)]
+    return rows.join(numbered, functools.reduce(operator.and_, same)).drop(*[f"_bw_j{i}" for i in range(len(key_cols))])
 
 
 def time_blocks(lines: DataFrame, ts_col: str, interval_s: float, step_s: float | None = None,
@@ -154,32 +160,24 @@ def idle_gap_sessions(lines: DataFrame, key: str, ts_col: str, gap_s: float,
     Block ids are then dense in order of each session's first line.
     """
     order = [key, ts_col, pos_col]
-    expr = plan_buckets(lines, order)
-    single = expr is None
-    b = lines.withColumn("_bw_bucket", F.lit(0) if single else expr).withColumn("_bw_us", micros(ts_col))
+    b = bucketed(lines, order).withColumn("_bw_us", micros(ts_col))
     w = Window.partitionBy("_bw_bucket").orderBy(*order)
-    b = b.withColumn("_bw_pk", F.lag(key).over(w)).withColumn("_bw_pus", F.lag("_bw_us").over(w))
-    if not single:
-        last = b.groupBy("_bw_bucket").agg(
-            F.max_by(F.struct(F.col(key).alias("k"), F.col("_bw_us").alias("u")), F.struct(*order)).alias("_bw_last"))
-        prev_last = last.select("_bw_bucket", F.lag("_bw_last").over(Window.orderBy("_bw_bucket")).alias("_bw_pl"))
-        b = (b.join(F.broadcast(prev_last), "_bw_bucket")
-             .withColumn("_bw_pk", F.coalesce("_bw_pk", F.col("_bw_pl.k")))
-             .withColumn("_bw_pus", F.coalesce("_bw_pus", F.col("_bw_pl.u")))
-             .drop("_bw_pl"))
-    start = (F.col("_bw_pk").isNull() | (F.col("_bw_pk") != F.col(key))
-             | ((F.col("_bw_us") - F.col("_bw_pus")) > F.lit(int(round(gap_s * 1e6))))).cast("int")
-    b = b.withColumn("_bw_start", start)
+    b = b.withColumn("_bw_pk", F.lag(F.struct(F.col(key).alias("k"), F.col("_bw_us").alias("u"))).over(w))
+    last = b.groupBy("_bw_bucket").agg(
+        F.max_by(F.struct(F.col(key).alias("k"), F.col("_bw_us").alias("u")), F.struct(*order)).alias("_bw_last"))
+    prev_last = last.select("_bw_bucket", F.lag("_bw_last").over(Window.orderBy("_bw_bucket")).alias("_bw_pl"))
+    b = b.join(F.broadcast(prev_last), "_bw_bucket").withColumn("_bw_prev", F.coalesce("_bw_pk", "_bw_pl"))
+    # The first row of all has no predecessor; a NULL key is a key like any other.
+    start = (F.col("_bw_prev").isNull() | ~F.col("_bw_prev.k").eqNullSafe(F.col(key))
+             | ((F.col("_bw_us") - F.col("_bw_prev.u")) > F.lit(int(round(gap_s * 1e6)))))
+    b = b.withColumn("_bw_start", F.coalesce(start, F.lit(True)).cast("int"))
     b = b.withColumn("_bw_local", F.sum("_bw_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    if single:
-        b = b.withColumn("_bw_snum", F.col("_bw_local"))
-    else:
-        starts = b.groupBy("_bw_bucket").agg(F.sum("_bw_start").alias("_bw_ns"))
-        offsets = starts.select("_bw_bucket", F.coalesce(F.sum("_bw_ns").over(
-            Window.orderBy("_bw_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_bw_soff"))
-        b = (b.join(F.broadcast(offsets), "_bw_bucket")
-             .withColumn("_bw_snum", F.col("_bw_soff") + F.col("_bw_local")).drop("_bw_soff"))
-    b = b.drop("_bw_bucket", "_bw_us", "_bw_pk", "_bw_pus", "_bw_start", "_bw_local")
+    starts = b.groupBy("_bw_bucket").agg(F.sum("_bw_start").alias("_bw_ns"))
+    offsets = starts.select("_bw_bucket", F.coalesce(F.sum("_bw_ns").over(
+        Window.orderBy("_bw_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_bw_soff"))
+    b = (b.join(F.broadcast(offsets), "_bw_bucket")
+         .withColumn("_bw_snum", F.col("_bw_soff") + F.col("_bw_local")).drop("_bw_soff"))
+    b = b.drop("_bw_bucket", "_bw_us", "_bw_pk", "_bw_pl", "_bw_prev", "_bw_start", "_bw_local")
     return dense_ids(b, ["_bw_snum"], [pos_col], id_col=id_col).drop("_bw_snum")
 
 

@@ -7,8 +7,8 @@ A DataFrame has no order, so every positional operation of the log model
 all rows to one task and without materialising anything:
 
 1. range bounds for the order key come from one seeded sample and are embedded
-   in the plan as literals; each row's bucket is a pure function of its key
-   (a binary-search ``CASE`` tree, log2(buckets) comparisons per row);
+   in the plan as one literal array; each row's bucket is a pure function of its key
+   (a binary search in that array, log2(buckets) comparisons per row);
 2. rows are numbered inside their bucket (``row_number`` over a window
    partitioned by bucket: sort-based, spills, one bucket per task);
 3. each bucket is shifted by the row count of all earlier buckets, from a count
@@ -22,28 +22,18 @@ large share of the rows.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockwatch.session import ensure_checkpoint_dir
-
-SAMPLES_PER_BUCKET = 64
-SINGLE_BUCKET_ROWS = 1_000_000  # at or below this, one sorted bucket is cheaper than sampling
-_LOCAL_BITS = 33
-
-
-def single_bucket_rows() -> int:
-    """Row count up to which a single sorted bucket is used (overridable for tests)."""
-    return SINGLE_BUCKET_ROWS
-
-
-def _buckets(df: DataFrame, num_buckets: int | None) -> int:
-    if num_buckets:
-        return int(num_buckets)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+# Rows meant for one bucket (a bucket is sorted by one task, and spills), the fewest buckets (so
+# that small inputs run the same plan), and the most (the bounds are one literal of the plan).
+ROWS_PER_BUCKET = 2_000_000
+MIN_BUCKETS, MAX_BUCKETS = 8, 20_000
+SAMPLES_PER_BUCKET = 32
 
 
 def _sortable(df: DataFrame, name: str) -> Column:
@@ -57,52 +47,48 @@ def _sortable(df: DataFrame, name: str) -> Column:
     return col
 
 
-def _le(bound: tuple, keys: list[Column]) -> Column:
-    """bound <= keys, lexicographically."""
-    expr = F.lit(bound[-1]) <= keys[-1]
-    for b, k in zip(reversed(bound[:-1]), reversed(keys[:-1])):
-        expr = (F.lit(b) < k) | ((F.lit(b) == k) & expr)
-    return expr
+def _bounds_below(bounds: list[tuple], key_type: T.StructType, key: Column) -> Column:
+    """Number of bounds <= key, by binary search in one literal array of structs."""
+    names = key_type.fieldNames()
+    text = json.dumps([dict(zip(names, b)) for b in bounds])
+    array = F.from_json(F.lit(text), T.ArrayType(key_type))
+
+    def halve(state: Column, _: Column) -> Column:
+        mid = ((state["lo"] + state["hi"]) / 2).cast("int")
+        below = F.get(array, mid) <= key
+        more = state["lo"] < state["hi"]
+        return F.struct(F.when(more & below, mid + 1).otherwise(state["lo"]).alias("lo"),
+                        F.when(more & ~below, mid).otherwise(state["hi"]).alias("hi"))
 
+    steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda s: s["lo"])
 
-def _bucket_tree(bounds: list[tuple], keys: list[Column], lo: int, hi: int) -> Column:
-    """Number of bounds <= keys, for bounds[lo:hi] (binary search as nested CASE)."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(_le(bounds[mid], keys), _bucket_tree(bounds, keys, mid + 1, hi)) \
-        .otherwise(_bucket_tree(bounds, keys, lo, mid))
 
+def plan_buckets(df: DataFrame, order_cols: list[str], num_buckets: int | None = None, seed: int = 7) -> Column:
+    """A range-bucket expression for the (unique) order key: a deterministic function of the key.
 
-def plan_buckets(df: DataFrame, order_cols: list[str], num_buckets: int | None = None,
-                 seed: int = 7) -> Column | None:
-    """A range-bucket expression for the (unique) order key, a deterministic function of
-    the key built from one seeded sample; ``None`` when one bucket suffices (at most
-    ``single_bucket_rows()`` rows, checked by the count)."""
-    keys = [_sortable(df, c) for c in order_cols]
-    key_df = df.select(*[k.alias(f"_bw_k{i}") for i, k in enumerate(keys)])
+    The number of buckets follows the number of rows, not the cluster; the bounds come from one
+    seeded sample. Inputs of every size take this path.
+    """
+    keys = [_sortable(df, c).alias(f"k{i}") for i, c in enumerate(order_cols)]
+    key_df = df.select(*keys)
     n_rows = key_df.count()
-    n = _buckets(df, num_buckets)
-    if n <= 1 or n_rows <= single_bucket_rows():
-        return None
+    n = num_buckets or min(MAX_BUCKETS, max(MIN_BUCKETS, -(-n_rows // ROWS_PER_BUCKET)))
     fraction = min(1.0, n * SAMPLES_PER_BUCKET / max(n_rows, 1))
     sample = sorted(tuple(r) for r in key_df.sample(False, fraction, seed).collect())
-    bounds = []
+    bounds: list[tuple] = []
     for i in range(1, n):
-        if not sample:
-            break
-        b = sample[min(len(sample) - 1, (i * len(sample)) // n)]
-        if not bounds or b > bounds[-1]:
+        b = sample[(i * len(sample)) // n] if sample else None
+        if b is not None and (not bounds or b > bounds[-1]):
             bounds.append(b)
     if not bounds:
-        return None
-    return _bucket_tree(bounds, keys, 0, len(bounds))
+        return F.lit(0)
+    return _bounds_below(bounds, key_df.schema, F.struct(*keys))
 
 
 def bucketed(df: DataFrame, order_cols: list[str], num_buckets: int | None = None) -> DataFrame:
-    """Add ``_bw_bucket`` (0 for every row when one bucket suffices)."""
-    expr = plan_buckets(df, order_cols, num_buckets)
-    return df.withColumn("_bw_bucket", expr if expr is not None else F.lit(0))
+    """Add ``_bw_bucket``."""
+    return df.withColumn("_bw_bucket", plan_buckets(df, order_cols, num_buckets))
 
 
 def _offsets(counts: DataFrame, key: str, value: str, out: str) -> DataFrame:
@@ -114,11 +100,7 @@ def _offsets(counts: DataFrame, key: str, value: str, out: str) -> DataFrame:
 def with_position(df: DataFrame, order_cols: list[str], name: str = "pos",
                   num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based rank of each row under ``order_cols`` (unique, non-null)."""
-    expr = plan_buckets(df, order_cols, num_partitions)
-    if expr is None:
-        # At most single_bucket_rows() rows (checked): one sorted window, no offsets.
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order_cols)) - 1).cast("bigint"))
-    b = df.withColumn("_bw_bucket", expr)
+    b = bucketed(df, order_cols, num_partitions)
     counts = b.groupBy("_bw_bucket").agg(F.count(F.lit(1)).alias("_bw_n"))
     offsets = _offsets(counts, "_bw_bucket", "_bw_n", "_bw_off")
     w = Window.partitionBy("_bw_bucket").orderBy(*order_cols)
@@ -132,11 +114,7 @@ def forward_fill(df: DataFrame, value_col: str, order_col: str) -> DataFrame:
     """Carry the last non-null ``value_col`` forward in global ``order_col`` order
     (``value_col`` non-decreasing where set): filled inside each bucket, and each
     bucket's leading gap filled from the largest value of earlier buckets."""
-    expr = plan_buckets(df, [order_col])
-    if expr is None:
-        w1 = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(value_col, F.last(value_col, ignorenulls=True).over(w1))
-    b = df.withColumn("_bw_bucket", expr)
+    b = bucketed(df, [order_col])
     w = Window.partitionBy("_bw_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     local = b.withColumn("_bw_ff", F.last(value_col, ignorenulls=True).over(w))
     tails = b.groupBy("_bw_bucket").agg(F.max(value_col).alias("_bw_tail"))
@@ -183,10 +161,6 @@ def split_hash(df: DataFrame, id_col: str, ratio: float, seed: int = 42,
             .drop("_bw_h", "_bw_hpos"))
 
 
-__all__ = ["bucketed", "ensure_checkpoint_dir", "forward_fill", "plan_buckets", "row_count", "split_hash",
-           "split_positional", "tail_slice", "with_position"]
-
-
 def exact_percentile(df: DataFrame, value_col: str, id_col: str, p: float) -> float:
     """Exact percentile with linear interpolation (numpy's default), p in [0, 100], for
     values with any number of distinct values.
@@ -216,14 +190,7 @@ def previous_values(df: DataFrame, order_cols: list[str], value_cols: list[str],
     Inside each range bucket this is ``lag``; the first row of a bucket takes the last
     row of the previous non-empty bucket, from a table with one row per bucket.
     """
-    expr = plan_buckets(df, order_cols)
-    if expr is None:
-        w1 = Window.orderBy(*order_cols)  # at most single_bucket_rows() rows (checked)
-        out = df
-        for c in value_cols:
-            out = out.withColumn(prefix + c, F.lag(c).over(w1))
-        return out
-    b = df.withColumn("_bw_bucket", expr)
+    b = bucketed(df, order_cols)
     w = Window.partitionBy("_bw_bucket").orderBy(*order_cols)
     for c in value_cols:
         b = b.withColumn(prefix + c, F.lag(c).over(w))

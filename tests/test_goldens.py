@@ -168,7 +168,7 @@ def test_percentile_filter(spark, monkeypatch):
     kept = sorted(r.d for r in PS.percentile_filter(df, "d", 70.0).collect())
     assert kept == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
     from blockwatch.operators import position as P
-    monkeypatch.setattr(P, "SINGLE_BUCKET_ROWS", 3)
+    monkeypatch.setattr(P, "ROWS_PER_BUCKET", 3)
     assert P.exact_percentile(df, "d", "id", 70.0) == pytest.approx(6.3)
     assert P.exact_percentile(df, "d", "id", 100.0) == 9.0
     many = spark.range(1000).select("id", ((F.col("id") * 7919) % 1000 / 7.0).alias("d"))
@@ -263,7 +263,7 @@ def test_hashed_vector(spark):
 @pytest.mark.parametrize("parts", [1, 4, 37])
 def test_position_partition_independent(spark, parts, monkeypatch):
     from blockwatch.operators import position as P
-    monkeypatch.setattr(P, "SINGLE_BUCKET_ROWS", 10)  # force the sampled multi-bucket path
+    monkeypatch.setattr(P, "ROWS_PER_BUCKET", 10)  # force the sampled multi-bucket path
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), F.col("id")).repartition(7)
     pos = with_position(df, ["k", "id"], num_partitions=parts)
     rows = pos.select("k", "pos").collect()
@@ -273,7 +273,7 @@ def test_position_partition_independent(spark, parts, monkeypatch):
 
 def test_position_with_hot_key_and_timestamps(spark, monkeypatch):
     from blockwatch.operators import position as P
-    monkeypatch.setattr(P, "SINGLE_BUCKET_ROWS", 10)
+    monkeypatch.setattr(P, "ROWS_PER_BUCKET", 10)
     base = dt.datetime(2024, 1, 1)
     # a third of the rows share one timestamp: the unique (ts, id) key still splits them
     rows = [(i, base if i % 3 == 0 else base + dt.timedelta(seconds=i)) for i in range(600)]
@@ -288,7 +288,7 @@ def test_position_with_hot_key_and_timestamps(spark, monkeypatch):
 
 def test_forward_fill(spark, monkeypatch):
     from blockwatch.operators import position as P
-    monkeypatch.setattr(P, "SINGLE_BUCKET_ROWS", 10)
+    monkeypatch.setattr(P, "ROWS_PER_BUCKET", 10)
     df = spark.range(300).select("id", F.when(F.col("id") % 50 == 0, F.col("id")).alias("v"))
     got = {r.id: r.v for r in P.forward_fill(df, "v", "id").collect()}
     assert all(got[i] == (i // 50) * 50 for i in range(300))

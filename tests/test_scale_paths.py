@@ -1,7 +1,7 @@
 """The multi-bucket (large-input) code paths, forced on small data and checked by brute force.
 
-Real runs take these paths above ``SINGLE_BUCKET_ROWS`` rows; here the threshold is
-patched down so that every numbering uses sampled range buckets.
+Every numbering uses sampled range buckets; here their number is patched up, so that a bucket
+holds a few rows.
 """
 
 import datetime as dt
@@ -17,7 +17,7 @@ from blockwatch.operators import position as P
 
 @pytest.fixture()
 def small_buckets(monkeypatch):
-    monkeypatch.setattr(P, "SINGLE_BUCKET_ROWS", 5)
+    monkeypatch.setattr(P, "ROWS_PER_BUCKET", 5)
 
 
 def _events(spark):
