@@ -21,7 +21,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         near = (both.join(roots.withColumnRenamed("node", "other"), "other")
                 .groupBy("node").agg(F.min("root").alias("m")))
-        step = roots.join(near, "node").select("node", "root", F.least("root", "m").alias("next"))
+        # Written before the next join, so that both its sides are plain exchanges and a root with
+        # very many nodes can be split.
+        step = roots.join(near, "node").select("node", "root", F.least("root", "m").alias("next")).checkpoint()
         up = step.select(F.col("node").alias("next"), F.col("next").alias("above"))
         step = (step.join(up, "next").select("node", "root", F.least("next", "above").alias("next")).checkpoint())
         changed = step.where("next <> root").limit(1).count()
