@@ -83,9 +83,10 @@ def with_next_text(docs: DataFrame, buckets: int) -> DataFrame:
     rows = rows.withColumn("bucket", bucket)
     tie = F.xxhash64("text")
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_last(), tie)
-    # One row a bucket from here: the ids first, then the texts of those ids.
+    # One row a bucket from here: the ids first (a few bytes for each of ``buckets``, so they may be
+    # broadcast), then the texts of those ids.
     firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("first_id"))
-    near = rows.join(firsts, "bucket").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    near = rows.join(F.broadcast(firsts), "bucket").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
     heads = (near.withColumn("n", F.row_number().over(order)).where("n = 1")
              .select("bucket", F.col("text").alias("head")))
     ring = Window.orderBy("bucket")  # as many rows as there are buckets
