@@ -1,26 +1,28 @@
 """Cosine top-k neighbours of each block among a bounded container.
 
 The container (a capped sample: at most ``sum(caps)`` rows of dimension d) is
-the only thing shipped to every task. Its size is checked before it leaves the
-cluster; above ``max_broadcast_bytes`` it is split into chunks that are each
-scored in their own narrow pass, and the per-chunk top-k lists are merged per
-query (k x chunks rows per query), so the result stays exact at any size.
-
-Scoring is a ``mapInPandas`` over the query rows: one matrix product per Arrow
-batch, top-k by (similarity rounded to 9 digits desc, container id asc). No pair
-rows are ever materialised and the query side is never shuffled.
+the only thing shipped to every task. It is cut into slices of at most
+``max_broadcast_bytes``; the query rows pass through the slices one after the other in
+narrow steps, carrying their k best so far, so the result is exact and the same
+whatever the number of slices.
+
+Scoring is a ``mapInPandas`` over the query rows: matrix products of at most
+``QUERY_ROWS`` queries, top-k by (similarity rounded to 9 digits desc, container id
+asc). No pair rows are ever materialised and the query side is never shuffled.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIM_DIGITS = 9
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+# Queries of one matrix product: with a 7,000-row container each temporary is 14 MB.
+QUERY_ROWS = 256
 
 NEIGHBOR_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
@@ -58,7 +60,22 @@ def _topk_rows(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(part, order, axis=1)
 
 
-def _score_fn(bc, k: int, vec_col: str, id_col: str):
+def best_of_slice(q: np.ndarray, own_ids: np.ndarray | None, ids: np.ndarray, cnorm: np.ndarray, k: int):
+    """For up to ``QUERY_ROWS`` queries at a time: (rows, columns, similarities) of their best.
+
+    With ``own_ids`` a query never meets the container row of its own id.
+    """
+    for i in range(0, len(q), QUERY_ROWS):
+        sims = _normalize_rows(q[i:i + QUERY_ROWS]) @ cnorm.T
+        if own_ids is not None:
+            at = np.searchsorted(ids, own_ids[i:i + QUERY_ROWS])
+            hit = np.flatnonzero((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == own_ids[i:i + QUERY_ROWS]))
+            sims[hit, at[hit]] = -2.0  # below any cosine
+        top = _topk_rows(sims, ids, k)
+        yield i, top, np.take_along_axis(sims, top, axis=1)
+
+
+def _score_fn(bc, k: int, vec_col: str, exclude_self: bool):
     def score(batches):
         ids, labels, cmat = bc.value
         cnorm = _normalize_rows(cmat)
@@ -66,15 +83,27 @@ def _score_fn(bc, k: int, vec_col: str, id_col: str):
             if len(pdf) == 0:
                 continue
             q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            sims = _normalize_rows(q) @ cnorm.T
-            top = _topk_rows(sims, ids, k)
-            rows = np.arange(len(pdf))[:, None]
-            yield pd.DataFrame({
-                "query_id": pdf[id_col].astype("int64").values,
-                "nbr_ids": list(ids[top]),
-                "nbr_sims": list(sims[rows, top]),
-                "nbr_labels": list(labels[top].astype("int32")),
-            })
+            own = pdf["query_id"].to_numpy() if exclude_self else None
+            out = {"nbr_ids": [], "nbr_sims": [], "nbr_labels": []}
+            first = not any(len(x) for x in pdf["nbr_ids"])  # nothing carried from an earlier slice
+            for i, top, sims in best_of_slice(q, own, ids, cnorm, k):
+                if first and not exclude_self:
+                    out["nbr_ids"] += list(ids[top])
+                    out["nbr_sims"] += list(sims)
+                    out["nbr_labels"] += list(labels[top].astype(np.int32))
+                    continue
+                for j in range(len(top)):
+                    # The k best of those carried so far and of this slice.
+                    old = pdf.iloc[i + j]
+                    here = sims[j] > -2.0
+                    n = np.concatenate([np.asarray(old["nbr_ids"], np.int64), ids[top[j]][here]])
+                    s = np.concatenate([np.asarray(old["nbr_sims"], np.float64), sims[j][here]])
+                    y = np.concatenate([np.asarray(old["nbr_labels"], np.int32), labels[top[j]][here].astype(np.int32)])
+                    order = np.lexsort((n, -np.rint(s * 10.0 ** SIM_DIGITS)))[:k]
+                    out["nbr_ids"].append(n[order])
+                    out["nbr_sims"].append(s[order])
+                    out["nbr_labels"].append(y[order])
+            yield pdf.assign(**out)
     return score
 
 
@@ -90,47 +119,34 @@ def _collect_container(container: DataFrame, id_col: str, vec_col: str, label_co
 
 def top_k_neighbors(queries: DataFrame, container: DataFrame, k: int, *, id_col: str = "block_id",
                     vec_col: str = "embedding", label_col: str = "label", container_id_col: str | None = None,
-                    max_rows: int, max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+                    max_rows: int, max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+                    exclude_self: bool = False) -> DataFrame:
     """G1 + G2: per query row, the top-k container rows as ordered arrays.
 
     ``max_rows`` is the proven bound on the container (the sum of its sample caps);
-    a larger container is refused rather than silently broadcast.
+    a larger container is refused rather than silently broadcast. ``exclude_self`` leaves
+    out the container row with the query's own id.
     """
     spark = queries.sparkSession
     cid = container_id_col or id_col
-    # One small job: row count and vector width, to check the bound and pick the path.
+    # One small job: row count and vector width, to check the bound and cut the slices.
     stats = container.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
     n_rows, dim = int(stats["n"]), int(stats["d"] or 0)
     if n_rows > max_rows:
         raise ValueError(f"container has {n_rows} rows, above its bound {max_rows}")
     if n_rows == 0:
         return spark.createDataFrame([], NEIGHBOR_SCHEMA)
-    row_bytes = max(dim, 1) * 8 + 16
-    chunk_rows = max(1, max_broadcast_bytes // row_bytes)
-    q = queries.select(id_col, vec_col)
-    if n_rows <= chunk_rows:
-        bc = spark.sparkContext.broadcast(_collect_container(container, cid, vec_col, label_col))
-        return q.mapInPandas(_score_fn(bc, k, vec_col, id_col), NEIGHBOR_SCHEMA)
-    # Chunked exact form: hash-bucket the container into chunks of about chunk_rows
-    # (twice as many buckets as strictly needed, so a bucket stays under the bound),
-    # score each chunk in its own narrow pass, then merge the k best per query.
-    n_chunks = 2 * ((n_rows + chunk_rows - 1) // chunk_rows)
-    numbered = container.withColumn("_bw_chunk", F.pmod(F.xxhash64(cid), F.lit(n_chunks)))
-    parts = []
-    for c in range(n_chunks):
-        chunk = numbered.filter(F.col("_bw_chunk") == c)
-        bc = spark.sparkContext.broadcast(_collect_container(chunk, cid, vec_col, label_col))
-        parts.append(q.mapInPandas(_score_fn(bc, k, vec_col, id_col), NEIGHBOR_SCHEMA))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    long = allp.select("query_id", F.explode(F.arrays_zip("nbr_ids", "nbr_sims", "nbr_labels")).alias("z"))
-    w = Window.partitionBy("query_id").orderBy(F.round("z.nbr_sims", SIM_DIGITS).desc(), F.col("z.nbr_ids"))
-    ranked = long.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-    return ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
-        "_r", "z.nbr_ids", "z.nbr_sims", "z.nbr_labels"))).alias("_a")).select(
-        "query_id", F.col("_a.nbr_ids").alias("nbr_ids"), F.col("_a.nbr_sims").alias("nbr_sims"),
-        F.col("_a.nbr_labels").alias("nbr_labels"))
+    per_slice = max(1, max_broadcast_bytes // (max(dim, 1) * 8 + 16))
+    q = queries.select(
+        F.col(id_col).cast("bigint").alias("query_id"), F.col(vec_col).cast("array<double>").alias("vec"),
+        F.array().cast("array<bigint>").alias("nbr_ids"), F.array().cast("array<double>").alias("nbr_sims"),
+        F.array().cast("array<int>").alias("nbr_labels"))
+    ids, labels, cmat = _collect_container(container, cid, vec_col, label_col)
+    for at in range(0, n_rows, per_slice):
+        part = slice(at, at + per_slice)
+        bc = spark.sparkContext.broadcast((ids[part], labels[part], cmat[part]))
+        q = q.mapInPandas(_score_fn(bc, k, "vec", exclude_self), q.schema)
+    return q.drop("vec")
 
 
 def neighbor_long(nbrs: DataFrame) -> DataFrame:
@@ -152,6 +168,12 @@ def anomaly_percent(nbrs: DataFrame) -> DataFrame:
     return nbrs.select("query_id", (F.lit(100.0) * (F.lit(1.0) - mean)).alias("score"))
 
 
+def score_profile(nbrs: DataFrame) -> DataFrame:
+    """G3 + G5 from one pass over the neighbours."""
+    mean = F.aggregate("nbr_labels", F.lit(0.0), lambda a, x: a + x) / F.size("nbr_labels")
+    return nbrs.select("query_id", mean.alias("prob"), F.sort_array("nbr_sims").alias("similarities"))
+
+
 def similarity_profile(nbrs: DataFrame) -> DataFrame:
     """Neighbour similarities sorted ascending."""
     return nbrs.select("query_id", F.sort_array("nbr_sims").alias("similarities"))

@@ -79,13 +79,12 @@ def neighbor_scores(block_lines: DataFrame, queries: DataFrame, container: DataF
                     max_rows: int) -> tuple[DataFrame, DataFrame]:
     """F7 + G1/G2: hashed block embeddings and top-k neighbours of ``queries`` in ``container``.
 
-    Only the blocks that are queried or stored are embedded; the embeddings are read
-    by three jobs (container check, container collect, scoring) and are a
-    deterministic function of the lines, so they are cached once.
+    Only the blocks that are queried or stored are embedded; the embeddings (one vector a
+    block) are read by three jobs (container check, container collect, scoring), so they
+    are written once.
     """
     needed = queries.select("block_id").unionByName(container.select("block_id")).distinct()
-    emb = FT.embed_lines_to_blocks(block_lines.join(needed, "block_id", "left_semi")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    emb = FT.embed_lines_to_blocks(block_lines.join(needed, "block_id", "left_semi")).checkpoint(eager=True)
     q = queries.select("block_id").join(emb, "block_id")
     c = container.select("block_id", "label").join(emb, "block_id")
     nbrs = NB.top_k_neighbors(q, c, k, max_rows=max_rows)
@@ -99,7 +98,8 @@ def cascade_detector(blocks: DataFrame, block_lines: DataFrame, *, ratio: float
     caps = caps or CASCADE_CAPS
     parts = cascade_parts(blocks, block_lines, ratio=ratio, caps=caps, seed=seed)
     _, nbrs = neighbor_scores(block_lines, parts["test"], parts["container"], k, sum(caps.values()))
-    scores = NB.anomaly_percent(nbrs).withColumnRenamed("query_id", "block_id")
+    # Read by the threshold and by the join: written once, or every reader scores anew.
+    scores = NB.anomaly_percent(nbrs).withColumnRenamed("query_id", "block_id").checkpoint(eager=True)
     threshold = R.percentile_threshold(scores, "score", percentile)
     test = parts["test"].join(scores, "block_id", "left")
     tl = parts["lines"].join(parts["test"].select("block_id").unionByName(parts["bad_blocks"]),
@@ -177,33 +177,36 @@ def fusion_detector(blocks: DataFrame, block_lines: DataFrame, **kw) -> DataFram
 
 from blockwatch.operators import pseudo as PS  # noqa: E402
 
-PSEUDO_SAMPLE = 10000
-PSEUDO_SAMPLE_SEED = 21
+# Bound of the pseudo-labelled rows that become the neighbour container, by class.
+PSEUDO_CONTAINER_CAPS = {1: 2500, 0: 2500}
+PSEUDO_SEED = 21
 PSEUDO_PERCENTILE = 70.0
 
 
 def pseudo_label_setup(blocks: DataFrame, block_lines: DataFrame, *, ratio: float = 0.8,
-                       k: int = FUSION_K, sample: int = PSEUDO_SAMPLE) -> dict[str, DataFrame]:
-    """K-means pseudo labels on a capped train sample, filtered by distance,
-    majority relabelled, halved per class into a container and a tuning set; then
-    neighbour probabilities (against the pseudo-labelled container) for every block.
+                       k: int = FUSION_K, caps: dict[int, int] | None = None) -> dict[str, DataFrame]:
+    """K-means pseudo labels on every train block, filtered by distance, majority
+    relabelled, halved per class into a container and a tuning set; then neighbour
+    probabilities for every block. Only the container, which goes to every task, is bounded
+    (``caps`` rows of each pseudo label, drawn by hash).
     """
+    caps = caps or PSEUDO_CONTAINER_CAPS
     split = label_and_split(blocks.select("block_id", "status"), ratio).checkpoint(eager=True)
-    emb = FT.embed_lines_to_blocks(block_lines)
+    emb = FT.embed_lines_to_blocks(block_lines).checkpoint(eager=True)
     train = split.filter(F.col("split") == "train").select("block_id").join(emb, "block_id")
-    picked = S.capped_sample(train, "block_id", sample, PSEUDO_SAMPLE_SEED)
-    clustered, centres = PS.kmeans_clusters(picked, k=2, seed=42)
+    clustered, centres = PS.kmeans_clusters(train, k=2, seed=42)
     dist = PS.centre_distance(clustered, centres)
     kept = PS.percentile_filter(dist, "distance", PSEUDO_PERCENTILE, id_col="block_id")
     labelled = PS.majority_relabel(kept)
     roles = PS.half_split_by_class(labelled.select("block_id", "pseudo_label"), "block_id",
                                    "pseudo_label").checkpoint(eager=True)
-    container = roles.filter(F.col("role") == "container").select(
+    stored = roles.filter(F.col("role") == "container").select(
         "block_id", F.col("pseudo_label").alias("label"))
+    container = S.stratified_sample(stored, "block_id", "label", caps, PSEUDO_SEED)
     nbrs = NB.top_k_neighbors(split.select("block_id").join(emb, "block_id"),
-                              container.join(emb, "block_id"), k, max_rows=sample)
+                              container.join(emb, "block_id"), k, max_rows=sum(caps.values()))
     prob = NB.normal_probability(nbrs).withColumnRenamed("query_id", "block_id")
-    return {"split": split, "roles": roles, "prob": prob}
+    return {"split": split, "roles": roles, "prob": prob.checkpoint(eager=True)}
 
 
 def neighbor_only_detector(blocks: DataFrame, block_lines: DataFrame, **kw) -> DataFrame:

@@ -10,7 +10,6 @@ from blockwatch.operators import keywords as KW
 from blockwatch.operators import neighbors as NB
 from blockwatch.operators import pseudo as PS
 from blockwatch.operators.position import split_positional
-from blockwatch.operators.sampling import capped_sample
 from blockwatch.plans import detectors as D
 from blockwatch.plans.catalog import block_columns, BLOCK_SQL_COLS, r6, register, sql
 from blockwatch.plans.q_rules import _view
@@ -164,8 +163,7 @@ def half_split_by_class(spark, sf):
 def kmeans_pseudo_labels(spark, sf):
     vec = views.vectors(spark, sf)
     train = split_positional(vec, "vec_id", 0.8).filter(F.col("split") == "train")
-    picked = capped_sample(train, "vec_id", D.PSEUDO_SAMPLE, D.PSEUDO_SAMPLE_SEED)
-    clustered, centres = PS.kmeans_clusters(picked, k=2, seed=42)
+    clustered, centres = PS.kmeans_clusters(train, k=2, seed=42)
     dist = PS.centre_distance(clustered, centres)
     return PS.majority_relabel(dist).select("vec_id", "cluster", "pseudo_label", r6("distance").alias("distance"))
 
@@ -252,8 +250,7 @@ SELECT qid::BIGINT AS query_id, round(avg(clabel), 6) AS prob, count(*)::BIGINT
        round(min(sim), 6) AS min_sim FROM fine_nbrs WHERE rnk <= 20 GROUP BY qid""", "fine_nbrs"))
 def score_dump(spark, sf):
     from blockwatch.plans.q_rules import _nbrs
-    nbrs = _nbrs(spark, sf, "fine", 20)
-    dump = NB.normal_probability(nbrs).join(NB.similarity_profile(nbrs), "query_id")
+    dump = NB.score_profile(_nbrs(spark, sf, "fine", 20))
     path = scratch_path(spark, "score-dump")
     dump.write.mode("overwrite").parquet(path)
     back = spark.read.parquet(path)

@@ -160,6 +160,10 @@ def container_sample(spark, sf):
         F.col("block_id").cast("bigint"), "label")
 
 
+# Bound of the container of the gather query, by class.
+GATHER_CAPS = {0: 100, 1: 100}
+
+
 @register("container_gather", sql("""
 WITH tr AS (SELECT * FROM v_vec WHERE vec_id < floor((SELECT count(*) FROM v_vec) * 0.8::DOUBLE)),
 s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) AS rn
@@ -169,7 +173,7 @@ def container_gather(spark, sf):
     from blockwatch.operators.position import split_positional
     vec = views.vectors(spark, sf)
     train = split_positional(vec, "vec_id", 0.8).filter(F.col("split") == "train")
-    ids = S.stratified_sample(train.select("vec_id", "label"), "vec_id", "label", {0: 100, 1: 100})
+    ids = S.stratified_sample(train.select("vec_id", "label"), "vec_id", "label", GATHER_CAPS)
     g = S.gather(ids, vec, "vec_id")
     return g.select("vec_id", "label", F.size("embedding").cast("bigint").alias("dim"),
                     r6(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("emb_sum"))
@@ -266,7 +270,9 @@ SELECT block_id::BIGINT AS block_id, score >= (SELECT quantile_cont(score, 0.993
        score > (SELECT quantile_cont(score, 0.993) FROM sess_scores) AS flag_exclusive
 FROM sess_scores""", "sess_scores"))
 def score_flag(spark, sf):
-    scores = NB.anomaly_percent(_nbrs(spark, sf, "sess", 100)).withColumnRenamed("query_id", "block_id")
+    # Read by the percentile and by the flags: scored once.
+    scores = (NB.anomaly_percent(_nbrs(spark, sf, "sess", 100)).withColumnRenamed("query_id", "block_id")
+              .checkpoint(eager=True))
     t = R.percentile_threshold(scores, "score", 99.3)
     return scores.select(F.col("block_id").cast("bigint"),
                          R.score_flag(F.col("score"), t, True).alias("flag_inclusive"),

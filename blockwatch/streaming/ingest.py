@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockwatch.functions import parsing
-from blockwatch.operators.neighbors import _collect_container, _normalize_rows, _topk_rows
+from blockwatch.operators.neighbors import _collect_container, _normalize_rows, best_of_slice
 from blockwatch.operators.blocks import all_normal
 from blockwatch.operators.rules import sequence_key
 
@@ -82,10 +82,9 @@ def _score_stream_fn(bc, k: int, vec_col: str):
             if len(pdf) == 0:
                 continue
             q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            sims = _normalize_rows(q) @ cnorm.T
-            top = _topk_rows(sims, ids, k)
+            best = [labels[top].mean(axis=1) for _, top, _ in best_of_slice(q, None, ids, cnorm, k)]
             out = pdf.drop(columns=[vec_col]).copy()
-            out["score"] = 100.0 * (1.0 - labels[top].mean(axis=1))
+            out["score"] = 100.0 * (1.0 - np.concatenate(best))
             yield out
     return score
 
