@@ -32,6 +32,22 @@ def blocks_by_key(spark, sf):
     return block_columns(views.sessions(spark, sf))
 
 
+@register("blocks_by_nullable_key", sql("""
+WITH l AS (SELECT CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END AS k, line_no, ts, label FROM v_lines),
+p AS (SELECT *, row_number() OVER (ORDER BY ts, line_no) - 1 AS pos FROM l),
+g AS (SELECT k, count(*) AS n, min(pos) AS first_pos,
+             CASE WHEN bool_and(coalesce(label = '-', false)) THEN 'success' ELSE 'fail' END AS status FROM p GROUP BY k)
+SELECT row_number() OVER (ORDER BY first_pos)::BIGINT AS block_id, k, n::BIGINT AS n_lines, first_pos::BIGINT AS first_pos,
+       status FROM g""", "v_lines"))
+def blocks_by_nullable_key(spark, sf):
+    ln = views.lines(spark, sf).withColumn("k", F.when(F.col("user_id") % 3 != 0, F.col("user_id")))
+    rows = B.key_blocks(ln, ["k"])
+    key = rows.groupBy("block_id").agg(F.first("k").alias("k"))
+    return (B.block_status(rows, F.col("label") == "-").join(key, "block_id")
+            .select(F.col("block_id").cast("bigint"), "k", F.col("n_lines").cast("bigint"),
+                    F.col("first_pos").cast("bigint"), "status"))
+
+
 @register("class_balance", sql("""
 SELECT 'fixed20' AS view, status, count(*)::BIGINT AS n_blocks FROM v_blocks20 GROUP BY status
 UNION ALL

@@ -197,6 +197,47 @@ def src_csv_roundtrip(spark, sf):
     return block_columns(back)
 
 
+# Texts that a CSV is apt to change (fixed values): the event id chooses one.
+_EDGES_SQL = r"""CASE event_id % 9 WHEN 0 THEN ' lead' WHEN 1 THEN 'trail ' WHEN 2 THEN 'a' || chr(10) || 'b'
+  WHEN 3 THEN 'say ""hi"", ok' WHEN 4 THEN '' WHEN 5 THEN NULL WHEN 6 THEN 'back\n' || chr(13)
+  WHEN 7 THEN '\N' ELSE event_type END"""
+
+
+def _edge_texts(spark, sf):
+    i = F.col("event_id") % 9
+    pick = F.col("event_type")
+    for at, value in enumerate([" lead", "trail ", "a\nb", 'say ""hi"", ok', "", None, "back\\n\r", "\\N"]):
+        pick = F.when(i == at, F.lit(value)).otherwise(pick)
+    return read_table(spark, sf, "events", ["event_id", "event_type"]).select("event_id", pick.alias("value"))
+
+
+@register("src_csv_edge_values", f"""
+SELECT event_id, v IS NULL AS is_null, length(v)::INT AS n, md5(v) AS digest
+FROM (SELECT event_id, {_EDGES_SQL} AS v FROM events)""")
+def src_csv_edge_values(spark, sf):
+    path = scratch_path(spark, "edges-csv")
+    files.write_csv(_edge_texts(spark, sf), path)
+    back = files.read_csv(spark, path, "event_id BIGINT, value STRING")
+    return back.select("event_id", F.col("value").isNull().alias("is_null"), F.length("value").alias("n"),
+                       F.md5("value").alias("digest"))
+
+
+@register("csv_rejects", """
+SELECT CASE event_id % 4 WHEN 0 THEN 'too_many' WHEN 1 THEN 'not_a_number' ELSE 'good' END AS kind, count(*)::BIGINT AS n
+FROM events GROUP BY 1""")
+def csv_rejects(spark, sf):
+    """One line in four has a field too many, one in four a word for a number; none is lost."""
+    path = scratch_path(spark, "rejects-csv")
+    i = F.col("event_id") % 4
+    line = F.concat_ws(",", F.when(i == 1, F.lit("x")).otherwise(F.col("event_id").cast("string")), "event_type",
+                       F.when(i == 0, F.lit("more")))
+    read_table(spark, sf, "events", ["event_id", "event_type"]).select(line.alias("value")).write.text(path)
+    good, bad = files.read_csv_with_rejects(spark, path, "event_id BIGINT, event_type STRING", header=False)
+    kind = F.when(F.col(files.REJECT).startswith("x,"), F.lit("not_a_number")).otherwise(F.lit("too_many"))
+    every = good.select(F.lit("good").alias("kind")).unionByName(bad.select(kind.alias("kind")))
+    return every.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 cte("v_parsed_cols", f"""
 SELECT line_no, regexp_extract(value, '{parsing.LOG_LINE_PATTERN.replace("'", "''")}', 3) AS level,
        regexp_extract(value, '{parsing.LOG_LINE_PATTERN.replace("'", "''")}', 4) AS content,
@@ -231,7 +272,8 @@ def sink_text(spark, sf):
 SELECT block_id::BIGINT AS block_id, round(list_sum(v), 6) AS emb_sum FROM sess_emb""", "sess_emb"))
 def feature_cache(spark, sf):
     base = scratch_path(spark, "feature-cache")
-    key = files.fingerprint("embed_lines_to_blocks", sf, "sessions")
+    source = files.input_fingerprint(read_table(spark, sf, "events"))
+    key = files.fingerprint("embed_lines_to_blocks", source, "sessions")
     emb = FT.embed_lines_to_blocks(views.session_lines(spark, sf))
     files.materialize(emb, base, key)            # first call writes
     cached = files.materialize(emb, base, key)   # second call reads the cached copy

@@ -33,6 +33,23 @@ def stream_parse_log_lines(spark, sf):
     return spark.read.parquet(f"{base}/out").select("ts_text", "level", "content", "status")
 
 
+def _run_in_thirds(spark, sf, name, build):
+    """Runs ``build`` (of a stream of lines) over the events as they arrive in three parts in the
+    order of time; the query stops and resumes between them, so state is carried. Returns what
+    was emitted, and all lines."""
+    base = scratch_path(spark, name)
+    events = read_table(spark, sf, "events")
+    ends = events.agg(F.unix_micros(F.min("ts").cast("timestamp")).alias("lo"),
+                      F.unix_micros(F.max("ts").cast("timestamp")).alias("hi")).first()
+    width = (ends["hi"] - ends["lo"]) // 3 + 1
+    third = F.expr(f"(unix_micros(cast(ts AS timestamp)) - {ends['lo']}) div {width}")
+    for i in range(3):
+        events.filter(third == i).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        X.run_available_now(build(X.stream_lines(stream)), f"{base}/out", f"{base}/cp")
+    return spark.read.parquet(f"{base}/out"), X.stream_lines(events)
+
+
 @register("stream_blocks_tumbling_30m", sql("""
 WITH l AS (SELECT line_no, ts, label FROM v_lines),
 w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS ws, count(*) AS n_lines,
@@ -40,14 +57,10 @@ w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS ws, count(*) AS n_lines,
              min(line_no) AS first_line, max(line_no) AS last_line FROM l GROUP BY 1)
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, n_lines::BIGINT AS n_lines, status,
        first_line, last_line
-FROM w WHERE ws + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM l) - INTERVAL 1 HOUR""", "v_lines"))
+FROM w""", "v_lines"))
 def stream_blocks_tumbling_30m(spark, sf):
-    base = scratch_path(spark, "events-stream")
-    schema = read_table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    blocks = X.window_blocks(X.stream_lines(events), "30 minutes", "1 hour")
-    X.run_available_now(blocks, f"{base}/out", f"{base}/cp")
-    out = spark.read.parquet(f"{base}/out")
+    emitted, lines = _run_in_thirds(spark, sf, "events-stream", lambda s: X.window_blocks(s, "30 minutes", "1 hour"))
+    out = X.complete_windows(emitted, lines, "30 minutes", "1 hour")
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "n_lines", "status", "first_line", "last_line")
 
@@ -96,31 +109,23 @@ a AS (SELECT user_id, sess, min(ts) AS s_start, max(ts) + INTERVAL 6 HOUR AS s_e
       FROM s GROUP BY 1, 2)
 SELECT user_id, strftime(s_start, '%Y-%m-%d %H:%M:%S.%f') AS session_start, n_lines::BIGINT AS n_lines, status,
        first_line, last_line
-FROM a WHERE s_end <= (SELECT max(ts) FROM l) - INTERVAL 1 HOUR""", "v_lines"))
+FROM a""", "v_lines"))
 def stream_sessions_idle_gap(spark, sf):
-    base = scratch_path(spark, "session-stream")
-    schema = read_table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    sessions = X.session_blocks(X.stream_lines(events), "user_id", "6 hours", "1 hour")
-    X.run_available_now(sessions, f"{base}/out", f"{base}/cp")
-    out = spark.read.parquet(f"{base}/out")
+    emitted, lines = _run_in_thirds(spark, sf, "session-stream",
+                                    lambda s: X.session_blocks(s, "user_id", "6 hours", "1 hour"))
+    out = X.complete_sessions(emitted, lines, "user_id", "6 hours")
     return out.select("user_id", F.date_format("session.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"),
                       "n_lines", "status", "first_line", "last_line")
 
 
 @register("stream_keyed_count_blocks", sql("""
-WITH r AS (SELECT user_id, line_no, label,
-                  (row_number() OVER (PARTITION BY user_id ORDER BY ts, line_no) - 1) // 5 AS block_no
-           FROM v_lines)
+WITH q AS (SELECT user_id, line_no, label, row_number() OVER (PARTITION BY user_id ORDER BY ts, line_no) AS rn
+           FROM v_lines),
+r AS (SELECT *, (rn - 1) // 5 AS block_no FROM q)
 SELECT user_id, block_no::BIGINT AS block_no, count(*)::BIGINT AS n_lines,
-       arg_min(line_no, line_no) AS first_line, arg_max(line_no, line_no) AS last_line,
+       arg_min(line_no, rn) AS first_line, arg_max(line_no, rn) AS last_line,
        CASE WHEN bool_and(label = '-') THEN 'success' ELSE 'fail' END AS status
-FROM r GROUP BY user_id, block_no HAVING count(*) = 5""", "v_lines"))
+FROM r GROUP BY user_id, block_no""", "v_lines"))
 def stream_keyed_count_blocks(spark, sf):
-    base = scratch_path(spark, "keyed-blocks-stream")
-    schema = read_table(spark, sf, "events").schema
-    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf))
-    blocks = X.keyed_count_blocks(X.stream_lines(events), 5)
-    X.run_available_now(blocks, f"{base}/out", f"{base}/cp")
-    return spark.read.parquet(f"{base}/out")
+    emitted, lines = _run_in_thirds(spark, sf, "keyed-blocks-stream", lambda s: X.keyed_count_blocks(s, 5))
+    return X.complete_keyed_blocks(emitted, lines).drop("last_ts")

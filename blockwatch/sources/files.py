@@ -10,10 +10,13 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockwatch.session import scratch_path
+
 
 def _csv_ready(df: DataFrame) -> DataFrame:
     cols = []
@@ -25,21 +28,62 @@ def _csv_ready(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+#: Written for NULL; an empty string is written as "". A text that is this mark itself is escaped.
+CSV_NULL = "\\N"
+_CSV = {"header": True, "escape": '"', "nullValue": CSV_NULL, "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False}
+REJECT = "_reject"
+
+
+def _escaped(c: Column) -> Column:
+    """A text on one line: backslashes and line ends become escapes, so a file stays splittable."""
+    c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def _unescaped(c: Column) -> Column:
+    # Escaped backslashes step aside (as a character that no text has) while the others are read.
+    c = F.replace(c, F.lit("\\\\"), F.lit("\uffff"))
+    c = F.replace(F.replace(c, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.replace(c, F.lit("\uffff"), F.lit("\\"))
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Overwrite (or append) CSV with a header; arrays become JSON text."""
-    (_csv_ready(df).write.mode(mode).option("header", True)
-     .option("escape", '"').csv(path))
+    """Overwrite (or append) CSV with a header; arrays become JSON text, texts are escaped."""
+    ready = _csv_ready(df)
+    cols = [_escaped(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
+            for f in ready.schema.fields]
+    ready.select(*cols).write.mode(mode).options(**_CSV).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
-             multiline: bool = False) -> DataFrame:
-    """CSV with header and an explicit schema (never inferred).
+def read_csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType | str,
+                          escaped: bool = True, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a CSV with header and an explicit schema (never inferred).
 
-    ``multiline`` is off by default: it makes each file a single split.
+    A line with too many or too few fields, or with a value that is not of its column's type, is a
+    reject: its text, in ``_reject``. The file is parsed once, whole, into the shared folder: what a
+    later query reads of it then can't change which lines are malformed. ``escaped`` undoes the
+    escapes of ``write_csv``.
     """
-    reader = (spark.read.schema(schema).option("header", True).option("escape", '"')
-              .option("multiLine", multiline).option("mode", "PERMISSIVE"))
-    return reader.csv(path)
+    plain = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    full = T.StructType([*plain.fields, T.StructField(REJECT, T.StringType())])
+    every = (spark.read.schema(full).options(**_CSV | {"header": header}).option("mode", "PERMISSIVE")
+             .option("columnNameOfCorruptRecord", REJECT).option("enforceSchema", True).csv(path))
+    cols = [_unescaped(F.col(f.name)).alias(f.name) if escaped and isinstance(f.dataType, T.StringType) else F.col(f.name)
+            for f in plain.fields]
+    parsed = scratch_path(spark, "csv-parsed")
+    every.withColumn("_malformed", F.col(REJECT).isNotNull()).write.partitionBy("_malformed").parquet(parsed)
+    back = spark.read.schema(T.StructType([*full.fields, T.StructField("_malformed", T.BooleanType())])).parquet(parsed)
+    return back.filter(~F.col("_malformed")).select(*cols), back.filter(F.col("_malformed")).select(REJECT)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """CSV as ``write_csv`` writes it. A malformed line is an error here, as nothing would show
+    that it is missing; ``read_csv_with_rejects`` sets such lines apart."""
+    plain = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = spark.read.schema(plain).options(**_CSV).option("mode", "FAILFAST").csv(path)
+    return rows.select(*[_unescaped(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType)
+                         else F.col(f.name) for f in plain.fields])
 
 
 def decode_json_arrays(df: DataFrame, array_cols: dict[str, str]) -> DataFrame:
@@ -65,20 +109,32 @@ def fingerprint(*parts: object) -> str:
     return hashlib.sha1(blob).hexdigest()[:16]
 
 
+def input_fingerprint(df: DataFrame) -> str:
+    """A fingerprint of the files behind ``df``: their names, lengths and times."""
+    spark, names = df.sparkSession, sorted(df.inputFiles())
+    if not names:
+        return fingerprint()
+    stat = spark.read.format("binaryFile").load(names).select("path", "length", F.col("modificationTime").cast("string"))
+    return fingerprint(*sorted(tuple(r) for r in stat.collect()))
+
+
 def materialize(df: DataFrame, base_path: str, key: str) -> DataFrame:
-    """Read the cached copy of ``df`` when one with this key exists, else write it.
+    """Read the cached copy of ``df`` when a complete one with this key exists, else write it.
 
-    The key is a fingerprint of whatever produced ``df`` (inputs and parameters),
-    so a stale cache is never reused silently. The written copy also cuts the
-    lineage: a lost executor recomputes from parquet, not from the raw input.
+    The key is a fingerprint of whatever produced ``df`` (``input_fingerprint`` and the
+    parameters), so a stale cache is never reused silently. A copy whose writer did not finish
+    (no _SUCCESS) is written again; any other failure to read is an error. The written copy
+    also cuts the lineage: a lost executor recomputes from parquet, not from the raw input.
     """
     spark = df.sparkSession
     path = f"{base_path.rstrip('/')}/key={key}"
     try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent path: compute and write
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def preview(df: DataFrame, order_cols: list[str], n: int = 100) -> DataFrame:

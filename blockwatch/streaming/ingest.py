@@ -70,6 +70,39 @@ def session_blocks(lines: DataFrame, key: str, gap: str, watermark: str,
                  F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")))
 
 
+# ---- X2, end of input: what the watermark has not closed ---------------------------------------------
+
+def complete_windows(emitted: DataFrame, lines: DataFrame, interval: str, watermark: str,
+                     normal: Column | None = None) -> DataFrame:
+    """The emitted windows, and those still open when the input ended.
+
+    A stream emits a window once the watermark has passed its end. An open window therefore
+    begins less than ``interval`` before the last watermark, so only lines from there on are
+    read again; windows among them that the stream has emitted are left out.
+    """
+    normal = normal if normal is not None else (F.col("label") == "-")
+    newest = lines.select(F.max("ts")).scalar()
+    tail = lines.filter(F.col("ts") >= newest - F.expr(f"INTERVAL {watermark}") - F.expr(f"INTERVAL {interval}"))
+    rest = (tail.groupBy(F.window("ts", interval).alias("window"))
+            .agg(F.count(F.lit(1)).alias("n_lines"), all_normal(normal).alias("status"),
+                 F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")))
+    return emitted.unionByName(rest.join(emitted.select("window"), "window", "left_anti").select(*emitted.columns))
+
+
+def complete_sessions(emitted: DataFrame, lines: DataFrame, key: str, gap: str,
+                      normal: Column | None = None) -> DataFrame:
+    """The emitted sessions, and those still open when the input ended: of each key, the lines
+    at or after the end of its last emitted session."""
+    normal = normal if normal is not None else (F.col("label") == "-")
+    last = emitted.groupBy(F.col(key).alias("_bw_key")).agg(F.max("session.end").alias("_bw_end"))
+    open_lines = (lines.join(last, F.col(key).eqNullSafe(F.col("_bw_key")), "left")
+                  .filter(F.col("_bw_end").isNull() | (F.col("ts") >= F.col("_bw_end"))))
+    rest = (open_lines.groupBy(key, F.session_window("ts", gap).alias("session"))
+            .agg(F.count(F.lit(1)).alias("n_lines"), all_normal(normal).alias("status"),
+                 F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")))
+    return emitted.unionByName(rest.select(*emitted.columns))
+
+
 # ---- X3: stream-static scoring ----------------------------------------------------------------------
 
 def _score_stream_fn(bc, k: int, vec_col: str):
@@ -152,47 +185,68 @@ ship_by_value(__name__)
 # ---- B1 per key on a stream: custom state (applyInPandasWithState) ------------------------------
 
 KEYED_BLOCK_SCHEMA = ("user_id long, block_no long, n_lines long, first_line long, last_line long, "
-                      "status string")
-KEYED_STATE_SCHEMA = "next_block long, n long, first_line long, last_line long, ok boolean"
+                      "last_ts timestamp, status string")
+KEYED_STATE_SCHEMA = "next_block long, n long, first_line long, ok boolean"
 
 
 def _keyed_blocks_fn(size: int):
     def fn(key, batches, state):
-        if state.exists:
-            next_block, n, first, last, ok = state.get
-        else:
-            next_block, n, first, last, ok = 0, 0, None, None, True
+        next_block, n, first, ok = state.get if state.exists else (0, 0, None, True)
         # One micro-batch of one key (bounded by the trigger's maxFilesPerTrigger/maxBytes).
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "line_no"], kind="stable")
-        lines = pdf["line_no"].to_numpy()
+        lines, ts = pdf["line_no"].to_numpy(), pdf["ts"].to_numpy()
         normal = (pdf["label"] == "-").to_numpy()
-        out = []
-        for i in range(len(lines)):
-            if n == 0:
-                first, ok = int(lines[i]), True
-            n += 1
-            last = int(lines[i])
-            ok = ok and bool(normal[i])
-            if n == size:
-                out.append((key[0], next_block, n, first, last, "success" if ok else "fail"))
-                next_block, n, first, last, ok = next_block + 1, 0, None, None, True
-        state.update((next_block, n, first, last, ok))
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "block_no", "n_lines", "first_line", "last_line",
-                                             "status"])
+        # Places are counted on from the pending block; blocks end where a place fills one.
+        place = n + np.arange(len(lines))
+        block = place // size
+        start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        end = np.append(start[1:], len(lines)) - 1
+        firsts, good = lines[start].copy(), np.logical_and.reduceat(normal, start)
+        if n:
+            firsts[0], good[0] = first, good[0] and ok
+        whole = (place[end] + 1) % size == 0
+        if not whole[-1]:
+            state.update((int(next_block + block[-1]), int(place[-1] % size + 1), int(firsts[-1]), bool(good[-1])))
+        else:
+            state.update((int(next_block + block[-1] + 1), 0, None, True))
+        if whole.any():
+            yield pd.DataFrame({
+                "user_id": key[0], "block_no": next_block + block[start][whole], "n_lines": size,
+                "first_line": firsts[whole], "last_line": lines[end][whole], "last_ts": ts[end][whole],
+                "status": np.where(good[whole], "success", "fail")})
     return fn
 
 
 def keyed_count_blocks(lines: DataFrame, size: int, key: str = "user_id") -> DataFrame:
-    """B1 per key on a stream: every ``size`` consecutive lines of a key, in event-time
-    order, form one block, emitted (append) as soon as it is complete.
-
-    The state per key is the pending partial block only (count, first and last line,
-    all-normal flag): bounded by ``size``, not by the stream. A key's lines within one
-    micro-batch meet in one task, so micro-batches are bounded with
+    """B1 per key on a stream: every ``size`` consecutive lines of a key form one block, emitted
+    (append) as soon as it is complete; the last block of a key, if it is not full, comes from
+    ``complete_keyed_blocks`` when the input has ended.
+
+    Lines are in event-time order inside a micro-batch, and micro-batches in the order of
+    their arrival: a file that arrives late goes behind the lines before it. The state per
+    key is the pending block only (count, first line, all-normal flag). A key's lines within
+    one micro-batch meet in one task, so micro-batches are bounded with
     ``maxFilesPerTrigger``/``maxBytesPerTrigger`` on the source.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
     return (lines.select(key, "ts", "line_no", "label").groupBy(key)
             .applyInPandasWithState(_keyed_blocks_fn(size), KEYED_BLOCK_SCHEMA, KEYED_STATE_SCHEMA,
                                     "append", GroupStateTimeout.NoTimeout))
+
+
+def complete_keyed_blocks(emitted: DataFrame, lines: DataFrame, key: str = "user_id",
+                          normal: Column | None = None) -> DataFrame:
+    """The emitted blocks, and for each key the last one that is not full: its lines after the
+    last line of its last emitted block, for input that arrived in event-time order."""
+    normal = normal if normal is not None else (F.col("label") == "-")
+    at = F.struct("last_ts", "last_line")
+    last = emitted.groupBy(F.col(key).alias("_bw_key")).agg(F.max("block_no").alias("_bw_no"), F.max(at).alias("_bw_at"))
+    here = F.struct(F.col("ts").alias("last_ts"), F.col("line_no").alias("last_line"))
+    rest = (lines.join(last, F.col(key).eqNullSafe(F.col("_bw_key")), "left")
+            .filter(F.col("_bw_at").isNull() | (here > F.col("_bw_at"))))
+    order = F.struct("ts", "line_no")
+    rest = rest.groupBy(key).agg(
+        (F.coalesce(F.first("_bw_no"), F.lit(-1)) + 1).alias("block_no"), F.count(F.lit(1)).alias("n_lines"),
+        F.min_by("line_no", order).alias("first_line"), F.max_by("line_no", order).alias("last_line"),
+        F.max("ts").alias("last_ts"), all_normal(normal).alias("status"))
+    return emitted.unionByName(rest.select(*emitted.columns))
