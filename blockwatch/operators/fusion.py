@@ -1,15 +1,14 @@
 """Fused score, weight fit, threshold search, prediction.
 
-Grid searches are one aggregation pass each: every row evaluates the fixed
-parameter grid (101 weights or 100 thresholds) through ``explode`` of a literal
-array inside the scan stage, partial aggregation reduces that to one row per grid
-point per task, and the final table has one row per grid point. The grid size is a
-parameter, never data-dependent; nothing is joined or broadcast.
+Grid searches are one aggregation pass each and emit no rows per grid point: the 101
+weight losses are 101 sums of one aggregate; for the 100 thresholds each score is put
+into a bin, the bins are counted, and suffix sums over 101 rows give every threshold's
+counts. The grid size is a parameter, never data-dependent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOSS_DIGITS = 9
@@ -39,14 +38,17 @@ def fit_fusion_weight(train: DataFrame, p_col: str, e_col: str, y_col: str,
     BCE is convex in w, so the grid minimum is the global optimum up to grid
     resolution. Ties (losses equal to 9 digits) go to the lowest w. One row out.
     """
-    grid = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
-    g = train.select(F.col(p_col).alias("p"), F.col(e_col).alias("e"), F.col(y_col).cast("double").alias("y"),
-                     F.explode(grid).alias("w"))
-    s = fused_score(F.col("p"), F.col("e"), F.col("w"))
-    if sigmoid:
-        s = F.lit(1.0) / (F.lit(1.0) + F.exp(-s))
-    losses = g.groupBy("w").agg(F.avg(bce(s, F.col("y"))).alias("loss"))
-    return losses.orderBy(F.round("loss", LOSS_DIGITS), "w").limit(1)
+    p, e, y = F.col(p_col), F.col(e_col), F.col(y_col).cast("double")
+
+    def loss(i: int) -> Column:
+        score = fused_score(p, e, i / steps)
+        return bce(F.lit(1.0) / (F.lit(1.0) + F.exp(-score)) if sigmoid else score, y)
+
+    # One sum for each grid point in one aggregate: rows do not grow.
+    sums = train.agg(*[F.avg(loss(i)).alias(f"l{i}") for i in range(steps + 1)])
+    points = F.array(*[F.struct(F.round(f"l{i}", LOSS_DIGITS).alias("key"), F.lit(i / steps).alias("w"),
+                                F.col(f"l{i}").alias("loss")) for i in range(steps + 1)])
+    return sums.select(F.array_min(points).alias("best")).where("best.loss IS NOT NULL").select("best.w", "best.loss")
 
 
 def threshold_grid_search(scored: DataFrame, score_col: str, y_col: str, n: int = 100,
@@ -55,20 +57,33 @@ def threshold_grid_search(scored: DataFrame, score_col: str, y_col: str, n: int
     predict positive iff score > t; keep the best F1 of the positive class (first
     strict improvement wins = lowest i among equal F1); F1 0 everywhere -> t = 0.
     """
-    lo = scored.select(F.min(score_col)).scalar()
-    hi = scored.select(F.max(score_col)).scalar()
+    ends = scored.agg(F.min(score_col).alias("lo"), F.max(score_col).alias("hi")).first()
+    lo, hi = F.lit(ends["lo"]).cast("double"), F.lit(ends["hi"]).cast("double")
     step = (hi - lo) / F.lit(float(n - 1))
-    g = scored.select(F.col(score_col).alias("s"), F.col(y_col).alias("y"),
-                      F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    t = lo + F.col("i") * step
-    pred_pos = F.col("s") > t
-    counts = g.groupBy("i").agg(
-        F.count_if(pred_pos & (F.col("y") == positive)).alias("tp"),
-        F.count_if(pred_pos & (F.col("y") != positive)).alias("fp"),
-        F.count_if(~pred_pos & (F.col("y") == positive)).alias("fn"))
-    denom = 2 * F.col("tp") + F.col("fp") + F.col("fn")
+
+    def at(i: Column) -> Column:
+        return F.when(i == n - 1, hi).otherwise(lo + i * step)  # the last one is the maximum itself
+
+    # Thresholds below a score: a first guess by division, settled by comparing with the thresholds.
+    s = F.col(score_col)
+    guess = F.least(F.greatest(F.coalesce(F.floor(F.try_divide(s - lo, step)), F.lit(0)) - 1, F.lit(0)), F.lit(n)).cast("int")
+    below = guess
+    for k in range(4):
+        below = below + F.when((guess + k < n) & (at(guess + k) < s), 1).otherwise(0)
+    y = F.when(F.col(y_col) == positive, 1).otherwise(0)
+    bins = scored.select(below.alias("i"), y.alias("y")).groupBy("i").agg(
+        F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    # n + 1 rows from here. Scores with more than i thresholds below them are predicted positive at i.
+    empty = scored.sparkSession.range(n + 1).select(F.col("id").cast("int").alias("i"), F.lit(0).alias("pos"), F.lit(0).alias("neg"))
+    bins = bins.unionByName(empty).groupBy("i").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    above = Window.orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = bins.select(
+        "i", F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("tp"), F.coalesce(F.sum("neg").over(above), F.lit(0)).alias("fp"),
+        F.sum("pos").over(every).alias("all_pos")).where(F.col("i") < n)
+    denom = F.col("tp") + F.col("fp") + F.col("all_pos")
     f1 = F.when(denom > 0, 2.0 * F.col("tp") / denom).otherwise(F.lit(0.0))
-    best = (counts.withColumn("f1", f1).withColumn("threshold", lo + F.col("i") * step)
+    best = (counts.withColumn("f1", f1).withColumn("threshold", at(F.col("i")))
             .orderBy(F.round("f1", F1_DIGITS).desc(), "i").limit(1))
     return best.select(F.when(F.col("f1") > 0, F.col("threshold")).otherwise(F.lit(0.0)).alias("threshold"),
                        F.col("f1").alias("train_f1"))

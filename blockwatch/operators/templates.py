@@ -17,7 +17,6 @@ distinct aggregation.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +55,8 @@ def mine_templates(lines: DataFrame, content_col: str = "content", st: float = D
     which AQE broadcasts when it is small.
     """
     n_lead = max(depth - 2, 0)
-    # Both branches below read the tokenised lines; tokenising is deterministic, so
-    # one cached copy (spilling to disk as needed) replaces a second regex pass.
-    tok = (lines.withColumn("_bw_toks", masked_tokens(content_col))
-           .withColumn("_bw_g", _group_key(n_lead))).persist(StorageLevel.MEMORY_AND_DISK)
+    # Both branches below tokenise: a second regex pass costs less than keeping all lines twice.
+    tok = lines.withColumn("_bw_toks", masked_tokens(content_col)).withColumn("_bw_g", _group_key(n_lead))
     distinct_lines = tok.select("_bw_g", "_bw_toks").distinct()
     pos_stats = (distinct_lines.select("_bw_g", F.posexplode("_bw_toks").alias("_bw_i", "_bw_t"))
                  .groupBy("_bw_g", "_bw_i")

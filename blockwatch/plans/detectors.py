@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from blockwatch.functions import parsing
 from blockwatch.operators import blocks as B
 from blockwatch.operators import templates as TP
 from blockwatch.operators.position import with_position
+from blockwatch.session import written
 
 
 def preprocess(raw: DataFrame, block_size: int = 20, st: float = TP.DEFAULT_ST,
@@ -19,11 +19,9 @@ def preprocess(raw: DataFrame, block_size: int = 20, st: float = TP.DEFAULT_ST,
     Two small tables meet the line-sized data: the template dictionary (joined
     back on the template text) and the partition offsets of the position step.
     """
-    parsed = (raw.filter(parsing.is_log_line("value"))
-              .select("line_no", parsing.parse_log_line("value").alias("p"))
-              .select("line_no", "p.ts", "p.level", "p.content", "p.status"))
-    # Read by the dictionary and by the join below; deterministic, so a cached copy is safe.
-    mined = TP.mine_templates(parsed).persist(StorageLevel.MEMORY_AND_DISK)
+    parsed = parsing.parse_lines(raw, "value").select("line_no", "p.ts", "p.level", "p.content", "p.status")
+    # Read by the dictionary and by the join below.
+    mined = written(TP.mine_templates(parsed), "mined-lines")
     ids = TP.number_templates(TP.template_dictionary(mined)).select("template", "template_id")
     lines = mined.join(ids, "template")
     lines = with_position(lines, ["line_no"])

@@ -188,8 +188,7 @@ SELECT line_no, regexp_extract(value, '{LOG_RE}', 2) AS ts_text,
        CASE WHEN regexp_extract(value, '{LOG_RE}', 1) = '-' THEN 'success' ELSE 'fail' END AS status
 FROM v_raw WHERE regexp_matches(value, '{LOG_RE}')""", "v_raw"))
 def parse_log_lines(spark, sf):
-    raw = views.raw_lines(spark, sf)
-    p = raw.filter(parsing.is_log_line("value")).select("line_no", parsing.parse_log_line("value").alias("p"))
+    p = parsing.parse_lines(views.raw_lines(spark, sf), "value")
     return p.select("line_no", "p.ts_text", "p.level", "p.content", "p.status")
 
 

@@ -83,7 +83,7 @@ SELECT CASE WHEN f1 > 0 THEN t ELSE 0.0 END AS threshold, f1 AS train_f1 FROM (
   SELECT i, t, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1
   FROM (SELECT i, t, count_if(s > t AND label = 1) AS tp, count_if(s > t AND label <> 1) AS fp,
                count_if(NOT (s > t) AND label = 1) AS fn
-        FROM (SELECT i, lo + i * ((hi - lo) / 99.0) AS t
+        FROM (SELECT i, CASE WHEN i = 99 THEN hi ELSE lo + i * ((hi - lo) / 99.0) END AS t
               FROM range(0, 100) r(i), (SELECT min(s) AS lo, max(s) AS hi FROM fu_train_s)), fu_train_s
         GROUP BY i, t))
 ORDER BY round(f1, 12) DESC, i LIMIT 1""", "fu_train_s")

@@ -247,8 +247,7 @@ FROM v_raw WHERE regexp_matches(value, '{parsing.LOG_LINE_PATTERN.replace("'", "
 
 
 def _parsed(spark, sf):
-    raw = views.raw_lines(spark, sf)
-    p = raw.filter(parsing.is_log_line("value")).select("line_no", parsing.parse_log_line("value").alias("p"))
+    p = parsing.parse_lines(views.raw_lines(spark, sf), "value")
     return p.select("line_no", "p.level", "p.content", "p.status")
 
 

@@ -8,6 +8,7 @@ from blockwatch.functions import parsing
 from blockwatch.operators import templates as TP
 from blockwatch.plans.catalog import register, sql
 from blockwatch.plans.sqlviews import cte
+from blockwatch.session import written
 from blockwatch.sources import views
 
 _LOG_RE = parsing.LOG_LINE_PATTERN.replace("'", "''")
@@ -45,14 +46,12 @@ FROM (SELECT template, count(*) AS occurrences FROM v_mined GROUP BY template)""
 
 
 def _parsed(spark, sf):
-    raw = views.raw_lines(spark, sf)
-    p = raw.filter(parsing.is_log_line("value")).select("line_no", parsing.parse_log_line("value").alias("p"))
+    p = parsing.parse_lines(views.raw_lines(spark, sf), "value")
     return p.select("line_no", "p.level", "p.content", "p.status")
 
 
 def _mined(spark, sf):
-    from pyspark import StorageLevel
-    return TP.mine_templates(_parsed(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    return written(TP.mine_templates(_parsed(spark, sf)), "mined-lines")  # several branches read it
 
 
 @register("mine_templates", sql("SELECT line_no, template FROM v_mined", "v_mined"))

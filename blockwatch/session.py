@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a job needs regardless of cluster size. AQE re-plans joins and splits
 # skewed shuffle partitions at run time; UTC keeps TIMESTAMP_NTZ arithmetic exact.
@@ -45,14 +46,18 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; a folder is chosen here
-    only when the setting is absent (local tests).
+    ``spark.checkpoint.dir`` is read from the session. Only a local run without the
+    setting gets a folder of its own: on a cluster a local path is another disk on
+    every machine, so there the setting is required.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         configured = os.path.join("/tmp", "blockwatch-checkpoints")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir()
@@ -64,6 +69,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/blockwatch/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: for a table that several branches of a
+    plan read and that is too large to cache."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_by_value(module_name: str) -> None:
     """Pickle the named module's functions by value, so Python tasks that use them
     (``mapInPandas`` bodies) run on executors that do not have this package installed."""

@@ -7,12 +7,12 @@ grows with the input and keeps pushdown/pruning.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockwatch.operators.blocks import fixed_count_blocks, key_blocks, summarize_blocks
 from blockwatch.operators.position import with_position
+from blockwatch.session import written
 from blockwatch.sources.tables import read_table
 
 
@@ -32,9 +32,7 @@ def lines(spark: SparkSession, sf_dir: str, with_pos: bool = True) -> DataFrame:
                            F.lit("k"), F.col("k").cast("string")).alias("content")))
     if not with_pos:
         return out
-    # Positions are a deterministic function of the data, so a cached copy that
-    # loses a partition recomputes to the same rows; several branches read it.
-    return with_position(out, ["ts", "line_no"]).persist(StorageLevel.MEMORY_AND_DISK)
+    return written(with_position(out, ["ts", "line_no"]), "lines")  # several branches read it
 
 
 # Fixed mapping used to render events as log levels.
@@ -92,7 +90,7 @@ def blocks20(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
 def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of V_lines with their (user_id, date) session block id (ordered by first line)."""
     ln = lines(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    return key_blocks(ln, ["user_id", "day"]).persist(StorageLevel.MEMORY_AND_DISK)
+    return written(key_blocks(ln, ["user_id", "day"]), "session-lines")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,7 @@ from blockwatch.operators.rules import sequence_key
 
 def parse_stream(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """L1-L3 on a stream of raw lines; non-matching lines are dropped (L2)."""
-    return (raw.filter(parsing.is_log_line(value_col))
-            .select(parsing.parse_log_line(value_col).alias("p"))
+    return (parsing.parse_lines(raw, value_col)
             .select("p.ts_text", "p.ts", "p.level", "p.content", "p.status"))
 
 
