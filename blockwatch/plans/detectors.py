@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwatch.functions import parsing
+from blockwatch.functions.lists import parse_list_literal
 from blockwatch.operators import blocks as B
 from blockwatch.operators import templates as TP
 from blockwatch.operators.position import with_position
@@ -65,7 +66,7 @@ def cascade_parts(blocks: DataFrame, lines: DataFrame, *, ratio: float = 0.8,
     test = split.filter(F.col("split") == "test")
     # The container is bounded by sum(caps) rows; materialise it once for all three sets.
     container = S.stratified_sample(train, "block_id", "label", caps, seed).checkpoint(eager=True)
-    tl = lines.select("block_id", "pos", "template")
+    tl = lines.select("block_id", "pos", "template").filter(F.col("template").isNotNull())
     normal = R.normal_set_from_lines(container, tl)
     bad_blocks = R.bad_blocks_from_lines(container, tl, normal)
     return {"split": split, "train": train, "test": test, "container": container, "normal": normal,
@@ -108,6 +109,45 @@ def cascade_detector(blocks: DataFrame, block_lines: DataFrame, *, ratio: float
                                  threshold, inclusive=inclusive)
 
 
+# Named settings of the cascade (fixed values): caps of the container (normal, anomalous), percentile
+# of the scores, whether a score at the threshold counts, whether status 0 means normal.
+CASCADE_SETTINGS = {
+    "thunderbird": {"caps": {1: 5000, 0: 2000}, "percentile": 99.3, "inclusive": True, "zero_is_normal": False},
+    "hdfs": {"caps": {1: 2000, 0: 2000}, "percentile": 99.3, "inclusive": True, "zero_is_normal": False},
+    "hadoop": {"caps": {1: 2000, 0: 2000}, "percentile": 99.75, "inclusive": False, "zero_is_normal": True},
+}
+
+
+def lines_from_block_table(table: DataFrame) -> DataFrame:
+    """Lines (block_id, pos, template, content) of a block table (block_id, status, event_list as a
+    list literal, content joined by ' | '). A literal that can't be parsed gives NULL templates."""
+    events = F.coalesce(parse_list_literal("event_list"), F.array().cast("array<string>"))
+    pieces = F.coalesce(F.split("content", r" \| ", -1), F.array().cast("array<string>"))
+    both = F.arrays_zip(events.alias("template"), pieces.alias("content"))
+    rows = table.select("block_id", F.posexplode(both).alias("pos", "z"))
+    return rows.select("block_id", "pos", "z.template", "z.content")
+
+
+def statuses(table: DataFrame, zero_is_normal: bool = False) -> DataFrame:
+    """Block ids with a status text, from a text or from 0 and 1."""
+    status = F.col("status")
+    if zero_is_normal:
+        status = F.when(S.flip_label(status.cast("int")) == 1, F.lit("success")).otherwise(F.lit("fail"))
+    return table.select("block_id", status.alias("status"))
+
+
+def cascade_from_block_table(table: DataFrame, setting: str = "thunderbird", **kw) -> DataFrame:
+    """P3 from a block table. A block whose event list can't be parsed keeps its row, with the
+    reason 'unparseable' and a NULL verdict (R10)."""
+    own = {**CASCADE_SETTINGS[setting], **kw}
+    lines = written(lines_from_block_table(table), "table-lines")
+    verdicts = cascade_detector(statuses(table, own.pop("zero_is_normal")), lines, **own)
+    broken = table.filter(parse_list_literal("event_list").isNull()).select("block_id", F.lit(True).alias("_bw_broken"))
+    out = verdicts.join(broken, "block_id", "left").withColumn("_bw_broken", F.coalesce("_bw_broken", F.lit(False)))
+    return (out.withColumn("reason", F.when(F.col("_bw_broken"), F.lit("unparseable")).otherwise(F.col("reason")))
+            .withColumn("verdict", F.when(~F.col("_bw_broken"), F.col("verdict"))).drop("_bw_broken"))
+
+
 # ---- P1: fusion detector --------------------------------------------------------------------
 
 from blockwatch.operators import evaluate as EV  # noqa: E402
@@ -141,6 +181,11 @@ def fusion_features(blocks: DataFrame, block_lines: DataFrame, *, ratio: float =
     return err.join(prob, "block_id").checkpoint(eager=True)
 
 
+def fusion_from_block_table(table: DataFrame, **kw) -> DataFrame:
+    """P1 from a block table (see ``lines_from_block_table``)."""
+    return fusion_detector(statuses(table), written(lines_from_block_table(table), "table-lines"), **kw)
+
+
 def fit_fusion(features: DataFrame, sigmoid: bool = False) -> tuple[DataFrame, DataFrame]:
     """T3 + T5/T6 on the train split: (weight row, threshold row)."""
     train = features.filter(F.col("split") == "train")

@@ -131,6 +131,46 @@ def blocks_gapped(spark, sf):
     return _time_blocks(spark, sf, 600, 1800)
 
 
+# ---- the two slicers from raw date and time texts -------------------------------
+
+@register("slice_fixed_dotted", sql("""
+WITH d AS (SELECT line_no, label, template_id,
+                  try_strptime(strftime(ts, '%Y.%m.%d') || ' ' || CASE WHEN k = 97 THEN 'bad' ELSE strftime(ts, '%H:%M:%S') END,
+                               '%Y.%m.%d %H:%M:%S') AS t,
+                  row_number() OVER (ORDER BY line_no) - 1 AS pos FROM v_lines),
+g AS (SELECT *, epoch_us(t) - lag(epoch_us(t)) OVER (PARTITION BY pos // 20 ORDER BY pos) AS gap FROM d)
+SELECT (pos // 20 + 1)::BIGINT AS block_id,
+       CASE WHEN bool_and(label = '-') THEN 'success' ELSE 'fail' END AS status, count(*)::BIGINT AS n_lines,
+       string_agg(template_id, ' ' ORDER BY pos) AS event_list,
+       string_agg(coalesce(gap, 0)::BIGINT::VARCHAR, ',' ORDER BY pos) AS intervals_us
+FROM g GROUP BY 1""", "v_lines"))
+def slice_fixed_dotted(spark, sf):
+    """Dotted dates and times, coerced (a bad one is NULL and its gaps 0), in file order, 20 lines a block."""
+    d = views.dotted_lines(spark, sf).withColumn("ts", timefmt.coerce_datetime("date", "time"))
+    rows = B.fixed_count_blocks(with_position(d, ["line_no"]), 20)
+    out = B.summarize_blocks(rows, F.col("label") == "-", content_col=None)
+    return out.select(F.col("block_id").cast("bigint"), "status", F.col("n_lines").cast("bigint"),
+                      joined("event_list").alias("event_list"), intervals_us("event_intervals").alias("intervals_us"))
+
+
+@register("slice_time_compact", sql("""
+WITH h AS (SELECT line_no, CASE WHEN k = 98 THEN 'FATAL' WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
+                  date_trunc('second', CASE WHEN user_id % 2 = 1 THEN ts - INTERVAL 30 YEAR ELSE ts END) AS t FROM v_lines),
+b AS (SELECT min(epoch_us(t)) AS lo, max(epoch_us(t)) AS hi FROM h),
+w AS (SELECT h.*, (epoch_us(t) - lo) // 1800000000 AS wk FROM h, b),
+i AS (SELECT wk, row_number() OVER (ORDER BY wk) AS block_id FROM (SELECT DISTINCT wk FROM w, b WHERE wk * 1800000000 < hi - lo))
+SELECT block_id::BIGINT AS block_id, count(*)::BIGINT AS n_lines, min(line_no) AS first_line, max(line_no) AS last_line,
+       CASE WHEN bool_and(level = 'INFO') THEN 'success' ELSE 'fail' END AS status
+FROM w JOIN i USING (wk) GROUP BY 1""", "v_lines"))
+def slice_time_compact(spark, sf):
+    """Compact dates and times whose zeros are lost, 30-minute blocks, normal where every level is INFO."""
+    h = views.hdfs_lines(spark, sf).withColumn("ts", timefmt.parse_compact_datetime("date", "time"))
+    rows = B.time_blocks(h, "ts", 1800)
+    return (rows.groupBy("block_id").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"),
+        B.all_normal(F.col("level") == "INFO").alias("status")).withColumn("block_id", F.col("block_id").cast("bigint")))
+
+
 @register("block_rows_annotated", sql("""
 WITH b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM v_lines),
 w AS (SELECT l.*, (epoch_us(l.ts) - b.lo) // 1800000000 AS wk FROM v_lines l, b

@@ -247,6 +247,15 @@ def fusion_detector(spark, sf):
     return m.select("n", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "w", "threshold")])
 
 
+@register("fusion_from_block_table", sql("""
+SELECT m.*, round((SELECT w FROM fu_wfit_lin), 6) AS w, round((SELECT threshold FROM fu_tbest), 6) AS threshold
+FROM fu_metrics m""", "fu_metrics", "fu_wfit_lin", "fu_tbest"))
+def fusion_from_block_table(spark, sf):
+    from blockwatch.plans.q_rules import _block_table
+    m = D.fusion_from_block_table(_block_table(spark, sf, "fine"))
+    return m.select("n", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "w", "threshold")])
+
+
 # ---- array scalars over the embeddings table ------------------------------------------------------
 
 @register("pad_or_truncate", sql("""

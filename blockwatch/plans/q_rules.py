@@ -17,7 +17,7 @@ from blockwatch.operators import sampling as S
 from blockwatch.operators.position import split_hash
 from blockwatch.plans import detectors as D
 from blockwatch.plans.catalog import r6, register, sql
-from blockwatch.plans.sqlviews import cte
+from blockwatch.plans.sqlviews import CTES, cte
 from blockwatch.sources import views
 
 # ---- oracle CTEs ------------------------------------------------------------------------
@@ -300,6 +300,44 @@ def verdict_cascade_fixed20(spark, sf):
     return v.select(F.col("block_id").cast("bigint"), "label", r6("score").alias("score"), "reason", "verdict")
 
 
+def _block_table(spark, sf, tag, status=None):
+    """Blocks as a table a user would have: status, event list as a literal, joined content. Of the
+    session blocks, every tenth test block has a literal that is cut short."""
+    blocks = (views.sessions if tag == "sess" else views.blocks20)(spark, sf)
+    literal = F.concat(F.lit("['"), F.array_join("event_list", "', '"), F.lit("']"))
+    t = blocks.select("block_id", (status if status is not None else F.col("status")).alias("status"), literal.alias("event_list"),
+                      "content")
+    if tag != "sess":
+        return t
+    cut = int(t.count() * 0.8)
+    broken = (F.col("block_id") > cut) & (F.col("block_id") % 10 == 0)
+    return t.withColumn("event_list", F.when(broken, F.expr("left(event_list, length(event_list) - 1)")).otherwise(F.col("event_list")))
+
+
+@register("cascade_from_block_table", sql("""
+SELECT block_id::BIGINT AS block_id, label, round(score, 6) AS score,
+       CASE WHEN block_id % 10 = 0 THEN 'unparseable' ELSE reason END AS reason,
+       CASE WHEN block_id % 10 = 0 THEN NULL ELSE verdict END AS verdict FROM sess_verdicts""", "sess_verdicts"))
+def cascade_from_block_table(spark, sf):
+    v = D.cascade_from_block_table(_block_table(spark, sf, "sess"))
+    return v.select(F.col("block_id").cast("bigint"), "label", r6("score").alias("score"), "reason", "verdict")
+
+
+_HADOOP = (CTES["fine_verdicts"][0].replace("quantile_cont(score, 0.993)", "quantile_cont(score, 0.9975)")
+           .replace("tb.score >= (SELECT thr FROM t)", "tb.score > (SELECT thr FROM t)"))
+cte("fine_hadoop", _HADOOP, *CTES["fine_verdicts"][1])
+
+
+@register("cascade_hadoop_exclusive", sql("""
+SELECT block_id::BIGINT AS block_id, label, round(score, 6) AS score, reason, verdict FROM fine_hadoop""", "fine_hadoop"))
+def cascade_hadoop_exclusive(spark, sf):
+    """Status 0 is normal, and only a score above the threshold counts (caps of the other queries, so
+    that they share an oracle)."""
+    t = _block_table(spark, sf, "fine", F.when(F.col("status") == "success", 0).otherwise(1))
+    v = D.cascade_from_block_table(t, "hadoop", caps=D.CASCADE_CAPS)
+    return v.select(F.col("block_id").cast("bigint"), "label", r6("score").alias("score"), "reason", "verdict")
+
+
 @register("cascade_branch_counts", sql("""
 SELECT reason, count(*)::BIGINT AS n_blocks FROM sess_verdicts GROUP BY reason""", "sess_verdicts"))
 def cascade_branch_counts(spark, sf):

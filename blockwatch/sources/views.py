@@ -66,7 +66,8 @@ def hdfs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("line_no",
                        F.date_format(shifted, "yyMMdd").cast("int").alias("date"),
                        F.date_format("ts", "HHmmss").cast("int").alias("time"),
-                       "label", "template_id")
+                       F.when(F.col("k") == 98, F.lit("FATAL")).when(F.col("event_type") == "error", F.lit("ERROR"))
+                       .otherwise(F.lit("INFO")).alias("level"), "label", "template_id")
 
 
 def dotted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
