@@ -109,29 +109,6 @@ def verdict_cascade(blocks: DataFrame, normal_set: DataFrame, abnormal_set: Data
 
 # ---- line-level forms: no block is ever gathered into one row ---------------------------------
 
-_MASK32 = 0xFFFFFFFF
-
-
-def block_signatures(lines: DataFrame, block_col: str = "block_id", pos_col: str = "pos",
-                     template_col: str = "template") -> DataFrame:
-    """An order-sensitive identity of each block's template sequence, from its lines.
-
-    Lines are numbered in (block, pos) order (``with_position``: range buckets, no
-    task holds a whole block); a line's offset in its block is its number minus the
-    block's first number; the signature is (length, sum of the low and of the high
-    32 bits of xxhash64(template, offset)) - decomposable sums, reduced map-side.
-    """
-    from blockwatch.operators.position import with_position
-    numbered = with_position(lines.select(block_col, pos_col, template_col), [block_col, pos_col], name="_bw_bp")
-    starts = numbered.groupBy(block_col).agg(F.min("_bw_bp").alias("_bw_b0"))
-    off = numbered.join(starts, block_col).withColumn("_bw_off", F.col("_bw_bp") - F.col("_bw_b0"))
-    h = F.xxhash64(F.col(template_col), F.col("_bw_off"))
-    return off.groupBy(block_col).agg(
-        F.count(F.lit(1)).alias("sig_n"),
-        F.sum(h.bitwiseAND(_MASK32)).alias("sig_lo"),
-        F.sum(F.shiftright(h, 32).bitwiseAND(_MASK32)).alias("sig_hi"))
-
-
 def _member_lines(lines: DataFrame, blocks: DataFrame, block_col: str) -> DataFrame:
     """Lines of a bounded set of blocks (the capped container): broadcast semi join."""
     return lines.join(F.broadcast(blocks.select(block_col)), block_col, "left_semi")
@@ -173,23 +150,47 @@ def bad_blocks_from_lines(container: DataFrame, lines: DataFrame, normal_set: Da
     return anomalous.join(rem.select(block_col).distinct(), block_col, "left_anti")
 
 
-def verdicts_from_lines(blocks: DataFrame, lines: DataFrame, signatures: DataFrame,
-                        normal_set: DataFrame, abnormal_set: DataFrame, bad_signatures: DataFrame,
-                        threshold: Column, *, block_col: str = "block_id", template_col: str = "template",
+def block_facts(lines: DataFrame, normal_set: DataFrame, abnormal_set: DataFrame, block_col: str = "block_id",
+                template_col: str = "template") -> DataFrame:
+    """Of each block, from one grouping of its lines: number of lines, whether it has an abnormal
+    template, and whether it has one outside the normal set.
+
+    Lines are reduced to distinct (block, template) with counts before they meet the flags; the
+    flags have a row for each template of the capped container.
+    """
+    flags = (normal_set.select("template", F.lit(True).alias("_bw_normal"))
+             .join(abnormal_set.select("template", F.lit(True).alias("_bw_abnormal")), "template", "full"))
+    each = lines.groupBy(block_col, F.col(template_col).alias("template")).agg(F.count(F.lit(1)).alias("_bw_n"))
+    return (each.join(flags, "template", "left").groupBy(block_col).agg(
+        F.sum("_bw_n").alias("_bw_lines"), F.bool_or(F.coalesce("_bw_abnormal", F.lit(False))).alias("_bw_bad_tpl"),
+        F.bool_or(F.col("_bw_normal").isNull()).alias("_bw_unknown")))
+
+
+def blocks_with_sequence(lines: DataFrame, facts: DataFrame, bad_lists: DataFrame, block_col: str = "block_id",
+                         pos_col: str = "pos", template_col: str = "template") -> DataFrame:
+    """The blocks whose ordered templates equal one of ``bad_lists`` (column ``event_list``).
+
+    A known bad sequence has normal templates only and one of a few lengths, so most blocks are
+    ruled out by their facts; the lists of the others are gathered (none is longer than the
+    longest bad sequence) and compared item by item.
+    """
+    lengths = bad_lists.select(F.size("event_list").cast("bigint").alias("_bw_lines")).distinct()
+    near = facts.filter(~F.col("_bw_unknown")).join(lengths, "_bw_lines", "left_semi").select(block_col)
+    lists = (lines.join(near, block_col, "left_semi").groupBy(block_col).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(template_col).alias("t"))))["t"]
+        .alias("event_list")))
+    return lists.join(bad_lists.select("event_list").distinct(), "event_list", "left_semi").select(block_col)
+
+
+def verdicts_from_lines(blocks: DataFrame, lines: DataFrame, normal_set: DataFrame, abnormal_set: DataFrame,
+                        bad_lists: DataFrame, threshold: Column, *, block_col: str = "block_id",
                         score_col: str = "score", inclusive: bool = True) -> DataFrame:
     """R4, R5, R8, R9 with every test computed from lines: same first-match-wins
-    cascade as ``verdict_cascade``; sequence equality is signature equality."""
-    tl = lines.join(blocks.select(block_col), block_col, "left_semi") \
-        .select(block_col, F.col(template_col).alias("template"))
-    bad_tpl = (tl.join(abnormal_set, "template", "left_semi").select(block_col).distinct()
-               .withColumn("_bw_bad_tpl", F.lit(True)))
-    unknown = (tl.join(normal_set, "template", "left_anti").select(block_col).distinct()
-               .withColumn("_bw_unknown", F.lit(True)))
-    sig_cols = ["sig_n", "sig_lo", "sig_hi"]
-    bad_seq = (signatures.join(bad_signatures.select(*sig_cols).distinct(), sig_cols, "left_semi")
-               .select(block_col).withColumn("_bw_bad_seq", F.lit(True)))
-    b = (blocks.join(bad_seq, block_col, "left").join(bad_tpl, block_col, "left")
-         .join(unknown, block_col, "left"))
+    cascade as ``verdict_cascade``."""
+    tl = lines.join(blocks.select(block_col), block_col, "left_semi")
+    facts = block_facts(tl, normal_set, abnormal_set, block_col).checkpoint(eager=True)  # a row a block, read twice
+    bad_seq = blocks_with_sequence(tl, facts, bad_lists, block_col).withColumn("_bw_bad_seq", F.lit(True))
+    b = blocks.join(facts.drop("_bw_lines"), block_col, "left").join(bad_seq, block_col, "left")
     passes = F.coalesce(score_flag(F.col(score_col), threshold, inclusive), F.lit(False))
     reason = (F.when(F.coalesce("_bw_bad_seq", F.lit(False)), F.lit("bad_sequence"))
               .when(F.coalesce("_bw_bad_tpl", F.lit(False)), F.lit("bad_template"))

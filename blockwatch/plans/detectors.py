@@ -101,11 +101,10 @@ def cascade_detector(blocks: DataFrame, block_lines: DataFrame, *, ratio: float
     scores = NB.anomaly_percent(nbrs).withColumnRenamed("query_id", "block_id").checkpoint(eager=True)
     threshold = R.percentile_threshold(scores, "score", percentile)
     test = parts["test"].join(scores, "block_id", "left")
-    tl = parts["lines"].join(parts["test"].select("block_id").unionByName(parts["bad_blocks"]),
-                             "block_id", "left_semi")
-    sigs = R.block_signatures(tl)
-    bad_sigs = sigs.join(F.broadcast(parts["bad_blocks"]), "block_id", "left_semi")
-    return R.verdicts_from_lines(test, tl, sigs, parts["normal"], parts["abnormal"], bad_sigs,
+    # Lists of the bad blocks only: at most the anomalous cap of the container.
+    bad_lines = parts["lines"].join(parts["bad_blocks"], "block_id", "left_semi")
+    bad_lists = B.ordered_lists(bad_lines).select("event_list").distinct().checkpoint(eager=True)
+    return R.verdicts_from_lines(test, parts["lines"], parts["normal"], parts["abnormal"], bad_lists,
                                  threshold, inclusive=inclusive)
 
 

@@ -62,19 +62,17 @@ def test_key_blocks_and_gaps(spark, small_buckets):
     assert gaps == pytest.approx(want_gap)
 
 
-def test_signatures_identify_sequences(spark, small_buckets):
-    rows = []
-    seqs = {1: ["A", "B", "C"], 2: ["A", "B", "C"], 3: ["C", "B", "A"], 4: ["A", "B"], 5: ["A", "B", "C", "C"]}
-    pos = 0
-    for b, seq in seqs.items():
-        for t in seq:
-            rows.append((b, pos, t))
-            pos += 1
-    df = spark.createDataFrame(rows, "block_id long, pos long, template string")
-    sig = {r.block_id: (r.sig_n, r.sig_lo, r.sig_hi) for r in R.block_signatures(df).collect()}
-    assert sig[1] == sig[2]
-    assert len({sig[1], sig[3], sig[4], sig[5]}) == 4
-
+def test_sequences_are_compared_item_by_item(spark):
+    rows = [(b, p, t) for b, ts in ((1, "ab"), (2, "ba"), (3, "ab"), (4, "abb"), (5, "aa"), (6, "ax")) for p, t in enumerate(ts)]
+    lines = spark.createDataFrame(rows, "block_id long, pos long, template string").repartition(7)
+    one = lambda ts: spark.createDataFrame([(t,) for t in ts], "template string")
+    facts = R.block_facts(lines, one("ab"), one("x"))
+    assert {(r.block_id, r._bw_lines, r._bw_bad_tpl, r._bw_unknown) for r in facts.collect()} == {
+        (1, 2, False, False), (2, 2, False, False), (3, 2, False, False), (4, 3, False, False), (5, 2, False, False),
+        (6, 2, True, True)}
+    bad = spark.createDataFrame([(["a", "b"],), (["a", "x"],)], "event_list array<string>")
+    got = R.blocks_with_sequence(lines, facts, bad)
+    assert {r.block_id for r in got.collect()} == {1, 3}
 
 def test_forward_fill_and_position_many_buckets(spark, small_buckets):
     df = spark.range(500).select("id", F.when(F.col("id") % 37 == 0, F.col("id")).alias("v")).repartition(5)
