@@ -168,6 +168,27 @@ def kmeans_pseudo_labels(spark, sf):
     return PS.majority_relabel(dist).select("vec_id", "cluster", "pseudo_label", r6("distance").alias("distance"))
 
 
+@register("kmeans_facts", sql("""
+SELECT count(*)::BIGINT AS n, true AS own_centre_nearest, true AS centres_are_means, true AS majority_is_normal
+FROM ps_train""", "ps_train"))
+def kmeans_facts(spark, sf):
+    """What must hold of any k-means result: each row's centre is its nearest, the centres are the means
+    of their rows (to the tolerance of the fit), and the larger cluster is the normal one."""
+    vec = views.vectors(spark, sf)
+    train = split_positional(vec, "vec_id", 0.8).filter(F.col("split") == "train").checkpoint(eager=True)
+    clustered, centres = PS.kmeans_clusters(train, k=2, seed=42)
+    clustered = PS.majority_relabel(clustered).checkpoint(eager=True)
+    nearest = PS.nearest_centre(clustered, centres, out_col="nearest")
+    own, near = PS.centre_distance(clustered, centres), PS.label_mean_centres(clustered, "embedding", "cluster")
+    apart = max(abs(a - b) for x, y in zip(centres, near, strict=True) for a, b in zip(x, y, strict=True))
+    sizes = {r["pseudo_label"]: r["n"] for r in clustered.groupBy("pseudo_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    best = PS.centre_distance(nearest.drop("cluster").withColumnRenamed("nearest", "cluster"), centres, out_col="best")
+    both = own.select("vec_id", "distance").join(best.select("vec_id", "best"), "vec_id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("distance") <= F.col("best") + 1e-9).alias("own_centre_nearest")).select(
+        "n", "own_centre_nearest", F.lit(apart < 0.02).alias("centres_are_means"),
+        F.lit(sizes.get(1, 0) >= sizes.get(0, 0)).alias("majority_is_normal"))
+
+
 @register("pseudo_label_detector")
 def pseudo_label_detector(spark, sf):
     blocks, lines = _view(spark, sf, "fine")

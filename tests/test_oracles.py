@@ -46,8 +46,11 @@ def test_query_matches_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
 def test_rows_only_queries_run(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
-    assert df.count() >= 0
+    """Queries that SQL can't express: rows come out, and every key column is set. What is in them is
+    checked by tests of their own (goldens, kmeans_facts, tests/llm)."""
+    rows = E.queries()[name](spark, SF_SMALL).collect()
+    assert rows
+    assert all(r[0] is not None for r in rows)
 
 
 def test_entry(spark):
