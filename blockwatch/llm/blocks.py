@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwatch.llm.common import byte_view, ids_of, written
+from blockwatch.llm.common import byte_view, ids_of, lean, lean_group, written
 
 BLOCK_BYTES = 4 << 20
 #: Cells of a slice, and windows it is meant for (a unique window then meets another in 1 of 16).
@@ -40,6 +40,7 @@ def pack(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     limit = BLOCK_BYTES
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Level 1 of zstd; the parts are doc ids, offsets and bytes.
         press = zstandard.ZstdCompressor(level=1)
@@ -136,6 +137,7 @@ def repeated_windows(blocks: DataFrame, windows: Windows, slices: int) -> DataFr
     """block, slice, n, bits: of the block's distinct windows in that slice, ascending,
     whether the merged sketch counts at least two. ``windows(data, off)`` gives hash and place of
     the document of each window of a block."""
+    @lean
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, n_docs, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -150,6 +152,7 @@ def repeated_windows(blocks: DataFrame, windows: Windows, slices: int) -> DataFr
                     "cells": pa.array([_encode(cells[cuts[s]:cuts[s + 1]], several[cuts[s]:cuts[s + 1]])
                                        for s in some], pa.binary())})
 
+    @lean_group
     def merge(group: pa.Table) -> pa.Table:
         sketch = np.zeros(1 << CELL_BITS, np.uint8)
         rows = list(zip(*(group.column(c).to_pylist() for c in ("n", "cells")), strict=True))

@@ -19,7 +19,6 @@ text is cut short. The vocabulary is a file whose text is broadcast (its size is
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -29,16 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwatch.llm.common import byte_table, byte_view, mix, query, row_slices, table
+from blockwatch.llm.common import (
+    byte_table, byte_view, lean, mix, prefix_hash, query, row_slices, span_hash, table, words_of,
+)
 
 #: A white-space byte is a cut in one of so many cases.
 CHUNK_WORDS = 128
 #: Bytes of chunk texts and ids that a task keeps for reuse; older chunks go first.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 16 << 20
 #: Distinct words that a task keeps; beyond it they are learnt anew.
 WORDS = 1_000_000
 
 _SPACE = byte_table(lambda b: b in (9, 10, 13, 32))
+_WORD = byte_table(lambda b: b != 32 and not 9 <= b <= 13)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -76,35 +78,76 @@ def words_apart(tokenizer) -> bool:
 
 
 class WordEncoder:
-    """Encodes chunks whose words the tokenizer keeps apart: each distinct word once."""
+    """Encodes chunks whose words the tokenizer keeps apart: each distinct word once.
+
+    Known words are kept as arrays, by their hashes; a hash that is known counts only if the bytes
+    of the word are the same.
+    """
 
     def __init__(self, tokenizer, limit: int = WORDS):
         self.tokenizer, self.limit = tokenizer, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.hash = np.zeros(0, np.uint64)                       # ascending
+        self.text_at, self.text_size, self.ids_at, self.ids_size = (np.zeros(0, np.int32) for _ in range(4))
+        self.text, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+
+    def _encoded(self, words: list[bytes]) -> list[np.ndarray]:
+        got = []
+        for i in range(0, len(words), 4096):  # what a call returns is many times the size of its ids
+            some = self.tokenizer.encode_batch_fast([w.decode() for w in words[i:i + 4096]], add_special_tokens=False)
+            got += [np.array(e.ids, np.uint32) for e in some]
+        return got
+
+    def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
+        ids = self._encoded(words)
+        for name, new in (("text", [np.frombuffer(w, np.uint8) for w in words]), ("ids", ids)):
+            size = np.fromiter(map(len, new), np.int32, len(new))
+            old = getattr(self, name)
+            at = (len(old) + np.cumsum(size) - size).astype(np.int32)
+            setattr(self, name, np.concatenate([old, *new]))
+            setattr(self, f"{name}_at", np.concatenate([getattr(self, f"{name}_at"), at]))
+            setattr(self, f"{name}_size", np.concatenate([getattr(self, f"{name}_size"), size]))
+        self.hash = np.concatenate([self.hash, h])
+        order = np.argsort(self.hash)
+        for name in ("hash", "text_at", "text_size", "ids_at", "ids_size"):
+            setattr(self, name, getattr(self, name)[order])
+
+    def _same(self, at: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the words at ``start`` are the known ones at ``at``, byte by byte."""
+        same = self.text_size[at] == size
+        n = np.where(same, size, 0)
+        where = np.cumsum(n) - n
+        step = np.arange(n.sum())
+        differ = data[np.repeat(start - where, n) + step] != self.text[np.repeat(self.text_at[at] - where, n) + step]
+        return same & (np.bincount(np.repeat(np.arange(len(at)), n)[differ], minlength=len(at)) == 0)
 
     def encode(self, chunks: list[bytes]) -> list[np.ndarray]:
-        if len(self.number) > self.limit:
+        if len(self.hash) > self.limit:
             self._clear()
-        each = [c.split() for c in chunks]
-        words = list(itertools.chain.from_iterable(each))
-        new = [w for w in dict.fromkeys(words) if w not in self.number]
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(got), np.uint32, size.sum())])
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        before = np.concatenate([[0], np.cumsum(size)])
-        flat = self.ids[np.repeat(self.start[at] - before[:-1], size) + np.arange(before[-1])]
-        edge = before[np.concatenate([[0], np.cumsum([len(w) for w in each], dtype=np.int64)])]
+        data = np.frombuffer(b"".join(chunks), np.uint8)
+        off = np.concatenate([[0], np.cumsum([len(c) for c in chunks], dtype=np.int64)]).astype(np.int64)
+        start, end, row = words_of(data, off, _WORD)
+        u, one, which = np.unique(span_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True)
+        start, size = start[one], (end - start)[one]
+        at = np.minimum(np.searchsorted(self.hash, u), max(len(self.hash) - 1, 0))
+        seen = self.hash[at] == u if len(self.hash) else np.zeros(len(u), bool)
+        if not seen.all():
+            new = np.flatnonzero(~seen)
+            self._learn(u[new], [data[start[i]:start[i] + size[i]].tobytes() for i in new])
+            at = np.searchsorted(self.hash, u)
+        n, ids, ids_at = self.ids_size[at].astype(np.int64), self.ids, self.ids_at[at].astype(np.int64)
+        other = np.flatnonzero(~self._same(at, data, start, size))  # two words of one hash
+        if len(other):
+            own = self._encoded([data[start[i]:start[i] + size[i]].tobytes() for i in other])
+            n[other] = [len(x) for x in own]
+            ids_at[other] = len(ids) + np.cumsum(n[other]) - n[other]
+            ids = np.concatenate([ids, *own])
+        n, ids_at = n[which], ids_at[which]
+        before = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.repeat(ids_at - before[:-1], n) + np.arange(before[-1])]
+        edge = before[np.searchsorted(row, np.arange(len(chunks) + 1))]
         return [flat[edge[i]:edge[i + 1]] for i in range(len(chunks))]
 
 
@@ -230,6 +273,7 @@ def encode(docs: DataFrame, vocab: str, text: str = "text", keep: list[str] | No
     ``ids`` (little-endian unsigned 32-bit integers) and ``decoded``."""
     shared = docs.sparkSession.sparkContext.broadcast(open(vocab, encoding="utf-8").read())
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -242,7 +286,7 @@ def encode(docs: DataFrame, vocab: str, text: str = "text", keep: list[str] | No
             data, off = byte_view(b.column(1))
             for i, j in row_slices(off):
                 ids = encoder.encode(chunks_of(data, off[i:j + 1]))
-                texts = tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+                texts = [tokenizer.decode(x.tolist(), skip_special_tokens=False) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), pa.array([len(x) for x in ids], pa.int64()),
                      pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array(texts, pa.string())],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +20,10 @@ NULL_ID = np.iinfo(np.int64).max
 #: Text bytes that one numpy pass handles at a time (its 8-byte arrays then stay small).
 SLICE_BYTES = 1 << 20
 #: Rows and bytes of one Arrow batch between the JVM and a Python task.
-ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
+
+#: Bytes that a task of ``written`` gathers before it writes them out.
+WRITE_BYTES = 16 << 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,7 +58,7 @@ def written(df: DataFrame, name: str, options: dict[str, str] | None = None) ->
     """``df`` written as Parquet into the shared checkpoint folder and read again."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
+    df.write.options(**{"parquet.block.size": str(WRITE_BYTES)} | (options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,6 +69,43 @@ def input_bytes(df: DataFrame, column: str) -> int:
 
 # ---- inside tasks -----------------------------------------------------------
 
+def release() -> None:
+    """Hand freed memory back to the system: a Python worker is kept for the next task, and what it
+    holds would count against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(fn):
+    """A function of batches that gives its memory back when the task is done."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+    return run
+
+
+def lean_group(fn):
+    """The same for a function of a group."""
+    def run(group: pa.Table) -> pa.Table:
+        out = fn(group)
+        release()
+        return out
+    return run
+
+
+def lean_pair(fn):
+    """The same for a function of a pair of groups."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = fn(left, right)
+        release()
+        return out
+    return run
+
+
 def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the row offsets into them (null: empty)."""
     if isinstance(col, pa.ChunkedArray):
@@ -124,15 +165,18 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-@functools.lru_cache(maxsize=4)
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return powers(BASE, n), powers(BASE_INV, n)
+_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, int(n).bit_length())
-    up, down = _power_tables(size)
-    return up, down
+    """Powers of BASE and of its inverse, at least ``n`` of each; the longest asked for are kept."""
+    kept = _TABLES.get("powers")
+    if kept is None or len(kept[0]) < n:
+        size = -(-n // 65536) * 65536
+        kept = powers(BASE, size), powers(BASE_INV, size)
+        if size <= 4 << 20:
+            _TABLES["powers"] = kept
+    return kept
 
 
 #: A fixed table of one random 64-bit value for each byte, made from a seed.

@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwatch.llm.common import (byte_table, byte_view, input_bytes, prefix_hash, query, row_slices, span_hash,
-                                   table, words_of)
+from blockwatch.llm.common import (
+    byte_table, byte_view, input_bytes, lean, prefix_hash, query, row_slices, span_hash, table, words_of,
+)
 
 WINDOW = 10
 #: Bound of the item text behind one broadcast index.
@@ -98,6 +99,7 @@ def _frequencies(docs: DataFrame, text: str, items: Items) -> np.ndarray:
     """Occurrences in all documents of each word of a part of the benchmark."""
     vocab = docs.sparkSession.sparkContext.broadcast(items.vocab)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocab.value
         seen = np.zeros(len(own), np.int64)
@@ -180,6 +182,7 @@ def _pass(rows: DataFrame, items: Items) -> DataFrame:
     body, spans_at, items_at = names.index("body"), names.index("spans"), names.index("items")
     span_type = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         near = _filter(ix.prefix)

@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockwatch.llm.common import (byte_table, byte_view, mix, power_tables, prefix_hash, query, row_slices, span_hash,
-                                   table, words_of, written)
+from blockwatch.llm.common import (
+    byte_table, byte_view, lean, lean_group, mix, power_tables, prefix_hash, query, row_slices, span_hash,
+    table, words_of, written,
+)
 from blockwatch.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -100,6 +102,7 @@ def _paths(s: np.ndarray, s_row: np.ndarray, n: int, depth: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, depth: int, text: str = "text") -> DataFrame:
     """doc_id, digest of the words (null without words), n_bytes, paths of every row."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = byte_view(b.column(1))
@@ -117,6 +120,7 @@ def signatures(docs: DataFrame, depth: int, text: str = "text") -> DataFrame:
 
 def with_digest(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every row as ``row`` (a struct of its columns, or those in ``keep``), and the digest of its words."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = byte_view(b.column(1))
@@ -167,6 +171,7 @@ def _forest(similar: np.ndarray) -> np.ndarray:
 
 def _verified(texts: DataFrame) -> DataFrame:
     """digest, links (rows linked, by their copies) and root, of the texts of each bin."""
+    @lean_group
     def run(group: pa.Table) -> pa.Table:
         data, off = byte_view(group.column("body"))
         digest = group.column("digest").to_pylist()

@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwatch.llm.common import (byte_table, byte_view, prefix_hash, query, row_slices, span_hash, table,
-                                   words_of)
+from blockwatch.llm.common import (
+    byte_table, byte_view, lean, prefix_hash, query, row_slices, span_hash, table, words_of,
+)
 
 THRESHOLD = 0.3
 #: Weight of the pooled covariance, and of its diagonal, in each class covariance.
@@ -113,6 +114,7 @@ def _batch_statistics(col: pa.Array) -> np.ndarray:
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and its vector of statistics, for every row."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _batch_statistics(b.column(1))
@@ -148,6 +150,7 @@ def _class_sums(labelled: DataFrame) -> DataFrame:
     """Count, sums and cross products of each class: one row a class and partition, then one a class."""
     p = len(NAMES)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {0: np.zeros(1 + p + p * p), 1: np.zeros(1 + p + p * p)}
         for b in batches:
@@ -191,6 +194,7 @@ def score(feats: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of each row of ``features``."""
     p = len(NAMES)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
@@ -203,6 +207,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     """The rows of ``docs`` that the model does not reject, with all their columns; no shuffle."""
     where = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(model.scores(_batch_statistics(b.column(where))) >= threshold))

@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockwatch.llm.blocks import distinct_windows, flags_of, pack, repeated_windows, slice_of, slices_for, unpack
-from blockwatch.llm.common import (NULL_ID, byte_table, mix, power_tables, prefix_hash, query, row_slices, span_hash,
-                                   table, words_of, written)
+from blockwatch.llm.common import (
+    NULL_ID, byte_table, lean_group, lean_pair, mix, power_tables, prefix_hash, query, row_slices, span_hash,
+    table, words_of, written,
+)
 
 WINDOW = 13
 _WORD = byte_table(lambda b: b != 32 and not 9 <= b <= 13)
@@ -80,6 +82,7 @@ def _answers(table_: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
 
 def _candidates(blocks: DataFrame, bits: DataFrame, slices: int) -> DataFrame:
     """slice, block, n, keys: digests and smallest ids of a block's windows estimated repeated."""
+    @lean_pair
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block, out = left.column("block")[0].as_py(), []
         ids, data, off = unpack(left.column("n_docs")[0].as_py(), left.column("blob")[0].as_py())
@@ -104,6 +107,7 @@ def _candidates(blocks: DataFrame, bits: DataFrame, slices: int) -> DataFrame:
 
 def _earlier(candidates: DataFrame) -> DataFrame:
     """For each entry of a block: whether another block has the window under a smaller id."""
+    @lean_group
     def run(group: pa.Table) -> pa.Table:
         sizes = group.column("n").to_pylist()
         raw = group.column("keys").to_pylist()
@@ -141,6 +145,7 @@ def _kept_text(data: np.ndarray, off: np.ndarray, start, end, row, removed) -> t
 
 
 def _applied(blocks: DataFrame, answers: DataFrame, slices: int) -> DataFrame:
+    @lean_pair
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, data, off = unpack(left.column("n_docs")[0].as_py(), left.column("blob")[0].as_py())
         start, end, row, _, first, u, least, at, order = _windows_of(ids, data, off)

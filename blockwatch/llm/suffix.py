@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockwatch.llm.blocks import distinct_windows, flags_of, pack, repeated_windows, slice_of, slices_for, unpack
-from blockwatch.llm.common import NULL_ID, mix, prefix_hash, query, row_slices, span_hash, table, written
+from blockwatch.llm.common import (
+    NULL_ID, lean_group, lean_pair, mix, prefix_hash, query, row_slices, span_hash, table, written,
+)
 from blockwatch.llm.rindex import RunIndex
 
 LENGTH, ANCHOR = 50, 16
@@ -136,6 +138,7 @@ def _of_kind(rows: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
 
 def _candidates(blocks: DataFrame, sketch: DataFrame, slices: int) -> DataFrame:
     """slice, block, n (segments), body: windows, smallest documents, anchors and bytes of a block's segments."""
+    @lean_pair
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = left.column("block")[0].as_py()
         ids, data, off = unpack(left.column("n_docs")[0].as_py(), left.column("blob")[0].as_py())
@@ -177,6 +180,7 @@ def _marked(candidates: DataFrame) -> DataFrame:
     """For each window of a block's segments: whether a document smaller than the segment's has it."""
     limit = INDEX_BYTES
 
+    @lean_group
     def run(group: pa.Table) -> pa.Table:
         sizes, raw = group.column("n").to_pylist(), group.column("body").to_pylist()
         col = lambda kind, skip: np.concatenate(
@@ -206,6 +210,7 @@ def _marked(candidates: DataFrame) -> DataFrame:
 
 
 def _applied(blocks: DataFrame, answers: DataFrame, slices: int) -> DataFrame:
+    @lean_pair
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, data, off = unpack(left.column("n_docs")[0].as_py(), left.column("blob")[0].as_py())
         (start, n, row), one, _, least, _, which = _segments(ids, data, off, _of_kind(right, 0), slices)
