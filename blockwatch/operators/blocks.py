@@ -20,6 +20,8 @@ from blockwatch.functions.timefmt import micros
 from blockwatch.operators.position import bucketed, previous_values, with_position
 
 CONTENT_SEP = " | "
+#: Lines of one part of a block's list, at most.
+PART_LINES = 1000
 
 
 def fixed_count_blocks(lines: DataFrame, size: int, pos_col: str = "pos",
@@ -218,3 +220,17 @@ def ordered_lists(rows: DataFrame, block_col: str = "block_id", pos_col: str = "
     return rows.groupBy(block_col).agg(
         F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(template_col).alias("t"))))
         ["t"].alias("event_list"))
+
+
+def list_parts(rows: DataFrame, item_col: str, block_col: str = "block_id", pos_col: str = "pos",
+               size: int = PART_LINES) -> DataFrame:
+    """B6 for blocks of any size: the ordered items of each block in parts (block, part, n_lines, items).
+
+    A part holds the block's lines of one run of ``size`` positions, so no group is larger than that
+    and a block with a third of all lines is spread over as many groups as it needs. Parts are
+    numbered by that run, ascending in the order of the lines.
+    """
+    part = F.expr(f"{pos_col} div {size}").cast("bigint")
+    return rows.groupBy(block_col, part.alias("part")).agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(item_col).alias("t"))))["t"].alias("items"))

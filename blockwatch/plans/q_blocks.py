@@ -171,30 +171,40 @@ def slice_time_compact(spark, sf):
         B.all_normal(F.col("level") == "INFO").alias("status")).withColumn("block_id", F.col("block_id").cast("bigint")))
 
 
-@register("block_rows_annotated", sql("""
+_TUMBLING = """
 WITH b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM v_lines),
 w AS (SELECT l.*, (epoch_us(l.ts) - b.lo) // 1800000000 AS wk FROM v_lines l, b
       WHERE ((epoch_us(l.ts) - b.lo) // 1800000000) * 1800000000 < b.hi - b.lo),
-ids AS (SELECT wk, row_number() OVER (ORDER BY wk) AS block_id FROM (SELECT DISTINCT wk FROM w)),
-blk AS (SELECT wk, CASE WHEN bool_and(coalesce(label = '-', false)) THEN 'success' ELSE 'fail' END AS status,
-               string_agg(template_id, '|' ORDER BY pos) AS translated_event
+ids AS (SELECT wk, row_number() OVER (ORDER BY wk) AS block_id FROM (SELECT DISTINCT wk FROM w))"""
+
+
+@register("block_rows_annotated", sql(_TUMBLING + """,
+blk AS (SELECT wk, CASE WHEN bool_and(coalesce(label = '-', false)) THEN 'success' ELSE 'fail' END AS status
         FROM w GROUP BY wk)
-SELECT w.line_no, ids.block_id::BIGINT AS block_id, blk.status, blk.translated_event,
+SELECT w.line_no, ids.block_id::BIGINT AS block_id, blk.status,
        coalesce(epoch_us(w.ts) - lag(epoch_us(w.ts)) OVER (PARTITION BY w.wk ORDER BY w.pos), 0)::BIGINT
          AS interval_us
 FROM w JOIN ids USING (wk) JOIN blk USING (wk)""", "v_lines"))
 def block_rows_annotated(spark, sf):
     rows = B.time_blocks(views.lines(spark, sf), "ts", 1800, 1800)
-    summary = rows.groupBy("block_id").agg(
-        B.all_normal(F.col("label") == "-").alias("status"),
-        F.array_join(F.array_sort(F.collect_list(F.struct("pos", "template_id")))["template_id"], "|")
-        .alias("translated_event"))
+    summary = rows.groupBy("block_id").agg(B.all_normal(F.col("label") == "-").alias("status"))
     rows = B.gap_to_previous_in_block(rows, "block_id", "pos", "ts")
-    out = B.annotate_rows(rows, summary, attrs=("status", "translated_event"))
-    return out.select("line_no", F.col("block_id").cast("bigint"), "status", "translated_event",
+    out = B.annotate_rows(rows, summary, attrs=("status",))
+    return out.select("line_no", F.col("block_id").cast("bigint"), "status",
                       F.round(F.col("interval_s") * F.lit(1e6)).cast("bigint").alias("interval_us"))
 
 
+@register("block_text_parts", sql(_TUMBLING + f"""
+SELECT ids.block_id::BIGINT AS block_id, (pos // {B.PART_LINES})::BIGINT AS part, count(*)::BIGINT AS n_lines,
+       string_agg(template_id, '|' ORDER BY pos) AS translated_event
+FROM w JOIN ids USING (wk) GROUP BY 1, 2""", "v_lines"))
+def block_text_parts(spark, sf):
+    """The joined events of each block, once a block and in parts of a bounded size."""
+    rows = B.time_blocks(views.lines(spark, sf), "ts", 1800, 1800)
+    parts = B.list_parts(rows, "template_id")
+    return parts.select(F.col("block_id").cast("bigint"), "part", "n_lines", F.array_join("items", "|").alias("translated_event"))
+
+
 @register("blocks_idle_gap", sql("""
 WITH g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, pos) AS gap
            FROM v_lines),
