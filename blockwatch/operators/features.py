@@ -22,18 +22,20 @@ def _hash_chunks(tok_col: str) -> list[Column]:
 
 
 def _digit_sums(tok_col: str) -> list[Column]:
-    """32 codegen-friendly sums of hashed token dimensions over rows carrying
-    ``_hash_chunks``: hex digit j is ``(chunk >> 4 * (7 - j % 8)) & 15``; rows
-    without a token add nothing."""
+    """32 codegen-friendly integer sums over rows carrying ``_hash_chunks``: hex digit j is
+    ``(chunk >> 4 * (7 - j % 8)) & 15``; rows without a token add nothing. Integers do not
+    depend on the order of addition."""
     out = []
     for j in range(HASH_DIM):
-        digit = F.shiftright(F.col(f"_bw_c{j // 8}"), 4 * (7 - j % 8)).bitwiseAND(15).cast("double")
-        out.append(F.coalesce(F.sum((digit - 7.5) / 7.5), F.lit(0.0)).alias(f"_bw_d{j}"))
+        digit = F.shiftright(F.col(f"_bw_c{j // 8}"), 4 * (7 - j % 8)).bitwiseAND(15)
+        out.append(F.coalesce(F.sum(digit), F.lit(0)).alias(f"_bw_d{j}"))
     return out
 
 
 def _mean_vector(n: Column) -> Column:
-    return F.array(*[F.when(n > 0, F.col(f"_bw_d{j}") / n).otherwise(F.lit(0.0)) for j in range(HASH_DIM)])
+    # A digit d stands for (d - 7.5) / 7.5; scaled once, from the exact sums.
+    return F.array(*[F.when(n > 0, (F.col(f"_bw_d{j}") * 2 - n * 15) / 15.0 / n).otherwise(F.lit(0.0))
+                     for j in range(HASH_DIM)])
 
 
 def embed_lines_to_blocks(lines: DataFrame, block_col: str = "block_id", content_col: str = "content",
@@ -51,6 +53,33 @@ def embed_lines_to_blocks(lines: DataFrame, block_col: str = "block_id", content
     return summed.select(block_col, _mean_vector(F.col("_bw_n")).alias(out_col))
 
 
+def embed_with_encoder(lines: DataFrame, encoder, dim: int, block_col: str = "block_id",
+                       content_col: str = "content", batch: int = 256, out_col: str = "embedding") -> DataFrame:
+    """F7 with a user's encoder (a function from a list of texts to an array of ``dim`` columns).
+
+    Log lines repeat, so each distinct text is encoded once and its vector joined back; a
+    block's vector is the mean over its lines, as ``dim`` sums reduced map-side. A NULL text
+    counts as empty.
+    """
+    import numpy as np
+    import pandas as pd
+
+    text = F.coalesce(F.col(content_col), F.lit(""))
+
+    def encode(batches):
+        for pdf in batches:
+            texts = pdf["_bw_text"].tolist()
+            parts = [np.asarray(encoder(texts[i:i + batch]), np.float64) for i in range(0, len(texts), batch)]
+            yield pd.DataFrame({"_bw_text": texts, "_bw_vec": list(np.concatenate(parts)) if parts else []})
+
+    own = lines.select(block_col, text.alias("_bw_text"))
+    vectors = own.select("_bw_text").distinct().mapInPandas(encode, "_bw_text string, _bw_vec array<double>")
+    counted = own.groupBy(block_col, "_bw_text").agg(F.count(F.lit(1)).alias("_bw_n"))
+    summed = counted.join(vectors, "_bw_text").groupBy(block_col).agg(
+        *[F.sum(F.col("_bw_vec")[j] * F.col("_bw_n")).alias(f"_bw_d{j}") for j in range(dim)], F.sum("_bw_n").alias("_bw_n"))
+    return summed.select(block_col, F.array(*[F.col(f"_bw_d{j}") / F.col("_bw_n") for j in range(dim)]).alias(out_col))
+
+
 def embed_texts(df: DataFrame, id_col: str, text_col: str, out_col: str = "embedding") -> DataFrame:
     """F7 for whole documents: mean hashed token vector of each text, all tokens."""
     tok = df.select(id_col, F.explode_outer(tokens(text_col)).alias("_bw_t"))
@@ -100,6 +129,13 @@ def block_terms(blocks: DataFrame, id_col: str = "block_id", list_col: str = "ev
                          .alias("term"))
 
 
+def count_terms(terms: DataFrame, id_col: str = "block_id") -> DataFrame:
+    """(block, term, tf), for ``terms`` that are read more than once; counts already made are kept."""
+    if "tf" in terms.columns:
+        return terms
+    return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def fit_tfidf(terms: DataFrame, fit_ids: DataFrame, id_col: str = "block_id",
               max_features: int = DEFAULT_VOCAB) -> DataFrame:
     """F2 + F3 fit: vocabulary (top ``max_features`` by corpus count, ties by term) with
@@ -107,12 +143,11 @@ def fit_tfidf(terms: DataFrame, fit_ids: DataFrame, id_col: str = "block_id",
 
     Returns the model: (term, idx, idf) with at most ``max_features`` rows.
     """
-    fit_terms = terms.join(fit_ids.select(id_col), id_col, "left_semi")
+    fit_terms = count_terms(terms, id_col).join(fit_ids.select(id_col), id_col, "left_semi")
     n_docs = fit_ids.select(F.count(F.lit(1))).scalar()
     # (block, term) counts first, then per-term sums: both combine map-side, so a term
     # present in every block never sends one row per block to a single task.
-    per_block = fit_terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("_bw_tf"))
-    stats = per_block.groupBy("term").agg(F.sum("_bw_tf").alias("cnt"), F.count(F.lit(1)).alias("df"))
+    stats = fit_terms.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df"))
     vocab = stats.orderBy(F.col("cnt").desc(), F.col("term")).limit(max_features)
     # At most max_features rows (the limit above): one small window numbers them.
     from pyspark.sql import Window
@@ -125,14 +160,14 @@ def fit_tfidf(terms: DataFrame, fit_ids: DataFrame, id_col: str = "block_id",
 def apply_tfidf(terms: DataFrame, model: DataFrame, id_col: str = "block_id") -> DataFrame:
     """F3 transform: (block, term, idx, weight), L2-normalised per block over vocabulary terms.
 
-    The model has at most ``max_features`` rows and is broadcast.
+    The model has at most ``max_features`` rows and is broadcast; a block then has at most that
+    many terms, so they and their norm are taken from one group.
     """
-    tf = terms.join(F.broadcast(model), "term").groupBy(id_col, "term", "idx", "idf") \
-        .agg(F.count(F.lit(1)).alias("tf"))
-    w = tf.withColumn("w", F.col("tf") * F.col("idf"))
-    norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_bw_norm"))
-    return (w.join(norms, id_col)
-            .select(id_col, "term", "idx", (F.col("w") / F.col("_bw_norm")).alias("weight")))
+    w = (count_terms(terms, id_col).join(F.broadcast(model), "term")
+         .select(id_col, F.struct("term", "idx", (F.col("tf") * F.col("idf")).alias("w")).alias("t")))
+    rows = w.groupBy(id_col).agg(F.sort_array(F.collect_list("t")).alias("ts"), F.sqrt(F.sum(F.col("t.w") * F.col("t.w"))).alias("norm"))
+    out = rows.select(id_col, "norm", F.explode("ts").alias("t"))
+    return out.select(id_col, "t.term", "t.idx", (F.col("t.w") / F.col("norm")).alias("weight"))
 
 
 def densify(weights: DataFrame, ids: DataFrame, vocab_size: Column | int, id_col: str = "block_id",

@@ -167,9 +167,10 @@ def fusion_features(blocks: DataFrame, block_lines: DataFrame, *, ratio: float =
     caps = caps or FUSION_CAPS
     split = label_and_split(blocks.select("block_id", "status"), ratio).checkpoint(eager=True)
     train = split.filter(F.col("split") == "train")
-    terms = FT.terms_from_lines(block_lines)
-    model = FT.fit_tfidf(terms, train if fit_scope == "train" else split, max_features=max_features)
-    weights = FT.apply_tfidf(terms, model)
+    # Counts are read by the fit and the transform, weights by the mean and the error.
+    terms = FT.count_terms(FT.terms_from_lines(block_lines)).checkpoint(eager=True)
+    model = FT.fit_tfidf(terms, train if fit_scope == "train" else split, max_features=max_features).checkpoint(eager=True)
+    weights = FT.apply_tfidf(terms, model).checkpoint(eager=True)
     mu = FT.fit_mean_vector(weights, train, model)
     err = FT.mean_reconstruction_error(weights, split, mu)
     err = FT.minmax_scale(split.select("block_id", "split", "label").join(err, "block_id"),
@@ -269,9 +270,9 @@ def pseudo_label_detector(blocks: DataFrame, block_lines: DataFrame, **kw) -> Da
     parts = pseudo_label_setup(blocks, block_lines, **kw)
     split = parts["split"]
     train = split.filter(F.col("split") == "train")
-    terms = FT.terms_from_lines(block_lines)
-    model = FT.fit_tfidf(terms, train)
-    weights = FT.apply_tfidf(terms, model)
+    terms = FT.count_terms(FT.terms_from_lines(block_lines)).checkpoint(eager=True)
+    model = FT.fit_tfidf(terms, train).checkpoint(eager=True)
+    weights = FT.apply_tfidf(terms, model).checkpoint(eager=True)
     err = FT.mean_reconstruction_error(weights, split, FT.fit_mean_vector(weights, train, model))
     err = FT.minmax_scale(split.select("block_id", "split", "label").join(err, "block_id"),
                           "recon_error", group_col="split", out_col="e")

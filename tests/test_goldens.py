@@ -296,3 +296,17 @@ def test_forward_fill(spark, monkeypatch):
     df = spark.range(300).select("id", F.when(F.col("id") % 50 == 0, F.col("id")).alias("v"))
     got = {r.id: r.v for r in P.forward_fill(df, "v", "id").collect()}
     assert all(got[i] == (i // 50) * 50 for i in range(300))
+
+
+def test_encoder_hook_encodes_distinct_texts_once(spark):
+    from blockwatch.operators import features as FT
+    calls = spark.sparkContext.accumulator(0)
+
+    def encoder(texts):
+        calls.add(len(texts))
+        return [[len(t), t.count("a")] for t in texts]
+
+    lines = spark.createDataFrame([(1, "aa"), (1, "b"), (1, "aa"), (2, None), (3, "abc")] * 20, "block_id long, content string")
+    got = {r.block_id: list(r.embedding) for r in FT.embed_with_encoder(lines, encoder, 2).collect()}
+    assert got[1] == pytest.approx([5 / 3, 4 / 3]) and got[2] == [0.0, 0.0] and got[3] == [3.0, 1.0]
+    assert calls.value == 4
