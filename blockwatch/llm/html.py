@@ -2,8 +2,9 @@
 
 A page is cut into blocks (the text between block-level tags), each with what stands around it: the
 elements that hold it, their class and id words, its share of link text, words, punctuation. A
-linear classifier turns that into a probability of being content; its two log costs become the
-capacities from the source and to the sink. Neighbouring blocks are joined by a smoothness edge, a
+classifier turns that into a probability of being content: the weights of the text features are
+learnt by logistic regression from blocks whose markup names them, the markup's own are stated. Its
+two log costs become the capacities from the source and to the sink. Neighbouring blocks are joined by a smoothness edge, a
 strong one if the same element holds both, a weak one across elements of the same kind of region,
 none between a region that is content by its element (article, main) and one that is not. Blocks of
 one element are also joined to the element's first block (DOM proximity), so a block that is far
@@ -24,10 +25,12 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwatch.llm.common import query, table
+from blockwatch.llm.common import lean, query, table
 
 # Element names by their part in a page (fixed values of HTML).
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
@@ -51,11 +54,14 @@ respond search share sharing sidebar signup skip social sponsor sponsored subscr
 tooltip topbar widget widgets complementary contentinfo dialog feedback""".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
 
-# Weights of the classifier over the features of ``_features`` (a documented linear model).
-WEIGHTS = {
-    "bias": -0.9, "content": 4.0, "boilerplate": -7.0, "bad_words": -6.0, "good_words": 1.5, "links": -3.5,
-    "words": 0.55, "stops": 0.8, "paragraph": 0.9, "heading": 0.6, "item": -0.6,
-}
+#: What the markup itself says weighs this much (log odds); what the text says is learnt, and bounded.
+MARKUP = {"content": 4.0, "boilerplate": -7.0, "bad": -9.0, "good": 1.5}
+TEXT_NAMES = ("links", "words", "stops", "paragraph", "heading", "item")
+TEXT_BOUND = 2.0
+#: Pages whose blocks train the text weights, at most.
+TRAIN_PAGES = 2000
+#: Bias and text weights where no page of the sample has both kinds of regions.
+PLAIN_TEXT = (-0.9, -3.5, 0.55, 0.8, 0.9, 0.6, -0.6)
 SAME_ELEMENT, SAME_REGION, ELEMENT_HEAD = 0.9, 0.3, 0.4
 
 _TAG = re.compile(
@@ -181,22 +187,52 @@ def _blocks(page: str) -> list[_Block]:
     return out
 
 
-def _features(b: _Block) -> dict[str, float]:
-    n = len(b.text)
-    return {
-        "bias": 1.0, "content": float(b.element.content), "boilerplate": float(b.element.boilerplate),
-        "bad_words": float(b.element.bad), "good_words": float(b.element.good and not b.element.bad),
-        "links": min(1.0, b.linked / n), "words": math.log1p(b.text.count(" ") + 1) - 1.5,
-        "stops": min(1.0, len(_STOPS.findall(b.text[:400])) / 3), "paragraph": float(b.leaf == "p"),
-        "heading": float(b.leaf[0] == "h" and b.leaf[1:].isdigit()), "item": float(b.leaf in ("li", "td", "th", "option")),
-    }
+def _text_features(b: _Block) -> tuple[float, ...]:
+    """Of TEXT_NAMES: what a block's text says, whatever holds it."""
+    return (min(1.0, b.linked / len(b.text)), math.log1p(b.text.count(" ") + 1) - 1.5,
+            min(1.0, len(_STOPS.findall(b.text[:400])) / 3), float(b.leaf == "p"),
+            float(b.leaf[0] == "h" and b.leaf[1:].isdigit()), float(b.leaf in ("li", "td", "th", "option")))
 
 
-def _probability(b: _Block) -> float:
-    z = sum(WEIGHTS[k] * v for k, v in _features(b).items())
+def _probability(b: _Block, text: tuple[float, ...] = PLAIN_TEXT) -> float:
+    z = text[0] + sum(w * x for w, x in zip(text[1:], _text_features(b), strict=True))
+    z = max(-TEXT_BOUND, min(TEXT_BOUND, z))
+    e = b.element
+    z += MARKUP["content"] * e.content + MARKUP["boilerplate"] * e.boilerplate + MARKUP["bad"] * e.bad
+    z += MARKUP["good"] * (e.good and not e.bad)
     return 1 / (1 + math.exp(-max(-12.0, min(12.0, z))))
 
 
+def fit_text(pages: DataFrame, html: str = "html") -> tuple[float, ...]:
+    """Bias and text weights by logistic regression, from blocks whose markup says what they are
+    (inside an article or main, or inside navigation, footers, adverts and the like), on at most
+    about TRAIN_PAGES pages with the smallest hashes."""
+    rows = pages.select(F.coalesce(F.col(html), F.lit("")).alias("html"))
+    share = min(1.0, (1.1 * TRAIN_PAGES) / max(rows.count(), 1))
+    bound = min(2 ** 63 - 1, int(share * 2 ** 64) - 2 ** 63)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known = [(x, x.element.content and not x.element.bad and not x.element.boilerplate)
+                     for p in b.column(0).to_pylist() for x in _blocks(p)
+                     if x.element.content or x.element.boilerplate or x.element.bad]
+            yield pa.RecordBatch.from_pydict({
+                "x": pa.array([list(_text_features(x)) for x, _ in known], pa.list_(pa.float64())),
+                "label": pa.array([float(y) for _, y in known], pa.float64())})
+
+    blocks = rows.where(F.xxhash64("html") <= bound).mapInArrow(run, "x array<double>, label double")
+    # Text of the two kinds weighs the same, however many blocks each has.
+    counts = {r["label"]: r["n"] for r in blocks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
+        return PLAIN_TEXT
+    total = sum(counts.values())
+    weight = F.when(F.col("label") == 1, total / counts[1.0]).otherwise(total / counts[0.0])
+    model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", regParam=0.01, maxIter=30).fit(
+        blocks.select(array_to_vector("x").alias("features"), "label", weight.alias("w")))
+    return (float(model.intercept), *map(float, model.coefficients))
+
+
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Whether each node is on the source's side of the minimum cut of a graph whose nodes have a
     capacity from the source and to the sink, and undirected edges between them."""
@@ -254,21 +290,26 @@ def _edges(blocks: list[_Block]) -> list[tuple[int, int, float]]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The main text of one page."""
+def main_text(page: str | None, text: tuple[float, ...] = PLAIN_TEXT) -> str:
+    """The main text of one page, by the given text weights."""
     blocks = _blocks(page or "")
     if not blocks:
         return ""
-    p = [_probability(b) for b in blocks]
+    p = [_probability(b, text) for b in blocks]
     content = minimum_cut([-math.log(1 - x) for x in p], [-math.log(x) for x in p], _edges(blocks))
     return "\n\n".join(b.text for b, keep in zip(blocks, content, strict=True) if keep)
 
 
-def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """Every row as ``row`` (a struct of its columns, or of those in ``keep``), with its main ``text``."""
+def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None,
+            text: tuple[float, ...] | None = None) -> DataFrame:
+    """Every row as ``row`` (a struct of its columns, or of those in ``keep``), with its main ``text``;
+    text weights that are not given are fitted on the pages."""
+    weights = fit_text(pages, html) if text is None else text
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x) for x in b.column(1).to_pylist()]
+            texts = [main_text(x, weights) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
     rows = pages.select(F.struct(*(keep or ["*"])).alias("row"), F.coalesce(F.col(html), F.lit("")).alias("html"))
