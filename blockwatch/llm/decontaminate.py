@@ -9,8 +9,9 @@ length bound (enough words left) and the positional bound (inside the same docum
 then all its words are compared, first by hash and then by their characters.
 
 Items are cut into parts of at most ``PART_BYTES`` of text (one item may be longer); each part's
-index is broadcast, and the documents go through one part after another, in one narrow pass, so
-the bound on what is broadcast does not limit the benchmark. Documents are not shuffled.
+index is broadcast, and the documents go through one part after another in narrow passes (written
+between each two), so the bound on what is broadcast does not limit the benchmark. Documents are
+not shuffled.
 
 Null and empty texts have no words, are never hit, and as items have no window. Items that share
 an id count as one; a null item_id stands as "null". Repeated documents are judged each. An empty
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockwatch.llm.common import (
-    byte_table, byte_view, input_bytes, lean, prefix_hash, query, row_slices, span_hash, table, words_of,
+    byte_table, byte_view, input_bytes, lean, prefix_hash, query, row_slices, span_hash, table, words_of, written,
 )
 
 WINDOW = 10
 #: Bound of the item text behind one broadcast index.
 PART_BYTES = 4 << 20
+#: Parts that follow each other in one stage: each is a Python process of the task.
+CHAIN = 2
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _WORD = byte_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
@@ -216,6 +219,8 @@ def contained_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                        F.array().cast("array<struct<s:bigint,e:bigint>>").alias("spans"),
                        F.array().cast("array<string>").alias("items"))
     for p in range(parts):
+        if p and p % CHAIN == 0:
+            rows = written(rows, "contained")
         own = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
         items = Items.of(own.collect())
         rows = _pass(rows, items.rank_by(_frequencies(docs, text, items)))
