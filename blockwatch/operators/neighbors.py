@@ -23,6 +23,8 @@ SIM_DIGITS = 9
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 # Queries of one matrix product: with a 7,000-row container each temporary is 14 MB.
 QUERY_ROWS = 256
+# Slices that follow each other in one stage: each is a Python process of the task.
+CHAIN = 2
 
 NEIGHBOR_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
@@ -142,7 +144,9 @@ def top_k_neighbors(queries: DataFrame, container: DataFrame, k: int, *, id_col:
         F.array().cast("array<bigint>").alias("nbr_ids"), F.array().cast("array<double>").alias("nbr_sims"),
         F.array().cast("array<int>").alias("nbr_labels"))
     ids, labels, cmat = _collect_container(container, cid, vec_col, label_col)
-    for at in range(0, n_rows, per_slice):
+    for number, at in enumerate(range(0, n_rows, per_slice)):
+        if number and number % CHAIN == 0:
+            q = q.checkpoint(eager=True)
         part = slice(at, at + per_slice)
         bc = spark.sparkContext.broadcast((ids[part], labels[part], cmat[part]))
         q = q.mapInPandas(_score_fn(bc, k, "vec", exclude_self), q.schema)

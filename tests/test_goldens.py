@@ -161,9 +161,9 @@ def test_knn_chunked_equals_single(spark):
     many = {r.query_id: list(r.nbr_ids)
             for r in NB.top_k_neighbors(q, store, 5, max_rows=50, max_broadcast_bytes=400).collect()}
     assert one == many
-    alone = NB.top_k_neighbors(store, store, 3, max_rows=50, max_broadcast_bytes=300, exclude_self=True).collect()
+    alone = NB.top_k_neighbors(store, store, 3, max_rows=50, max_broadcast_bytes=600, exclude_self=True).collect()
     assert all(len(r.nbr_ids) == 3 and r.query_id not in r.nbr_ids for r in alone)
-    with_self = NB.top_k_neighbors(store, store, 3, max_rows=50, max_broadcast_bytes=40).collect()
+    with_self = NB.top_k_neighbors(store, store, 3, max_rows=50, max_broadcast_bytes=600).collect()
     assert all(r.nbr_sims[0] == pytest.approx(1.0) for r in with_self)
 
 
