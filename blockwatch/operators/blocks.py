@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockwatch.functions.timefmt import micros
+from blockwatch.session import written
 from blockwatch.operators.position import bucketed, previous_values, with_position
 
 CONTENT_SEP = " | "
@@ -172,14 +173,16 @@ def idle_gap_sessions(lines: DataFrame, key: str, ts_col: str, gap_s: float,
     # The first row of all has no predecessor; a NULL key is a key like any other.
     start = (F.col("_bw_prev").isNull() | ~F.col("_bw_prev.k").eqNullSafe(F.col(key))
              | ((F.col("_bw_us") - F.col("_bw_prev.u")) > F.lit(int(round(gap_s * 1e6)))))
-    b = b.withColumn("_bw_start", F.coalesce(start, F.lit(True)).cast("int"))
+    # Read by the running sums and by the sums of the buckets.
+    b = written(b.withColumn("_bw_start", F.coalesce(start, F.lit(True)).cast("int")).drop("_bw_pk", "_bw_pl", "_bw_prev"),
+                "session-starts")
     b = b.withColumn("_bw_local", F.sum("_bw_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     starts = b.groupBy("_bw_bucket").agg(F.sum("_bw_start").alias("_bw_ns"))
     offsets = starts.select("_bw_bucket", F.coalesce(F.sum("_bw_ns").over(
         Window.orderBy("_bw_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_bw_soff"))
     b = (b.join(F.broadcast(offsets), "_bw_bucket")
          .withColumn("_bw_snum", F.col("_bw_soff") + F.col("_bw_local")).drop("_bw_soff"))
-    b = b.drop("_bw_bucket", "_bw_us", "_bw_pk", "_bw_pl", "_bw_prev", "_bw_start", "_bw_local")
+    b = b.drop("_bw_bucket", "_bw_us", "_bw_start", "_bw_local")
     return dense_ids(b, ["_bw_snum"], [pos_col], id_col=id_col).drop("_bw_snum")
 
 
