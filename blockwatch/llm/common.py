@@ -45,7 +45,9 @@ def query(name: str, sql: str | None = None):
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound an Arrow batch: texts are long, and a batch is held whole by a task."""
+    """Name the shared folder for checkpoints, and bound an Arrow batch: texts are long, and a batch
+    is held whole by a task."""
+    ensure_checkpoint_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
