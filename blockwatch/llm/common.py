@@ -22,6 +22,8 @@ SLICE_BYTES = 1 << 20
 #: Rows and bytes of one Arrow batch between the JVM and a Python task.
 ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
+#: Rows that a Parquet scan decodes at a time.
+READ_ROWS = 512
 #: Bytes that a task of ``written`` gathers before it writes them out.
 WRITE_BYTES = 16 << 20
 
@@ -48,6 +50,7 @@ def prepare(spark: SparkSession) -> None:
     """Name the shared folder for checkpoints, and bound an Arrow batch: texts are long, and a batch
     is held whole by a task."""
     ensure_checkpoint_dir(spark)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
