@@ -178,6 +178,7 @@ def _verified(texts: DataFrame) -> DataFrame:
         copies = group.column("copies").to_numpy()
         comp = group.column("comp").to_pylist()
         part = group.column("part").to_numpy()
+        whole = group.column("whole").to_pylist()
         sets: list[np.ndarray] = []
         for i, j in row_slices(off):
             _, s, s_row, _ = _shingles(data[off[i]:off[j]], off[i:j + 1] - off[i])
@@ -189,14 +190,15 @@ def _verified(texts: DataFrame) -> DataFrame:
         for own in members.values():
             left = [i for i in own if part[i] == 0]
             right = [i for i in own if part[i] == 1]
-            if not right:
+            if whole[own[0]]:
                 near = _similar([sets[i] for i in left])
                 np.fill_diagonal(near, False)
                 links = near @ copies[left]
                 root = _forest(near)
                 out += [(digest[left[k]], int(links[k]), digest[left[root[k]]]) for k in range(len(left))]
-            else:
-                # Links between the parts only; those inside a part have their own bin.
+            elif left and right:
+                # Links between the parts only; those inside a part have their own bin. With one
+                # part empty there are none.
                 near = _similar([sets[i] for i in left], [sets[i] for i in right])
                 n = len(left)
                 square = np.zeros((n + len(right),) * 2, bool)
@@ -233,7 +235,7 @@ def _binned(members: DataFrame, bins: int) -> DataFrame:
     large = own.where("parts > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
     large = large.select("digest", "comp", "copies", (F.col("mine") > F.col("other")).cast("int").alias("part"),
-                         F.lit(False).alias("whole"),
+                         (lo == hi).alias("whole"),
                          F.concat_ws("-", F.hex("comp"), lo.cast("string"), hi.cast("string")).alias("bin"))
     return small.unionByName(large)
 
@@ -258,7 +260,7 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
     texts = (found.join(wanted, (found["digest"] == wanted["digest"]) & found["row.doc_id"].eqNullSafe(F.col("wanted_id")))
              .select(wanted["digest"], F.col("row.body").alias("body")).dropDuplicates(["digest"]))
     binned = _binned(members, max(8, total // PART_BYTES)).join(texts, "digest")
-    links = written(_verified(binned.select("bin", "comp", "part", "copies", "digest", "body")), "links")
+    links = written(_verified(binned.select("bin", "comp", "part", "whole", "copies", "digest", "body")), "links")
     tree = components(links.where("digest <> root").select("digest", "root"), "digest", "root")
     linked = links.groupBy("digest").agg(F.sum("links").alias("links"))
     known = (reps.select("digest", "copies", "owner")

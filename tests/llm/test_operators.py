@@ -189,6 +189,20 @@ def test_near_copies_in_parts(spark, monkeypatch):
     assert len({c for c, _ in got.values()}) < 10
 
 
+def test_few_near_copies_in_many_parts(spark, monkeypatch):
+    """Groups of 2 to 5 texts dealt to several parts, of which some stay empty: no link counts twice."""
+    monkeypatch.setattr(near, "PART_BYTES", 400)
+    data = []
+    for g in range(24):
+        for i in range(2 + g % 4):
+            own = [f"g{g}t{j}" for j in range(120)]
+            own[i] = f"changed{i}"
+            data.append((100 * g + i, " ".join(own)))
+    prepare(spark)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {d: c for (d, _), c in zip(data, brute.classes(data), strict=True)}
+
+
 def test_forest_recall():
     assert near.prefix_depth() == 6
     assert near.prefix_depth(recall=0.5) > near.prefix_depth(recall=0.99999)
