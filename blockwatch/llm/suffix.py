@@ -5,7 +5,9 @@ its 16-byte parts (its anchor), and neighbouring windows with one anchor make a
 the 33 bytes to the left and to the right of each anchor, merged by slices (``blocks.py``), drops
 anchors whose neighbourhood is in one document only: of two equal windows, one of the two sides lies
 inside the window, so no shared window is lost. The segments that stay go to the slice of their
-anchor, each once a block.
+anchor, each once a block. Anchors are counted in cells first: where a cell holds more than one index
+may, as for a passage that very many documents share with other text beside it, its segments are cut
+to single windows, each once a block, and dealt anew by a hash of the window's own bytes.
 
 A slice indexes its distinct segments: suffixes are sorted, the Burrows-Wheeler transform is
 run-length compressed with sampled run ends, and the segments are streamed through the runs from
@@ -18,6 +20,8 @@ Documents with equal ids are not smaller than each other, a null id is larger th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from blockwatch.llm.blocks import distinct_windows, flags_of, pack, repeated_windows, slice_of, slices_for, unpack
 from blockwatch.llm.common import (
-    NULL_ID, lean_group, lean_pair, mix, prefix_hash, query, row_slices, span_hash, table, written,
+    NULL_ID, lean, lean_group, lean_pair, mix, prefix_hash, query, row_slices, span_hash, table, written,
 )
 from blockwatch.llm.rindex import RunIndex
 
@@ -35,6 +39,10 @@ REACH = (LENGTH - ANCHOR) // 2
 SIDE = ANCHOR + REACH
 #: Bytes of documents behind one slice, and of segments behind one index.
 SLICE_BYTES, INDEX_BYTES = 8 << 20, 3 << 18
+#: Cells of a slice in which segments are counted by their anchors.
+CELLS = 64
+#: Bytes of a segment beside its text: smallest document, anchor, number of windows.
+HEAD = 13
 
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -136,6 +144,16 @@ def _of_kind(rows: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
     return [(s, n, b) for k, s, n, b in every if k == kind]
 
 
+def _body(least: np.ndarray, key: np.ndarray, windows: np.ndarray, text: np.ndarray) -> bytes:
+    """Segments as bytes; those with equal windows have equal keys (32 bits)."""
+    return least.tobytes() + key.astype(np.uint32).tobytes() + windows.astype(np.uint8).tobytes() + text.tobytes()
+
+
+def _parsed(n: int, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return (np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint32, n, 8 * n),
+            np.frombuffer(raw, np.uint8, n, 12 * n).astype(np.int64), np.frombuffer(raw, np.uint8, offset=HEAD * n))
+
+
 def _candidates(blocks: DataFrame, sketch: DataFrame, slices: int) -> DataFrame:
     """slice, block, n (segments), body: windows, smallest documents, anchors and bytes of a block's segments."""
     @lean_pair
@@ -149,9 +167,8 @@ def _candidates(blocks: DataFrame, sketch: DataFrame, slices: int) -> DataFrame:
             a, b = cuts[k], cuts[k + 1]
             if a < b:
                 text = _gather(data, start[a:b], windows[a:b] + LENGTH - 1)
-                low = (anchor[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                out.append((k, block, int(b - a), least[a:b].tobytes() + low.tobytes()
-                            + windows[a:b].astype(np.uint8).tobytes() + text.tobytes()))
+                low = anchor[a:b] & np.uint64(0xFFFFFFFF)
+                out.append((k, block, int(b - a), _body(least[a:b], low, windows[a:b], text)))
         return pa.table({"slice": pa.array([x[0] for x in out], pa.int64()),
                          "block": pa.array([x[1] for x in out], pa.int64()),
                          "n": pa.array([x[2] for x in out], pa.int64()),
@@ -161,6 +178,122 @@ def _candidates(blocks: DataFrame, sketch: DataFrame, slices: int) -> DataFrame:
             .applyInArrow(run, "slice bigint, block bigint, n bigint, body binary"))
 
 
+def _over(candidates: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of the slices with a cell over the bound of an index: for each cell its first piece and its
+    number of pieces, 0 where it stays whole. There are at most as many as the bound goes into the input."""
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, n, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                _, anchor, windows, _ = _parsed(n, raw)
+                cell, own = anchor % CELLS, total.setdefault(k, np.zeros((2, CELLS), np.int64))
+                own[0] += np.bincount(cell, windows + LENGTH - 1, CELLS).astype(np.int64)
+                own[1] += np.bincount(cell, windows, CELLS).astype(np.int64)
+        for k, own in total.items():
+            some = np.flatnonzero(own[0])
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k] * len(some), pa.int64()), "cell": pa.array(some),
+                                              "n_bytes": pa.array(own[0][some]), "n_windows": pa.array(own[1][some])})
+
+    cells = candidates.select("slice", "n", "body").mapInArrow(
+        run, "slice bigint, cell bigint, n_bytes bigint, n_windows bigint")
+    cells = cells.groupBy("slice", "cell").agg(F.sum("n_bytes").alias("b"), F.sum("n_windows").alias("w"))
+    count: dict[int, np.ndarray] = {}
+    for r in cells.where(F.col("b") > INDEX_BYTES).collect():
+        count.setdefault(r["slice"], np.zeros(CELLS, np.int64))[r["cell"]] = -(-r["w"] * (LENGTH + HEAD) // SLICE_BYTES)
+    return {k: (1 + np.cumsum(n) - n, n) for k, n in count.items()}
+
+
+def _cut(n: int, raw: bytes, first_piece: np.ndarray, pieces: np.ndarray):
+    """A block's segments of a slice, those in cells over the bound cut to windows: which segments
+    stay whole; the distinct windows (start, smallest document, hash and piece of each); and of every
+    cut window its place among all, its distinct one and its segment's document."""
+    least, anchor, windows, text = _parsed(n, raw)
+    cell = anchor % CELLS
+    cut = np.flatnonzero(pieces[cell])
+    w, size = windows[cut], windows + LENGTH - 1
+    step = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+    start = np.repeat((np.cumsum(size) - size)[cut], w) + step
+    place = np.repeat((np.cumsum(windows) - windows)[cut], w) + step
+    own = np.repeat(least[cut], w)
+    u, _, first, order = distinct_windows(span_hash(prefix_hash(text), start, start + LENGTH), own)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.repeat(np.arange(len(u)), np.diff(np.append(first, len(order))))
+    doc = np.minimum.reduceat(own[order], first) if len(first) else own
+    one = order[first]
+    its = np.repeat(cell[cut], w)[one]
+    piece = first_piece[its] + ((u >> np.uint64(32)) % np.maximum(pieces[its], 1).astype(np.uint64)).astype(np.int64)
+    return np.flatnonzero(pieces[cell] == 0), (start[one], doc, u, piece), (place, which, own)
+
+
+def _by_piece(piece: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(piece, kind="stable")
+    return [x for x in np.split(order, np.flatnonzero(np.diff(piece[order])) + 1) if len(x)]
+
+
+def _dealt(candidates: DataFrame, over: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Candidates with their piece of the slice: 0 of whole segments, others of cut ones."""
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, block, n, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if k not in over:
+                    out.append((k, 0, block, n, raw))
+                    continue
+                whole, (start, doc, h, piece), _ = _cut(n, raw, *over[k])
+                least, anchor, windows, text = _parsed(n, raw)
+                if len(whole):
+                    size = windows + LENGTH - 1
+                    own = _gather(text, (np.cumsum(size) - size)[whole], size[whole])
+                    out.append((k, 0, block, len(whole), _body(least[whole], anchor[whole], windows[whole], own)))
+                for x in _by_piece(piece):
+                    own = _gather(text, start[x], np.full(len(x), LENGTH))
+                    out.append((k, int(piece[x[0]]), block, len(x),
+                                _body(doc[x], h[x] & np.uint64(0xFFFFFFFF), np.ones(len(x), np.int64), own)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)],
+                                             names=["slice", "piece", "block", "n", "body"])
+
+    return candidates.select("slice", "block", "n", "body").mapInArrow(
+        run, "slice bigint, piece bigint, block bigint, n bigint, body binary")
+
+
+def _rejoined(candidates: DataFrame, answers: DataFrame, over: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """The answers to a block's whole segments and cut windows, in the order of its segments."""
+    @lean_pair
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        k, n, raw = (left.column(c)[0].as_py() for c in ("slice", "n", "body"))
+        bits = {p: np.unpackbits(np.frombuffer(b, np.uint8), count=m).astype(bool) for p, m, b in
+                zip(*(right.column(c).to_pylist() for c in ("piece", "n", "bits")), strict=True)}
+        whole, (_, doc, _, piece), (place, which, own) = _cut(n, raw, *over[k])
+        windows = _parsed(n, raw)[2]
+        marks = np.zeros(windows.sum(), bool)
+        if len(whole):
+            w = windows[whole]
+            marks[np.repeat((np.cumsum(windows) - windows)[whole] - (np.cumsum(w) - w), w) + np.arange(w.sum())] = bits[0]
+        found = np.zeros(len(doc), bool)
+        for x in _by_piece(piece):
+            found[x] = bits[int(piece[x[0]])]
+        marks[place] = found[which] | (doc[which] < own)
+        return pa.table({"block": left.column("block"), "slice": left.column("slice"),
+                         "n": pa.array([len(marks)], pa.int64()), "bits": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+
+    return (candidates.groupBy("block", "slice").cogroup(answers.groupBy("block", "slice"))
+            .applyInArrow(run, "block bigint, slice bigint, n bigint, bits binary"))
+
+
+def _answers(candidates: DataFrame) -> DataFrame:
+    """For each window of a block's segments: whether a document smaller than the segment's has it."""
+    candidates = written(candidates, "segments")
+    over = _over(candidates)
+    marked = _marked(_dealt(candidates, over))
+    if not over:
+        return marked.drop("piece")
+    marked, cut = written(marked, "marks"), F.col("slice").isin(list(over))
+    return marked.where(~cut).drop("piece").unionByName(_rejoined(candidates.where(cut), marked.where(cut), over))
+
+
 def _first_documents(text: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each window of each segment the smallest document that has it, and the segments' offsets."""
     at = np.concatenate([[0], np.cumsum(size)])
@@ -177,7 +310,7 @@ def _first_documents(text: np.ndarray, size: np.ndarray, least: np.ndarray) -> t
 
 
 def _marked(candidates: DataFrame) -> DataFrame:
-    """For each window of a block's segments: whether a document smaller than the segment's has it."""
+    """The same for each piece of a slice."""
     limit = INDEX_BYTES
 
     @lean_group
@@ -192,7 +325,7 @@ def _marked(candidates: DataFrame) -> DataFrame:
         at = np.concatenate([[0], np.cumsum(size)])
         w_at = np.concatenate([[0], np.cumsum(size - LENGTH + 1)])
         marks = np.zeros(w_at[-1], bool)
-        # Indexes of a bounded size: equal windows have equal anchors, so they stay together.
+        # Indexes of a bounded size: equal windows have equal keys, so they stay together.
         part = (anchor % np.uint32(-(-len(text) // limit))).astype(np.int64)
         order = np.argsort(part, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
@@ -202,11 +335,12 @@ def _marked(candidates: DataFrame) -> DataFrame:
             marks[to] = first < np.repeat(least[own], windows)
         edge = np.concatenate([[0], np.cumsum(sizes)])
         cut = [(int(w_at[edge[i]]), int(w_at[edge[i + 1]])) for i in range(len(sizes))]
-        return pa.table({"block": group.column("block"), "slice": group.column("slice"),
+        return pa.table({"block": group.column("block"), "slice": group.column("slice"), "piece": group.column("piece"),
                          "n": pa.array([b - a for a, b in cut], pa.int64()),
                          "bits": pa.array([np.packbits(marks[a:b]).tobytes() for a, b in cut], pa.binary())})
 
-    return candidates.groupBy("slice").applyInArrow(run, "block bigint, slice bigint, n bigint, bits binary")
+    return candidates.groupBy("slice", "piece").applyInArrow(
+        run, "block bigint, slice bigint, piece bigint, n bigint, bits binary")
 
 
 def _applied(blocks: DataFrame, answers: DataFrame, slices: int) -> DataFrame:
@@ -249,7 +383,7 @@ def remove_long_matches(docs: DataFrame, text: str = "text") -> DataFrame:
     # About one anchor, so two sides, in 18 bytes; the estimate only sets the number of slices.
     sketch_slices, slices = slices_for(total // 9), max(8, -(-total // SLICE_BYTES))
     sketch = written(repeated_windows(blocks, _windows, sketch_slices), "sides").withColumn("kind", F.lit(0))
-    marked = _marked(_candidates(blocks, sketch, slices)).withColumn("kind", F.lit(1))
+    marked = _answers(_candidates(blocks, sketch, slices)).withColumn("kind", F.lit(1))
     return _applied(blocks, sketch.unionByName(marked), slices)
 
 

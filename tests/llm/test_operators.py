@@ -160,6 +160,33 @@ def test_dedup_of_small_alphabets(spark, seed, monkeypatch):
         assert got == {d: sum(g) for (d, _), g in zip(data, gone, strict=True)}
 
 
+def test_suffix_dedup_of_a_hot_passage(spark, monkeypatch):
+    """A passage that all documents share, each with other text beside it: no task holds its anchors whole."""
+    from blockwatch.llm import blocks
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 12000)
+    monkeypatch.setattr(suffix, "INDEX_BYTES", 4000)
+    monkeypatch.setattr(suffix, "SLICE_BYTES", 8000)
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefghij klmn") for _ in range(n))
+    passage, ends = some(90), [some(7) for _ in range(40)]
+    data = [(i, some(60) + rng.choice(ends) + passage + rng.choice(ends) + some(60)) for i in range(700)]
+    data += [(i % 900, passage[10:] + "x" * 60) for i in range(800, 920)]
+    largest, marked = [], suffix._marked
+
+    def measured(candidates):
+        keys = [c for c in candidates.columns if c not in ("block", "n", "body")]
+        largest.append(candidates.groupBy(*keys).agg(F.sum(F.length("body")).alias("b")).agg(F.max("b")).first()[0])
+        return marked(candidates)
+
+    monkeypatch.setattr(suffix, "_marked", measured)
+    prepare(spark)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    gone = brute.covered([list(t.encode()) for _, t in data], [d for d, _ in data], suffix.LENGTH)
+    got = _sorted((r["doc_id"], r["n_removed"]) for r in suffix.remove_long_matches(df).collect())
+    assert got == _sorted((d, sum(g)) for (d, _), g in zip(data, gone, strict=True))
+    assert largest[0] < 2 * 8000
+
+
 def test_near_copies(spark, docs, rows, empty):
     want = _sorted((d, *c) for (d, _), c in zip(rows, brute.classes(rows), strict=True))
     want = _sorted((d, c if brute.words(t) else d, n) for (d, t), (c, n) in zip(rows, brute.classes(rows), strict=True))
