@@ -11,6 +11,10 @@ one element are also joined to the element's first block (DOM proximity), so a b
 from it in the page follows its siblings. The minimum cut, by maximum flow, separates content from
 boilerplate; ties go to boilerplate.
 
+A bad name (a class, id or role with a word such as sidebar) counts for all that the element holds,
+up to a main element, and up to an article if nothing else on the page is content. Names of what goes
+with an element (with-sidebar, has-menu, any layout) and headers of an article (post-header) are not bad.
+
 Scripts, styles, the head, forms and comments of the markup are never text. Character references
 are decoded, white space inside a block is one space, blocks are joined by two line feeds. A null or
 empty page, or one without content, has the empty text. Repeated rows are extracted each.
@@ -53,6 +57,10 @@ modal nav navbar navigation newsletter notice pagination popup promo recommended
 respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar
 tooltip topbar widget widgets complementary contentinfo dialog feedback""".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
+#: Words from which on a name tells what goes with the element, not what it is (with-sidebar, has-menu).
+MODIFIERS = frozenset("with without has have no".split())
+#: Bad words that name a headline's element inside an article or behind one of these words.
+HEADLINE, ARTICLE_WORDS = frozenset("head header".split()), frozenset("article entry post story".split())
 
 #: What the markup itself says weighs this much (log odds); what the text says is learnt, and bounded.
 MARKUP = {"content": 4.0, "boilerplate": -7.0, "bad": -9.0, "good": 1.5}
@@ -74,12 +82,28 @@ _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _STOPS = re.compile(r"[.!?;:,]")
 
 
+def _named(value: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the names of a class, id or role are bad, and good; ``inside`` an article or not."""
+    bad = good = False
+    for name in value.split():
+        words = [w.lower() for w in _NAME_WORD.findall(name)]
+        if "layout" in words:  # how the page is laid out
+            continue
+        words = words[:next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
+        own = BAD_WORDS.intersection(words)
+        if own <= HEADLINE and (inside or ARTICLE_WORDS.intersection(words)):
+            own = frozenset()
+        bad = bad or bool(own)
+        good = good or bool(GOOD_WORDS.intersection(words))
+    return bad, good
+
+
 class _Element:
     """An open element: what its own tags and those around it say."""
 
     __slots__ = ("name", "number", "content", "boilerplate", "bad", "good", "silent", "first")
 
-    def __init__(self, name: str, number: int, attributes: str, around: _Element | None):
+    def __init__(self, name: str, number: int, attributes: str, around: _Element | None, reset: bool = False):
         self.name, self.number, self.first = name, number, None
         self.content = around.content if around else False
         self.boilerplate = around.boilerplate if around else False
@@ -88,6 +112,8 @@ class _Element:
         self.silent = around.silent if around else False
         if name in SILENT:
             self.silent = True
+        if name == "main" or (reset and name == "article" and not self.content):
+            self.bad = False
         if name in CONTENT:
             self.content, self.boilerplate = True, self.boilerplate and name != "main"
         if name in BOILERPLATE or (name == "header" and not self.content):
@@ -100,10 +126,10 @@ class _Element:
                 elif key.lower() == "hidden":
                     self.silent = True
                 else:
-                    words = {w.lower() for w in _NAME_WORD.findall(value)}
-                    if words & BAD_WORDS:
+                    bad, good = _named(value, self.content)
+                    if bad and name != "main":
                         self.bad = True
-                    elif words & GOOD_WORDS:
+                    elif good:
                         self.good = True
 
     def region(self) -> tuple:
@@ -117,8 +143,8 @@ class _Block:
         self.text, self.element, self.leaf, self.linked = text, element, leaf, linked
 
 
-def _blocks(page: str) -> list[_Block]:
-    """The text blocks of a page, in order."""
+def _blocks(page: str, reset: bool = False) -> list[_Block]:
+    """The text blocks of a page, in order; with ``reset``, bad names around an article do not count in it."""
     root = _Element("html", 0, "", None)
     stack, out, number = [root], [], 0
     parts: list[str] = []
@@ -182,7 +208,7 @@ def _blocks(page: str) -> list[_Block]:
             continue
         if name == "body":  # ends a head that was left open
             del stack[1:]
-        stack.append(_Element(name, number, attributes, stack[-1]))
+        stack.append(_Element(name, number, attributes, stack[-1], reset))
     flush()
     return out
 
@@ -292,7 +318,12 @@ def _edges(blocks: list[_Block]) -> list[tuple[int, int, float]]:
 
 def main_text(page: str | None, text: tuple[float, ...] = PLAIN_TEXT) -> str:
     """The main text of one page, by the given text weights."""
-    blocks = _blocks(page or "")
+    found = _kept(_blocks(page or ""), text)
+    # A page without content whose article stands in an element with a bad name: the name is no verdict on it.
+    return found or _kept(_blocks(page or "", reset=True), text)
+
+
+def _kept(blocks: list[_Block], text: tuple[float, ...]) -> str:
     if not blocks:
         return ""
     p = [_probability(b, text) for b in blocks]

@@ -246,6 +246,17 @@ def test_html():
     assert isinstance(html.main_text("<" * 20000 + "<a '" * 5000), str)
 
 
+@pytest.mark.parametrize("around", ['div class="content with-sidebar"', 'div class="page-has-menu"', 'main class="layout-sidebar-right"',
+                                    'div class="two-sidebar-page"', 'main class="sidebar"'])
+def test_html_names_around_an_article(around):
+    end = f"</{around.split()[0]}>"
+    body = '<div class="post-header"><h1>Head line</h1></div><p>Text of it, and more.</p><div class="related-posts"><article>Other one, too.</article></div>'
+    want = "Head line\n\nText of it, and more."
+    assert html.main_text(f"<nav>Home</nav><{around}><article>{body}</article>{end}<footer>c</footer>") == want
+    side = '<div class="sidebar-left"><p>Things, at the side. Here.</p></div><div class="site-header"><p>The site, its name.</p></div>'
+    assert html.main_text(f"{side}<article>{body}</article>") == want
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(60):
