@@ -216,7 +216,7 @@ def _blocks(page: str, reset: bool = False) -> list[_Block]:
 def _text_features(b: _Block) -> tuple[float, ...]:
     """Of TEXT_NAMES: what a block's text says, whatever holds it."""
     return (min(1.0, b.linked / len(b.text)), math.log1p(b.text.count(" ") + 1) - 1.5,
-            min(1.0, len(_STOPS.findall(b.text[:400])) / 3), float(b.leaf == "p"),
+            min(1.0, len(_STOPS.findall(b.text)) / 3), float(b.leaf == "p"),
             float(b.leaf[0] == "h" and b.leaf[1:].isdigit()), float(b.leaf in ("li", "td", "th", "option")))
 
 

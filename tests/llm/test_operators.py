@@ -257,6 +257,12 @@ def test_html_names_around_an_article(around):
     assert html.main_text(f"{side}<article>{body}</article>") == want
 
 
+def test_html_sentence_marks_late_in_a_block():
+    element = html._Element("div", 1, "", None)
+    block = html._Block("word " * 100 + "It ends here. And here, too.", element, "div", 0)
+    assert html._text_features(block)[html.TEXT_NAMES.index("stops")] == 1.0
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(60):
