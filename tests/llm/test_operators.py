@@ -330,6 +330,22 @@ def test_licenses(spark, docs, empty):
     assert license.scan(empty, *license.fit(empty)).count() == 0
 
 
+def test_licenses_in_long_and_wrapped_lines(spark):
+    rng = random.Random(2)
+    prose = lambda n: " ".join(rng.choice("the of it lane more stone water and river by a".split()) for _ in range(n))
+    planted = [(f, s) for f, ss in license._sentences().items() for s in ss if len(s.split()) <= 30]
+    wrap = lambda s: "\n".join(" ".join(s.split()[i:i + 7]) for i in range(0, len(s.split()), 7))
+    own = [(i, prose(30) + "\n\n" + prose(200), None) for i in range(60)]
+    own += [(100 + i, f"{prose(rng.randint(50, 300))} {s} {prose(100)}", f) for i, (f, s) in enumerate(planted)]
+    own += [(300 + i, f"{prose(30)}\n\n{wrap(s)}\n\n{prose(20)}", f) for i, (f, s) in enumerate(planted)]
+    table = spark.createDataFrame([o[:2] for o in own], "doc_id long, text string")
+    got = {(r["doc_id"], r["family"]) for r in license.scan(table, *license.fit(table)).where("confirmed").collect()}
+    for first in (100, 300):
+        want = {(d, f) for d, _, f in own if f and first <= d < first + 200}
+        assert len(want & got) >= 0.95 * len(want)
+    assert not {d for d, _ in got if d < 100}
+
+
 def test_quality(spark, docs, rows, empty):
     documents, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
     feats = quality.features(documents)
