@@ -1,4 +1,6 @@
 """All registered queries of this subpackage (importing the modules fills the registries)."""
 
-from blockwatch.llm import bpe, decontaminate, fingerprint, html, license, near, pii, quality, substring, suffix  # noqa: F401
+from blockwatch.llm import (  # noqa: F401
+    bpe, decontaminate, fingerprint, html, license, manifest, near, pii, quality, substring, suffix,
+)
 from blockwatch.llm.common import ORACLES, QUERIES  # noqa: F401
