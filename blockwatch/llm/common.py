@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -228,5 +229,24 @@ def words_of(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np
     return start, end, row
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two unrelated 64-bit hashes of the bytes of each word (both halves of XXH3-128).
+
+    Words ascend and do not overlap. Equal ones are found by comparing their bytes and hashed once.
+    """
+    if len(start) == 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    step = np.zeros(len(data) + 1, np.int8)
+    step[start] += 1
+    step[end] -= 1
+    own = np.ascontiguousarray(data[np.cumsum(step[:-1], dtype=np.int8).astype(bool)])
+    at = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(own)])
+    coded = words.dictionary_encode()
+    hashed = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist()))
+    both = np.frombuffer(hashed, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
 def byte_table(flag: Callable[[int], bool]) -> np.ndarray:
     return np.array([flag(b) for b in range(256)])

@@ -1,7 +1,8 @@
 """N-gram Jaccard join: a MinHash LSH forest proposes, exact shingle sets decide.
 
 Shingles are five consecutive words (runs without white space); a text of fewer words is one
-shingle. Texts with the same words are one representative from the start. Each representative has a
+shingle. Words count as equal if a 64-bit XXH3 hash of their bytes is; texts are the same if two
+unrelated hashes of their words are. Texts with the same words are one representative from the start. Each representative has a
 MinHash signature, dealt to the trees of a forest as paths of ``MAX_DEPTH`` values. Two texts meet
 in a tree if their paths share a prefix; the prefix is shortened from the full path until pairs at
 the threshold meet in some tree with at least the target recall (``prefix_depth``). Texts are
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockwatch.llm.common import (
-    byte_table, byte_view, lean, lean_group, mix, power_tables, prefix_hash, query, row_slices, span_hash,
-    table, words_of, written,
+    byte_table, byte_view, lean, lean_group, mix, power_tables, query, row_slices, span_hash, table, word_hashes,
+    words_of, written,
 )
 from blockwatch.llm.graph import components
 
@@ -56,7 +57,7 @@ def _shingles(data: np.ndarray, off: np.ndarray):
     """Words of each row; hash and row of each shingle; two 64-bit digests of each row's words."""
     n = len(off) - 1
     start, end, row = words_of(data, off, _WORD)
-    h = span_hash(prefix_hash(data), start, end)
+    h, other = word_hashes(data, start, end)
     count = np.bincount(row, minlength=n)
     word0 = np.concatenate([[0], np.cumsum(count)])
 
@@ -72,7 +73,7 @@ def _shingles(data: np.ndarray, off: np.ndarray):
     s_row = np.repeat(np.arange(n), shingles)
     first = word0[s_row] + np.arange(shingles.sum()) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     s = hashed(first, first + np.minimum(count[s_row], SHINGLE))
-    digest = (hashed(word0[:-1], word0[1:]), sequence(mix(h ^ np.uint64(0x5851F42D4C957F2D)))(word0[:-1], word0[1:]))
+    digest = (hashed(word0[:-1], word0[1:]), sequence(other)(word0[:-1], word0[1:]))
     return count, s, s_row, digest
 
 

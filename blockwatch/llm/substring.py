@@ -2,7 +2,8 @@
 
 A count-min sketch, made block by block and merged by slices (``blocks.py``), overestimates how
 often each window occurs. Only windows estimated repeated go to the second pass, which groups them
-exactly by a digest of their words (96 bits beside those that chose the slice) and takes the
+exactly by a digest of their words (64 bits made from another hash of each word's bytes, unrelated to
+the one of the sketch, and 32 of the sketch's own beside those that chose the slice) and takes the
 smallest doc_id of each. A block sends a window once, however many of its documents hold it, so a
 hot window costs one entry a block; no window is lost, because the sketch never counts too few.
 
@@ -20,26 +21,25 @@ from pyspark.sql import functions as F
 
 from blockwatch.llm.blocks import distinct_windows, flags_of, pack, repeated_windows, slice_of, slices_for, unpack
 from blockwatch.llm.common import (
-    NULL_ID, byte_table, lean_group, lean_pair, mix, power_tables, prefix_hash, query, row_slices, span_hash,
-    table, words_of, written,
+    NULL_ID, byte_table, lean_group, lean_pair, power_tables, query, row_slices, span_hash, table, word_hashes,
+    words_of, written,
 )
 
 WINDOW = 13
 _WORD = byte_table(lambda b: b != 32 and not 9 <= b <= 13)
-_SECOND = np.uint64(0x5851F42D4C957F2D)
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 
 def _block_words(data: np.ndarray, off: np.ndarray):
-    """Start, end, row and hash of each word of a block."""
+    """Start, end, row and two unrelated hashes of each word of a block."""
     got = []
     for i, j in row_slices(off):
         own = data[off[i]:off[j]]
         start, end, row = words_of(own, off[i:j + 1] - off[i], _WORD)
-        got.append((start + off[i], end + off[i], row + i, span_hash(prefix_hash(own), start, end)))
+        got.append((start + off[i], end + off[i], row + i, *word_hashes(own, start, end)))
     if not got:
         e = np.zeros(0, np.int64)
-        return e, e, e, np.zeros(0, np.uint64)
+        return e, e, e, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*got, strict=True))
 
 
@@ -60,19 +60,19 @@ def _starts(row: np.ndarray) -> np.ndarray:
 
 
 def _windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, _, row, h = _block_words(data, off)
+    _, _, row, h, _ = _block_words(data, off)
     first = _starts(row)
     return _over_windows(h, first), row[first]
 
 
 def _windows_of(ids: np.ndarray, data: np.ndarray, off: np.ndarray):
-    """Words and windows of a block; its distinct windows: hash, smallest id, where each one's
+    """Words (with their second hash) and windows of a block; its distinct windows: hash, smallest id, where each one's
     windows begin in their order, and that order."""
-    start, end, row, h = _block_words(data, off)
+    start, end, row, h, other = _block_words(data, off)
     first = _starts(row)
     u, _, at, order = distinct_windows(_over_windows(h, first), row[first])
     least = np.minimum.reduceat(ids[row[first]][order], at) if len(at) else np.zeros(0, np.int64)
-    return start, end, row, h, first, u, least, at, order
+    return start, end, row, other, first, u, least, at, order
 
 
 def _answers(table_: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
@@ -86,10 +86,10 @@ def _candidates(blocks: DataFrame, bits: DataFrame, slices: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block, out = left.column("block")[0].as_py(), []
         ids, data, off = unpack(left.column("n_docs")[0].as_py(), left.column("blob")[0].as_py())
-        _, _, _, h, first, u, least, at, order = _windows_of(ids, data, off)
+        _, _, _, other, first, u, least, at, order = _windows_of(ids, data, off)
         some = flags_of(_answers(right, 0), len(u))
         u, least, one = u[some], least[some], order[at[some]]
-        second = _over_windows(mix(h ^ _SECOND), first[one])
+        second = _over_windows(other, first[one])
         cuts = np.searchsorted(slice_of(u, slices), np.arange(slices + 1))
         for s in range(slices):
             a, b = cuts[s], cuts[s + 1]
