@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the surveyed behaviour.
-# Line shape: optional '-' marker, timestamp with milliseconds, [thread], level, message.
-LOG_LINE_PATTERN = r"^([\-]?)\s*(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) \[.*?\] (INFO|ERROR|WARN|DEBUG)\s*(.*)"
+# Line shape: optional '-' marker, timestamp with milliseconds, [thread], level, message. A blank is any
+# white space of Unicode, and only a line feed ends a line: messages keep CR, NEL and separators.
+BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LOG_LINE_PATTERN = (r"^([\-]?)" + BLANK + r"*(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) \[[^\n]*?\] "
+                    r"(INFO|ERROR|WARN|DEBUG)" + BLANK + r"*([^\n]*)")
 # IP address with optional leading '/', optional ':port' and optional trailing ':'.
 IP_PATTERN = r"(/|)([0-9]+\.){3}[0-9]+(:[0-9]+|)(:|)"
 MASK_TOKEN = "<*>"

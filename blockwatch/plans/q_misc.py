@@ -288,6 +288,20 @@ def sink_text(spark, sf):
     return spark.read.text(path)
 
 
+@register("src_text_numbered", sql("""
+WITH l AS (SELECT line_no % 16 AS part, value, line_no FROM v_raw)
+SELECT part::INT AS part, row_number() OVER (PARTITION BY part ORDER BY line_no) - 1 AS line_no,
+       row_number() OVER (ORDER BY part, line_no) - 1 AS pos, value FROM l""", "v_raw"))
+def src_text_numbered(spark, sf):
+    # Stand-in input: text files of every 16th line each, in a folder whose names order them.
+    path = scratch_path(spark, "text-files")
+    raw = views.raw_lines(spark, sf).withColumn("part", F.format_string("%02d", F.col("line_no") % 16))
+    (raw.repartition(16, "part").sortWithinPartitions("part", "line_no").select("part", "value")
+     .write.partitionBy("part").text(path))
+    lines = files.read_numbered_text(spark, path)
+    return lines.select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("int").alias("part"), "line_no", "pos", "value")
+
+
 @register("feature_cache", sql("""
 SELECT block_id::BIGINT AS block_id, round(list_sum(v), 6) AS emb_sum FROM sess_emb""", "sess_emb"))
 def feature_cache(spark, sf):

@@ -89,13 +89,14 @@ FROM v_session_lines GROUP BY 1""", "v_session_lines")
 cte("v_raw", """
 SELECT line_no,
        CASE WHEN k = 99 THEN '    at ' || content
-            ELSE (CASE WHEN label = '-' THEN '- ' ELSE '' END)
+            ELSE (CASE WHEN label = '-' THEN '-' || (CASE WHEN k = 94 THEN chr(160) ELSE ' ' END) ELSE '' END)
                  || strftime(ts, '%Y-%m-%d %H:%M:%S,%g') || ' [user-' || user_id || '] '
                  || (CASE WHEN k = 98 THEN 'FATAL'
                           WHEN event_type = 'error' THEN 'ERROR'
                           WHEN event_type = 'purchase' THEN 'WARN'
                           WHEN event_type = 'view' THEN 'DEBUG' ELSE 'INFO' END)
-                 || ' ' || content END AS value
+                 || ' ' || content || (CASE WHEN k = 97 THEN chr(133) || 'tail' WHEN k = 96 THEN chr(8232) || 'tail' ELSE '' END)
+            END AS value
 FROM v_lines""", "v_lines")
 
 cte("v_vec", """

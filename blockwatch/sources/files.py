@@ -11,11 +11,11 @@ import hashlib
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockwatch.session import scratch_path
+from blockwatch.session import scratch_path, written
 
 
 def _csv_ready(df: DataFrame) -> DataFrame:
@@ -104,6 +104,37 @@ def write_text(df: DataFrame, column: str | Column, path: str) -> None:
     df.select(col.cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
+def read_numbered_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The lines of text files with their numbers: file, line_no (from 0 in its file), pos (from
+    0 over all files, in the order of their paths) and value. Line ends are LF, CRLF and CR; a missing
+    last one changes nothing.
+
+    Nothing is sorted. A first pass counts the lines of each split (a byte range of a file, read by one
+    task from front to back); prefix sums over that table, one row a split, say where each split's lines
+    begin. A line's number is that start plus its place in the split. Splits are made the same way every
+    time: their number is pinned in the session, and a line that falls outside the counted range of its
+    split (as when a file changed in between) is an error, not a wrong number.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_bw_start"),
+        F.monotonically_increasing_id().alias("_bw_at"), "value")
+    counted = lines.groupBy("file", "_bw_start").agg(F.count(F.lit(1)).alias("n"), F.min("_bw_at").alias("_bw_first"))
+    counts = written(counted, "splits")
+    in_file = Window.partitionBy("file").orderBy("_bw_start").rowsBetween(Window.unboundedPreceding, -1)
+    files = counts.groupBy("file").agg(F.sum("n").alias("n"))
+    before = files.select("file", F.coalesce(F.sum("n").over(
+        Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_bw_before"))
+    starts = (counts.withColumn("_bw_shift", F.coalesce(F.sum("n").over(in_file), F.lit(0))).join(before, "file"))
+    starts = written(starts, "split-starts")  # its size is known now: small ones are broadcast
+    place = F.col("_bw_at") - F.col("_bw_first")
+    right = F.col("n").isNotNull() & (place >= 0) & (place < F.col("n"))
+    place = F.when(right, place).otherwise(F.raise_error(F.concat(F.lit("lines were not counted: "), "file")).cast("bigint"))
+    numbered = lines.join(starts, ["file", "_bw_start"], "left").withColumn("line_no", place + F.col("_bw_shift"))
+    return numbered.select("file", "line_no", (F.col("line_no") + F.col("_bw_before")).alias("pos"), "value")
+
+
 def fingerprint(*parts: object) -> str:
     blob = json.dumps([str(p) for p in parts], sort_keys=True).encode()
     return hashlib.sha1(blob).hexdigest()[:16]

@@ -43,15 +43,18 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V_raw: lines rendered as '[-] yyyy-MM-dd HH:mm:ss,SSS [thread] LEVEL message'.
 
     k = 99 renders a stack-trace continuation line and k = 98 a FATAL line; the
-    parser must reject both.
+    parser must reject both. Messages of k = 97 and 96 hold a next-line character and a line
+    separator, and the marker of k = 94 a no-break space; the parser must keep all of them.
     """
     base = lines(spark, sf_dir, with_pos=False)
     level = F.coalesce(*[F.when(F.col("event_type") == e, F.lit(l)) for e, l in LEVEL_OF_EVENT.items()],
                        F.lit("INFO"))
     level = F.when(F.col("k") == 98, F.lit("FATAL")).otherwise(level)
-    marker = F.when(F.col("label") == "-", F.lit("- ")).otherwise(F.lit(""))
+    blank = F.when(F.col("k") == 94, F.lit("\u00a0")).otherwise(F.lit(" "))
+    marker = F.when(F.col("label") == "-", F.concat(F.lit("-"), blank)).otherwise(F.lit(""))
+    tail = F.when(F.col("k") == 97, F.lit("\u0085tail")).when(F.col("k") == 96, F.lit("\u2028tail")).otherwise(F.lit(""))
     line = F.concat(marker, F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" [user-"),
-                    F.col("user_id").cast("string"), F.lit("] "), level, F.lit(" "), F.col("content"))
+                    F.col("user_id").cast("string"), F.lit("] "), level, F.lit(" "), F.col("content"), tail)
     value = F.when(F.col("k") == 99, F.concat(F.lit("    at "), F.col("content"))).otherwise(line)
     return base.select("line_no", value.alias("value"))
 

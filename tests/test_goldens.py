@@ -310,3 +310,23 @@ def test_encoder_hook_encodes_distinct_texts_once(spark):
     got = {r.block_id: list(r.embedding) for r in FT.embed_with_encoder(lines, encoder, 2).collect()}
     assert got[1] == pytest.approx([5 / 3, 4 / 3]) and got[2] == [0.0, 0.0] and got[3] == [3.0, 1.0]
     assert calls.value == 4
+
+
+def test_parse_keeps_what_is_no_line_feed(spark):
+    """Against the pattern as Python reads it: any white space is a blank, only a line feed ends a line."""
+    import re
+    pattern = re.compile(r"([\-]?)\s*(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) \[.*?\] (INFO|ERROR|WARN|DEBUG)\s*(.*)")
+    head = "2024-01-02 03:04:05,678 [t] INFO"
+    values = [f"{m}{b}{head}{b}a{c}b" for m in ("", "-", "--") for b in (" ", "", "\u00a0", "\u3000 \t", "\u2028", "\x1c", "\x0b")
+              for c in ("", " ", "\r", "\u0085", "\u2028", "\u2029", "\n", "\x0c")]
+    values += [head.replace("[t]", f"[t{c}u]") for c in ("\r", "\u0085", "\u2028", "\n", "]")] + ["", "x", head + " "]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, value string")
+    got = {r["i"]: tuple(r["p"]) for r in df.select("i", parsing.parse_log_line("value").alias("p")).collect() if r["p"]}
+    want = {}
+    for i, v in enumerate(values):
+        m = pattern.match(v)
+        if m:
+            want[i] = (m[2], m[3], m[4], "success" if m[1] == "-" else "fail")
+    assert {i: (p[0], p[2], p[3], p[4]) for i, p in got.items()} == want
+    lines = parsing.parse_lines(df).select("i", "p.content").collect()
+    assert {r["i"]: r["content"] for r in lines} == {i: w[2] for i, w in want.items()}
