@@ -7,12 +7,14 @@ Mining rule (deterministic and independent of line order):
   4. group lines on (token count, first token, second token);
   5. inside a group, a token position is *kept* when it has one distinct value;
   6. if kept / token count >= st, the group is one template (other positions '<*>');
-  7. otherwise each distinct masked line of the group is its own template.
-
-Work is done on distinct masked lines first, so repeated messages (the bulk of
-any log) cost one row each. Position statistics are one aggregate keyed on
-(group, position); a hot group spreads over its token values in the partial
-distinct aggregation.
+  7. otherwise the group is split by its tokens at the position of the fewest values over one (the
+     leftmost of equal ones), and 5-7 hold for each part, in at most ``rounds`` rounds;
+  8. what is left then is its own template, line by line.
+
+Work is done on distinct masked lines, so repeated messages (the bulk of any log) cost one row each.
+A round is one aggregate keyed on (group, position); a hot group spreads over its token values in the
+partial distinct aggregation. Groups that have their template leave the loop, which ends when none
+is open.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 from blockwatch.functions.parsing import MASK_TOKEN, mask_variables
 from blockwatch.functions.text import WHITESPACE
 from blockwatch.operators.position import with_position
+from blockwatch.session import written
 
 DEFAULT_ST = 0.8
 DEFAULT_DEPTH = 4  # tree depth 4 -> depth - 2 = 2 leading tokens in the group key
+DEFAULT_ROUNDS = 6  # the first grouping and up to five splits
 
 
 # A token (maximal run of non-whitespace) that contains a digit.
@@ -45,34 +49,59 @@ def _group_key(n_lead: int) -> F.Column:
     return F.concat_ws("\u0001", *parts)
 
 
+def _group_templates(distinct_lines: DataFrame, st: float) -> DataFrame:
+    """_bw_g, _bw_tpl (NULL for a group that fails), _bw_split (the position to split it by)."""
+    pos_stats = (distinct_lines.select("_bw_g", F.posexplode("_bw_toks").alias("_bw_i", "_bw_t"))
+                 .groupBy("_bw_g", "_bw_i")
+                 .agg(F.count_distinct("_bw_t").alias("_bw_nd"), F.min("_bw_t").alias("_bw_t")))
+    one = F.col("_bw_nd") == 1
+    groups = pos_stats.groupBy("_bw_g").agg(
+        (F.count_if(one) / F.count(F.lit(1))).alias("_bw_kept"),
+        F.min(F.when(~one, F.struct("_bw_nd", "_bw_i"))).alias("_bw_least"),
+        F.array_sort(F.collect_list(F.struct("_bw_i", F.when(one, F.col("_bw_t")).otherwise(F.lit(MASK_TOKEN)).alias("t")))
+                     ).alias("_bw_parts"))
+    return groups.select("_bw_g", F.when(F.col("_bw_kept") >= F.lit(float(st)), F.array_join("_bw_parts.t", " ")).alias("_bw_tpl"),
+                         F.col("_bw_least._bw_i").alias("_bw_split"))
+
+
+def masked_line_templates(masked: DataFrame, st: float = DEFAULT_ST, depth: int = DEFAULT_DEPTH,
+                          rounds: int = DEFAULT_ROUNDS) -> DataFrame:
+    """_bw_m (a masked line), _bw_tpl: the template of every distinct line in ``masked`` (_bw_m, _bw_toks)."""
+    found: list[DataFrame] = []
+    opened = written(masked.select("_bw_m", "_bw_toks", _group_key(max(depth - 2, 0)).alias("_bw_g")).distinct()
+                     .where(F.size("_bw_toks") > 0), "masked-lines")
+    left = "_bw_tpl IS NULL"
+    for k in range(rounds):
+        # The next round's group: the split position and the line's token there.
+        part = F.concat_ws("\u0001", "_bw_g", "_bw_split", F.get("_bw_toks", F.col("_bw_split")))
+        step = written(opened.join(_group_templates(opened, st), "_bw_g").select(
+            "_bw_m", F.when(F.col("_bw_tpl").isNull(), F.col("_bw_toks")).alias("_bw_toks"),
+            F.when(F.col("_bw_tpl").isNull(), part).alias("_bw_g"), "_bw_tpl"), "template-round")
+        last = k == rounds - 1 or step.where(left).isEmpty()
+        # After the last round an open line is its own template.
+        found.append(step.select("_bw_m", F.coalesce("_bw_tpl", "_bw_m").alias("_bw_tpl")) if last
+                     else step.where(f"NOT ({left})").select("_bw_m", "_bw_tpl"))
+        if last:
+            break
+        opened = step.where(left).drop("_bw_tpl")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def mine_templates(lines: DataFrame, content_col: str = "content", st: float = DEFAULT_ST,
-                   depth: int = DEFAULT_DEPTH, out_col: str = "template") -> DataFrame:
+                   depth: int = DEFAULT_DEPTH, out_col: str = "template", rounds: int = DEFAULT_ROUNDS) -> DataFrame:
     """Add ``template`` to every line.
 
-    Masking and tokenising are plain expressions in the scan stage. Position
-    statistics are computed on distinct masked lines (logs repeat heavily after
-    masking), and lines meet the result through a table with one row per group,
-    which AQE broadcasts when it is small.
+    Masking and tokenising are plain expressions in the scan stage. Lines meet their templates through
+    a table with one row for each distinct masked line, which is broadcast when it is small.
     """
-    n_lead = max(depth - 2, 0)
-    # Both branches below tokenise: a second regex pass costs less than keeping all lines twice.
-    tok = lines.withColumn("_bw_toks", masked_tokens(content_col)).withColumn("_bw_g", _group_key(n_lead))
-    distinct_lines = tok.select("_bw_g", "_bw_toks").distinct()
-    pos_stats = (distinct_lines.select("_bw_g", F.posexplode("_bw_toks").alias("_bw_i", "_bw_t"))
-                 .groupBy("_bw_g", "_bw_i")
-                 .agg(F.count_distinct("_bw_t").alias("_bw_nd"), F.min("_bw_t").alias("_bw_t")))
-    group_tpl = (pos_stats.groupBy("_bw_g").agg(
-        F.count_if(F.col("_bw_nd") == 1).alias("_bw_kept"),
-        F.array_sort(F.collect_list(F.struct(
-            "_bw_i", F.when(F.col("_bw_nd") == 1, F.col("_bw_t")).otherwise(F.lit(MASK_TOKEN)).alias("t")))
-        ).alias("_bw_parts")))
-    group_tpl = group_tpl.select("_bw_g", "_bw_kept", F.array_join("_bw_parts.t", " ").alias("_bw_gtpl"))
-    out = tok.join(group_tpl, "_bw_g", "left")
-    n = F.size("_bw_toks")
-    template = (F.when(n == 0, F.lit(""))
-                .when(F.col("_bw_kept") / n >= F.lit(float(st)), F.col("_bw_gtpl"))
-                .otherwise(F.array_join("_bw_toks", " ")))
-    return out.withColumn(out_col, template).drop("_bw_toks", "_bw_g", "_bw_kept", "_bw_gtpl")
+    # Both branches tokenise: a second regex pass costs less than keeping all lines twice.
+    tok = lines.withColumn("_bw_toks", masked_tokens(content_col)).withColumn("_bw_m", F.array_join("_bw_toks", " "))
+    dictionary = masked_line_templates(tok.select("_bw_m", "_bw_toks"), st, depth, rounds)
+    out = tok.drop("_bw_toks").join(dictionary, "_bw_m", "left")
+    return out.withColumn(out_col, F.coalesce("_bw_tpl", "_bw_m")).drop("_bw_m", "_bw_tpl")
 
 
 def event_id(template_col: str = "template") -> F.Column:

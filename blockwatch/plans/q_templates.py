@@ -20,24 +20,38 @@ SELECT line_no, regexp_extract(value, '{_LOG_RE}', 3) AS level,
        CASE WHEN regexp_extract(value, '{_LOG_RE}', 1) = '-' THEN 'success' ELSE 'fail' END AS status
 FROM v_raw WHERE regexp_matches(value, '{_LOG_RE}')""", "v_raw")
 
-cte("v_mined", f"""
-WITH m AS (SELECT line_no, status,
-                  list_transform(list_filter(regexp_split_to_array(regexp_replace(content, '{_IP_RE}', '<*>', 'g'),
-                                                                   '[ \\t\\n\\r\\f]+'), lambda x: x <> ''),
-                                 lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS toks
-           FROM v_parsed),
-g AS (SELECT line_no, status, toks, len(toks) AS n, array_to_string(toks, ' ') AS masked,
+
+def _template_ctes(name: str, src: str, key: str, dep: str) -> None:
+    """The CTE ``name`` (``key`` columns, template): rounds of grouping and splitting, unrolled."""
+    rounds = []
+    for k in range(TP.DEFAULT_ROUNDS):
+        rounds.append(f"""
+ps{k} AS (SELECT gk, i, count(DISTINCT tok) AS nd, min(tok) AS tok
+          FROM (SELECT gk, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM dl{k}) GROUP BY gk, i),
+gs{k} AS MATERIALIZED (SELECT gk, count_if(nd = 1)::DOUBLE / count(*) >= 0.8 AS done,
+              min(nd * 1000000 + i) FILTER (nd > 1) % 1000000 AS split,
+              string_agg(CASE WHEN nd = 1 THEN tok ELSE '<*>' END, ' ' ORDER BY i) AS gtpl
+       FROM ps{k} GROUP BY gk),
+dl{k + 1} AS MATERIALIZED (SELECT masked, toks, gk || chr(1) || split || chr(1) || toks[split + 1] AS gk
+       FROM dl{k} JOIN gs{k} USING (gk) WHERE NOT done)""")
+    ends = " UNION ALL ".join(f"SELECT masked, gtpl AS template FROM dl{k} JOIN gs{k} USING (gk) WHERE done"
+                              for k in range(TP.DEFAULT_ROUNDS))
+    cte(name, f"""
+WITH m AS ({src}),
+g AS (SELECT *, array_to_string(toks, ' ') AS masked,
              len(toks)::VARCHAR || chr(1) || coalesce(toks[1], '') || chr(1) || coalesce(toks[2], '') AS gk
       FROM m),
-dl AS (SELECT DISTINCT gk, toks FROM g),
-ps AS (SELECT gk, i, count(DISTINCT tok) AS nd, min(tok) AS tok
-       FROM (SELECT gk, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM dl) GROUP BY gk, i),
-gs AS (SELECT gk, sum(CASE WHEN nd = 1 THEN 1 ELSE 0 END) AS kept,
-              string_agg(CASE WHEN nd = 1 THEN tok ELSE '<*>' END, ' ' ORDER BY i) AS gtpl
-       FROM ps GROUP BY gk)
-SELECT g.line_no, g.status,
-       CASE WHEN g.n = 0 THEN '' WHEN gs.kept::DOUBLE / g.n >= 0.8 THEN gs.gtpl ELSE g.masked END AS template
-FROM g LEFT JOIN gs USING (gk)""", "v_parsed")
+dl0 AS MATERIALIZED (SELECT DISTINCT masked, toks, gk FROM g WHERE len(toks) > 0),{",".join(rounds)},
+found AS ({ends})
+SELECT {key}, coalesce(template, masked) AS template FROM g LEFT JOIN found USING (masked)""", dep)
+
+
+_template_ctes("v_mined", f"""
+SELECT line_no, status,
+       list_transform(list_filter(regexp_split_to_array(regexp_replace(content, '{_IP_RE}', '<*>', 'g'),
+                                                        '[ \\t\\n\\r\\f]+'), lambda x: x <> ''),
+                      lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS toks
+FROM v_parsed""", "line_no, status", "v_parsed")
 
 cte("v_template_ids", """
 SELECT template, occurrences, substr(md5(template), 1, 8) AS event_id,
@@ -117,25 +131,13 @@ SELECT doc_id, i - 1 AS line_idx, split_part_list[i] AS content
 FROM (SELECT doc_id, string_split(text, chr(10)) AS split_part_list FROM documents),
      LATERAL (SELECT unnest(generate_series(1, len(split_part_list))) AS i)""")
 
-cte("v_doc_mined", f"""
-WITH m AS (SELECT doc_id, line_idx,
-                  list_filter(regexp_split_to_array(
-                      regexp_replace(regexp_replace(content, '{_IP_RE}', '<*>', 'g'),
-                                     '[^ \\t\\n\\r\\f]*[0-9][^ \\t\\n\\r\\f]*', '<*>', 'g'),
-                      '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS toks
-           FROM v_doc_lines),
-g AS (SELECT doc_id, line_idx, toks, len(toks) AS n, array_to_string(toks, ' ') AS masked,
-             len(toks)::VARCHAR || chr(1) || coalesce(toks[1], '') || chr(1) || coalesce(toks[2], '') AS gk
-      FROM m),
-dl AS (SELECT DISTINCT gk, toks FROM g),
-ps AS (SELECT gk, i, count(DISTINCT tok) AS nd, min(tok) AS tok
-       FROM (SELECT gk, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM dl) GROUP BY gk, i),
-gs AS (SELECT gk, sum(CASE WHEN nd = 1 THEN 1 ELSE 0 END) AS kept,
-              string_agg(CASE WHEN nd = 1 THEN tok ELSE '<*>' END, ' ' ORDER BY i) AS gtpl
-       FROM ps GROUP BY gk)
-SELECT g.doc_id, g.line_idx,
-       CASE WHEN g.n = 0 THEN '' WHEN gs.kept::DOUBLE / g.n >= 0.8 THEN gs.gtpl ELSE g.masked END AS template
-FROM g LEFT JOIN gs USING (gk)""", "v_doc_lines")
+_template_ctes("v_doc_mined", f"""
+SELECT doc_id, line_idx,
+       list_filter(regexp_split_to_array(
+           regexp_replace(regexp_replace(content, '{_IP_RE}', '<*>', 'g'),
+                          '[^ \\t\\n\\r\\f]*[0-9][^ \\t\\n\\r\\f]*', '<*>', 'g'),
+           '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS toks
+FROM v_doc_lines""", "doc_id, line_idx", "v_doc_lines")
 
 
 @register("mine_templates_text", sql("""
