@@ -33,21 +33,20 @@ def stream_parse_log_lines(spark, sf):
     return spark.read.parquet(f"{base}/out").select("ts_text", "level", "content", "status")
 
 
-def _run_in_thirds(spark, sf, name, build):
-    """Runs ``build`` (of a stream of lines) over the events as they arrive in three parts in the
-    order of time; the query stops and resumes between them, so state is carried. Returns what
-    was emitted, and all lines."""
+def _run_in_parts(spark, sf, name, build, rocksdb=False):
+    """Runs ``build`` (of a stream of lines) over the events as they arrive in three parts in the order
+    of time, and the end marker; the query stops and resumes in between, so state is carried."""
     base = scratch_path(spark, name)
     events = read_table(spark, sf, "events")
     ends = events.agg(F.unix_micros(F.min("ts").cast("timestamp")).alias("lo"),
                       F.unix_micros(F.max("ts").cast("timestamp")).alias("hi")).first()
     width = (ends["hi"] - ends["lo"]) // 3 + 1
     third = F.expr(f"(unix_micros(cast(ts AS timestamp)) - {ends['lo']}) div {width}")
-    for i in range(3):
-        events.filter(third == i).write.mode("append").parquet(f"{base}/in")
+    for part in [events.filter(third == i) for i in range(3)] + [X.end_marker(events)]:
+        part.write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
-        X.run_available_now(build(X.stream_lines(stream)), f"{base}/out", f"{base}/cp")
-    return spark.read.parquet(f"{base}/out"), X.stream_lines(events)
+        X.run_available_now(build(X.stream_lines(stream)), f"{base}/out", f"{base}/cp", rocksdb=rocksdb)
+    return spark.read.parquet(f"{base}/out")
 
 
 @register("stream_blocks_tumbling_30m", sql("""
@@ -59,8 +58,7 @@ SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, n_lines::BIGINT AS n_l
        first_line, last_line
 FROM w""", "v_lines"))
 def stream_blocks_tumbling_30m(spark, sf):
-    emitted, lines = _run_in_thirds(spark, sf, "events-stream", lambda s: X.window_blocks(s, "30 minutes", "1 hour"))
-    out = X.complete_windows(emitted, lines, "30 minutes", "1 hour")
+    out = _run_in_parts(spark, sf, "events-stream", lambda s: X.window_blocks(s, "30 minutes", "1 hour"))
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "n_lines", "status", "first_line", "last_line")
 
@@ -111,9 +109,7 @@ SELECT user_id, strftime(s_start, '%Y-%m-%d %H:%M:%S.%f') AS session_start, n_li
        first_line, last_line
 FROM a""", "v_lines"))
 def stream_sessions_idle_gap(spark, sf):
-    emitted, lines = _run_in_thirds(spark, sf, "session-stream",
-                                    lambda s: X.session_blocks(s, "user_id", "6 hours", "1 hour"))
-    out = X.complete_sessions(emitted, lines, "user_id", "6 hours")
+    out = _run_in_parts(spark, sf, "session-stream", lambda s: X.session_blocks(s, "user_id", "6 hours", "1 hour"))
     return out.select("user_id", F.date_format("session.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"),
                       "n_lines", "status", "first_line", "last_line")
 
@@ -127,5 +123,5 @@ SELECT user_id, block_no::BIGINT AS block_no, count(*)::BIGINT AS n_lines,
        CASE WHEN bool_and(label = '-') THEN 'success' ELSE 'fail' END AS status
 FROM r GROUP BY user_id, block_no""", "v_lines"))
 def stream_keyed_count_blocks(spark, sf):
-    emitted, lines = _run_in_thirds(spark, sf, "keyed-blocks-stream", lambda s: X.keyed_count_blocks(s, 5))
-    return X.complete_keyed_blocks(emitted, lines).drop("last_ts")
+    out = _run_in_parts(spark, sf, "keyed-blocks-stream", lambda s: X.keyed_count_blocks(s, 5, "1 hour"), rocksdb=True)
+    return out.drop("last_ts")

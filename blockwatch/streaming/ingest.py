@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from blockwatch.functions import parsing
 from blockwatch.operators.neighbors import _collect_container, _normalize_rows, best_of_slice
@@ -28,9 +29,15 @@ def parse_stream(raw: DataFrame, value_col: str = "value") -> DataFrame:
             .select("p.ts_text", "p.ts", "p.level", "p.content", "p.status"))
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available_now(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
-                      output_mode: str = "append") -> None:
+                      output_mode: str = "append", rocksdb: bool = False) -> None:
     """Process everything available, write it with exactly-once file-sink semantics, stop."""
+    if rocksdb:
+        df.sparkSession.conf.set(_PROVIDER, _ROCKSDB)
     q = (df.writeStream.format(fmt).outputMode(output_mode).option("path", path)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -48,6 +55,26 @@ def stream_lines(events: DataFrame) -> DataFrame:
         F.concat_ws(":", "event_type", F.col("k").cast("string")).alias("template_id")))
 
 
+#: The event time of a marker that ends the input: later than any line. It moves the watermark past
+#: every open window, session and block, and is no line itself.
+END_OF_INPUT = "2262-01-01 00:00:00"
+
+
+def end_marker(events: DataFrame, ts: str = "ts") -> DataFrame:
+    """One row of the columns of ``events``, null but for the time: append it to a stream's source when
+    nothing more will come, and what is open leaves by the watermark."""
+    spark = events.sparkSession
+    return spark.range(1).select(*[
+        (F.to_timestamp_ntz(F.lit(END_OF_INPUT)) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in events.schema.fields])
+
+
+def watermarked(lines: DataFrame, watermark: str) -> DataFrame:
+    """``lines`` with a watermark, the end marker taken out behind it. (A condition on the event time is
+    not pushed below the watermark, so the marker still moves it.)"""
+    return lines.withWatermark("ts", watermark).where(F.col("ts") < F.lit(END_OF_INPUT).cast("timestamp"))
+
+
 def window_blocks(lines: DataFrame, interval: str, watermark: str, slide: str | None = None,
                   normal: Column | None = None) -> DataFrame:
     """B2/B3 on a stream: epoch-aligned tumbling (or sliding) windows, emitted in append
@@ -55,7 +82,7 @@ def window_blocks(lines: DataFrame, interval: str, watermark: str, slide: str |
     the state per window is a handful of values, not the window's rows."""
     normal = normal if normal is not None else (F.col("label") == "-")
     w = F.window("ts", interval, slide) if slide else F.window("ts", interval)
-    return (lines.withWatermark("ts", watermark).groupBy(w.alias("window"))
+    return (watermarked(lines, watermark).groupBy(w.alias("window"))
             .agg(F.count(F.lit(1)).alias("n_lines"), all_normal(normal).alias("status"),
                  F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")))
 
@@ -64,42 +91,9 @@ def session_blocks(lines: DataFrame, key: str, gap: str, watermark: str,
                    normal: Column | None = None) -> DataFrame:
     """B4 (idle gap) on a stream: ``session_window`` per key."""
     normal = normal if normal is not None else (F.col("label") == "-")
-    return (lines.withWatermark("ts", watermark).groupBy(key, F.session_window("ts", gap).alias("session"))
-            .agg(F.count(F.lit(1)).alias("n_lines"), all_normal(normal).alias("status"),
-                 F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")))
-
-
-# ---- X2, end of input: what the watermark has not closed ---------------------------------------------
-
-def complete_windows(emitted: DataFrame, lines: DataFrame, interval: str, watermark: str,
-                     normal: Column | None = None) -> DataFrame:
-    """The emitted windows, and those still open when the input ended.
-
-    A stream emits a window once the watermark has passed its end. An open window therefore
-    begins less than ``interval`` before the last watermark, so only lines from there on are
-    read again; windows among them that the stream has emitted are left out.
-    """
-    normal = normal if normal is not None else (F.col("label") == "-")
-    newest = lines.select(F.max("ts")).scalar()
-    tail = lines.filter(F.col("ts") >= newest - F.expr(f"INTERVAL {watermark}") - F.expr(f"INTERVAL {interval}"))
-    rest = (tail.groupBy(F.window("ts", interval).alias("window"))
-            .agg(F.count(F.lit(1)).alias("n_lines"), all_normal(normal).alias("status"),
-                 F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")))
-    return emitted.unionByName(rest.join(emitted.select("window"), "window", "left_anti").select(*emitted.columns))
-
-
-def complete_sessions(emitted: DataFrame, lines: DataFrame, key: str, gap: str,
-                      normal: Column | None = None) -> DataFrame:
-    """The emitted sessions, and those still open when the input ended: of each key, the lines
-    at or after the end of its last emitted session."""
-    normal = normal if normal is not None else (F.col("label") == "-")
-    last = emitted.groupBy(F.col(key).alias("_bw_key")).agg(F.max("session.end").alias("_bw_end"))
-    open_lines = (lines.join(last, F.col(key).eqNullSafe(F.col("_bw_key")), "left")
-                  .filter(F.col("_bw_end").isNull() | (F.col("ts") >= F.col("_bw_end"))))
-    rest = (open_lines.groupBy(key, F.session_window("ts", gap).alias("session"))
+    return (watermarked(lines, watermark).groupBy(key, F.session_window("ts", gap).alias("session"))
             .agg(F.count(F.lit(1)).alias("n_lines"), all_normal(normal).alias("status"),
                  F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")))
-    return emitted.unionByName(rest.select(*emitted.columns))
 
 
 # ---- X3: stream-static scoring ----------------------------------------------------------------------
@@ -180,72 +174,95 @@ from blockwatch.session import ship_by_value  # noqa: E402
 ship_by_value(__name__)
 
 
-
-# ---- B1 per key on a stream: custom state (applyInPandasWithState) ------------------------------
+# ---- B1 per key on a stream: transformWithState and event-time timers -----------------------------
 
 KEYED_BLOCK_SCHEMA = ("user_id long, block_no long, n_lines long, first_line long, last_line long, "
                       "last_ts timestamp, status string")
-KEYED_STATE_SCHEMA = "next_block long, n long, first_line long, ok boolean"
-
-
-def _keyed_blocks_fn(size: int):
-    def fn(key, batches, state):
-        next_block, n, first, ok = state.get if state.exists else (0, 0, None, True)
-        # One micro-batch of one key (bounded by the trigger's maxFilesPerTrigger/maxBytes).
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "line_no"], kind="stable")
-        lines, ts = pdf["line_no"].to_numpy(), pdf["ts"].to_numpy()
-        normal = (pdf["label"] == "-").to_numpy()
-        # Places are counted on from the pending block; blocks end where a place fills one.
-        place = n + np.arange(len(lines))
-        block = place // size
-        start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        end = np.append(start[1:], len(lines)) - 1
-        firsts, good = lines[start].copy(), np.logical_and.reduceat(normal, start)
-        if n:
-            firsts[0], good[0] = first, good[0] and ok
-        whole = (place[end] + 1) % size == 0
-        if not whole[-1]:
-            state.update((int(next_block + block[-1]), int(place[-1] % size + 1), int(firsts[-1]), bool(good[-1])))
-        else:
-            state.update((int(next_block + block[-1] + 1), 0, None, True))
-        if whole.any():
-            yield pd.DataFrame({
-                "user_id": key[0], "block_no": next_block + block[start][whole], "n_lines": size,
-                "first_line": firsts[whole], "last_line": lines[end][whole], "last_ts": ts[end][whole],
-                "status": np.where(good[whole], "success", "fail")})
-    return fn
-
-
-def keyed_count_blocks(lines: DataFrame, size: int, key: str = "user_id") -> DataFrame:
-    """B1 per key on a stream: every ``size`` consecutive lines of a key form one block, emitted
-    (append) as soon as it is complete; the last block of a key, if it is not full, comes from
-    ``complete_keyed_blocks`` when the input has ended.
-
-    Lines are in event-time order inside a micro-batch, and micro-batches in the order of
-    their arrival: a file that arrives late goes behind the lines before it. The state per
-    key is the pending block only (count, first line, all-normal flag). A key's lines within
-    one micro-batch meet in one task, so micro-batches are bounded with
-    ``maxFilesPerTrigger``/``maxBytesPerTrigger`` on the source.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    return (lines.select(key, "ts", "line_no", "label").groupBy(key)
-            .applyInPandasWithState(_keyed_blocks_fn(size), KEYED_BLOCK_SCHEMA, KEYED_STATE_SCHEMA,
-                                    "append", GroupStateTimeout.NoTimeout))
+_NAMES = [c.split()[0] for c in KEYED_BLOCK_SCHEMA.split(", ")]
+_EPOCH = pd.Timestamp("1970-01-01")
 
 
-def complete_keyed_blocks(emitted: DataFrame, lines: DataFrame, key: str = "user_id",
-                          normal: Column | None = None) -> DataFrame:
-    """The emitted blocks, and for each key the last one that is not full: its lines after the
-    last line of its last emitted block, for input that arrived in event-time order."""
-    normal = normal if normal is not None else (F.col("label") == "-")
-    at = F.struct("last_ts", "last_line")
-    last = emitted.groupBy(F.col(key).alias("_bw_key")).agg(F.max("block_no").alias("_bw_no"), F.max(at).alias("_bw_at"))
-    here = F.struct(F.col("ts").alias("last_ts"), F.col("line_no").alias("last_line"))
-    rest = (lines.join(last, F.col(key).eqNullSafe(F.col("_bw_key")), "left")
-            .filter(F.col("_bw_at").isNull() | (here > F.col("_bw_at"))))
-    order = F.struct("ts", "line_no")
-    rest = rest.groupBy(key).agg(
-        (F.coalesce(F.first("_bw_no"), F.lit(-1)) + 1).alias("block_no"), F.count(F.lit(1)).alias("n_lines"),
-        F.min_by("line_no", order).alias("first_line"), F.max_by("line_no", order).alias("last_line"),
-        F.max("ts").alias("last_ts"), all_normal(normal).alias("status"))
-    return emitted.unionByName(rest.select(*emitted.columns))
+class KeyedBlocks(StatefulProcessor):
+    """Blocks of ``size`` consecutive lines of a key, in the order of event time.
+
+    State of a key: the pending block (its number, lines so far, first and last line, whether all are
+    normal) and the lines that the watermark has not passed, as later lines may still go before them.
+    A timer at the newest waiting line takes the passed ones in order. One more timer closes a block
+    that is not full: ``idle_ms`` after its last line, or when the input ends.
+    """
+
+    def __init__(self, size: int, idle_ms: int | None):
+        self.size, self.idle_ms = size, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pending = handle.getValueState("pending", "block_no long, n long, first_line long, last_line long, last_us long, ok boolean")
+        self.waiting = handle.getListState("waiting", "us long, line_no long, ok boolean")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        new = [(us, n, ok) for pdf in rows for us, n, ok in zip(
+            ((pdf["ts"] - _EPOCH) // pd.Timedelta(microseconds=1)).tolist(), pdf["line_no"].tolist(),
+            (pdf["label"] == "-").tolist(), strict=True)]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(max(us for us, _, _ in new) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        passed = timerValues.getCurrentWatermarkInMs()
+        every = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        ready = [r for r in every if r[0] <= passed * 1000]
+        if ready:
+            rest = every[len(ready):]
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        block, n, first, last, last_us, ok = self.pending.get() if self.pending.exists() else (0, 0, None, None, None, True)
+        out = []
+
+        def close():
+            out.append((None if key[0] else key[1], block, n, first, last, _EPOCH + pd.Timedelta(microseconds=last_us), "success" if ok else "fail"))
+
+        for us, line, good in ready:
+            if n and self.idle_ms is not None and us > last_us + self.idle_ms * 1000:
+                close()
+                block, n, ok = block + 1, 0, True
+            first, n, ok, last, last_us = (line if n == 0 else first), n + 1, ok and good, line, us
+            if n == self.size:
+                close()
+                block, n, ok = block + 1, 0, True
+        ends = _END_MS - 1 if self.idle_ms is None else min(_END_MS - 1, (last_us or 0) // 1000 + self.idle_ms + 1)
+        if n and ends <= passed:
+            close()
+            block, n, ok = block + 1, 0, True
+        elif n:
+            self.handle.registerTimer(ends)
+        self.pending.update((block, n, first, last, last_us, ok))
+        return iter([pd.DataFrame(out, columns=_NAMES).astype({"user_id": "Int64"})] if out else ())
+
+    def close(self) -> None:
+        pass
+
+
+#: Milliseconds at which what is open closes for good: a day before the end marker's time, so that
+#: the marker's watermark passes it whatever its delay up to a day.
+_END_MS = int((pd.Timestamp(END_OF_INPUT) - pd.Timedelta(days=1) - _EPOCH) // pd.Timedelta(milliseconds=1))
+
+
+def keyed_count_blocks(lines: DataFrame, size: int, watermark: str, key: str = "user_id",
+                       idle_ms: int | None = None) -> DataFrame:
+    """B1 per key on a stream: every ``size`` consecutive lines of a key, in event-time order, form one
+    block, emitted (append) when the watermark has passed its last line. A block that is not full is
+    emitted ``idle_ms`` after its last line (event time), if given, else when the input ends
+    (``end_marker``). Lines that arrive out of order by less than the watermark's delay (at most a
+    day) find their place; later ones are dropped by the watermark, as in the other stream blocks.
+
+    The state of a key is its pending block and the lines within the watermark's delay. Needs the
+    RocksDB state store (``run_available_now(..., rocksdb=True)`` sets it).
+    """
+    # A null key is a key of its own: it is told apart by a flag, as keys reach the processor without nulls.
+    own = watermarked(lines, watermark).select(F.col(key).isNull().alias("_bw_none"), F.coalesce(key, F.lit(0)).cast("bigint").alias(
+        "_bw_key"), "ts", "line_no", "label")
+    return (own.groupBy("_bw_none", "_bw_key")
+            .transformWithStateInPandas(KeyedBlocks(size, idle_ms), KEYED_BLOCK_SCHEMA, "append", "eventTime"))
