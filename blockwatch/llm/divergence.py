@@ -1,7 +1,9 @@
 """Source divergence audit: how far the term distributions of the sources of a language lie apart.
 
 Method. A CountVectorizer with a minimum document frequency and the largest vocabulary size that an
-integer holds turns every document into an exact sparse vector. Its terms carry their language, which
+integer holds turns every document into exact sparse vectors: one of its terms, and one for each
+binary digit of what its counts have over one, so a document is handed over in about as many keys as it
+has different terms; its vector is their sum by the digits' weights. The terms carry their language, which
 makes one fit a vectorizer for each language: a term counts documents of its own language only. The
 vocabulary of one model is bounded: terms are dealt by hash to as many models as an estimate of the
 kept terms asks for (one up to MODEL_TERMS), and the results of the models are put together by adding.
@@ -19,14 +21,16 @@ its language has no pairs. Equal values are ranked by item. An empty table gives
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockwatch.llm.common import lean_group, query, table, written
+from blockwatch.llm.common import byte_table, byte_view, lean, lean_group, query, row_slices, table, words_of, written
 from blockwatch.session import ensure_checkpoint_dir
 
 #: Documents of its language that a kept term is in, ranks of the term part, and the scale of a share.
@@ -35,52 +39,102 @@ MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 MODEL_TERMS, BLOCK_TERMS, TILE = 1 << 21, 4096, 128
 #: One term in ESTIMATE is counted to estimate the kept terms (it only sets the number of models).
 ESTIMATE = 64
-_NOT_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Stands between a term and its language, and alone as the mark of a document; no term has it.
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_TERM = byte_table(lambda b: 97 <= b <= 122 or b >= 128)
+#: Stands between a term and its language, and alone as the mark of a document; no term or code has it.
 _MARK = "\x1f"
 
 
-def _terms(docs: DataFrame) -> DataFrame:
-    """lang, source, terms (joined by one blank) of every document."""
-    text = F.translate(F.coalesce("text", F.lit("")), _CAPITALS, _SMALL)
-    return docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
-                       F.trim(F.regexp_replace(text, _NOT_TERM, " ")).alias("terms"))
-
-
-def _keys() -> Column:
-    """Terms of a document with their language."""
-    words = F.when(F.col("terms") == "", F.array().cast("array<string>")).otherwise(F.split("terms", " "))
-    return F.transform(words, lambda w: F.concat(w, F.lit(_MARK), F.col("lang")))
+def _lang_code(lang: Column) -> Column:
+    """A language as letters, digits, ``_`` and ``-``; others as base64 behind a ``=``."""
+    return F.when(lang.rlike("^[A-Za-z0-9_-]*$"), lang).otherwise(
+        F.concat(F.lit("="), F.base64(lang.cast("binary"))))
+
+
+def _lang_of(code: Column) -> Column:
+    return F.when(code.startswith("="), F.unbase64(F.substr(code, F.lit(2))).cast("string")).otherwise(code)
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """lang, source, layer, keys: the terms of every document in layers. Layer 0 has each of its terms
+    once, with its language behind it, and the mark; the others are the binary digits of what its counts
+    have over one: a term in layer b > 0 occurs 2 ** (b - 1) more times."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = byte_view(b.column("text"))
+            for i, j in row_slices(off):
+                yield from _layers(b.slice(i, j - i), data[off[i]:off[j]], off[i:j + 1] - off[i])
+
+    own = docs.select("text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
+    return own.withColumn("code", _lang_code(F.col("lang"))).mapInArrow(
+        lean(run), "lang string, source string, layer int, keys array<string>")
+
+
+def _layers(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
+    low, n = _LOWER[data], rows.num_rows
+    start, end, row = words_of(low, off, _TERM)
+    step = np.zeros(len(low) + 1, np.int8)
+    step[start] += 1
+    step[end] -= 1
+    packed = np.ascontiguousarray(low[np.cumsum(step[:-1], dtype=np.int8).astype(bool)])
+    at = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(at), pa.py_buffer(packed)]).dictionary_encode()
+    # The mark is the empty word of no language, the last of each document.
+    size = len(words.dictionary) + 1
+    names = pa.concat_arrays([words.dictionary, pa.array([""], pa.large_string())])
+    codes = pa.concat_arrays([rows.column("code").cast(pa.large_string()), pa.array([""], pa.large_string())])
+    pairs, counts = np.unique(np.concatenate([row * size + words.indices.to_numpy(), np.arange(n) * size + size - 1]),
+                              return_counts=True)
+    row, word, more = pairs // size, pairs % size, counts - 1
+    layer = 0
+    while len(row):
+        own = np.ones(len(row), bool) if layer == 0 else (more >> (layer - 1)) & 1 > 0
+        r, w = row[own], word[own]
+        keys = pc.binary_join_element_wise(names.take(pa.array(w)), codes.take(pa.array(np.where(w == size - 1, n, r))),
+                                            pa.scalar(_MARK, pa.large_string()))
+        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
+        some = rows.take(pa.array(r[first]))
+        yield pa.RecordBatch.from_arrays(
+            [some.column("lang"), some.column("source"), pa.array(np.full(len(first), layer), pa.int32()),
+             pa.ListArray.from_arrays(pa.array(np.append(first, len(r)), pa.int32()), keys.cast(pa.string()))],
+            names=["lang", "source", "layer", "keys"])
+        left = more >> layer > 0
+        row, word, more, layer = row[left], word[left], more[left], layer + 1
 
 
 def _models_for(terms: DataFrame) -> int:
-    """Models that hold the vocabulary, from the kept terms among one in ESTIMATE (by their hash)."""
-    some = F.filter(F.array_distinct("keys"), lambda k: F.pmod(F.xxhash64(k, F.lit(7)), F.lit(ESTIMATE)) == 0)
-    kept = (terms.select(_keys().alias("keys")).select(F.explode(some).alias("key")).groupBy("key")
-            .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS).count())
+    """Models that hold the vocabulary, from the kept terms among one in ESTIMATE, by their hash."""
+    some = terms.where("layer = 0").select(F.explode("keys").alias("key")).where(
+        F.pmod(F.xxhash64("key", F.lit(7)), F.lit(ESTIMATE)) == 0)
+    kept = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS).count()
     return max(1, -(-kept * ESTIMATE * 5 // (4 * MODEL_TERMS)))
 
 
 def _vectors(terms: DataFrame, models: int, model: int) -> tuple[DataFrame, DataFrame]:
-    """lang, source, at, count (occurrences of a vocabulary index in a document), and the vocabulary
-    (at, term, lang) of one model."""
+    """lang, source, at, count (occurrences of a vocabulary index in a document's layer), and the
+    vocabulary (at, term, lang) of one model."""
     spark = terms.sparkSession
-    own = F.filter(_keys(), lambda k: F.pmod(F.xxhash64(k), F.lit(models)) == model)
-    docs = terms.select("lang", "source", F.concat(F.array(F.lit(_MARK)), own).alias("keys"))
-    fitted = CountVectorizer(inputCol="keys", outputCol="vector", minDF=float(MIN_DOCS), vocabSize=2**31 - 1).fit(docs)
+    docs = terms
+    if models > 1:
+        docs = terms.withColumn("keys", F.filter("keys", lambda k: (k == _MARK) | (F.pmod(F.xxhash64(k), F.lit(models)) == model)))
+    # A term counts a document once, so its layer 0 is all that the fit needs.
+    fitted = CountVectorizer(inputCol="keys", outputCol="vector", minDF=float(MIN_DOCS),
+                             vocabSize=2**31 - 1).fit(docs.where("layer = 0"))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-vectorizer-{uuid.uuid4().hex}"
     fitted.write().save(f"{path}/model")
-    fitted.transform(docs).select("lang", "source", "vector").write.parquet(f"{path}/vectors")
+    fitted.transform(docs).select("lang", "source", "layer", "vector").write.parquet(f"{path}/vectors")
     # A sparse vector is stored as its type, size, indices and values: read those as columns.
-    sparse = spark.read.schema("lang string, source string, vector struct<type: tinyint, size: int, indices: array<int>, "
-                               "values: array<double>>").parquet(f"{path}/vectors")
-    pairs = sparse.select("lang", "source", F.explode(F.arrays_zip("vector.indices", "vector.values")).alias("e"))
-    vocabulary = (spark.read.parquet(f"{path}/model/data").select(F.posexplode("vocabulary").alias("at", "key"))
-                  .where(F.col("key") != _MARK)
+    sparse = spark.read.schema("lang string, source string, layer int, vector struct<type: tinyint, size: int, "
+                               "indices: array<int>, values: array<double>>").parquet(f"{path}/vectors")
+    saved = spark.read.parquet(f"{path}/model/data")
+    mark = saved.select((F.array_position("vocabulary", _MARK) - 1).alias("at")).first()["at"]
+    vocabulary = (saved.select(F.posexplode("vocabulary").alias("at", "key")).where(F.col("at") != mark)
                   .select("at", F.substring_index("key", _MARK, 1).alias("term"),
-                          F.expr(f"substr(key, instr(key, '{_MARK}') + 1)").alias("lang")))
-    return pairs.select("lang", "source", F.col("e.indices").alias("at"), F.col("e.values").alias("count")), vocabulary
+                          _lang_of(F.substring_index("key", _MARK, -1)).alias("lang")))
+    weight = F.expr("CASE WHEN layer = 0 THEN 1L ELSE shiftleft(1L, layer - 1) END")
+    entries = sparse.select("lang", "source", weight.alias("weight"), F.inline(F.arrays_zip("vector.indices", "vector.values")).alias("at", "value"))
+    return entries.where(F.col("at") != mark).select(
+        "lang", "source", "at", (F.col("value").cast("bigint") * F.col("weight")).alias("count")), vocabulary
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -185,14 +239,14 @@ def pair_values(shares: DataFrame, groups: DataFrame) -> DataFrame:
 
 def divergence(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value, rank: sources by their distance, and the terms that stand out."""
-    terms = written(_terms(docs), "terms")
-    n_docs = terms.count()
+    terms = written(_documents(docs), "terms")
+    n_docs = terms.where("layer = 0").count()
     models = _models_for(terms)
     counted, vocabulary = [], []
     # Fewer documents than a kept term needs: no term is kept.
     for k in range(models if n_docs >= MIN_DOCS else 0):
         found, words = _vectors(terms, models, k)
-        sums = found.groupBy("lang", "source", "at").agg(F.sum("count").cast("bigint").alias("count"))
+        sums = found.groupBy("lang", "source", "at").agg(F.sum("count").alias("count"))
         counted.append(sums.withColumn("model", F.lit(k)))
         vocabulary.append(words.withColumn("model", F.lit(k)))
     if not counted:
@@ -200,9 +254,9 @@ def divergence(docs: DataFrame) -> DataFrame:
         counted = [spark.createDataFrame([], "lang string, source string, at int, count bigint, model int")]
         vocabulary = [spark.createDataFrame([], "at int, term string, lang string, model int")]
     words = written(_union(vocabulary), "vocabulary")
-    counts = written(_union(counted).join(words.select("model", "at"), ["model", "at"], "left_semi"), "counts")
+    counts = written(_union(counted), "counts")
     sizes = words.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    groups = (terms.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"))
+    groups = (terms.where("layer = 0").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"))
               .join(counts.groupBy("lang", "source").agg(F.sum("count").alias("n")), ["lang", "source"], "left")
               .join(sizes, "lang", "left").fillna(0, ["n", "v"]))
     in_lang = Window.partitionBy("lang")

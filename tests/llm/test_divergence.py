@@ -76,7 +76,7 @@ def test_against_dense_counts(docs, rows):
 def test_several_models_blocks_and_tiles(docs, rows, monkeypatch):
     for name, value in (("MODEL_TERMS", 60), ("ESTIMATE", 1), ("BLOCK_TERMS", 7), ("TILE", 3)):
         monkeypatch.setattr(divergence, name, value)
-    terms = divergence._terms(docs)
+    terms = divergence._documents(docs)
     assert divergence._models_for(terms) > 2
     assert found(docs) == plain(rows)
 
