@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from blockwatch.functions.parsing import LOG_LINE_PATTERN
 from blockwatch.operators import features as FT
-from blockwatch.operators import neighbors as NB
-from blockwatch.operators import rules as R
 from blockwatch.plans import detectors as D
 from blockwatch.plans.catalog import r6, register, sql
 from blockwatch.plans.q_rules import _view
-from blockwatch.session import scratch_path
+from blockwatch.session import scratch_path, written
 from blockwatch.sources import views
 from blockwatch.sources.tables import read_table
 from blockwatch.streaming import ingest as X
@@ -67,29 +65,25 @@ def stream_blocks_tumbling_30m(spark, sf):
 SELECT block_id::BIGINT AS block_id, label, round(score, 6) AS score, reason, verdict FROM sess_verdicts""",
                                         "sess_verdicts"))
 def stream_verdict_cascade(spark, sf):
+    from blockwatch.operators.blocks import ordered_lists
     blocks, lines = _view(spark, sf, "sess")
     parts = D.cascade_parts(blocks, lines)
-    bound = sum(D.CASCADE_CAPS.values())
-    emb = FT.embed_lines_to_blocks(lines)
+    emb = written(FT.embed_lines_to_blocks(lines), "embeddings")
     container = parts["container"].select("block_id", "label").join(emb, "block_id")
-    # The threshold is fitted once on the batch of test scores (the surveyed behaviour), then fixed.
-    nbrs = NB.top_k_neighbors(parts["test"].select("block_id").join(emb, "block_id"), container,
-                              D.CASCADE_K, max_rows=bound)
-    threshold = NB.anomaly_percent(nbrs).select(F.percentile("score", F.lit(D.CASCADE_PERCENTILE / 100))).first()[0]
-    normal = X.collect_small(parts["normal"], "template", 1_000_000)
-    abnormal = X.collect_small(parts["abnormal"], "template", 1_000_000)
-    from blockwatch.operators.blocks import ordered_lists
-    bad_lists = ordered_lists(parts["lines"].join(F.broadcast(parts["bad_blocks"]), "block_id", "left_semi"))
-    bad = X.collect_small(bad_lists.select(R.sequence_key("event_list").alias("k")), "k", bound)
     # The test blocks arrive as a file stream of (block, label, event list, embedding) records.
     base = scratch_path(spark, "blocks-stream")
     test_lists = ordered_lists(parts["lines"].join(parts["test"].select("block_id"), "block_id", "left_semi"))
     parts["test"].select("block_id", "label").join(test_lists, "block_id").join(emb, "block_id") \
         .write.mode("overwrite").parquet(f"{base}/in")
-    stream = X.stream_of(spark, f"{base}/in")
-    scored = X.score_stream(stream, container, D.CASCADE_K, bound)
-    verdicts = X.verdicts_with_small_sets(scored, normal, abnormal, bad, threshold)
-    X.run_available_now(verdicts.drop("event_list"), f"{base}/out", f"{base}/cp")
+    # One stream scores each block once; the threshold is fitted on its scores (the surveyed
+    # behaviour) and published with the template sets; the second stream gives the verdicts.
+    scored = X.score_stream(X.stream_of(spark, f"{base}/in"), container, D.CASCADE_K, sum(D.CASCADE_CAPS.values()))
+    X.run_available_now(scored, f"{base}/scored", f"{base}/cp-scores")
+    done = spark.read.parquet(f"{base}/scored")
+    threshold = done.select(F.percentile("score", F.lit(D.CASCADE_PERCENTILE / 100)).alias("threshold"))
+    bad_lists = ordered_lists(parts["lines"].join(F.broadcast(parts["bad_blocks"]), "block_id", "left_semi"))
+    X.publish_sets(f"{base}/sets", parts["normal"], parts["abnormal"], bad_lists, threshold)
+    X.run_verdicts(X.stream_of(spark, f"{base}/scored"), f"{base}/sets", f"{base}/out", f"{base}/cp-verdicts")
     out = spark.read.parquet(f"{base}/out")
     return out.select(F.col("block_id").cast("bigint"), "label", r6("score").alias("score"), "reason", "verdict")
 

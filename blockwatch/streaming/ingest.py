@@ -8,8 +8,11 @@ under the shared ``spark.checkpoint.dir`` so a restarted job resumes exactly.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +21,8 @@ from pyspark.sql.streaming import StatefulProcessor
 from blockwatch.functions import parsing
 from blockwatch.operators.neighbors import _collect_container, _normalize_rows, best_of_slice
 from blockwatch.operators.blocks import all_normal
-from blockwatch.operators.rules import sequence_key
+from blockwatch.operators.rules import verdict_cascade
+from blockwatch.session import written
 
 
 # ---- X1: raw text stream -> parsed lines -> append sink ------------------------------------------
@@ -129,37 +133,58 @@ def score_stream(blocks: DataFrame, container: DataFrame, k: int, max_rows: int,
     return blocks.mapInPandas(_score_stream_fn(bc, k, vec_col), T.StructType(fields))
 
 
-def _literal_array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
-
-
-def verdicts_with_small_sets(blocks: DataFrame, normal: list[str], abnormal: list[str], bad_keys: list[str],
-                             threshold: float, list_col: str = "event_list", score_col: str = "score",
-                             inclusive: bool = True) -> DataFrame:
-    """R9 with collected template sets (they come from a capped container, so they are
-    bounded); pure array expressions, usable on a stream without joins."""
-    lst = F.col(list_col)
-    normal_arr, abnormal_arr, bad_arr = _literal_array(normal), _literal_array(abnormal), _literal_array(bad_keys)
-    bad_seq = F.array_contains(bad_arr, sequence_key(lst))
-    bad_tpl = F.exists(lst, lambda x: F.array_contains(abnormal_arr, x))
-    all_norm = F.forall(lst, lambda x: F.array_contains(normal_arr, x))
-    passes = F.col(score_col) >= F.lit(threshold) if inclusive else F.col(score_col) > F.lit(threshold)
-    passes = F.coalesce(passes, F.lit(False))
-    reason = (F.when(lst.isNull(), F.lit("unparseable")).when(bad_seq, F.lit("bad_sequence"))
-              .when(bad_tpl, F.lit("bad_template")).when(passes, F.lit("score"))
-              .when(all_norm, F.lit("all_normal")).otherwise(F.lit("default")))
-    out = blocks.withColumn("reason", reason)
-    return out.withColumn("verdict", F.when(F.col("reason") == "unparseable", F.lit(None).cast("int"))
-                          .when(F.col("reason").isin("bad_sequence", "bad_template", "score"), F.lit(0))
-                          .otherwise(F.lit(1)))
-
-
-def collect_small(df: DataFrame, col: str, bound: int) -> list:
-    """Collect a set known to be bounded; refuse when it is not."""
-    rows = df.select(col).limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"set {col} exceeds its bound {bound}")
-    return [r[0] for r in rows]
+# The template sets of the rules are tables with versions: a job that learns anew publishes the next
+# version, and a running stream takes it up with its next micro-batch. Nothing of them is in a plan.
+
+def latest_sets(spark: SparkSession, base: str) -> tuple[int, str]:
+    """Number and folder of the newest published version."""
+    row = spark.read.schema("version long, path string").parquet(f"{base}/versions").agg(
+        F.max(F.struct("version", "path")).alias("v")).first()["v"]
+    if row is None:
+        raise ValueError(f"no template sets are published under {base}")
+    return row["version"], row["path"]
+
+
+def publish_sets(base: str, normal: DataFrame, abnormal: DataFrame, bad_lists: DataFrame, threshold: DataFrame) -> int:
+    """Write the template sets (``template``), the known bad sequences (``event_list``) and the threshold
+    (one row, ``threshold``) as the next version under ``base``. The version counts from the moment that
+    it is entered into ``versions``, when its tables are complete."""
+    spark = normal.sparkSession
+    try:
+        version = latest_sets(spark, base)[0] + 1
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        version = 1
+    path = f"{base}/v{version:08d}-{uuid.uuid4().hex}"
+    for name, table in (("normal", normal.select("template").distinct()), ("abnormal", abnormal.select("template").distinct()),
+                        ("sequences", bad_lists.select("event_list").distinct()), ("threshold", threshold.select("threshold"))):
+        table.write.parquet(f"{path}/{name}")
+    spark.createDataFrame([(version, path)], "version long, path string").coalesce(1).write.mode("append").parquet(f"{base}/versions")
+    return version
+
+
+def verdicts_with_published_sets(blocks: DataFrame, base: str, inclusive: bool = True) -> DataFrame:
+    """R4-R10 of ``blocks`` (block_id, event_list, score) with the newest published sets, as joins;
+    ``version`` says which they were."""
+    spark = blocks.sparkSession
+    version, path = latest_sets(spark, base)
+    sets = {n: spark.read.parquet(f"{path}/{n}") for n in ("normal", "abnormal", "sequences", "threshold")}
+    out = verdict_cascade(blocks, sets["normal"], sets["abnormal"], sets["sequences"],
+                          sets["threshold"].select("threshold").scalar(), inclusive=inclusive)
+    return out.withColumn("version", F.lit(version))
+
+
+def run_verdicts(scored: DataFrame, base: str, path: str, checkpoint: str, inclusive: bool = True) -> None:
+    """Verdicts of a stream of scored blocks, written under ``path`` by micro-batch. A batch that is
+    run again after a failure overwrites its own folder, so each block is written once."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        # The batch is read by several joins: it is written once, so that its blocks are not made anew.
+        own = written(batch, "scored-batch")
+        verdicts_with_published_sets(own, base, inclusive).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    q = scored.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
 
 
 def stream_of(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -81,3 +81,39 @@ def test_the_marker_is_no_line(spark):
     marker = X.end_marker(events)
     assert marker.schema.names == events.schema.names and marker.schema["ts"].dataType == events.schema["ts"].dataType
     assert X.watermarked(marker.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour").count() == 0
+
+
+def _sets(spark, normal, abnormal, sequences, threshold):
+    return (spark.createDataFrame([(t,) for t in normal], "template string"), spark.createDataFrame([(t,) for t in abnormal], "template string"),
+            spark.createDataFrame([(s,) for s in sequences], "event_list array<string>"),
+            spark.createDataFrame([(threshold,)], "threshold double"))
+
+
+def test_a_new_version_of_the_sets_is_taken_up(spark, tmp_path):
+    base, schema = str(tmp_path), "block_id long, event_list array<string>, score double"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        X.run_verdicts(X.stream_of(spark, f"{base}/in"), f"{base}/sets", f"{base}/out", f"{base}/cp")
+        return {r["block_id"]: (r["verdict"], r["reason"], r["version"]) for r in spark.read.parquet(f"{base}/out").collect()}
+
+    assert X.publish_sets(f"{base}/sets", *_sets(spark, ["A", "B"], ["X"], [["A", "B", "A"]], 50.0)) == 1
+    first = arrive([(1, ["A", "B", "A"], 0.0), (2, ["A", "X"], 0.0), (3, ["A", "B"], 50.0), (4, ["A", "A"], None), (5, ["A", "Q"], 1.0),
+                    (6, None, 99.0), (7, [], 0.0)])
+    assert first == {1: (0, "bad_sequence", 1), 2: (0, "bad_template", 1), 3: (0, "score", 1), 4: (1, "all_normal", 1),
+                     5: (1, "default", 1), 6: (None, "unparseable", 1), 7: (1, "all_normal", 1)}
+    assert X.publish_sets(f"{base}/sets", *_sets(spark, ["A", "Q"], ["B"], [], 60.0)) == 2
+    second = arrive([(8, ["A", "B", "A"], 0.0), (9, ["A", "X"], 55.0), (10, ["A", "Q"], 60.0)])
+    assert second == first | {8: (0, "bad_template", 2), 9: (1, "default", 2), 10: (0, "score", 2)}
+
+
+def test_sets_of_any_size_have_the_same_plan(spark, tmp_path):
+    blocks = spark.createDataFrame([(i, [f"t{i}", "t1"], 1.0) for i in range(50)], "block_id long, event_list array<string>, score double")
+    sizes = []
+    for n in (10, 100_000):
+        base = str(tmp_path / str(n))
+        X.publish_sets(base, *_sets(spark, [f"t{i}" for i in range(n)], [f"x{i}" for i in range(n)], [], 50.0))
+        out = X.verdicts_with_published_sets(blocks, base)
+        sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+        assert out.where("reason = 'all_normal'").count() == min(n, 50)
+    assert abs(sizes[0] - sizes[1]) < 200
