@@ -11,6 +11,7 @@ bounded by the block size for fixed-count blocks.
 from __future__ import annotations
 
 import functools
+import math
 import operator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -111,6 +112,51 @@ def window_index(lines: DataFrame, ts_col: str, interval_s: float, step_s: float
             .drop("_bw_klo", "_bw_khi"))
 
 
+def hopping_facts(lines: DataFrame, ts_col: str, interval_s: float, step_s: float, normal: Column,
+                  pos_col: str = "pos", id_col: str = "block_id") -> DataFrame:
+    """B2/B3/B5/B9 without copies of lines: block_id (dense), window_k, status, n_lines, first_pos and
+    last_pos of each non-empty window, whatever interval / step is.
+
+    Lines are reduced once, to panes of gcd(interval, step): a window is a run of whole panes. Panes are
+    put into stretches as long as an interval, so a window is the end of one stretch and the beginning
+    of the next: a running aggregate from the back of the first and one from the front of the second,
+    looked up at the window's edges and merged. Each window costs two rows, each pane one. Rows without
+    a time are in no window.
+    """
+    step_us, interval_us = int(round(step_s * 1e6)), int(round(interval_s * 1e6))
+    pane_us = math.gcd(step_us, interval_us)
+    step, width = step_us // pane_us, interval_us // pane_us  # in panes
+    d, span = _anchor_offsets(lines, ts_col)
+    div = lambda a, b: F.call_function("div", a, F.lit(b).cast("bigint"))
+    panes = written(
+        lines.withColumn("at", div(d, pane_us)).where(F.col("at").isNotNull()).groupBy("at").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(normal, F.lit(False))).alias("bad"),
+            F.min(pos_col).alias("first"), F.max(pos_col).alias("last"))
+        .withColumn("stretch", div(F.col("at"), width)), "panes")
+    # Windows that begin in the stretch of a pane or in the one before.
+    low = F.greatest(F.lit(0).cast("bigint"), div((F.col("stretch") - 1) * width + step - 1, step))
+    high = div((F.col("stretch") + 1) * width - 1, step)
+    starts = (panes.select("stretch").distinct().select(F.explode(F.sequence(low, high)).alias("k")).distinct()
+              .where(F.col("k") * F.lit(step_us) < span).withColumn("from", F.col("k") * step))
+    none = [F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("bad"),
+            F.lit(None).cast(panes.schema["first"].dataType).alias("first"), F.lit(None).cast(panes.schema["last"].dataType).alias("last")]
+    begin = starts.select("k", F.lit(True).alias("back"), F.col("from").alias("at"), div(F.col("from"), width).alias("stretch"), *none)
+    end = starts.where(F.col("from") % width != 0).select(
+        "k", F.lit(False).alias("back"), (F.col("from") + width - 1).alias("at"), (div(F.col("from"), width) + 1).alias("stretch"), *none)
+    rows = (panes.select(F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("boolean").alias("back"), "at", "stretch", "n", "bad", "first", "last")
+            .unionByName(begin).unionByName(end))
+    front = Window.partitionBy("stretch").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy("stretch").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = [("n", F.sum), ("bad", F.sum), ("first", F.min), ("last", F.max)]
+    edges = rows.select("k", "back", *[fn(c).over(front).alias(f"front_{c}") for c, fn in runs],
+                        *[fn(c).over(back).alias(f"back_{c}") for c, fn in runs]).where(F.col("k").isNotNull())
+    merged = edges.groupBy("k").agg(*[fn(F.when(F.col("back"), F.col(f"back_{c}")).otherwise(F.col(f"front_{c}"))).alias(c) for c, fn in runs])
+    blocks = with_position(written(merged.where("n > 0"), "hopping-blocks"), ["k"], name="_bw_pos")
+    return blocks.select((F.col("_bw_pos") + 1).alias(id_col), F.col("k").alias("window_k"),
+                         F.when(F.col("bad") == 0, F.lit("success")).otherwise(F.lit("fail")).alias("status"),
+                         F.col("n").alias("n_lines"), F.col("first").alias("first_pos"), F.col("last").alias("last_pos"))
+
+
 def dense_ids(rows: DataFrame, key_cols: list[str], order_cols: list[str],
               id_col: str = "block_id") -> DataFrame:
     """1-based dense ids over the distinct keys present in ``rows``, by ``order_cols``.

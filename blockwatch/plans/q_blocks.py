@@ -126,6 +126,23 @@ def blocks_hopping(spark, sf):
     return _time_blocks(spark, sf, 3600, 1800)
 
 
+@register("blocks_hopping_panes", sql("""
+WITH b AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) - epoch_us(min(ts)) AS span FROM v_lines),
+d AS (SELECT epoch_us(ts) - lo AS d, span, pos, label FROM v_lines, b),
+w AS (SELECT pos, label, span, unnest(range(greatest(0, (d - 18000000000) // 180000000 + 1), d // 180000000 + 1)) AS k
+      FROM d WHERE d >= 18000000000 UNION ALL
+      SELECT pos, label, span, unnest(range(0, d // 180000000 + 1)) AS k FROM d WHERE d < 18000000000),
+a AS (SELECT k, CASE WHEN bool_and(coalesce(label = '-', false)) THEN 'success' ELSE 'fail' END AS status,
+             count(*) AS n_lines, min(pos) AS first_pos, max(pos) AS last_pos
+      FROM w WHERE k * 180000000 < span GROUP BY k)
+SELECT row_number() OVER (ORDER BY k) AS block_id, k::BIGINT AS window_k, status, n_lines::BIGINT AS n_lines,
+       first_pos::BIGINT AS first_pos, last_pos::BIGINT AS last_pos FROM a""", "v_lines"))
+def blocks_hopping_panes(spark, sf):
+    """Windows of five hours, one every three minutes: each line is in a hundred, and is read once."""
+    out = B.hopping_facts(views.lines(spark, sf), "ts", 18000, 180, F.col("label") == "-")
+    return out.select(*[F.col(c).cast("bigint") if c != "status" else F.col(c) for c in out.columns])
+
+
 @register("blocks_gapped", _time_block_sql(600, 1800))
 def blocks_gapped(spark, sf):
     return _time_blocks(spark, sf, 600, 1800)
