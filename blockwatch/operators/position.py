@@ -24,11 +24,15 @@ from __future__ import annotations
 
 import json
 import math
+import struct
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockwatch.session import written
+
 # Rows meant for one bucket (a bucket is sorted by one task, and spills), the fewest buckets (so
 # that small inputs run the same plan), and the most (the bounds are one literal of the plan).
 ROWS_PER_BUCKET = 2_000_000
@@ -161,25 +165,79 @@ def split_hash(df: DataFrame, id_col: str, ratio: float, seed: int = 42,
             .drop("_bw_h", "_bw_hpos"))
 
 
-def exact_percentile(df: DataFrame, value_col: str, id_col: str, p: float) -> float:
-    """Exact percentile with linear interpolation (numpy's default), p in [0, 100], for
-    values with any number of distinct values.
+#: Bits of one pass of a radix selection: its histogram has at most 2 ** RADIX_BITS rows for each rank.
+RADIX_BITS = 16
+
+
+def ordered_bits(value: Column) -> Column:
+    """A double as a long that orders like it (negatives by their flipped bits; NaN above infinity)."""
+    known = F.coalesce(value.cast("double"), F.lit(0.0))  # the method takes no null
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), known).cast("bigint")
+    return F.when(value.isNull(), F.lit(None)).when(bits < 0, bits.bitwiseXOR(F.lit(2 ** 63 - 1))).otherwise(bits)
+
+
+def _double_of(bits: int) -> float:
+    return struct.unpack(">d", struct.pack(">q", bits if bits >= 0 else bits ^ (2 ** 63 - 1)))[0]
+
+
+def order_statistics(df: DataFrame, value_col: str, ranks: Callable[[int], list[int]]) -> list[float]:
+    """The values of rank ``ranks(n)`` (from 0, ascending, repeats counted) among the n non-null values,
+    by radix selection: nothing is sorted or numbered.
 
-    The values are numbered in (value, id) order with ``with_position`` (range buckets,
-    no single task), and only the two order statistics around p * (n - 1) are read back.
-    The built-in ``percentile`` aggregate keeps every distinct value in one buffer, so it
-    is used only where the values are known to take few distinct values.
+    Each pass is one histogram of the next RADIX_BITS of the ordered bits, over the values that share
+    the bits found so far with a wanted value; it tells the bin of each wanted rank. A bin with one
+    distinct value ends the search, so few-valued columns take one pass and no column more than four.
+    What reaches the driver is a histogram, of a size that does not depend on the data.
     """
-    vals = df.select(F.col(value_col).cast("double").alias("_bw_v"), F.col(id_col).alias("_bw_id")) \
-        .filter(F.col("_bw_v").isNotNull())
-    n = vals.count()
-    if n == 0:
+    keys = written(df.select(ordered_bits(F.col(value_col)).alias("key")).where(F.col("key").isNotNull()), "ordered-bits")
+    wanted: dict[int, tuple[int | None, int]] = {}  # rank -> (bits found so far, rank among their values)
+    found: dict[int, int] = {}
+    for shift in range(64 - RADIX_BITS, -1, -RADIX_BITS):
+        prefix = sorted({p for p, _ in wanted.values()}) if wanted else None
+        part = keys if prefix is None else keys.where(F.shiftright("key", shift + RADIX_BITS).isin(prefix))
+        bins = (part.groupBy(F.shiftright("key", shift).alias("bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect())
+        bins = sorted(bins, key=lambda r: r["bin"])
+        if not wanted and not found:
+            total = sum(r["n"] for r in bins)
+            if total == 0:
+                return []
+            wanted = {r: (None, r) for r in ranks(total)}
+        left = {}
+        for rank, (p, within) in wanted.items():
+            for r in bins:
+                if p is not None and r["bin"] >> RADIX_BITS != p:
+                    continue
+                if within < r["n"]:
+                    if r["low"] == r["high"]:
+                        found[rank] = r["low"]
+                    else:
+                        left[rank] = (r["bin"], within)
+                    break
+                within -= r["n"]
+        wanted = left
+        if not wanted:
+            break
+    return [_double_of(found[r]) for r in sorted(found)]
+
+
+def exact_percentile(df: DataFrame, value_col: str, id_col: str | None, p: float) -> float | None:
+    """Exact percentile with linear interpolation (numpy's default), p in [0, 100], of the
+    non-null values; None without any. By radix selection, for any number of distinct values (a row id
+    is not needed; ``id_col`` is read by nothing)."""
+    place: dict[str, float] = {}
+
+    def ranks(n: int) -> list[int]:
+        place["at"] = (p / 100.0) * (n - 1)
+        return sorted({math.floor(place["at"]), math.ceil(place["at"])})
+
+    got = order_statistics(df, value_col, ranks)
+    if not got:
         return None
-    rank = (p / 100.0) * (n - 1)
-    lo, hi = int(math.floor(rank)), int(math.ceil(rank))
-    ranked = with_position(vals, ["_bw_v", "_bw_id"], name="_bw_r")
-    got = {r["_bw_r"]: r["_bw_v"] for r in ranked.filter(F.col("_bw_r").isin(lo, hi)).collect()}
-    return got[lo] + (got[hi] - got[lo]) * (rank - lo)
+    low, high, part = got[0], got[-1], place["at"] - math.floor(place["at"])
+    if low == high or part == 0:
+        return low
+    return low + (high - low) * part if part < 0.5 else high - (high - low) * (1 - part)
 
 
 def previous_values(df: DataFrame, order_cols: list[str], value_cols: list[str],

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockwatch.operators.position import with_position
+from blockwatch.operators.position import exact_percentile, with_position
 
 
 def kmeans_clusters(df: DataFrame, vec_col: str = "embedding", k: int = 2, seed: int = 42,
@@ -60,17 +60,10 @@ def centre_distance(df: DataFrame, centres: list[list[float]], vec_col: str = "e
 
 
 def percentile_filter(df: DataFrame, col: str, p: float = 70.0, id_col: str | None = None) -> DataFrame:
-    """U4: keep rows strictly below the p-th percentile (exact, linear interpolation).
-
-    With ``id_col`` the percentile is rank-based and distributed (any number of
-    distinct distances); without it the built-in aggregate is used (small inputs).
-    """
-    if id_col is not None:
-        from blockwatch.operators.position import exact_percentile
-        t = exact_percentile(df, col, id_col, p)
-        return df.filter(F.col(col) < F.lit(t))
-    t = df.select(F.percentile(F.col(col), F.lit(p / 100.0))).scalar()
-    return df.filter(F.col(col) < t)
+    """U4: keep rows strictly below the p-th percentile (exact, linear interpolation), found by radix
+    selection; ``id_col`` is not needed for it."""
+    t = exact_percentile(df, col, id_col, p)
+    return df.filter(F.col(col) < F.lit(t))
 
 
 def majority_relabel(df: DataFrame, cluster_col: str = "cluster", out_col: str = "pseudo_label") -> DataFrame:

@@ -61,7 +61,7 @@ def percentile_threshold(scores: DataFrame, score_col: str, p: float) -> Column:
 
     Neighbour scores take at most k + 1 distinct values (multiples of 100 / k), so the
     built-in aggregate's value map is bounded; for continuous values use
-    ``position.exact_percentile`` (rank-based, distributed).
+    ``position.exact_percentile`` (radix selection, distributed).
     """
     return scores.select(F.percentile(F.col(score_col), F.lit(p / 100.0))).scalar()
 
