@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from blockwatch.functions import lists
+from blockwatch.operators import embeddings as EM
 from blockwatch.operators import evaluate as EV
 from blockwatch.operators import features as FT
 from blockwatch.operators import fusion as FU
@@ -12,6 +13,7 @@ from blockwatch.plans import detectors as D
 from blockwatch.plans.catalog import r6, register, sql
 from blockwatch.plans.q_rules import _view
 from blockwatch.plans.sqlviews import cte
+from blockwatch.session import written
 from blockwatch.sources import views
 
 _TRAIN_IDS = "(SELECT block_id FROM fine_blocks WHERE split = 'train')"
@@ -309,3 +311,46 @@ def embed_blocks_w2v(spark, sf):
     emb = FT.word2vec_block_embeddings(views.blocks20(spark, sf), train)
     return emb.select(F.col("block_id").cast("bigint"), F.size("embedding").cast("bigint").alias("dim"),
                       r6(lists.l2_norm("embedding")).alias("norm"))
+
+
+# ---- F7, trained: co-occurrence, positive PMI, singular vectors ------------------------------------
+
+cte("v_pmi", """
+SELECT a, b, n, ln(n * sum(n) OVER () / (sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b))) AS pmi
+FROM (SELECT a, b, count(*)::DOUBLE AS n FROM (
+        SELECT unnest([x, y]) AS a, unnest([y, x]) AS b FROM (
+          SELECT toks[i] AS x, toks[j] AS y FROM (
+            SELECT toks, i, unnest(range(i + 1, least(i + 4, len(toks)) + 1)) AS j FROM (
+              SELECT toks, unnest(range(1, len(toks) + 1)) AS i FROM (
+                SELECT list_filter(regexp_split_to_array(lower(content), '[ \\t\\n\\r\\f]+'), lambda t: t <> '') AS toks FROM v_lines)))))
+      GROUP BY a, b)""", "v_lines")
+
+
+@register("pmi_weights", sql("SELECT a, b, n::BIGINT AS n, round(pmi, 6) AS pmi FROM v_pmi WHERE pmi > 0", "v_pmi"))
+def pmi_weights(spark, sf):
+    lines = views.lines(spark, sf, with_pos=False)
+    vocab = written(EM.vocabulary(lines), "vocabulary")
+    pairs = written(EM.cooccurrence(lines), "cooccurrence")
+    names = lambda c, i: vocab.select(F.col("term").alias(c), F.col("idx").alias(i))
+    pmi = EM.positive_pmi(pairs, vocab).join(names("a", "i"), "i").join(names("b", "j"), "j").join(pairs, ["a", "b"])
+    return pmi.select("a", "b", "n", r6("value").alias("pmi"))
+
+
+@register("embed_blocks_trained", sql("""
+SELECT (pos // 20 + 1)::BIGINT AS block_id, 32::BIGINT AS dim, true AS in_hull,
+       (SELECT round(sum(pmi * pmi), 3) FROM v_pmi WHERE pmi > 0) AS squares, true AS captured
+FROM v_lines GROUP BY 1""", "v_lines", "v_pmi"))
+def embed_blocks_trained(spark, sf):
+    """Block vectors from trained word vectors, with what must hold of them: a mean is no longer than the
+    longest word vector, and singular values hold no more than the squares of the matrix."""
+    lines = views.blocks20_lines(spark, sf)
+    vocab = written(EM.vocabulary(lines), "vocabulary")
+    matrix = written(EM.positive_pmi(EM.cooccurrence(lines), vocab), "pmi")
+    squares = matrix.select(F.sum(F.col("value") * F.col("value")).alias("s")).scalar()
+    vectors = written(EM.word_vectors(lines), "word-vectors")
+    longest = vectors.select(F.max(lists.l2_norm("vec"))).scalar()
+    _, values = EM.truncated_svd(matrix, vocab.count())
+    emb = EM.embed_blocks(lines, vectors)
+    return emb.select(F.col("block_id").cast("bigint"), F.size("embedding").cast("bigint").alias("dim"),
+                      (lists.l2_norm("embedding") <= longest + 1e-9).alias("in_hull"), F.round(squares, 3).alias("squares"),
+                      (F.lit(float((values ** 2).sum())) <= squares + 1e-6).alias("captured"))
