@@ -7,8 +7,12 @@ aggregation and never gathered into one row or task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blockwatch.functions.text import HASH_DIM, tokens
 
@@ -53,27 +57,34 @@ def embed_lines_to_blocks(lines: DataFrame, block_col: str = "block_id", content
     return summed.select(block_col, _mean_vector(F.col("_bw_n")).alias(out_col))
 
 
-def embed_with_encoder(lines: DataFrame, encoder, dim: int, block_col: str = "block_id",
-                       content_col: str = "content", batch: int = 256, out_col: str = "embedding") -> DataFrame:
-    """F7 with a user's encoder (a function from a list of texts to an array of ``dim`` columns).
+def encoder_column(load: Callable[[], Callable], batch: int = 256):
+    """F8: a column function that encodes texts in batches of ``batch``. ``load`` returns the encoder (from
+    a list of texts to an array of a row each); it runs once in each Python worker, not once a batch."""
+    def make():
+        import numpy as np
+        encoder = load()
+
+        def predict(texts):
+            return np.asarray(encoder([str(t) for t in texts]), np.float64)
+        return predict
+
+    return predict_batch_udf(make, return_type=T.ArrayType(T.DoubleType()), batch_size=batch)
+
+
+def embed_with_encoder(lines: DataFrame, encoder: Callable | None = None, dim: int = HASH_DIM, block_col: str = "block_id",
+                       content_col: str = "content", batch: int = 256, out_col: str = "embedding",
+                       load: Callable[[], Callable] | None = None) -> DataFrame:
+    """F7/F8 with a model: ``encoder`` (a function from a list of texts to an array of ``dim`` columns),
+    or ``load``, which makes one in each worker.
 
     Log lines repeat, so each distinct text is encoded once and its vector joined back; a
     block's vector is the mean over its lines, as ``dim`` sums reduced map-side. A NULL text
     counts as empty.
     """
-    import numpy as np
-    import pandas as pd
-
+    encode = encoder_column(load or (lambda: encoder), batch)
     text = F.coalesce(F.col(content_col), F.lit(""))
-
-    def encode(batches):
-        for pdf in batches:
-            texts = pdf["_bw_text"].tolist()
-            parts = [np.asarray(encoder(texts[i:i + batch]), np.float64) for i in range(0, len(texts), batch)]
-            yield pd.DataFrame({"_bw_text": texts, "_bw_vec": list(np.concatenate(parts)) if parts else []})
-
     own = lines.select(block_col, text.alias("_bw_text"))
-    vectors = own.select("_bw_text").distinct().mapInPandas(encode, "_bw_text string, _bw_vec array<double>")
+    vectors = own.select("_bw_text").distinct().select("_bw_text", encode("_bw_text").alias("_bw_vec"))
     counted = own.groupBy(block_col, "_bw_text").agg(F.count(F.lit(1)).alias("_bw_n"))
     summed = counted.join(vectors, "_bw_text").groupBy(block_col).agg(
         *[F.sum(F.col("_bw_vec")[j] * F.col("_bw_n")).alias(f"_bw_d{j}") for j in range(dim)], F.sum("_bw_n").alias("_bw_n"))
@@ -221,7 +232,6 @@ def pca_reconstruction_error(dense: DataFrame, fit_ids: DataFrame, k: int = 32,
     import pandas as pd
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
-    from pyspark.sql import types as T
 
     fit = dense.join(fit_ids.select(id_col), id_col, "left_semi")
     dim = len(dense.select(x_col).first()[0])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,16 +76,21 @@ def cascade_parts(blocks: DataFrame, lines: DataFrame, *, ratio: float = 0.8,
             "bad_blocks": bad_blocks, "lines": tl}
 
 
+#: From lines (block_id, content) to block vectors (block_id, embedding): the hashed form by default;
+#: ``functools.partial(features.embed_with_encoder, load=..., dim=...)`` puts a model in its place.
+Embed = Callable[[DataFrame], DataFrame]
+
+
 def neighbor_scores(block_lines: DataFrame, queries: DataFrame, container: DataFrame, k: int,
-                    max_rows: int) -> tuple[DataFrame, DataFrame]:
-    """F7 + G1/G2: hashed block embeddings and top-k neighbours of ``queries`` in ``container``.
+                    max_rows: int, embed: Embed = FT.embed_lines_to_blocks) -> tuple[DataFrame, DataFrame]:
+    """F7 + G1/G2: block embeddings and top-k neighbours of ``queries`` in ``container``.
 
     Only the blocks that are queried or stored are embedded; the embeddings (one vector a
     block) are read by three jobs (container check, container collect, scoring), so they
     are written once.
     """
     needed = queries.select("block_id").unionByName(container.select("block_id")).distinct()
-    emb = FT.embed_lines_to_blocks(block_lines.join(needed, "block_id", "left_semi")).checkpoint(eager=True)
+    emb = embed(block_lines.join(needed, "block_id", "left_semi")).checkpoint(eager=True)
     q = queries.select("block_id").join(emb, "block_id")
     c = container.select("block_id", "label").join(emb, "block_id")
     nbrs = NB.top_k_neighbors(q, c, k, max_rows=max_rows)
@@ -92,11 +99,12 @@ def neighbor_scores(block_lines: DataFrame, queries: DataFrame, container: DataF
 
 def cascade_detector(blocks: DataFrame, block_lines: DataFrame, *, ratio: float = 0.8,
                      caps: dict[int, int] | None = None, seed: int = 42, k: int = CASCADE_K,
-                     percentile: float = CASCADE_PERCENTILE, inclusive: bool = True) -> DataFrame:
+                     percentile: float = CASCADE_PERCENTILE, inclusive: bool = True,
+                     embed: Embed = FT.embed_lines_to_blocks) -> DataFrame:
     """Verdicts for the test blocks (block_id, label, score, verdict, reason)."""
     caps = caps or CASCADE_CAPS
     parts = cascade_parts(blocks, block_lines, ratio=ratio, caps=caps, seed=seed)
-    _, nbrs = neighbor_scores(block_lines, parts["test"], parts["container"], k, sum(caps.values()))
+    _, nbrs = neighbor_scores(block_lines, parts["test"], parts["container"], k, sum(caps.values()), embed)
     # Read by the threshold and by the join: written once, or every reader scores anew.
     scores = NB.anomaly_percent(nbrs).withColumnRenamed("query_id", "block_id").checkpoint(eager=True)
     threshold = R.percentile_threshold(scores, "score", percentile)
@@ -158,7 +166,8 @@ FUSION_K = 20
 
 def fusion_features(blocks: DataFrame, block_lines: DataFrame, *, ratio: float = 0.8,
                     caps: dict[int, int] | None = None, seed: int = 42, k: int = FUSION_K,
-                    fit_scope: str = "train", max_features: int = FT.DEFAULT_VOCAB) -> DataFrame:
+                    fit_scope: str = "train", max_features: int = FT.DEFAULT_VOCAB,
+                    embed: Embed = FT.embed_lines_to_blocks) -> DataFrame:
     """Per block (block_id, split, label, prob, recon_error, e).
 
     prob = G3 neighbour probability (k neighbours in a capped train container, all
@@ -176,7 +185,7 @@ def fusion_features(blocks: DataFrame, block_lines: DataFrame, *, ratio: float =
     err = FT.minmax_scale(split.select("block_id", "split", "label").join(err, "block_id"),
                           "recon_error", group_col="split", out_col="e")
     container = S.stratified_sample(train, "block_id", "label", caps, seed).checkpoint(eager=True)
-    _, nbrs = neighbor_scores(block_lines, split, container, k, sum(caps.values()))
+    _, nbrs = neighbor_scores(block_lines, split, container, k, sum(caps.values()), embed)
     prob = NB.normal_probability(nbrs).withColumnRenamed("query_id", "block_id")
     return err.join(prob, "block_id").checkpoint(eager=True)
 
@@ -227,7 +236,8 @@ PSEUDO_PERCENTILE = 70.0
 
 
 def pseudo_label_setup(blocks: DataFrame, block_lines: DataFrame, *, ratio: float = 0.8,
-                       k: int = FUSION_K, caps: dict[int, int] | None = None) -> dict[str, DataFrame]:
+                       k: int = FUSION_K, caps: dict[int, int] | None = None,
+                       embed: Embed = FT.embed_lines_to_blocks) -> dict[str, DataFrame]:
     """K-means pseudo labels on every train block, filtered by distance, majority
     relabelled, halved per class into a container and a tuning set; then neighbour
     probabilities for every block. Only the container, which goes to every task, is bounded
@@ -235,7 +245,7 @@ def pseudo_label_setup(blocks: DataFrame, block_lines: DataFrame, *, ratio: floa
     """
     caps = caps or PSEUDO_CONTAINER_CAPS
     split = label_and_split(blocks.select("block_id", "status"), ratio).checkpoint(eager=True)
-    emb = FT.embed_lines_to_blocks(block_lines).checkpoint(eager=True)
+    emb = embed(block_lines).checkpoint(eager=True)
     train = split.filter(F.col("split") == "train").select("block_id").join(emb, "block_id")
     clustered, centres = PS.kmeans_clusters(train, k=2, seed=42)
     dist = PS.centre_distance(clustered, centres)

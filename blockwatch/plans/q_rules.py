@@ -191,6 +191,22 @@ def embed_blocks_hashed(spark, sf):
                     r6(l2_norm("embedding")).alias("emb_norm"))
 
 
+@register("embed_blocks_encoder", sql("""
+SELECT block_id::BIGINT AS block_id, round(avg(length(content)), 6) AS x0,
+       round(avg(length(regexp_replace(content, '[^0-9]', '', 'g'))), 6) AS x1,
+       round(avg(length(content) - length(replace(content, 'e', ''))), 6) AS x2 FROM v_session_lines GROUP BY block_id""",
+                                      "v_session_lines"))
+def embed_blocks_encoder(spark, sf):
+    """The encoder's path with a model that SQL can follow: a text's length, digits and letters e."""
+    def load():
+        def encode(texts):
+            return [[len(t), sum(c.isdigit() for c in t), t.count("e")] for t in texts]
+        return encode
+
+    e = FT.embed_with_encoder(views.session_lines(spark, sf), load=load, dim=3)
+    return e.select(F.col("block_id").cast("bigint"), *[r6(F.col("embedding")[j]).alias(f"x{j}") for j in range(3)])
+
+
 def _nbrs(spark, sf, tag, k):
     blocks, lines = _view(spark, sf, tag)
     parts = D.cascade_parts(blocks, lines)
