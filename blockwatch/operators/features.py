@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockwatch.functions.text import HASH_DIM, tokens
+from blockwatch.session import written
 
 # ---- F7: hashed block embedding ------------------------------------------------------
 
@@ -226,15 +227,20 @@ def pca_reconstruction_error(dense: DataFrame, fit_ids: DataFrame, k: int = 32,
     error = mean((x - (mu + V V^T (x - mu)))^2) per row.
 
     Spark's PCA ``transform`` does not centre, so centring is done here. The model
-    (d x k plus d values) is broadcast into one ``mapInPandas`` pass over the rows.
+    (d x k plus d values) is broadcast into one ``mapInPandas`` pass over the rows. Without fit rows
+    the errors are NULL.
     """
     import numpy as np
     import pandas as pd
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
+    dense = written(dense.select(id_col, x_col), "dense")  # read by the fit, the means and the errors
+    schema = T.StructType([dense.schema[id_col], T.StructField("recon_error", T.DoubleType())])
     fit = dense.join(fit_ids.select(id_col), id_col, "left_semi")
-    dim = len(dense.select(x_col).first()[0])
+    dim = dense.select(F.max(F.size(x_col))).first()[0]
+    if not dim or fit.isEmpty():
+        return dense.select(id_col, F.lit(None).cast("double").alias("recon_error"))
     kk = max(1, min(k, dim))
     model = PCA(k=kk, inputCol="_bw_v", outputCol="_bw_p").fit(fit.select(array_to_vector(x_col).alias("_bw_v")))
     comps = model.pc.toArray()  # d x k
@@ -249,7 +255,6 @@ def pca_reconstruction_error(dense: DataFrame, fit_ids: DataFrame, k: int = 32,
             xhat = m + (c @ v) @ v.T
             yield pd.DataFrame({id_col: pdf[id_col].values, "recon_error": ((x - xhat) ** 2).mean(axis=1)})
 
-    schema = T.StructType([dense.schema[id_col], T.StructField("recon_error", T.DoubleType())])
     return dense.select(id_col, x_col).mapInPandas(err, schema)
 
 

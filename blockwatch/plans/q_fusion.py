@@ -8,6 +8,7 @@ from blockwatch.functions import lists
 from blockwatch.operators import embeddings as EM
 from blockwatch.operators import evaluate as EV
 from blockwatch.operators import features as FT
+from blockwatch.operators import fourier as FO
 from blockwatch.operators import fusion as FU
 from blockwatch.plans import detectors as D
 from blockwatch.plans.catalog import r6, register, sql
@@ -304,6 +305,28 @@ def recon_error_pca(spark, sf):
         F.col("block_id").cast("bigint"), "split", r6("recon_error").alias("recon_error"))
 
 
+@register("recon_error_fourier", sql(f"""
+WITH p AS (SELECT block_id, term, weight FROM fu_w_tr WHERE block_id IN {_TRAIN_IDS}),
+mu AS (SELECT term, sum(weight) / {_N_TRAIN} AS mu FROM p GROUP BY term),
+tot AS (SELECT sum((weight - mu) * (weight - mu) - mu * mu) AS present FROM p JOIN mu USING (term)),
+f AS (SELECT (present + {_N_TRAIN} * (SELECT sum(mu * mu) FROM mu)) / ({_N_TRAIN} * (SELECT count(*) FROM fu_model_tr)) AS e0 FROM tot)
+SELECT rank::INT AS rank, CASE WHEN rank = 0 THEN round(e0, 6) WHEN rank = -1 THEN 0.0::DOUBLE END AS error, true AS falls
+FROM f, (VALUES (0), (16), (64), (-1)) r(rank)""", "fu_w_tr", "fu_model_tr"))
+def recon_error_fourier(spark, sf):
+    """Mean error of the fit rows by the number of features: 0 is the mean form, errors fall, and with the
+    inputs among the features (rank -1) nothing is left."""
+    split, train, terms, model = _tfidf(spark, sf)
+    dim = model.count()
+    x = written(FT.densify(FT.apply_tfidf(terms, model), train, dim), "dense")
+    out, last = [], float("inf")
+    for rank in (0, 16, 64, -1):
+        fitted = FO.fit_fourier(x, train, dim, max(rank, 0), linear=rank < 0)
+        error = FO.fourier_reconstruction_error(x, fitted).agg(F.avg("recon_error").alias("e")).first()["e"]
+        out.append((rank, round(error, 6) + 0.0 if rank < 1 else None, error <= last + 1e-12))
+        last = error
+    return spark.createDataFrame(out, "rank int, error double, falls boolean")
+
+
 @register("embed_blocks_w2v")
 def embed_blocks_w2v(spark, sf):
     split, _ = _fine(spark, sf)
