@@ -161,14 +161,15 @@ def dense_ids(rows: DataFrame, key_cols: list[str], order_cols: list[str],
               id_col: str = "block_id") -> DataFrame:
     """1-based dense ids over the distinct keys present in ``rows``, by ``order_cols``.
 
-    The distinct-key table is numbered with ``with_position`` (no single-task sort)
-    and joined back; AQE broadcasts it when its measured size allows.
+    The distinct-key table is written, numbered with ``with_position`` (no single-task sort), written
+    again and joined back: rows are grouped once, and a table of a known small size is broadcast, so
+    that rows are not shuffled for it.
     """
-    keys = rows.groupBy(*key_cols).agg(*[F.min(c).alias(f"_bw_o{i}") for i, c in enumerate(order_cols)])
+    keys = written(rows.groupBy(*key_cols).agg(*[F.min(c).alias(f"_bw_o{i}") for i, c in enumerate(order_cols)]), "block-keys")
     order = [f"_bw_o{i}" for i in range(len(order_cols))] + list(key_cols)
     numbered = with_position(keys, order, name="_bw_pos")
-    numbered = numbered.select(*[F.col(c).alias(f"_bw_j{i}") for i, c in enumerate(key_cols)],
-                               (F.col("_bw_pos") + 1).alias(id_col))
+    numbered = written(numbered.select(*[F.col(c).alias(f"_bw_j{i}") for i, c in enumerate(key_cols)],
+                                       (F.col("_bw_pos") + 1).alias(id_col)), "block-ids")
     # Rows whose key is NULL form a block of their own: the join compares NULL with NULL.
     same = [F.col(c).eqNullSafe(F.col(f"_bw_j{i}")) for i, c in enumerate(key_cols)]
     return rows.join(numbered, functools.reduce(operator.and_, same)).drop(*[f"_bw_j{i}" for i in range(len(key_cols))])

@@ -33,11 +33,13 @@ from pyspark.sql import types as T
 
 from blockwatch.session import written
 
-# Rows meant for one bucket (a bucket is sorted by one task, and spills), the fewest buckets (so
-# that small inputs run the same plan), and the most (the bounds are one literal of the plan).
+# Rows meant for one bucket (a bucket is sorted by one task, and spills) and the fewest buckets (so
+# that small inputs run the same plan). The bounds are one literal of the plan: a bucket in 2 million rows.
 ROWS_PER_BUCKET = 2_000_000
-MIN_BUCKETS, MAX_BUCKETS = 8, 20_000
+MIN_BUCKETS = 8
 SAMPLES_PER_BUCKET = 32
+#: Rows of the first sample, one of each class of a hash.
+FIRST_SAMPLE = 1024
 
 
 def _sortable(df: DataFrame, name: str) -> Column:
@@ -76,10 +78,16 @@ def plan_buckets(df: DataFrame, order_cols: list[str], num_buckets: int | None =
     """
     keys = [_sortable(df, c).alias(f"k{i}") for i, c in enumerate(order_cols)]
     key_df = df.select(*keys)
-    n_rows = key_df.count()
-    n = num_buckets or min(MAX_BUCKETS, max(MIN_BUCKETS, -(-n_rows // ROWS_PER_BUCKET)))
-    fraction = min(1.0, n * SAMPLES_PER_BUCKET / max(n_rows, 1))
-    sample = sorted(tuple(r) for r in key_df.sample(False, fraction, seed).collect())
+    # One pass counts the rows and draws one row from each class of a hash, which is enough for few buckets.
+    drawn = key_df.groupBy(F.pmod(F.xxhash64(*[f"k{i}" for i in range(len(keys))], F.lit(seed)), F.lit(FIRST_SAMPLE)).alias("c")).agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*key_df.columns), F.xxhash64(*key_df.columns)).alias("k")).collect()
+    n_rows = sum(r["n"] for r in drawn)
+    n = num_buckets or max(MIN_BUCKETS, -(-n_rows // ROWS_PER_BUCKET))
+    if n * SAMPLES_PER_BUCKET <= FIRST_SAMPLE:
+        sample = sorted(tuple(r["k"]) for r in drawn)
+    else:
+        fraction = min(1.0, n * SAMPLES_PER_BUCKET / max(n_rows, 1))
+        sample = sorted(tuple(r) for r in key_df.sample(False, fraction, seed).collect())
     bounds: list[tuple] = []
     for i in range(1, n):
         b = sample[(i * len(sample)) // n] if sample else None

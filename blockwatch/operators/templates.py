@@ -118,10 +118,11 @@ def template_dictionary(mined: DataFrame, template_col: str = "template") -> Dat
 def number_templates(dictionary: DataFrame, template_col: str = "template",
                      id_col: str = "template_id") -> DataFrame:
     """L8: 'E1'..'En' by (occurrences desc, template asc)."""
-    ranked = with_position(dictionary.withColumn("_bw_neg", -F.col("occurrences")),
+    # Numbering reads its input several times, and the numbers are joined to lines: both are written.
+    ranked = with_position(written(dictionary.withColumn("_bw_neg", -F.col("occurrences")), "dictionary"),
                            ["_bw_neg", template_col], name="_bw_r")
-    return (ranked.withColumn(id_col, F.concat(F.lit("E"), (F.col("_bw_r") + 1).cast("string")))
-            .drop("_bw_neg", "_bw_r"))
+    return written(ranked.withColumn(id_col, F.concat(F.lit("E"), (F.col("_bw_r") + 1).cast("string")))
+            .drop("_bw_neg", "_bw_r"), "template-ids")
 
 
 def first_per_key(df: DataFrame, key_col: str, value_col: str, order_col: str) -> DataFrame:

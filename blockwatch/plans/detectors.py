@@ -26,8 +26,7 @@ def preprocess(raw: DataFrame, block_size: int = 20, st: float = TP.DEFAULT_ST,
     # Read by the dictionary and by the join below.
     mined = written(TP.mine_templates(parsed), "mined-lines")
     ids = TP.number_templates(TP.template_dictionary(mined)).select("template", "template_id")
-    lines = mined.join(ids, "template")
-    lines = with_position(lines, ["line_no"])
+    lines = with_position(mined, ["line_no"]).join(ids, "template")
     lines = B.fixed_count_blocks(lines, block_size)
     return B.summarize_blocks(lines, F.col("status") == "success", template_col="template_id",
                               content_col="content", ts_col="ts")
