@@ -115,12 +115,33 @@ def cascade_detector(blocks: DataFrame, block_lines: DataFrame, *, ratio: float
                                  threshold, inclusive=inclusive)
 
 
-# Named settings of the cascade (fixed values): caps of the container (normal, anomalous), percentile
-# of the scores, whether a score at the threshold counts, whether status 0 means normal.
+def _setting(percentile: float, caps: tuple[int, int] = (5000, 2000), ratio: float = 0.8, inclusive: bool = True,
+             zero_is_normal: bool = False) -> dict:
+    return {"caps": {1: caps[0], 0: caps[1]}, "ratio": ratio, "percentile": percentile, "inclusive": inclusive,
+            "zero_is_normal": zero_is_normal}
+
+
+# Named settings of the cascade (fixed values): percentile of the scores, caps of the container (normal,
+# anomalous), share of the train split, whether a score at the threshold counts, whether status 0 means
+# normal. The number behind a name is the lines of a block.
 CASCADE_SETTINGS = {
-    "thunderbird": {"caps": {1: 5000, 0: 2000}, "percentile": 99.3, "inclusive": True, "zero_is_normal": False},
-    "hdfs": {"caps": {1: 2000, 0: 2000}, "percentile": 99.3, "inclusive": True, "zero_is_normal": False},
-    "hadoop": {"caps": {1: 2000, 0: 2000}, "percentile": 99.75, "inclusive": False, "zero_is_normal": True},
+    "default": _setting(CASCADE_PERCENTILE),
+    "bgl_20": _setting(95.0),
+    "bgl_100": _setting(95.8),
+    "bgl_200": _setting(95.0),
+    "hdfs": _setting(99.3, caps=(2000, 2000)),
+    "hadoop": _setting(99.75, caps=(2000, 2000), ratio=0.9, inclusive=False, zero_is_normal=True),
+    "hadoop2": _setting(97.35, caps=(2000, 2000), ratio=0.9, inclusive=False, zero_is_normal=True),
+    "hadoop3": _setting(96.3, caps=(2000, 2000), ratio=0.9, inclusive=False, zero_is_normal=True),
+    # At the highest percentile a score at the threshold counts.
+    "spark2": _setting(100.0, caps=(2000, 2000), ratio=0.9, zero_is_normal=True),
+    "spark3": _setting(100.0, caps=(2000, 2000), ratio=0.9, zero_is_normal=True),
+    "thunderbird_20": _setting(100.0),
+    "thunderbird_100": _setting(99.99),
+    "thunderbird_200": _setting(100.0),
+    "spirit_20": _setting(98.0),
+    "spirit_100": _setting(99.0),
+    "spirit_200": _setting(98.0),
 }
 
 
@@ -142,7 +163,7 @@ def statuses(table: DataFrame, zero_is_normal: bool = False) -> DataFrame:
     return table.select("block_id", status.alias("status"))
 
 
-def cascade_from_block_table(table: DataFrame, setting: str = "thunderbird", **kw) -> DataFrame:
+def cascade_from_block_table(table: DataFrame, setting: str = "default", **kw) -> DataFrame:
     """P3 from a block table. A block whose event list can't be parsed keeps its row, with the
     reason 'unparseable' and a NULL verdict (R10)."""
     own = {**CASCADE_SETTINGS[setting], **kw}

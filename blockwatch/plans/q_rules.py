@@ -24,17 +24,24 @@ from blockwatch.sources import views
 
 cte("v_fine_lines", "SELECT *, pos // 20 + 1 AS block_id FROM v_lines", "v_lines")
 
-for tag, view, lines_view in (("fine", "v_blocks20", "v_fine_lines"), ("sess", "v_sessions", "v_session_lines")):
+#: Settings whose whole cascade has an oracle of its own, on the 20-line blocks.
+SETTING_QUERIES = ("bgl_100", "hadoop2", "spark2")
+_TAGS = [("fine", "v_blocks20", "v_fine_lines", D.CASCADE_SETTINGS["default"]),
+         ("sess", "v_sessions", "v_session_lines", D.CASCADE_SETTINGS["default"]),
+         *((f"set_{name}", "v_blocks20", "v_fine_lines", D.CASCADE_SETTINGS[name]) for name in SETTING_QUERIES)]
+for tag, view, lines_view, setting in _TAGS:
+    ratio, caps = setting["ratio"], setting["caps"]
+    passes = ">=" if setting["inclusive"] else ">"
     cte(f"{tag}_blocks", f"""
 SELECT block_id, status, event_list, CASE WHEN lower(status) = 'success' THEN 1 ELSE 0 END AS label,
-       CASE WHEN block_id - 1 < floor((SELECT count(*) FROM {view}) * 0.8::DOUBLE) THEN 'train' ELSE 'test' END
+       CASE WHEN block_id - 1 < floor((SELECT count(*) FROM {view}) * {ratio}::DOUBLE) THEN 'train' ELSE 'test' END
          AS split
 FROM {view}""", view)
     cte(f"{tag}_container", f"""
 SELECT block_id, status, event_list, label FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || block_id), block_id) AS rn
   FROM {tag}_blocks WHERE split = 'train')
-WHERE (label = 1 AND rn <= 5000) OR (label = 0 AND rn <= 2000)""", f"{tag}_blocks")
+WHERE (label = 1 AND rn <= {caps[1]}) OR (label = 0 AND rn <= {caps[0]})""", f"{tag}_blocks")
     cte(f"{tag}_normal", f"""
 SELECT DISTINCT unnest(event_list) AS template FROM {tag}_container WHERE label = 1""", f"{tag}_container")
     cte(f"{tag}_rem", f"""
@@ -72,7 +79,7 @@ FROM (SELECT q.block_id AS qid, c.block_id AS cid, c.label AS clabel,
 SELECT qid AS block_id, 100.0 * (1 - avg(clabel)) AS score FROM {tag}_nbrs WHERE rnk <= 100 GROUP BY qid""",
         f"{tag}_nbrs")
     cte(f"{tag}_verdicts", f"""
-WITH t AS (SELECT quantile_cont(score, 0.993) AS thr FROM {tag}_scores),
+WITH t AS (SELECT quantile_cont(score, {round(setting["percentile"] / 100, 6)}) AS thr FROM {tag}_scores),
 tb AS (SELECT b.block_id, b.label, b.event_list, s.score FROM {tag}_blocks b
        LEFT JOIN {tag}_scores s USING (block_id) WHERE b.split = 'test'),
 ex AS (SELECT block_id, unnest(event_list) AS template FROM tb),
@@ -84,7 +91,7 @@ r AS (SELECT tb.block_id, tb.label, tb.score,
                   WHEN '[' || array_to_string(tb.event_list, chr(1)) || ']' IN (SELECT k FROM badseq)
                     THEN 'bad_sequence'
                   WHEN tb.block_id IN (SELECT block_id FROM badtpl) THEN 'bad_template'
-                  WHEN tb.score >= (SELECT thr FROM t) THEN 'score'
+                  WHEN tb.score {passes} (SELECT thr FROM t) THEN 'score'
                   WHEN tb.block_id NOT IN (SELECT block_id FROM unknown) THEN 'all_normal'
                   ELSE 'default' END AS reason
       FROM tb)
@@ -347,13 +354,28 @@ cte("fine_hadoop", _HADOOP, *CTES["fine_verdicts"][1])
 @register("cascade_hadoop_exclusive", sql("""
 SELECT block_id::BIGINT AS block_id, label, round(score, 6) AS score, reason, verdict FROM fine_hadoop""", "fine_hadoop"))
 def cascade_hadoop_exclusive(spark, sf):
-    """Status 0 is normal, and only a score above the threshold counts (caps of the other queries, so
-    that they share an oracle)."""
+    """Status 0 is normal, and only a score above the threshold counts (caps and split of the other
+    queries, so that they share an oracle)."""
     t = _block_table(spark, sf, "fine", F.when(F.col("status") == "success", 0).otherwise(1))
-    v = D.cascade_from_block_table(t, "hadoop", caps=D.CASCADE_CAPS)
+    v = D.cascade_from_block_table(t, "hadoop", caps=D.CASCADE_CAPS, ratio=0.8)
     return v.select(F.col("block_id").cast("bigint"), "label", r6("score").alias("score"), "reason", "verdict")
 
 
+def _register_setting(name):
+    @register(f"cascade_setting_{name}", sql(f"""
+SELECT block_id::BIGINT AS block_id, label, round(score, 6) AS score, reason, verdict FROM set_{name}_verdicts""",
+                                            f"set_{name}_verdicts"))
+    def run(spark, sf):
+        zero = D.CASCADE_SETTINGS[name]["zero_is_normal"]
+        status = F.when(F.col("status") == "success", 0).otherwise(1) if zero else None
+        v = D.cascade_from_block_table(_block_table(spark, sf, "fine", status), name)
+        return v.select(F.col("block_id").cast("bigint"), "label", r6("score").alias("score"), "reason", "verdict")
+
+
+for _name in SETTING_QUERIES:
+    _register_setting(_name)
+
+
 @register("cascade_branch_counts", sql("""
 SELECT reason, count(*)::BIGINT AS n_blocks FROM sess_verdicts GROUP BY reason""", "sess_verdicts"))
 def cascade_branch_counts(spark, sf):
