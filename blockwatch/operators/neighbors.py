@@ -77,35 +77,38 @@ def best_of_slice(q: np.ndarray, own_ids: np.ndarray | None, ids: np.ndarray, cn
         yield i, top, np.take_along_axis(sims, top, axis=1)
 
 
+def _padded(column: pd.Series, width: int, fill, dtype) -> np.ndarray:
+    """A column of arrays of up to ``width`` items as one matrix."""
+    size = column.map(len).to_numpy()
+    out = np.full((len(column), width), fill, dtype)
+    out[np.arange(width)[None, :] < size[:, None]] = np.concatenate([np.asarray(x, dtype) for x in column])
+    return out
+
+
 def _score_fn(bc, k: int, vec_col: str, exclude_self: bool):
     def score(batches):
         ids, labels, cmat = bc.value
         cnorm = _normalize_rows(cmat)
+        last = np.iinfo(np.int64).max
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
             own = pdf["query_id"].to_numpy() if exclude_self else None
-            out = {"nbr_ids": [], "nbr_sims": [], "nbr_labels": []}
-            first = not any(len(x) for x in pdf["nbr_ids"])  # nothing carried from an earlier slice
-            for i, top, sims in best_of_slice(q, own, ids, cnorm, k):
-                if first and not exclude_self:
-                    out["nbr_ids"] += list(ids[top])
-                    out["nbr_sims"] += list(sims)
-                    out["nbr_labels"] += list(labels[top].astype(np.int32))
-                    continue
-                for j in range(len(top)):
-                    # The k best of those carried so far and of this slice.
-                    old = pdf.iloc[i + j]
-                    here = sims[j] > -2.0
-                    n = np.concatenate([np.asarray(old["nbr_ids"], np.int64), ids[top[j]][here]])
-                    s = np.concatenate([np.asarray(old["nbr_sims"], np.float64), sims[j][here]])
-                    y = np.concatenate([np.asarray(old["nbr_labels"], np.int32), labels[top[j]][here].astype(np.int32)])
-                    order = np.lexsort((n, -np.rint(s * 10.0 ** SIM_DIGITS)))[:k]
-                    out["nbr_ids"].append(n[order])
-                    out["nbr_sims"].append(s[order])
-                    out["nbr_labels"].append(y[order])
-            yield pdf.assign(**out)
+            parts = [(top, sims) for _, top, sims in best_of_slice(q, own, ids, cnorm, k)]
+            top, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+            n, y = ids[top], labels[top].astype(np.int32)
+            width = int(pdf["nbr_ids"].map(len).max())
+            if width or exclude_self:
+                # The k best of those carried so far and of this slice; -2 is below any cosine.
+                n = np.concatenate([_padded(pdf["nbr_ids"], width, last, np.int64), np.where(s > -2.0, n, last)], axis=1)
+                s = np.concatenate([_padded(pdf["nbr_sims"], width, -2.0, np.float64), s], axis=1)
+                y = np.concatenate([_padded(pdf["nbr_labels"], width, 0, np.int32), y], axis=1)
+                order = np.lexsort((n, -np.rint(s * 10.0 ** SIM_DIGITS)), axis=1)[:, :k]
+                n, s, y = (np.take_along_axis(x, order, axis=1) for x in (n, s, y))
+            real = (s > -2.0).sum(axis=1)
+            yield pdf.assign(nbr_ids=[r[:m] for r, m in zip(n, real, strict=True)], nbr_sims=[r[:m] for r, m in zip(s, real, strict=True)],
+                             nbr_labels=[r[:m] for r, m in zip(y, real, strict=True)])
     return score
 
 
