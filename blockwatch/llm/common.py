@@ -229,23 +229,41 @@ def words_of(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np
     return start, end, row
 
 
+def _mix_other(h: np.ndarray) -> np.ndarray:
+    """Another finaliser, of other multipliers and shifts."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+#: Words of more bytes are hashed by XXH3; masks that keep the first 0 to 8 bytes of a lane.
+_LANE_BYTES = 64
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two unrelated 64-bit hashes of the bytes of each word (both halves of XXH3-128).
+    """Two unrelated 64-bit hashes of the bytes of each word.
 
-    Words ascend and do not overlap. Equal ones are found by comparing their bytes and hashed once.
+    Bytes go through a bijective mixer eight at a time, so different words of one length of up to
+    eight bytes never collide, and no arithmetic pattern of letters (as of a polynomial) does for
+    longer ones. Words over _LANE_BYTES take the two halves of XXH3-128.
     """
-    if len(start) == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    step = np.zeros(len(data) + 1, np.int8)
-    step[start] += 1
-    step[end] -= 1
-    own = np.ascontiguousarray(data[np.cumsum(step[:-1], dtype=np.int8).astype(bool)])
-    at = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(own)])
-    coded = words.dictionary_encode()
-    hashed = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist()))
-    both = np.frombuffer(hashed, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]
-    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+    size = (end - start).astype(np.uint64)
+    one, two = mix(size + np.uint64(0x9E3779B97F4A7C15)), _mix_other(size ^ np.uint64(0xA0761D6478BD642F))
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    live = np.flatnonzero((size > 0) & (size <= _LANE_BYTES))
+    done = 0
+    while len(live):
+        left = (size[live] - np.uint64(done)).astype(np.int64)
+        lane = eights[start[live] + done].view(np.uint64)[:, 0] & _KEEP[np.minimum(left, 8)]
+        one[live], two[live] = mix(one[live] ^ lane), _mix_other(two[live] ^ lane)
+        done += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > _LANE_BYTES):
+        digest = xxhash.xxh3_128_digest(data[start[i]:end[i]].tobytes())
+        one[i], two[i] = np.frombuffer(digest, np.uint64)
+    return one, two
 
 
 def byte_table(flag: Callable[[int], bool]) -> np.ndarray:

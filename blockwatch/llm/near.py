@@ -1,8 +1,8 @@
 """N-gram Jaccard join: a MinHash LSH forest proposes, exact shingle sets decide.
 
 Shingles are five consecutive words (runs without white space); a text of fewer words is one
-shingle. Words count as equal if a 64-bit XXH3 hash of their bytes is; texts are the same if two
-unrelated hashes of their words are. Texts with the same words are one representative from the start. Each representative has a
+shingle. Words count as equal if a 64-bit hash of their bytes is; texts are the same if two unrelated
+hashes of their words are. Texts with the same words are one representative from the start. Each representative has a
 MinHash signature, dealt to the trees of a forest as paths of ``MAX_DEPTH`` values. Two texts meet
 in a tree if their paths share a prefix; the prefix is shortened from the full path until pairs at
 the threshold meet in some tree with at least the target recall (``prefix_depth``). Texts are
@@ -219,7 +219,13 @@ def _candidate_groups(reps: DataFrame) -> DataFrame:
     """digest, comp: texts that prefixes connect."""
     paths = reps.select("digest", F.explode("paths").alias("path"))
     heads = paths.groupBy("path").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1")
-    edges = paths.join(heads, "path").where("digest <> head").select("digest", "head")
+    # A text is linked to the smallest of its heads (one a tree at most), and its other heads are linked to
+    # that one: the same components, with as many links as texts and few between heads.
+    near = (paths.join(heads, "path").groupBy("digest").agg(F.collect_set("head").alias("heads"))
+            .withColumn("head", F.array_min("heads")))
+    own = near.select("digest", "head")
+    between = near.select(F.explode("heads").alias("digest"), "head").distinct()
+    edges = own.unionByName(between).where("digest <> head")
     return components(edges, "digest", "head").select(F.col("node").alias("digest"), F.col("root").alias("comp"))
 
 
