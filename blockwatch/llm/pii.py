@@ -215,8 +215,8 @@ spans AS (
          string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT || ':' || score, ',' ORDER BY ord, s) AS scored
   FROM scored GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
-       coalesce(n_phone, 0) AS n_phone, coalesce(n_iban, 0) AS n_iban, sha256(coalesce(base, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(scored, '') AS scored
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_iban, 0) AS n_iban, coalesce(scored, '') AS scored
 FROM d LEFT JOIN spans USING (doc_id)
 """
 
@@ -226,8 +226,8 @@ def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(table(spark, sf_dir, "documents"))
     of = lambda kind: F.filter("spans", lambda x: x["kind"] == kind)
     base = F.filter("spans", lambda x: x["kind"] != "iban")
+    count = lambda kind: F.size(of(kind)).cast("bigint").alias(f"n_{kind}")
     return found.select(
-        F.col("row.doc_id").alias("doc_id"),
-        *(F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in (*BASE_KINDS, "iban")),
-        F.sha2(_joined(base), 256).alias("base_sha256"),
-        _joined(F.col("spans")).alias("spans"), _joined(F.col("spans"), True).alias("scored"))
+        F.col("row.doc_id").alias("doc_id"), *(count(k) for k in BASE_KINDS),
+        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
+        count("iban"), _joined(F.col("spans"), True).alias("scored"))
