@@ -14,7 +14,6 @@ not depend on partitions; signs are fixed by each vector's largest entry.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
