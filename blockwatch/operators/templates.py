@@ -12,9 +12,11 @@ Mining rule (deterministic and independent of line order):
   8. what is left then is its own template, line by line.
 
 Work is done on distinct masked lines, so repeated messages (the bulk of any log) cost one row each.
-A round is one aggregate keyed on (group, position); a hot group spreads over its token values in the
-partial distinct aggregation. Groups that have their template leave the loop, which ends when none
-is open.
+A round deals the open lines out by group once; tokens are taken apart, counted and joined back inside
+those partitions, so no token is shuffled. Groups of more tokens than a partition should hold are few:
+their tokens are counted by (group, position, token) in all partitions and their results broadcast.
+Groups and lines are named by 128 bits of SHA-256. Groups that have their template leave the loop,
+which ends when none is open.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from blockwatch.session import written
 DEFAULT_ST = 0.8
 DEFAULT_DEPTH = 4  # tree depth 4 -> depth - 2 = 2 leading tokens in the group key
 DEFAULT_ROUNDS = 6  # the first grouping and up to five splits
+# Tokens that a partition of a round holds, about; a larger group is counted in all partitions.
+PART_TOKENS = 1 << 19
 
 
 # A token (maximal run of non-whitespace) that contains a digit.
@@ -42,48 +46,78 @@ def masked_tokens(content_col: str) -> F.Column:
     return F.array_remove(F.split(masked, WHITESPACE), "")
 
 
+def _digest(*parts: F.Column) -> F.Column:
+    """128 bits of the SHA-256 of the parts: a short name of a group or line, however long its text."""
+    return F.unhex(F.substring(F.sha2(F.concat_ws("\u0001", *parts), 256), 1, 32))
+
+
 def _group_key(n_lead: int) -> F.Column:
     parts = [F.size("_bw_toks").cast("string")]
     for i in range(n_lead):
         parts.append(F.coalesce(F.get(F.col("_bw_toks"), i), F.lit("")))
-    return F.concat_ws("\u0001", *parts)
-
-
-def _group_templates(distinct_lines: DataFrame, st: float) -> DataFrame:
-    """_bw_g, _bw_tpl (NULL for a group that fails), _bw_split (the position to split it by)."""
-    pos_stats = (distinct_lines.select("_bw_g", F.posexplode("_bw_toks").alias("_bw_i", "_bw_t"))
-                 .groupBy("_bw_g", "_bw_i")
-                 .agg(F.count_distinct("_bw_t").alias("_bw_nd"), F.min("_bw_t").alias("_bw_t")))
-    one = F.col("_bw_nd") == 1
-    groups = pos_stats.groupBy("_bw_g").agg(
-        (F.count_if(one) / F.count(F.lit(1))).alias("_bw_kept"),
-        F.min(F.when(~one, F.struct("_bw_nd", "_bw_i"))).alias("_bw_least"),
-        F.array_sort(F.collect_list(F.struct("_bw_i", F.when(one, F.col("_bw_t")).otherwise(F.lit(MASK_TOKEN)).alias("t")))
-                     ).alias("_bw_parts"))
-    return groups.select("_bw_g", F.when(F.col("_bw_kept") >= F.lit(float(st)), F.array_join("_bw_parts.t", " ")).alias("_bw_tpl"),
-                         F.col("_bw_least._bw_i").alias("_bw_split"))
+    return _digest(*parts)
+
+
+def _tokens() -> F.Column:
+    """The tokens of a masked line: they hold no blanks."""
+    return F.split("_bw_m", " ", -1)
+
+
+def _group_facts(lines: DataFrame, st: float) -> DataFrame:
+    """_bw_g, _bw_split (NULL for a group that is one template, else the position to split it by) and
+    _bw_varied (the positions of more than one value) of the groups of ``lines`` (_bw_m, _bw_g)."""
+    positions = (lines.select("_bw_g", F.posexplode(_tokens()).alias("_bw_i", "_bw_t")).distinct()
+                 .groupBy("_bw_g", "_bw_i").agg(F.count(F.lit(1)).alias("_bw_nd")))
+    varied = F.col("_bw_nd") > 1
+    groups = positions.groupBy("_bw_g").agg(
+        (F.count_if(~varied) / F.count(F.lit(1))).alias("_bw_kept"),
+        # Fewest values, then leftmost, as one number.
+        F.min(F.when(varied, F.shiftleft("_bw_nd", 24) + F.col("_bw_i"))).alias("_bw_least"),
+        F.collect_list(F.when(varied, F.col("_bw_i"))).alias("_bw_varied"))
+    done = F.col("_bw_kept") >= F.lit(float(st))
+    return groups.select("_bw_g", F.when(~done, F.col("_bw_least").bitwiseAND((1 << 24) - 1).cast("int")).alias("_bw_split"),
+                         F.when(done, F.col("_bw_varied")).alias("_bw_varied"))
+
+
+def _with_facts(opened: DataFrame, st: float) -> DataFrame:
+    """``opened`` (_bw_m, _bw_g) with the facts of each line's group."""
+    sizes = opened.groupBy("_bw_g").agg(F.sum(F.size(_tokens())).alias("_bw_n"))
+    total, most = sizes.agg(F.sum("_bw_n"), F.max("_bw_n")).first()
+    parts = (total or 0) // PART_TOKENS + 1
+    if (most or 0) <= PART_TOKENS:
+        own = opened.repartition(parts, "_bw_g")
+        return own.join(_group_facts(own, st).hint("merge"), "_bw_g")
+    # At most total / PART_TOKENS groups.
+    large = F.broadcast(written(sizes.where(F.col("_bw_n") > PART_TOKENS).select("_bw_g"), "large-groups"))
+    own = opened.join(large, "_bw_g", "left_anti").repartition(parts, "_bw_g")
+    spread = opened.join(large, "_bw_g", "left_semi")
+    facts = F.broadcast(written(_group_facts(spread, st), "large-facts"))
+    return own.join(_group_facts(own, st).hint("merge"), "_bw_g").unionByName(spread.join(facts, "_bw_g"))
 
 
 def masked_line_templates(masked: DataFrame, st: float = DEFAULT_ST, depth: int = DEFAULT_DEPTH,
                           rounds: int = DEFAULT_ROUNDS) -> DataFrame:
-    """_bw_m (a masked line), _bw_tpl: the template of every distinct line in ``masked`` (_bw_m, _bw_toks)."""
+    """_bw_h (``_digest`` of a masked line), _bw_tpl: the template of every distinct line in ``masked``
+    (_bw_m, _bw_toks) that has tokens."""
     found: list[DataFrame] = []
-    opened = written(masked.select("_bw_m", "_bw_toks", _group_key(max(depth - 2, 0)).alias("_bw_g")).distinct()
-                     .where(F.size("_bw_toks") > 0), "masked-lines")
+    opened = written(masked.where(F.size("_bw_toks") > 0).select("_bw_m", _group_key(max(depth - 2, 0)).alias("_bw_g")).distinct(),
+                     "masked-lines", "zstd")
     left = "_bw_tpl IS NULL"
+    template = F.array_join(F.transform(_tokens(), lambda t, i: F.when(F.array_contains("_bw_varied", i), F.lit(MASK_TOKEN)).otherwise(t)), " ")
     for k in range(rounds):
-        # The next round's group: the split position and the line's token there.
-        part = F.concat_ws("\u0001", "_bw_g", "_bw_split", F.get("_bw_toks", F.col("_bw_split")))
-        step = written(opened.join(_group_templates(opened, st), "_bw_g").select(
-            "_bw_m", F.when(F.col("_bw_tpl").isNull(), F.col("_bw_toks")).alias("_bw_toks"),
-            F.when(F.col("_bw_tpl").isNull(), part).alias("_bw_g"), "_bw_tpl"), "template-round")
-        last = k == rounds - 1 or step.where(left).isEmpty()
-        # After the last round an open line is its own template.
-        found.append(step.select("_bw_m", F.coalesce("_bw_tpl", "_bw_m").alias("_bw_tpl")) if last
-                     else step.where(f"NOT ({left})").select("_bw_m", "_bw_tpl"))
-        if last:
+        last = k == rounds - 1
+        done = F.col("_bw_split").isNull()
+        # The next round's group: the split position and the line's token there. After the last round an
+        # open line is its own template.
+        part = _digest(F.hex("_bw_g"), F.col("_bw_split").cast("string"), F.get(_tokens(), F.col("_bw_split")))
+        step = written(_with_facts(opened, st).select(
+            F.when(~done, F.col("_bw_m")).alias("_bw_m"), F.when(~done, part).alias("_bw_g"),
+            F.when(done | F.lit(last), _digest(F.col("_bw_m"))).alias("_bw_h"),
+            F.when(done, template).when(F.lit(last), F.col("_bw_m")).alias("_bw_tpl")), "template-round", "zstd")
+        found.append(step.where(f"NOT ({left})").select("_bw_h", "_bw_tpl"))
+        opened = step.where(left).select("_bw_m", "_bw_g")
+        if last or opened.isEmpty():
             break
-        opened = step.where(left).drop("_bw_tpl")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -97,11 +131,14 @@ def mine_templates(lines: DataFrame, content_col: str = "content", st: float = D
     Masking and tokenising are plain expressions in the scan stage. Lines meet their templates through
     a table with one row for each distinct masked line, which is broadcast when it is small.
     """
-    # Both branches tokenise: a second regex pass costs less than keeping all lines twice.
+    # Both branches tokenise: a second regex pass costs less than keeping all lines twice. Lines go to
+    # the dictionary by their digests; what has no tokens is not in it.
     tok = lines.withColumn("_bw_toks", masked_tokens(content_col)).withColumn("_bw_m", F.array_join("_bw_toks", " "))
     dictionary = masked_line_templates(tok.select("_bw_m", "_bw_toks"), st, depth, rounds)
-    out = tok.drop("_bw_toks").join(dictionary, "_bw_m", "left")
-    return out.withColumn(out_col, F.coalesce("_bw_tpl", "_bw_m")).drop("_bw_m", "_bw_tpl")
+    own = (tok.withColumn("_bw_h", _digest(F.col("_bw_m"))).withColumn("_bw_none", F.when(F.size("_bw_toks") == 0, F.lit("")))
+           .drop("_bw_toks", "_bw_m"))
+    out = own.join(dictionary, "_bw_h", "left")
+    return out.withColumn(out_col, F.coalesce("_bw_tpl", "_bw_none")).drop("_bw_h", "_bw_none", "_bw_tpl")
 
 
 def event_id(template_col: str = "template") -> F.Column:

@@ -69,3 +69,27 @@ def test_against_the_plain_rule(spark):
 def test_empty(spark):
     assert _mine(spark, []) == {}
     assert _mine(spark, ["", "  "]) == {0: "", 1: ""}
+
+
+def test_large_groups_by_all_partitions(spark, monkeypatch):
+    """Groups over the size of a partition give the same templates as small ones."""
+    monkeypatch.setattr(TP, "PART_TOKENS", 40)
+    contents = [f"link {_word(i % 30)} error on {_word(i % 7)} port {_word(i % 2)}" for i in range(300)]
+    contents += [f"job {_word(i)} ended" for i in range(9)] + ["x", "10.0.0.1:80 up 7 days"]
+    for st, rounds in ((0.8, TP.DEFAULT_ROUNDS), (0.6, 2)):
+        assert _mine(spark, contents, st=st, rounds=rounds) == _plain(contents, st, rounds)
+
+
+def test_tokens_are_not_shuffled(spark):
+    """A round deals the open lines out once: no exchange stands between the tokens of a line and the
+    facts of its group (their shuffles took the disk)."""
+    lines = spark.createDataFrame([(f"a {_word(i)} c", "a") for i in range(50)], "_bw_m string, g string").select(
+        "_bw_m", TP._digest("g").alias("_bw_g")).checkpoint()
+    rows = TP._with_facts(lines, 0.8)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert "Generate" in plan
+    above = plan.split("Generate")[0]
+    # The only exchange above the tokens is that of the lines, on the other side of the join.
+    assert above.count("Exchange hashpartitioning") <= 1 and "MapInArrow" not in plan
+    assert plan.count("Exchange hashpartitioning") + plan.count("ReusedExchange") <= 2
