@@ -6,23 +6,26 @@ the only thing shipped to every task. It is cut into slices of at most
 narrow steps, carrying their k best so far, so the result is exact and the same
 whatever the number of slices.
 
-Scoring is a ``mapInPandas`` over the query rows: matrix products of at most
+Scoring is a ``mapInArrow`` over the query rows: matrix products of at most
 ``QUERY_ROWS`` queries, top-k by (similarity rounded to 9 digits desc, container id
-asc). No pair rows are ever materialised and the query side is never shuffled.
+asc). Vectors come from Arrow buffers and neighbours go into them, ``QUERY_ROWS`` rows at a time, so a
+worker's memory does not follow the rows of a batch. No pair rows are ever materialised and the query
+side is never shuffled.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIM_DIGITS = 9
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
-# Queries of one matrix product: with a 7,000-row container each temporary is 14 MB.
-QUERY_ROWS = 256
+# Queries of one matrix product: with a 7,000-row container each temporary is 7 MB.
+QUERY_ROWS = 128
 # Slices that follow each other in one stage: each is a Python process of the task.
 CHAIN = 2
 
@@ -77,11 +80,18 @@ def best_of_slice(q: np.ndarray, own_ids: np.ndarray | None, ids: np.ndarray, cn
         yield i, top, np.take_along_axis(sims, top, axis=1)
 
 
-def _padded(column: pd.Series, width: int, fill, dtype) -> np.ndarray:
+def vector_rows(column: pa.Array) -> np.ndarray:
+    """A column of arrays of equal length as one matrix."""
+    if column.null_count:
+        raise ValueError("a row has no vector")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _padded(column: pa.Array, width: int, fill, dtype) -> np.ndarray:
     """A column of arrays of up to ``width`` items as one matrix."""
-    size = column.map(len).to_numpy()
+    size = pc.list_value_length(column).to_numpy()
     out = np.full((len(column), width), fill, dtype)
-    out[np.arange(width)[None, :] < size[:, None]] = np.concatenate([np.asarray(x, dtype) for x in column])
+    out[np.arange(width)[None, :] < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
@@ -90,25 +100,27 @@ def _score_fn(bc, k: int, vec_col: str, exclude_self: bool):
         ids, labels, cmat = bc.value
         cnorm = _normalize_rows(cmat)
         last = np.iinfo(np.int64).max
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            q = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            own = pdf["query_id"].to_numpy() if exclude_self else None
-            parts = [(top, sims) for _, top, sims in best_of_slice(q, own, ids, cnorm, k)]
-            top, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-            n, y = ids[top], labels[top].astype(np.int32)
-            width = int(pdf["nbr_ids"].map(len).max())
-            if width or exclude_self:
-                # The k best of those carried so far and of this slice; -2 is below any cosine.
-                n = np.concatenate([_padded(pdf["nbr_ids"], width, last, np.int64), np.where(s > -2.0, n, last)], axis=1)
-                s = np.concatenate([_padded(pdf["nbr_sims"], width, -2.0, np.float64), s], axis=1)
-                y = np.concatenate([_padded(pdf["nbr_labels"], width, 0, np.int32), y], axis=1)
-                order = np.lexsort((n, -np.rint(s * 10.0 ** SIM_DIGITS)), axis=1)[:, :k]
-                n, s, y = (np.take_along_axis(x, order, axis=1) for x in (n, s, y))
-            real = (s > -2.0).sum(axis=1)
-            yield pdf.assign(nbr_ids=[r[:m] for r, m in zip(n, real, strict=True)], nbr_sims=[r[:m] for r, m in zip(s, real, strict=True)],
-                             nbr_labels=[r[:m] for r, m in zip(y, real, strict=True)])
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_ROWS):
+                part = batch.slice(at, QUERY_ROWS)
+                own = part["query_id"].to_numpy() if exclude_self else None
+                _, top, s = next(best_of_slice(vector_rows(part[vec_col]), own, ids, cnorm, k))
+                n, y = ids[top], labels[top].astype(np.int32)
+                width = pc.max(pc.list_value_length(part["nbr_ids"])).as_py()
+                if width or exclude_self:
+                    # The k best of those carried so far and of this slice; -2 is below any cosine.
+                    n = np.concatenate([_padded(part["nbr_ids"], width, last, np.int64), np.where(s > -2.0, n, last)], axis=1)
+                    s = np.concatenate([_padded(part["nbr_sims"], width, -2.0, np.float64), s], axis=1)
+                    y = np.concatenate([_padded(part["nbr_labels"], width, 0, np.int32), y], axis=1)
+                    order = np.lexsort((n, -np.rint(s * 10.0 ** SIM_DIGITS)), axis=1)[:, :k]
+                    n, s, y = (np.take_along_axis(x, order, axis=1) for x in (n, s, y))
+                real = (s > -2.0).sum(axis=1)
+                kept = np.arange(s.shape[1])[None, :] < real[:, None]
+                ends = pa.array(np.concatenate([[0], np.cumsum(real)]), pa.int32())
+                found = {"nbr_ids": n, "nbr_sims": s, "nbr_labels": y}
+                yield pa.RecordBatch.from_arrays([
+                    pa.ListArray.from_arrays(ends, pa.array(found[f.name][kept], f.type.value_type), type=f.type) if f.name in found else part[f.name]
+                    for f in part.schema], schema=part.schema)
     return score
 
 
@@ -152,7 +164,7 @@ def top_k_neighbors(queries: DataFrame, container: DataFrame, k: int, *, id_col:
             q = q.checkpoint(eager=True)
         part = slice(at, at + per_slice)
         bc = spark.sparkContext.broadcast((ids[part], labels[part], cmat[part]))
-        q = q.mapInPandas(_score_fn(bc, k, "vec", exclude_self), q.schema)
+        q = q.mapInArrow(_score_fn(bc, k, "vec", exclude_self), q.schema)
     return q.drop("vec")
 
 

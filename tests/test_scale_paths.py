@@ -88,3 +88,29 @@ def test_exact_percentile_matches_numpy(spark, small_buckets):
     df = spark.createDataFrame(list(enumerate(vals)), "id long, d double")
     for p in (0.0, 12.5, 70.0, 99.3, 100.0):
         assert P.exact_percentile(df, "d", "id", p) == pytest.approx(float(np.percentile(vals, p)), abs=1e-9)
+
+
+def test_scoring_memory_does_not_follow_the_batch():
+    """Neighbours leave a task a few queries at a time, whatever the rows of an Arrow batch."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from blockwatch.operators import neighbors as NB
+    rng = np.random.default_rng(3)
+    ids, labels, cmat = np.arange(50), rng.integers(0, 2, 50), rng.normal(size=(50, 4))
+    n = 5 * NB.QUERY_ROWS + 7
+    q = rng.normal(size=(n, 4))
+
+    def lists(kind, rows):
+        return pa.array(rows, pa.list_(kind))
+    batch = pa.record_batch({"query_id": pa.array(range(n), pa.int64()), "vec": lists(pa.float64(), q.tolist()),
+                             "nbr_ids": lists(pa.int64(), [[]] * n), "nbr_sims": lists(pa.float64(), [[]] * n),
+                             "nbr_labels": lists(pa.int32(), [[]] * n)})
+    out = list(NB._score_fn(SimpleNamespace(value=(ids, labels, cmat)), 5, "vec", False)(iter([batch])))
+    assert max(b.num_rows for b in out) <= NB.QUERY_ROWS
+    got = [r for b in out for r in b["nbr_ids"].to_pylist()]
+    cos = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (cmat / np.linalg.norm(cmat, axis=1, keepdims=True)).T
+    assert got == np.argsort(-cos, axis=1)[:, :5].tolist()
+    assert [r for b in out for r in b["nbr_labels"].to_pylist()] == labels[np.array(got)].tolist()
