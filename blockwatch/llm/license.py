@@ -4,12 +4,14 @@ Words are runs of ASCII letters and digits, small letters; paragraphs stand betw
 Judged are a paragraph's lines of up to ``WINDOW`` words and, its lines joined, its windows of WINDOW
 words, each ``STEP`` after the one before, so a sentence is found however its lines are wrapped and
 whatever stands beside it. A multinomial logistic regression (Spark ML) over counts of words and word
-pairs gives the probability of each licence family and of ``unknown``. It is trained on the notices
-below, by pieces of ``PIECE`` words, alone and inside up to a window of other words; as unknown, on at
-most ``SAMPLE`` lines and windows of the corpus that hold less than half of any notice, and on prose
-*about* licences. Of the corpus rows one in five is held out: there the least probability is found at
-which at most ``FALSE_RATE`` of them are called a licence, and below it a line or window stays
-unknown. What is called is confirmed if it holds ``COVER`` of the words of one of the family's pieces.
+pairs, those of the notices and sentences below, gives the probability of each licence family and of
+``unknown``. It is trained on the notices, by pieces of ``PIECE`` words, alone and inside up to a window
+of other words; as unknown, on every line and window of the corpus that holds less than half of any
+notice, counted by their known words and pairs and together as heavy as ``UNKNOWN_WEIGHT`` rows, and on
+prose *about* licences. One text in five (by its hash) is held out: over all of their lines and windows
+the least probability is found at which at most ``FALSE_RATE`` of them are called a licence, and below
+it a line or window stays unknown. What is called is confirmed if it holds ``COVER`` of the words of one
+of the family's pieces.
 
 The model is linear in counts, so a task looks up each word and pair once, and the scores of all
 lines and windows are differences of running sums.
@@ -22,7 +24,6 @@ documents have their rows each; an empty table gives none.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,17 +31,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwatch.llm.common import byte_table, byte_view, lean, query, row_slices, table, words_of
+from blockwatch.llm.common import byte_table, byte_view, lean, query, row_slices, table, words_of, written
 
-#: Lines and windows of the corpus that train or calibrate, at most; the share of held-out ones called
+#: Weight of all lines and windows of the corpus against the notices; the share of held-out ones called
 #: a licence; the share of a piece's words that confirms.
-SAMPLE, FALSE_RATE, COVER = 10_000, 0.005, 0.7
+UNKNOWN_WEIGHT, FALSE_RATE, COVER = 8_000.0, 0.005, 0.7
+#: Steps of probability in which the held-out calls are counted, and of texts, one in so many is held out.
+BINS, HELD = 1 << 16, 5
 UNKNOWN = "unknown"
 #: Words of a window, from one window to the next, and of a piece of a notice (half of it and more
 #: lies in some window, wherever it begins).
@@ -236,96 +238,142 @@ class Model:
 
 # ---- fitting -----------------------------------------------------------------------
 
-def _sample(docs: DataFrame, text: str) -> list[str]:
-    """At most SAMPLE lines and windows, by a hash: of documents whose own hash is under a bound that
-    their number gives. The same rows at every run."""
-    n = docs.count()
-    bound = min(2 ** 63 - 1, int(min(1.0, (SAMPLE / 4) / max(n, 1)) * 2 ** 64) - 2 ** 63)
+def _known() -> Model:
+    """The words and pairs of the notices and of the prose about licences, without weights."""
+    bodies = [plain_words(t) for t in [*(x for xs in _sentences().values() for x in xs), *ABOUT]]
+    words = sorted({w for b in bodies for w in b})
+    at = {w: i for i, w in enumerate(words)}
+    pairs = np.array(sorted({at[x] * len(words) + at[y] for b in bodies for x, y in zip(b, b[1:], strict=False)}), np.int64)
+    k = len(FAMILIES)
+    return Model(words, np.zeros((len(words) + 1, k)), pairs, np.zeros((len(pairs) + 1, k)), np.zeros(k))
+
+
+def _grams(model: Model, word: np.ndarray, pair: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A row for each unit (words ``first`` up to ``end``): its known words, then len(words) + its known
+    pairs, ascending, filled up with -1 in front."""
+    at = first[:, None] + np.arange(WINDOW)
+    w = np.where(at < end[:, None], word[np.minimum(at, len(word) - 1)], len(model.words))
+    p = np.where(at + 1 < end[:, None], pair[np.minimum(at, len(pair) - 1)], len(model.pairs))
+    both = np.concatenate([np.where(w < len(model.words), w, -1), np.where(p < len(model.pairs), p + len(model.words), -1)], axis=1)
+    return np.sort(both.astype(np.int16), axis=1)
+
+
+def _noticed(model: Model, grams: np.ndarray) -> np.ndarray:
+    """Which rows hold half of the words of a piece of a notice, or more."""
+    at = {w: i for i, w in enumerate(model.words)}
+    pieces = [{at[w] for w in own} for pieces in _templates().values() for own in pieces]
+    holds = np.zeros((len(model.words), len(pieces)), np.float32)
+    for j, own in enumerate(pieces):
+        holds[list(own), j] = 1 / len(own)
+    has = np.zeros((len(grams), len(model.words) + 1), np.float32)
+    has[np.arange(len(grams))[:, None], np.where((grams >= 0) & (grams < len(model.words)), grams, len(model.words))] = 1
+    return ((has[:, :-1] @ holds) >= 0.5 - 1e-6).any(axis=1)
+
+
+def _each_unit(column: pa.Array, model: Model) -> Iterator[tuple]:
+    """Word and pair rows, and first and last-but-one words of up to _AT_ONCE units of a column of texts."""
+    data, off = byte_view(column)
+    for i, j in row_slices(off):
+        low, start, end, first, last, _, _ = _units(data[off[i]:off[j]], off[i:j + 1] - off[i])
+        if len(first):
+            word, pair = model.gram_rows(low, start, end)
+            for c in range(0, len(first), _AT_ONCE):
+                yield word, pair, first[c:c + _AT_ONCE], last[c:c + _AT_ONCE]
+
 
+def _is_held(text: str) -> F.Column:
+    return F.pmod(F.xxhash64(text), F.lit(HELD)) == 0
+
+
+def _unknown_rows(docs: DataFrame, known: Model, text: str) -> DataFrame:
+    """The known words and pairs of the lines and windows of the texts that are not held out, and how
+    many have the same (grams, n)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = byte_view(b.column(0))
-            for i, j in row_slices(off):
-                low, start, end, first, last, _, _ = _units(data[off[i]:off[j]], off[i:j + 1] - off[i])
-                yield pa.record_batch({"body": pa.array(
-                    [" ".join(low[start[k]:end[k]].tobytes().decode() for k in range(x, y)) for x, y in zip(first, last, strict=True)],
-                    pa.string())})
-
-    few = docs.where(F.xxhash64("doc_id", text) <= bound).select(text).mapInArrow(lean(run), "body string")
-    rows = few.distinct().orderBy(F.xxhash64("body"), "body").limit(SAMPLE).collect()
-    return [r["body"] for r in rows if max(similarity(f, set(r["body"].split())) for f in NOTICES) < 0.5]
-
-
-def _examples(sample: list[str]) -> tuple[list[tuple[str, int]], list[str]]:
-    """Bodies and labels to train on, and unknown bodies held out."""
-    held = sample[::5]
-    train = [b for i, b in enumerate(sample) if i % 5]
-    others = [b.split()[:WINDOW] for b in train[:64]] or [["some", "other", "words"]]
-    rows = [(b, 0) for b in train] + [(b, 0) for b in ABOUT]
+            for word, pair, first, end in _each_unit(b.column(0), known):
+                grams = _grams(known, word, pair, first, end)
+                grams = np.ascontiguousarray(grams[~_noticed(known, grams)])
+                rows, n = np.unique(grams.view(f"V{grams.shape[1] * 2}").ravel(), return_counts=True)
+                grams = rows.view(np.int16).reshape(len(rows), -1)
+                ends = np.concatenate([[0], np.cumsum((grams >= 0).sum(axis=1))])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams[grams >= 0], pa.int16())),
+                                                  pa.array(n, pa.int64())], names=["grams", "n"])
+
+    rows = docs.where(~_is_held(text)).select(text).mapInArrow(lean(run), "grams array<smallint>, n bigint")
+    return rows.groupBy("grams").agg(F.sum("n").alias("n"))
+
+
+def _examples() -> list[tuple[str, int]]:
+    """Bodies and labels of the notices, alone and among other words, and of the prose about licences."""
+    others = [(plain_words(ABOUT[k % len(ABOUT)]) + plain_words(ABOUT[(7 * k + 3) % len(ABOUT)]))[:WINDOW] if k % 2
+              else ["0"] * WINDOW for k in range(64)]  # every other time words that are not known
+    rows = [(b, 0) for b in ABOUT]
     for family, sentences in _sentences().items():
         for s in sentences:
             rows.append((s, FAMILIES.index(family)))
             for k, w in enumerate(others):  # among other words, before or behind
                 cut = w[:2 + k % 9]
-                rows.append((" ".join([*cut, s] if k % 2 else [s, *cut]), FAMILIES.index(family)))
+                rows.append((" ".join([*cut, s] if k % 4 < 2 else [s, *cut]), FAMILIES.index(family)))
                 room = max(0, WINDOW - len(s.split()))  # a full window, at any place in it
                 at = room * (k % 8) // 7
                 rows.append((" ".join([*w[:at], s, *w[at:room]]), FAMILIES.index(family)))
     for b in ABOUT:
         rows += [(" ".join([b, *w[:k % 12]]), 0) for k, w in enumerate(others)]
-    return rows, held
+    return rows
 
 
 def fit(docs: DataFrame, text: str = "text") -> tuple[Model, float]:
     """The model, and the probability below which a line or window is unknown."""
-    spark = docs.sparkSession
-    rows, held = _examples(_sample(docs, text))
-    examples = spark.createDataFrame(rows, "body string, label int")
-    steps = [
-        RegexTokenizer(inputCol="body", outputCol="words", pattern="[a-z0-9]+", gaps=False),
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT label, concat(words, pairs) AS grams FROM __THIS__"),
-        CountVectorizer(inputCol="grams", outputCol="features", minDF=2.0),
-        LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", regParam=0.001, maxIter=40),
-    ]
-    fitted = Pipeline(stages=steps).fit(examples)
-    grams, weights = fitted.stages[3].vocabulary, fitted.stages[4].coefficientMatrix.toArray().T
-    words = sorted({w for g in grams for w in g.split(" ")})
-    at = {w: i for i, w in enumerate(words)}
-    k = len(FAMILIES)
-    word_weights = np.zeros((len(words) + 1, k))
-    coded = []
-    for g, w in zip(grams, weights, strict=True):
-        parts = g.split(" ")
-        if len(parts) == 1:
-            word_weights[at[g]] = w
-        else:
-            coded.append((at[parts[0]] * len(words) + at[parts[1]], w))
-    coded.sort(key=lambda x: x[0])
-    pair_weights = np.array([w for _, w in coded] + [np.zeros(k)])
-    model = Model(words, word_weights, np.array([c for c, _ in coded], np.int64), pair_weights,
-                  fitted.stages[4].interceptVector.toArray())
-    called = sorted(1 - p for p in _unknown(model, held))
-    # At most FALSE_RATE of the held-out ones lie over it.
-    least = called[max(0, math.ceil((1 - FALSE_RATE) * len(called)) - 1)] if called else 0.0
-    return model, max(0.5, float(np.nextafter(least, 1)))
-
-
-def _unknown(model: Model, bodies: list[str]) -> list[float]:
-    out = []
-    for b in bodies:
-        data = np.frombuffer(b.encode(), np.uint8)
-        low, start, end, *_ = _units(data, np.array([0, len(data)]))
-        word, pair = model.gram_rows(low, start, end)
-        out.append(float(model.probabilities(word, pair, np.array([0]), np.array([len(word)]))[0, 0]))
-    return out
+    spark, known = docs.sparkSession, _known()
+    fixed = []
+    for body, label in _examples():
+        data = np.frombuffer(" ".join(plain_words(body)[:WINDOW]).encode(), np.uint8)
+        for word, pair, first, end in _each_unit(pa.array([data.tobytes().decode()]), known):
+            row = _grams(known, word, pair, first[:1], end[:1])[0]
+            fixed.append(([int(g) for g in row if g >= 0], label, 1.0))
+    rows = written(_unknown_rows(docs, known, text), "license-rows")
+    total = rows.agg(F.sum("n")).first()[0] or 1
+    examples = spark.createDataFrame(fixed, "grams array<smallint>, label int, weight double").unionByName(
+        rows.select("grams", F.lit(0).alias("label"), (F.col("n") * (UNKNOWN_WEIGHT / total)).alias("weight")))
+    vocabulary = [str(i) for i in range(len(known.words) + len(known.pairs))]
+    counted = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features").transform(
+        examples.withColumn("grams", F.col("grams").cast("array<string>")))
+    fitted = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family="multinomial",
+                                regParam=0.001, maxIter=40).fit(counted)
+    weights, zero = fitted.coefficientMatrix.toArray().T, np.zeros((1, len(FAMILIES)))
+    model = Model(known.words, np.concatenate([weights[:len(known.words)], zero]), known.pairs,
+                  np.concatenate([weights[len(known.words):], zero]), fitted.interceptVector.toArray())
+    return model, _least(docs, model, text)
+
+
+def _least(docs: DataFrame, model: Model, text: str) -> float:
+    """The least step of probability, 0.5 at least, that at most FALSE_RATE of the held-out lines and
+    windows reach; those that hold half of a notice are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for word, pair, first, end in _each_unit(b.column(0), model):
+                plain = ~_noticed(model, _grams(model, word, pair, first, end))
+                if plain.any():
+                    called = 1 - model.probabilities(word, pair, first[plain], end[plain])[:, 0]
+                    step, n = np.unique(np.maximum(np.floor(called * BINS), BINS // 2 - 1).astype(np.int64), return_counts=True)
+                    yield pa.record_batch({"step": pa.array(step), "n": pa.array(n, pa.int64())})
+
+    # At most BINS / 2 + 2 rows.
+    counts = docs.where(_is_held(text)).select(text).mapInArrow(lean(run), "step bigint, n bigint").groupBy("step").agg(
+        F.sum("n").alias("n")).collect()
+    left = FALSE_RATE * sum(r["n"] for r in counts)
+    for r in sorted(counts, key=lambda r: -r["step"]):
+        left -= r["n"]
+        if left < 0:
+            return max(0.5, (r["step"] + 1) / BINS)  # the step above the first that is too many
+    return 0.5
 
 
 # ---- scanning -----------------------------------------------------------------------
 
 def scan(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
     """The paragraphs of ``docs`` that the model calls a licence."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by SAMPLE
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of the size of the fixed texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

@@ -101,3 +101,43 @@ def test_prose_about_licences_is_not_confirmed(spark, fitted):
              "Redistribution of wealth was the subject of the debate, with or without new taxes on land."]
     _, got = found(spark, [(i, t) for i, t in enumerate(lines)], fitted)
     assert got.where("confirmed").count() == 0
+
+
+def test_every_text_trains_and_calibrates(spark):
+    """Counts of all lines and windows of the texts that are not held out, and a threshold from all of
+    those that are (both came from a bounded sample)."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+    prepare(spark)
+    rng = random.Random(5)
+    texts = ["\n".join(" ".join(rng.choice("the of free license stone river file you may lane public".split())
+                                for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 4))) for _ in range(600)]
+    texts += ["Released under the MIT License.", "", None, *texts[:20]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    known = license._known()
+    at = {w: i for i, w in enumerate(known.words)}
+    pair_at = {int(c): i + len(at) for i, c in enumerate(known.pairs)}
+    train = [r["text"] for r in docs.where(~license._is_held("text")).select("text").collect()]
+    want = Counter()
+    for t in train:
+        for _, _, words in plain_units(t):
+            if max(license.similarity(f, set(words)) for f in license.NOTICES) < 0.5:
+                ids = [at[w] for w in words if w in at]
+                ids += [pair_at[c] for x, y in zip(words, words[1:], strict=False) if x in at and y in at
+                        for c in [at[x] * len(at) + at[y]] if c in pair_at]
+                want[tuple(sorted(ids))] += 1
+    got = license._unknown_rows(docs, known, "text").collect()
+    got = {tuple(r["grams"]): r["n"] for r in got}
+    assert got == dict(want) and sum(want.values()) > 500
+    model, least = license.fit(docs)
+    held = [r["text"] for r in docs.where(license._is_held("text")).select(F.col("text")).collect()]
+    called = []
+    for t in held:
+        for _, _, words in plain_units(t):
+            if max(license.similarity(f, set(words)) for f in license.NOTICES) < 0.5:
+                x = __import__("pyarrow").array([" ".join(words)])
+                word, pair, first, end = next(license._each_unit(x, model))
+                called.append(1 - model.probabilities(word, pair, first[:1], end[:1])[0, 0])
+    over = sum(c >= least for c in called)
+    assert over <= license.FALSE_RATE * len(called) and 0.5 <= least <= 1 + 1 / license.BINS
