@@ -76,6 +76,33 @@ def test_idle_blocks_leave_by_timer(spark, tmp_path):
     assert emitted[0] == 0
 
 
+def test_keys_share_the_state_of_their_bucket(spark, tmp_path):
+    """Many keys: as a plain loop, and without a state of its own for each key."""
+    import random
+    rng, size, idle = random.Random(5), 3, 30
+    rows = [(n, _at(rng.randrange(600)), rng.choice([None, *range(6000)]) if n % 3 else rng.choice([None, 1, 2]), rng.choice(["-", "FAIL", None]), "t")
+            for n in range(9000)]
+    parts = [[r for r in rows if lo <= (r[1] - T0).seconds // 60 < lo + 300] for lo in (0, 300)]
+    out, _ = _run(spark, tmp_path / "b", parts, lambda s: X.keyed_count_blocks(s, size, "1 hour", idle_ms=idle * 60_000), rocksdb=True)
+    want = []
+    for key in {r[2] for r in rows}:
+        blocks = []
+        for n, ts, _, label, _ in sorted((r for r in rows if r[2] == key), key=lambda r: (r[1], r[0], r[3] == "-")):
+            if not blocks or len(blocks[-1]) == size or ts > blocks[-1][-1][1] + dt.timedelta(minutes=idle):
+                blocks.append([])
+            blocks[-1].append((n, ts, label))
+        want += [(-1 if key is None else key, i, len(b), b[0][0], b[-1][0], b[-1][1], "success" if all(x[2] == "-" for x in b) else "fail")
+                 for i, b in enumerate(blocks)]
+    got = [(-1 if r["user_id"] is None else r["user_id"], *tuple(r)[1:]) for r in out.collect()]
+    assert sorted(got) == sorted(want)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    stream = X.keyed_count_blocks(spark.readStream.schema(schema).parquet(f"{tmp_path}/b/in"), size, "20 hours")
+    q = (stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/again").trigger(once=True).start())
+    q.awaitTermination()
+    keys = len({r[2] for r in rows})
+    assert keys > 3500 and 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) < keys
+
+
 def test_the_marker_is_no_line(spark):
     events = spark.createDataFrame([(1, _at(0), 1, "-", "t")], SCHEMA).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     marker = X.end_marker(events)
