@@ -1,13 +1,15 @@
 """Source divergence audit: how far the term distributions of the sources of a language lie apart.
 
 Method. A CountVectorizer with a minimum document frequency and the largest vocabulary size that an
-integer holds turns every document into exact sparse vectors: one of its terms, and one for each
-binary digit of what its counts have over one, so a document is handed over in about as many keys as it
-has different terms; its vector is their sum by the digits' weights. The terms carry their language, which
+integer holds turns the documents into exact sparse vectors, a chunk of them at a time: one of the terms
+that a chunk has of a (lang, source), and one for each binary digit of what their counts have over one,
+so a chunk is handed over in about as many keys as it has different terms; its vector is their sum by the
+digits' weights. The fit is given each term once for each document of a chunk, but no more often than
+the minimum asks for in all, which no threshold can tell from the whole. The terms carry their language, which
 makes one fit a vectorizer for each language: a term counts documents of its own language only. The
 vocabulary of one model is bounded: terms are dealt by hash to as many models as an estimate of the
 kept terms asks for (one up to MODEL_TERMS), and the results of the models are put together by adding.
-A mark in every document keeps a vocabulary from being empty. The vectors are written, and sums by
+A mark in every chunk keeps a vocabulary from being empty. The vectors are written, and sums by
 group are taken over their indices and values, never over dense buffers. Divergences of pairs of
 sources are evaluated from the sparse group vectors: terms in blocks, sources in tiles, so that no
 task holds more than a block of terms of two tiles of sources; what a pair owes to terms that neither
@@ -39,6 +41,8 @@ MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 MODEL_TERMS, BLOCK_TERMS, TILE = 1 << 21, 4096, 128
 #: One term in ESTIMATE is counted to estimate the kept terms (it only sets the number of models).
 ESTIMATE = 64
+#: Bytes of the documents of a chunk, and keys of a row.
+CHUNK_BYTES, ROW_KEYS = 12 << 20, 2000
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _TERM = byte_table(lambda b: 97 <= b <= 122 or b >= 128)
 #: Stands between a term and its language, and alone as the mark of a document; no term or code has it.
@@ -56,21 +60,44 @@ def _lang_of(code: Column) -> Column:
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """lang, source, layer, keys: the terms of every document in layers. Layer 0 has each of its terms
-    once, with its language behind it, and the mark; the others are the binary digits of what its counts
-    have over one: a term in layer b > 0 occurs 2 ** (b - 1) more times."""
+    """lang, source, layer, keys: the terms of chunks of documents, with their language behind them.
+
+    Layers from 0 on are sums of a chunk's documents of one (lang, source): layer 0 has each of their
+    terms once, and the mark; the others are the binary digits of what the counts have over one: a term in
+    layer b > 0 occurs 2 ** (b - 1) more times. Layers below 0 are what the fit counts documents by: a term
+    of n documents of the chunk's is in min(n, MIN_DOCS) of its rows, so a term is in MIN_DOCS rows of all
+    chunks exactly if it is in that many documents. The mark stands for a term of all documents. Rows of
+    more than ROW_KEYS keys are cut; parts behind the first are of layer -2."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            data, off = byte_view(b.column("text"))
-            for i, j in row_slices(off):
-                yield from _layers(b.slice(i, j - i), data[off[i]:off[j]], off[i:j + 1] - off[i])
+            held.append(b)
+            size += b.nbytes
+            if size >= CHUNK_BYTES:
+                yield from _chunks(held)
+                held, size = [], 0
+        if held:
+            yield from _chunks(held)
 
     own = docs.select("text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
     return own.withColumn("code", _lang_code(F.col("lang"))).mapInArrow(
         lean(run), "lang string, source string, layer int, keys array<string>")
 
 
-def _layers(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _chunks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the chunks that batches make: one, unless a batch is large."""
+    rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+    held.clear()
+    for b in rows:
+        data, off = byte_view(b.column("text"))
+        for i, j in row_slices(off, CHUNK_BYTES):
+            yield from _chunk(*_counts(b.slice(i, j - i), data[off[i]:off[j]], off[i:j + 1] - off[i]))
+
+
+def _counts(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> tuple[pa.Table, pa.Table, list, list]:
+    """word, of, n: documents of each word by the number of its language's code, and occurrences by the
+    number of its (lang, source, code), in the order of these; the codes and groups. The empty word is the
+    mark: of code 0 for the documents, once in each group."""
     low, n = _LOWER[data], rows.num_rows
     start, end, row = words_of(low, off, _TERM)
     step = np.zeros(len(low) + 1, np.int8)
@@ -78,51 +105,85 @@ def _layers(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> Iterator
     step[end] -= 1
     packed = np.ascontiguousarray(low[np.cumsum(step[:-1], dtype=np.int8).astype(bool)])
     at = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(at), pa.py_buffer(packed)]).dictionary_encode()
-    # The mark is the empty word of no language, the last of each document.
+    del start, end, step, low
+    words = pa.Array.from_buffers(pa.large_string(), len(row), [None, pa.py_buffer(at), pa.py_buffer(packed)]).dictionary_encode()
+    del at, packed
     size = len(words.dictionary) + 1
     names = pa.concat_arrays([words.dictionary, pa.array([""], pa.large_string())])
-    codes = pa.concat_arrays([rows.column("code").cast(pa.large_string()), pa.array([""], pa.large_string())])
-    pairs, counts = np.unique(np.concatenate([row * size + words.indices.to_numpy(), np.arange(n) * size + size - 1]),
-                              return_counts=True)
-    row, word, more = pairs // size, pairs % size, counts - 1
-    layer = 0
-    while len(row):
-        own = np.ones(len(row), bool) if layer == 0 else (more >> (layer - 1)) & 1 > 0
-        r, w = row[own], word[own]
-        keys = pc.binary_join_element_wise(names.take(pa.array(w)), codes.take(pa.array(np.where(w == size - 1, n, r))),
-                                            pa.scalar(_MARK, pa.large_string()))
-        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
-        some = rows.take(pa.array(r[first]))
-        yield pa.RecordBatch.from_arrays(
-            [some.column("lang"), some.column("source"), pa.array(np.full(len(first), layer), pa.int32()),
-             pa.ListArray.from_arrays(pa.array(np.append(first, len(r)), pa.int32()), keys.cast(pa.string()))],
-            names=["lang", "source", "layer", "keys"])
-        left = more >> layer > 0
-        row, word, more, layer = row[left], word[left], more[left], layer + 1
+    codes, groups = {"": 0}, {}
+    lang, source, code = (rows.column(c).to_pylist() for c in ("lang", "source", "code"))
+    of_code = np.array([codes.setdefault(c, len(codes)) for c in code], np.int64)
+    of_group = np.array([groups.setdefault(g, len(groups)) for g in zip(lang, source, code, strict=True)], np.int64)
+    index = words.indices.to_numpy().astype(np.int64)
+
+    def table(keys: np.ndarray, n: np.ndarray) -> pa.Table:
+        return pa.table({"word": names.take(pa.array(keys % size)), "of": keys // size, "n": n})
+
+    # Counts make ``unique`` sort, which is faster here than its hashing.
+    own = np.unique(row * size + index, return_counts=True)[0]
+    terms, n_docs = np.unique(of_code[own // size] * size + own % size, return_counts=True)
+    seen = table(np.append(terms, size - 1), np.append(n_docs, n))
+    marks = np.arange(len(groups)) * size + size - 1
+    return seen, table(*np.unique(np.concatenate([of_group[row] * size + index, marks]), return_counts=True)), list(codes), list(groups)
+
+
+def _chunk(seen: pa.Table, sums: pa.Table, codes: list, groups: list) -> Iterator[pa.RecordBatch]:
+    """The rows of a chunk, see ``_documents``."""
+    def keys_of(t: pa.Table, code: pa.Array) -> pa.Array:
+        return pc.binary_join_element_wise(t["word"].combine_chunks(), code, pa.scalar(_MARK, pa.large_string())).cast(pa.string())
+
+    def cut(keys: pa.Array, of: np.ndarray, layer: int, lang: pa.Array, source: pa.Array) -> pa.RecordBatch:
+        """A row for each run of ``of``, cut at ROW_KEYS keys."""
+        at = np.arange(len(of))
+        new = np.concatenate([[True], of[1:] != of[:-1]])
+        first = np.flatnonzero((at - np.maximum.accumulate(np.where(new, at, 0))) % ROW_KEYS == 0)
+        layers = np.full(len(first), layer)
+        if layer < 0:
+            layers[1:] = -2
+        whose = pa.array(of[first])
+        return pa.RecordBatch.from_arrays(
+            [lang.take(whose), source.take(whose), pa.array(layers, pa.int32()),
+             pa.ListArray.from_arrays(pa.array(np.append(first, len(of)), pa.int32()), keys)], names=["lang", "source", "layer", "keys"])
+
+    none = pa.array([None], pa.string())
+    n = seen["n"].to_numpy()
+    keys = keys_of(seen, pa.array(codes, pa.large_string()).take(seen["of"].combine_chunks()))
+    for i in range(MIN_DOCS):
+        own = np.flatnonzero(n > i)
+        if len(own):
+            yield cut(keys.take(pa.array(own)), np.zeros(len(own), np.int64), -1, none, none)
+    lang, source, code = (pa.array(c, pa.string()) for c in zip(*groups, strict=True))
+    of, mark = sums["of"].to_numpy(), pc.equal(sums["word"].combine_chunks(), "").to_numpy(zero_copy_only=False)
+    keys = keys_of(sums, pc.if_else(pa.array(mark), "", code.take(pa.array(of))).cast(pa.large_string()))
+    more, layer = sums["n"].to_numpy() - 1, 0
+    while layer == 0 or (more >> (layer - 1)).any():
+        own = np.arange(len(of)) if layer == 0 else np.flatnonzero((more >> (layer - 1)) & 1)
+        if len(own):
+            yield cut(keys.take(pa.array(own)), of[own], layer, lang, source)
+        layer += 1
 
 
 def _models_for(terms: DataFrame) -> int:
     """Models that hold the vocabulary, from the kept terms among one in ESTIMATE, by their hash."""
-    some = terms.where("layer = 0").select(F.explode("keys").alias("key")).where(
+    some = terms.where("layer < 0").select(F.explode("keys").alias("key")).where(
         F.pmod(F.xxhash64("key", F.lit(7)), F.lit(ESTIMATE)) == 0)
     kept = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS).count()
     return max(1, -(-kept * ESTIMATE * 5 // (4 * MODEL_TERMS)))
 
 
 def _vectors(terms: DataFrame, models: int, model: int) -> tuple[DataFrame, DataFrame]:
-    """lang, source, at, count (occurrences of a vocabulary index in a document's layer), and the
+    """lang, source, at, count (occurrences of a vocabulary index in a layer of a chunk), and the
     vocabulary (at, term, lang) of one model."""
     spark = terms.sparkSession
     docs = terms
     if models > 1:
         docs = terms.withColumn("keys", F.filter("keys", lambda k: (k == _MARK) | (F.pmod(F.xxhash64(k), F.lit(models)) == model)))
-    # A term counts a document once, so its layer 0 is all that the fit needs.
+    # The layers below 0 count documents, the others occurrences.
     fitted = CountVectorizer(inputCol="keys", outputCol="vector", minDF=float(MIN_DOCS),
-                             vocabSize=2**31 - 1).fit(docs.where("layer = 0"))
+                             vocabSize=2**31 - 1).fit(docs.where("layer < 0"))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-vectorizer-{uuid.uuid4().hex}"
     fitted.write().save(f"{path}/model")
-    fitted.transform(docs).select("lang", "source", "layer", "vector").write.parquet(f"{path}/vectors")
+    fitted.transform(docs.where("layer >= 0")).select("lang", "source", "layer", "vector").write.parquet(f"{path}/vectors")
     # A sparse vector is stored as its type, size, indices and values: read those as columns.
     sparse = spark.read.schema("lang string, source string, layer int, vector struct<type: tinyint, size: int, "
                                "indices: array<int>, values: array<double>>").parquet(f"{path}/vectors")
@@ -240,7 +301,8 @@ def pair_values(shares: DataFrame, groups: DataFrame) -> DataFrame:
 def divergence(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value, rank: sources by their distance, and the terms that stand out."""
     terms = written(_documents(docs), "terms")
-    n_docs = terms.where("layer = 0").count()
+    # As many as the documents, or MIN_DOCS and more.
+    n_docs = terms.where("layer = -1").count()
     models = _models_for(terms)
     counted, vocabulary = [], []
     # Fewer documents than a kept term needs: no term is kept.
@@ -256,7 +318,7 @@ def divergence(docs: DataFrame) -> DataFrame:
     words = written(_union(vocabulary), "vocabulary")
     counts = written(_union(counted), "counts")
     sizes = words.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    groups = (terms.where("layer = 0").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"))
+    groups = (terms.where("layer = 0").select("lang", "source").distinct()
               .join(counts.groupBy("lang", "source").agg(F.sum("count").alias("n")), ["lang", "source"], "left")
               .join(sizes, "lang", "left").fillna(0, ["n", "v"]))
     in_lang = Window.partitionBy("lang")

@@ -94,3 +94,40 @@ def test_shares_of_counts_beyond_a_product_of_64_bits(spark):
     df = spark.createDataFrame(cases, "c long, n long, v long")
     got = [r[0] for r in df.select(divergence.share(F.col("c"), F.col("n"), F.col("v"))).collect()]
     assert got == [1 + 10 ** 9 * (c + 2) // (n + 2 * v) for c, n, v in cases]
+
+
+def test_a_chunk_hands_each_term_over_as_often_as_its_counts_need(spark):
+    prepare(spark)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(words), "en", "s") for i in range(400)], "doc_id long, text string, lang string, source string").coalesce(1)
+    keys = divergence._documents(docs).select(F.sum(F.size("keys"))).first()[0]
+    # Once for each document before (40,400 and more); now MIN_DOCS times for the fit, and by the digits of 400.
+    assert keys <= (divergence.MIN_DOCS + 8) * 101
+
+
+def test_rows_of_chunks_add_up(rows, monkeypatch):
+    """Whatever the chunks and the cuts of their rows: documents count up to MIN_DOCS, occurrences in all."""
+    import pyarrow as pa
+    texts = [(t, l or "", s or "") for t, l, s in rows if (l or "").isalnum() or not l]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([t for t, _, _ in texts], pa.string()), "lang": [l for _, l, _ in texts],
+                                        "source": [s for _, _, s in texts], "code": [l for _, l, _ in texts]})
+    df, occurrences = Counter(), Counter()
+    for t, lang, source in texts:
+        found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        df.update({f"{w}\x1f{lang}" for w in found} | {"\x1f"})
+        occurrences.update((lang, source, f"{w}\x1f{lang}") for w in found)
+    for chunk, keys in ((1 << 20, 2000), (1 << 20, 7), (500, 3), (1, 2000)):
+        monkeypatch.setattr(divergence, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(divergence, "ROW_KEYS", keys)
+        seen, sums, first = Counter(), Counter(), 0
+        for out in divergence._chunks([batch]):
+            for r in out.to_pylist():
+                assert 0 < len(r["keys"]) <= keys and len(set(r["keys"])) == len(r["keys"])
+                first += r["layer"] == -1
+                for k in r["keys"]:
+                    if r["layer"] < 0:
+                        seen[k] += 1
+                    elif k != "\x1f":
+                        sums[r["lang"], r["source"], k] += 1 if r["layer"] == 0 else 2 ** (r["layer"] - 1)
+        assert sums == occurrences and seen.keys() == df.keys()
+        assert all((seen[k] >= 10) == (df[k] >= 10) and seen[k] <= df[k] for k in df) and first >= 10
