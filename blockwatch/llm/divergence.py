@@ -42,7 +42,7 @@ MODEL_TERMS, BLOCK_TERMS, TILE = 1 << 21, 4096, 128
 #: One term in ESTIMATE is counted to estimate the kept terms (it only sets the number of models).
 ESTIMATE = 64
 #: Bytes of the documents of a chunk, and keys of a row.
-CHUNK_BYTES, ROW_KEYS = 12 << 20, 2000
+CHUNK_BYTES, ROW_KEYS = 18 << 20, 2000
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _TERM = byte_table(lambda b: 97 <= b <= 122 or b >= 128)
 #: Stands between a term and its language, and alone as the mark of a document; no term or code has it.
@@ -171,8 +171,8 @@ def _models_for(terms: DataFrame) -> int:
     return max(1, -(-kept * ESTIMATE * 5 // (4 * MODEL_TERMS)))
 
 
-def _vectors(terms: DataFrame, models: int, model: int) -> tuple[DataFrame, DataFrame]:
-    """lang, source, at, count (occurrences of a vocabulary index in a layer of a chunk), and the
+def _vectors(terms: DataFrame, names: DataFrame, models: int, model: int) -> tuple[DataFrame, DataFrame]:
+    """group (its number in ``names``), at, count (occurrences of a vocabulary index in a layer of a chunk), and the
     vocabulary (at, term, lang) of one model."""
     spark = terms.sparkSession
     docs = terms
@@ -193,9 +193,10 @@ def _vectors(terms: DataFrame, models: int, model: int) -> tuple[DataFrame, Data
                   .select("at", F.substring_index("key", _MARK, 1).alias("term"),
                           _lang_of(F.substring_index("key", _MARK, -1)).alias("lang")))
     weight = F.expr("CASE WHEN layer = 0 THEN 1L ELSE shiftleft(1L, layer - 1) END")
-    entries = sparse.select("lang", "source", weight.alias("weight"), F.inline(F.arrays_zip("vector.indices", "vector.values")).alias("at", "value"))
+    # The entries meet by numbers, not by the texts of their groups.
+    entries = sparse.join(names, ["lang", "source"]).select("group", weight.alias("weight"), F.inline(F.arrays_zip("vector.indices", "vector.values")).alias("at", "value"))
     return entries.where(F.col("at") != mark).select(
-        "lang", "source", "at", (F.col("value").cast("bigint") * F.col("weight")).alias("count")), vocabulary
+        "group", "at", (F.col("value").cast("bigint") * F.col("weight")).alias("count")), vocabulary
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -272,18 +273,18 @@ def _tile_sums(group: pa.Table) -> pa.Table:
                      "part_sum": pa.array(np.concatenate(out) if out else [], pa.int64())})
 
 
-def pair_values(shares: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_values(shares: DataFrame, groups: DataFrame, words: DataFrame) -> DataFrame:
     """lang, source, item, value for every ordered pair of sources of a language.
 
     ``groups``: lang, source, no (from 0 in its lang), sources (of the lang), v, absent;
-    ``shares``: lang, no, model, at, p.
+    ``shares``: lang, no, model, at, p; ``words``: lang, model, at of every kept term.
     """
     named = groups.withColumn("tile", F.expr(f"no div {TILE}")).withColumn("tiles", F.expr(f"(sources - 1) div {TILE}"))
     block = F.expr(f"at div {BLOCK_TERMS}").cast("bigint").alias("block")
     own = (shares.select("lang", "no", "model", "at", "p", block)
            .withColumn("source", F.lit(None).cast("string")).withColumn("v", F.lit(None).cast("bigint"))
            .join(named.select("lang", "no", "tile", "tiles"), ["lang", "no"]))
-    blocks = shares.select("lang", "model", block).distinct()
+    blocks = words.select("lang", "model", block).distinct()
     every = blocks.unionByName(named.select("lang", F.lit(-1).alias("model"), F.lit(-1).cast("bigint").alias("block")).distinct())
     heads = named.join(every, "lang").select(
         "lang", "no", "model", F.lit(-1).alias("at"), F.coalesce("absent", F.lit(1)).alias("p"), "block", "source", "v", "tile", "tiles")
@@ -303,13 +304,14 @@ def divergence(docs: DataFrame) -> DataFrame:
     terms = written(_documents(docs), "terms")
     # As many as the documents, or MIN_DOCS and more.
     n_docs = terms.where("layer = -1").count()
+    names = written(terms.where("layer = 0").select("lang", "source").distinct().withColumn("group", F.monotonically_increasing_id()), "names")
     models = _models_for(terms)
     counted, vocabulary = [], []
     # Fewer documents than a kept term needs: no term is kept.
     for k in range(models if n_docs >= MIN_DOCS else 0):
-        found, words = _vectors(terms, models, k)
-        sums = found.groupBy("lang", "source", "at").agg(F.sum("count").alias("count"))
-        counted.append(sums.withColumn("model", F.lit(k)))
+        found, words = _vectors(terms, names, models, k)
+        sums = found.groupBy("group", "at").agg(F.sum("count").alias("count")).join(names, "group")
+        counted.append(sums.select("lang", "source", "at", "count", F.lit(k).alias("model")))
         vocabulary.append(words.withColumn("model", F.lit(k)))
     if not counted:
         spark = docs.sparkSession
@@ -318,7 +320,7 @@ def divergence(docs: DataFrame) -> DataFrame:
     words = written(_union(vocabulary), "vocabulary")
     counts = written(_union(counted), "counts")
     sizes = words.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    groups = (terms.where("layer = 0").select("lang", "source").distinct()
+    groups = (names.select("lang", "source")
               .join(counts.groupBy("lang", "source").agg(F.sum("count").alias("n")), ["lang", "source"], "left")
               .join(sizes, "lang", "left").fillna(0, ["n", "v"]))
     in_lang = Window.partitionBy("lang")
@@ -328,7 +330,7 @@ def divergence(docs: DataFrame) -> DataFrame:
         .withColumn("absent", F.when(F.col("v") > 0, share(F.lit(0).cast("bigint"), F.col("n"), F.col("v")))), "groups")
     shares = (counts.join(groups.select("lang", "source", "n", "v", "lang_n", "no"), ["lang", "source"])
               .withColumn("p", share(F.col("count"), F.col("n"), F.col("v"))))
-    pairs = pair_values(shares, groups)
+    pairs = pair_values(shares, groups, words)
     # Terms that stand out: ties at the last rank stay until their text decides.
     over = Window.partitionBy("lang", "model", "at")
     out = (shares.withColumn("q", share(F.sum("count").over(over), F.col("lang_n"), F.col("v"))).where("p > q")
