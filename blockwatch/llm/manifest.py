@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockwatch.llm.common import query, table, written
-from blockwatch.operators.position import plan_buckets, with_position
+from blockwatch.operators.position import bucketed, with_position
 
 #: Nodes of one run, and runs of runs in a superblock: a superblock holds ARITY ** DEPTH nodes.
 ARITY, DEPTH = 16, 3
@@ -68,8 +68,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("tree"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_FIRST_ID)).alias("id_key"),
         *[F.col(c) for c in FIELDS])
-    bucket = plan_buckets(own, ["tree", "id_key"])
-    own = own.withColumn("bucket", bucket)
+    own = bucketed(own, ["tree", "id_key"], name="bucket")
     counts = own.groupBy("bucket", "tree").agg(F.count(F.lit(1)).alias("own_n"))
     before = Window.partitionBy("tree").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("bucket", "tree", F.coalesce(F.sum("own_n").over(before), F.lit(0)).alias("shift"),

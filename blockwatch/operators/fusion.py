@@ -1,7 +1,7 @@
 """Fused score, weight fit, threshold search, prediction.
 
-Grid searches are one aggregation pass each and emit no rows per grid point: the 101
-weight losses are 101 sums of one aggregate; for the 100 thresholds each score is put
+Grid searches are one aggregation pass each: the 101 weight losses are summed up by weight
+inside the tasks, so that one row a weight leaves each; for the 100 thresholds each score is put
 into a bin, the bins are counted, and suffix sums over 101 rows give every threshold's
 counts. The grid size is a parameter, never data-dependent.
 """
@@ -40,15 +40,14 @@ def fit_fusion_weight(train: DataFrame, p_col: str, e_col: str, y_col: str,
     """
     p, e, y = F.col(p_col), F.col(e_col), F.col(y_col).cast("double")
 
-    def loss(i: int) -> Column:
-        score = fused_score(p, e, i / steps)
-        return bce(F.lit(1.0) / (F.lit(1.0) + F.exp(-score)) if sigmoid else score, y)
-
-    # One sum for each grid point in one aggregate: rows do not grow.
-    sums = train.agg(*[F.avg(loss(i)).alias(f"l{i}") for i in range(steps + 1)])
-    points = F.array(*[F.struct(F.round(f"l{i}", LOSS_DIGITS).alias("key"), F.lit(i / steps).alias("w"),
-                                F.col(f"l{i}").alias("loss")) for i in range(steps + 1)])
-    return sums.select(F.array_min(points).alias("best")).where("best.loss IS NOT NULL").select("best.w", "best.loss")
+    # The grid meets each row inside the task and is summed up there, by weight.
+    points = train.select(p.alias("p"), e.alias("e"), y.alias("y"),
+                          F.explode(F.array(*[F.lit(i / steps) for i in range(steps + 1)])).alias("w"))
+    score = fused_score(F.col("p"), F.col("e"), F.col("w"))
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-score)) if sigmoid else score
+    losses = points.select("w", "y", score.alias("s")).groupBy("w").agg(F.avg(bce(F.col("s"), F.col("y"))).alias("loss"))
+    best = losses.agg(F.min(F.struct(F.round("loss", LOSS_DIGITS).alias("key"), "w", "loss")).alias("best"))
+    return best.where("best.loss IS NOT NULL").select("best.w", "best.loss")
 
 
 def threshold_grid_search(scored: DataFrame, score_col: str, y_col: str, n: int = 100,

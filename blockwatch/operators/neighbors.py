@@ -26,6 +26,8 @@ SIM_DIGITS = 9
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 # Queries of one matrix product: with a 7,000-row container each temporary is 7 MB.
 QUERY_ROWS = 128
+# Columns of one group when the best are bounded by the maxima of groups.
+GROUP = 32
 # Slices that follow each other in one stage: each is a Python process of the task.
 CHAIN = 2
 
@@ -55,8 +57,10 @@ def _topk_rows(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """
     n = sims.shape[1]
     k = min(k, n)
-    r = np.rint(sims * 10.0 ** SIM_DIGITS).astype(np.int64)
-    key = -r * np.int64(n) + np.arange(n, dtype=np.int64)[None, :]
+    best = _topk_of_few(sims, k)
+    if best is not None:
+        return best
+    key = _rank_keys(sims, np.arange(n, dtype=np.int64)[None, :], n)
     if k < n:
         part = np.argpartition(key, k - 1, axis=1)[:, :k]
     else:
@@ -65,6 +69,34 @@ def _topk_rows(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(part, order, axis=1)
 
 
+def _rank_keys(sims: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    return -np.rint(sims * 10.0 ** SIM_DIGITS).astype(np.int64) * np.int64(n) + columns
+
+
+def _topk_of_few(sims: np.ndarray, k: int) -> np.ndarray | None:
+    """The same from the few columns of a row that can be among its k best; None where they aren't few.
+
+    The k-th largest of the maxima of groups of columns is a bound that at least k columns of the row
+    reach, so a column below it by more than the rounding can't be among them.
+    """
+    rows, n = sims.shape
+    groups = n // GROUP
+    if groups < 2 * k:
+        return None
+    tops = sims[:, :groups * GROUP].reshape(rows, groups, GROUP).max(axis=2)
+    bound = np.partition(tops, groups - k, axis=1)[:, groups - k] - 2 * 10.0 ** -SIM_DIGITS
+    at = np.flatnonzero(sims >= bound[:, None])
+    row, column = np.divmod(at, n)
+    count = np.bincount(row, minlength=rows)
+    if count.min() < k or len(at) > 8 * k * rows or count.max() > 64 * k:
+        return None  # many ties, or values that can't be compared
+    key = np.full((rows, count.max()), np.iinfo(np.int64).max)
+    first = np.cumsum(count) - count
+    key[row, np.arange(len(at)) - first[row]] = _rank_keys(sims.ravel()[at], column, n)
+    key.sort(axis=1)
+    return key[:, :k] % n
+
+
 def best_of_slice(q: np.ndarray, own_ids: np.ndarray | None, ids: np.ndarray, cnorm: np.ndarray, k: int):
     """For up to ``QUERY_ROWS`` queries at a time: (rows, columns, similarities) of their best.
 

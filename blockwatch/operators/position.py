@@ -53,25 +53,25 @@ def _sortable(df: DataFrame, name: str) -> Column:
     return col
 
 
-def _bounds_below(bounds: list[tuple], key_type: T.StructType, key: Column) -> Column:
-    """Number of bounds <= key, by binary search in one literal array of structs."""
-    names = key_type.fieldNames()
-    text = json.dumps([dict(zip(names, b)) for b in bounds])
-    array = F.from_json(F.lit(text), T.ArrayType(key_type))
-
-    def halve(state: Column, _: Column) -> Column:
-        mid = ((state["lo"] + state["hi"]) / 2).cast("int")
-        below = F.get(array, mid) <= key
-        more = state["lo"] < state["hi"]
-        return F.struct(F.when(more & below, mid + 1).otherwise(state["lo"]).alias("lo"),
-                        F.when(more & ~below, mid).otherwise(state["hi"]).alias("hi"))
+def _with_bounds_below(df: DataFrame, bounds: list[tuple], key_type: T.StructType, key: Column, name: str) -> DataFrame:
+    """Add ``name`` = number of bounds <= key, by binary search in one literal array of structs.
 
-    steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda s: s["lo"])
+    Each halving is a projection of its own, so that all of them are compiled and each is taken once a
+    row; the number is never NULL, so a join on it infers no filter that would search once more.
+    """
+    text = json.dumps([dict(zip(key_type.fieldNames(), b)) for b in bounds])
+    array = F.from_json(F.lit(text), T.ArrayType(key_type))
+    out = df.withColumn("_bw_bkey", key).withColumn(name, F.lit(0))
+    for step in (2 ** i for i in reversed(range(len(bounds).bit_length()))):
+        # The bound ``step`` places on, if there is one (a place outside the array is NULL).
+        below = F.get(array, F.col(name) + (step - 1)) <= F.col("_bw_bkey")
+        out = out.withColumn(name, F.col(name) + F.when(below, F.lit(step)).otherwise(F.lit(0)))
+    return out.drop("_bw_bkey")
 
 
-def plan_buckets(df: DataFrame, order_cols: list[str], num_buckets: int | None = None, seed: int = 7) -> Column:
-    """A range-bucket expression for the (unique) order key: a deterministic function of the key.
+def bucketed(df: DataFrame, order_cols: list[str], num_buckets: int | None = None, seed: int = 7,
+             name: str = "_bw_bucket") -> DataFrame:
+    """Add ``name``: the range bucket of the (unique) order key, a deterministic function of the key.
 
     The number of buckets follows the number of rows, not the cluster; the bounds come from one
     seeded sample. Inputs of every size take this path.
@@ -93,14 +93,7 @@ def plan_buckets(df: DataFrame, order_cols: list[str], num_buckets: int | None =
         b = sample[(i * len(sample)) // n] if sample else None
         if b is not None and (not bounds or b > bounds[-1]):
             bounds.append(b)
-    if not bounds:
-        return F.lit(0)
-    return _bounds_below(bounds, key_df.schema, F.struct(*keys))
-
-
-def bucketed(df: DataFrame, order_cols: list[str], num_buckets: int | None = None) -> DataFrame:
-    """Add ``_bw_bucket``."""
-    return df.withColumn("_bw_bucket", plan_buckets(df, order_cols, num_buckets))
+    return _with_bounds_below(df, bounds, key_df.schema, F.struct(*keys), name)
 
 
 def _offsets(counts: DataFrame, key: str, value: str, out: str) -> DataFrame:

@@ -268,7 +268,8 @@ def pseudo_label_setup(blocks: DataFrame, block_lines: DataFrame, *, ratio: floa
     emb = embed(block_lines).checkpoint(eager=True)
     train = split.filter(F.col("split") == "train").select("block_id").join(emb, "block_id")
     clustered, centres = PS.kmeans_clusters(train, k=2, seed=42)
-    dist = PS.centre_distance(clustered, centres)
+    # Read by the percentile, the majority and the halving: written once, without the vectors.
+    dist = PS.centre_distance(clustered, centres).select("block_id", "cluster", "distance").checkpoint(eager=True)
     kept = PS.percentile_filter(dist, "distance", PSEUDO_PERCENTILE, id_col="block_id")
     labelled = PS.majority_relabel(kept)
     roles = PS.half_split_by_class(labelled.select("block_id", "pseudo_label"), "block_id",
@@ -309,9 +310,10 @@ def pseudo_label_detector(blocks: DataFrame, block_lines: DataFrame, **kw) -> Da
     feats = err.join(parts["prob"], "block_id").checkpoint(eager=True)
     tuning = parts["roles"].filter(F.col("role") == "tuning").select("block_id", "pseudo_label") \
         .join(feats, "block_id")
-    w = FU.fit_fusion_weight(tuning, "prob", "e", "pseudo_label", sigmoid=True).select("w").scalar()
+    # One-row results, used by the search, the prediction and the report.
+    w = FU.fit_fusion_weight(tuning, "prob", "e", "pseudo_label", sigmoid=True).checkpoint(eager=True).select("w").scalar()
     scored = tuning.withColumn("score", FU.fused_score(F.col("prob"), F.col("e"), w))
-    t = FU.threshold_grid_search(scored, "score", "pseudo_label").select("threshold").scalar()
+    t = FU.threshold_grid_search(scored, "score", "pseudo_label").checkpoint(eager=True).select("threshold").scalar()
     test = feats.filter(F.col("split") == "test").withColumn(
         "score", FU.fused_score(F.col("prob"), F.col("e"), w))
     preds = FU.predict(test, "score", t)
